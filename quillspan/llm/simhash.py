@@ -3,9 +3,10 @@
 Fingerprints are 64-bit SimHashes of word shingles.  To find all pairs of
 fingerprints within ``radius`` bits, every bit position gets a vector over
 GF(2) of ``radius + 1`` bits; each non-zero vector v defines one table, whose
-key keeps the bits whose vector is orthogonal to v.  The at most ``radius``
+key keeps the bits whose vector isn't orthogonal to v.  The at most ``radius``
 positions where two such fingerprints differ span a proper subspace, so some v
-is orthogonal to all of them, and in that table the pair has equal keys: every
+is orthogonal to all of them, that table leaves all of them out of its key, and
+the pair has equal keys there: every
 pair within the radius collides for certain (2^(radius+1) - 1 tables).
 
 Equal fingerprints are one node from the start, so groups of exact copies cost
@@ -81,7 +82,7 @@ def masks(radius: int, seed: int = 0) -> list[int]:
     vector = [(i * (2 * seed + 1) + seed) % ((1 << r) - 1) + 1 for i in range(64)]
     out = []
     for v in range(1, 1 << r):
-        m = sum(1 << i for i in range(64) if (vector[i] & v).bit_count() % 2 == 0)
+        m = sum(1 << i for i in range(64) if (vector[i] & v).bit_count() % 2)
         out.append(m - (1 << 64) if m >> 63 else m)
     return out
 

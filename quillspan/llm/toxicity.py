@@ -115,7 +115,7 @@ def train(rows: np.ndarray, words: np.ndarray, grades: np.ndarray, keep: int = 4
 def grade_by_density(rows: np.ndarray, words: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Three grades from a two-valued label: 0 as labelled; of the others, 2 for those with more telling words than their median, else 1."""
     grades = (toxic > 0).astype(int)
-    if not 0 < grades.mean() < 1:
+    if not len(grades) or not 0 < grades.mean() < 1:
         return grades
     telling = screen(rows, words, grades.astype(float), 64)
     hits = np.bincount(rows, np.isin(words, telling), len(grades))

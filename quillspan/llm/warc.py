@@ -102,13 +102,14 @@ def write(pages: DataFrame, folder: str, scratch: Scratch, roll_bytes: int = ROL
     """Write the archives below ``folder``; returns the committed manifest (file, bytes, records, sha256).
 
     A null payload is empty, a null url is replaced by the page's name, null
-    page ids come first and never are what a revisit refers to; of rows with
-    one page id and payload the first is the response.
+    page ids come first and never are what a revisit refers to (payloads under
+    null ids only are all response); of rows with one page id and payload the
+    first is the response.
     """
     payload = F.coalesce(F.col(html).cast("string"), F.lit(""))
     own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.cast("binary").alias("payload"), F.sha2(payload, 256).alias("digest"))
-    keys = own.where(F.octet_length("payload") >= least_bytes).select("page_id", "digest").where("page_id is not null")
-    first = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    keys = own.where(F.octet_length("payload") >= least_bytes).select("page_id", "digest")
+    first = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
     notes = keys.join(first, "digest").distinct()
     both = own.select("page_id", F.lit(1).alias("kind"), "url", "payload", "digest", F.lit(None).cast("long").alias("first"))
     both = both.union(notes.select("page_id", F.lit(0), F.lit(None), F.lit(None), "digest", "first"))
