@@ -24,8 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm.scratch import bounded_batches
+
 #: Entries a worker keeps; runs of more bytes than ``LONG`` are never kept.
-CACHE, LONG, LEAF = 600_000, 256, 2048
+CACHE, LONG, LEAF = 250_000, 256, 2048
 
 
 class TreeEncoder:
@@ -153,14 +155,15 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def encode_decode(docs: DataFrame, path: str, text_col: str = "text", step: int = 1 << 20, with_text: bool = False) -> DataFrame:
-    """(row, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) for every whole text; null texts are empty.
+def encode_decode(docs: DataFrame, path: str, text_col: str = "text", step: int = 1 << 20, with_ids: bool = False, with_text: bool = False) -> DataFrame:
+    """(row, n_tokens, ids_sha256, decoded_sha256[, ids][, decoded]) for every whole text; null texts are empty.
 
-    ``path``: a tokenizer file that every executor can read.  ``with_text``
-    adds the ids (decimal, joined by one space) and the decoded text.
+    ``path``: a tokenizer file that every executor can read.  ``with_ids``
+    adds the ids (decimal, joined by one space), ``with_text`` the decoded text.
     """
 
-    names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_text
+    bounded_batches(docs.sparkSession)
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids + ["decoded"] * with_text
 
     @F.arrow_udf("n_tokens long, " + ", ".join(f"{n} string" for n in names[1:]))
     def coded(texts: pa.Array) -> pa.Array:
@@ -172,7 +175,7 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", step: int
                 size += len(part[-1])
                 at += 1
             for n, ids, text in own.rows(part):
-                got.append((n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()) + ((ids.decode(), text.decode()) if with_text else ()))
+                got.append((n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()) + (ids.decode(),) * with_ids + (text.decode(),) * with_text)
         cols = list(zip(*got, strict=True)) or [[]] * len(names)
         return pa.StructArray.from_arrays([pa.array(np.array(cols[0], np.int64))] + [pa.array(c, pa.string()) for c in cols[1:]], names)
 

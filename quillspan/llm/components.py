@@ -39,7 +39,7 @@ class Forest:
 
 
 #: A task hands its links on when it has met this many integers.
-FOREST_LIMIT = 500_000
+FOREST_LIMIT = 200_000
 
 
 def _thin(batches):

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm.scratch import bounded_batches
 from quillspan.llm.words import LOWER, PUNCT, blocks, run_hashes
 
 SHINGLE, SHARE, BLOCK_ITEMS = 5, 0.8, 20_000
@@ -106,6 +107,7 @@ def mark(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
     shingle and is never found; items with equal ids are separate items; a
     null item id stays null.
     """
+    bounded_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     found = [_searcher(context.broadcast(ItemIndex(block, shingle, share)))(F.col("t")) for block in _blocks_of(items, item_id, item_text, block_items)]
     keyed = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("t"))

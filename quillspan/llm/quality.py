@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm.scratch import bounded_batches
 from quillspan.llm.words import SPACE, blocks
 
 BUCKETS = 1024
@@ -142,6 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, id_col: str = "doc_id",
     Held-out rows and rows without a label or id are never read for this;
     a document with several labels counts as the lowest of them.
     """
+    bounded_batches(docs.sparkSession)
     chosen = labels.select(F.col(id_col).alias("k"), F.col(target).cast("int").alias("y")).where("k is not null and y is not null").where(~held_out("k"))
     chosen = chosen.groupBy("k").agg(F.min("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(sample)
 
@@ -161,6 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, id_col: str = "doc_id",
 
 def score(docs: DataFrame, model: FactorisationMachine, text_col: str = "text", buckets: int = BUCKETS, step: int = 512) -> DataFrame:
     """(row, score): each row of ``docs`` as a struct, and how likely its whole text is of label 1; null texts are empty."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

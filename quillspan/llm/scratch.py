@@ -20,11 +20,27 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+#: Bytes of rows in one Arrow batch.  The JVM and a Python worker each hold a batch several times over.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Cut Arrow batches at ``BATCH_BYTES`` where the session keeps Spark's default of 64 MB.
+
+    The setting stays in the session, because a returned plan is made when it
+    runs.  Batches of narrow rows still hold as many rows as the session says.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "67108864b", "64MB"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Scratch:
     """A private folder below the shared one; tables saved there are read back as new roots of a plan."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bounded_batches(spark)
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.components import Forest, components
+from quillspan.llm.components import FOREST_LIMIT, Forest, components
 from quillspan.llm.scratch import Scratch
 from quillspan.llm.words import SPACE, blocks
 from quillspan.llm.xxh64 import xxh64_runs
@@ -95,12 +95,15 @@ def _linker(radius: int, limit: int | None):
         rest = [np.zeros(0, np.int64)] * 3
 
         def flush():
+            nonlocal forest
             a = np.array(forest.links, np.int64).reshape(-1, 2)
             b = np.concatenate(over, axis=0) if over else np.zeros((0, 2), np.int64)
             both = np.concatenate((a, b))
             kind = np.repeat(np.array([0, 1], np.int32), [len(a), len(b)])
             forest.links.clear()
             over.clear()
+            if len(forest.parent) > FOREST_LIMIT:
+                forest = Forest()
             return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(both[:, 0]), pa.array(both[:, 1])], ["kind", "a", "b"])
 
         def bucket(t, fps):

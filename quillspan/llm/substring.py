@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,30 +76,35 @@ def _anchors(window: int, seed_words: int):
     return lambda batches: map(of, batches)
 
 
+def _fields(col: pa.Array, *names: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where each row's structs begin (one more entry than rows), and fields of all rows' structs; a null array is empty."""
+    n = pc.list_value_length(col).fill_null(0).to_numpy(zero_copy_only=False)
+    flat = col.flatten()
+    fields = dict(zip([f.name for f in flat.type], flat.flatten(), strict=True))
+    return np.concatenate(([0], np.cumsum(n, dtype=np.int64))), [x.astype(np.int64) if x.dtype == np.int32 else x for x in (fields[k].to_numpy(zero_copy_only=False) for k in names)]
+
+
 def _windows(window: int):
     """Batches (text, id, h, spans) -> rows (g, wh, id, h, at, sure): one for each window of the spans."""
 
     def of(batch):
-        spans = batch.column(3).to_pylist()
+        off, (begin, size, anchor, twice) = _fields(batch.column(3), "lo", "nw", "g", "sure")
         out = [[] for _ in range(5)]
         for b in blocks(batch.column(0), SPACE, margin=window - 1):
-            words = None
+            found = []
             for p, row in enumerate(b.rows.tolist()):
-                for s in spans[row] or ():
-                    lo, hi = s["lo"], s["lo"] + s["nw"]
-                    first = b.base[p] - b.first[p]  # a word's place in the row, less its index in the block
-                    i = np.arange(max(lo, b.own_from[p] + first), min(hi, b.own_to[p] + first)) - first
-                    if not len(i):
-                        continue
-                    words = b.word_hashes() if words is None else words
-                    for k, v in enumerate((np.full(len(i), s["g"], np.int64), i, np.full(len(i), row), i + first, np.full(len(i), s["sure"]))):
-                        out[k].append(v)
-            if words is not None and out[1] and out[1][-1].dtype != np.uint64:
-                k = len(out[1])
-                while k and out[1][k - 1].dtype != np.uint64:
-                    k -= 1
-                starts = np.concatenate(out[1][k:])
-                out[1][k:] = [run_hashes(words, starts, window, SECOND)]
+                if off[row] == off[row + 1]:
+                    continue
+                own = slice(off[row], off[row + 1])
+                first = b.base[p] - b.first[p]  # a word's place in the row, less its index in the block
+                lo = np.maximum(begin[own], b.own_from[p] + first)
+                n = np.maximum(np.minimum(begin[own] + size[own], b.own_to[p] + first) - lo, 0)
+                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                found.append((np.repeat(anchor[own], n), at - first, np.full(len(at), row), at, np.repeat(twice[own], n)))
+            if found:
+                for k, v in enumerate(zip(*found, strict=True)):
+                    v = np.concatenate(v)
+                    out[k].append(run_hashes(b.word_hashes(), v, window, SECOND) if k == 1 else v)
         g, wh, row, at, sure = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
         take = pa.array(row.astype(np.int64))
         return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(wh.view(np.int64), pa.int64()), batch.column(1).take(take), batch.column(2).take(take), pa.array(at.astype(np.int32)), pa.array(sure.astype(bool))], ["g", "wh", "id", "h", "at", "sure"])
@@ -111,18 +117,18 @@ def _cut(window: int):
 
     @F.arrow_udf("n_words long, n_removed long, kept string")
     def of(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        spans = spans.to_pylist()
-        n = len(spans)
+        off, (begin, size_of) = _fields(spans, "lo", "nw")
+        n = len(texts)
         total, gone, kept = np.zeros(n, np.int64), np.zeros(n, np.int64), [[] for _ in range(n)]
         for b in blocks(texts, SPACE):
             cover = np.zeros(b.n_words + 1, np.int64)
             for p, row in enumerate(b.rows.tolist()):
                 lo, hi, back = b.first[p], b.first[p + 1], b.base[p] - b.first[p]
-                for s in spans[row] or ():
-                    a, e = max(lo, s["lo"] - back), min(hi, s["lo"] + s["nw"] + window - 1 - back)
-                    if a < e:
-                        cover[a] += 1
-                        cover[e] -= 1
+                if off[row] < off[row + 1]:
+                    at = begin[off[row] : off[row + 1]] - back
+                    a, e = np.maximum(lo, at), np.minimum(hi, at + size_of[off[row] : off[row + 1]] + window - 1)
+                    np.add.at(cover, a[a < e], 1)
+                    np.subtract.at(cover, e[a < e], 1)
             stay = np.cumsum(cover)[:-1] == 0
             edge = np.zeros(len(b.buf) + 2, np.int8)
             edge[b.starts[stay]] += 1

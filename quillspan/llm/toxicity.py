@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.quality import _sigmoid
+from quillspan.llm.scratch import bounded_batches
 from quillspan.llm.words import PUNCT, blocks
 
 
@@ -129,6 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str =
     two-valued and ``grade_by_density`` refines it.  A document with several
     labels counts as the highest of them.
     """
+    bounded_batches(docs.sparkSession)
     chosen = labels.select(F.col(id_col).alias("k"), F.col(target).cast("int").alias("y")).where("k is not null and y is not null")
     chosen = chosen.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(sample)
 
@@ -150,6 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str =
 
 def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
     """(row, severity, p_toxic, grade): expected grade, P(grade > 0) and the likeliest grade of every whole text; null texts are empty."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("severity double, p_toxic double, grade int")

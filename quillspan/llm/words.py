@@ -10,12 +10,12 @@ it needs as context, so memory is bounded by the block and not by the text.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+#: Bytes of text in a block; a block's arrays of 64-bit numbers take some tens of times as much.
+BLOCK = 1 << 18
 U64 = np.uint64
 #: Odd bases of the polynomial hashes over bytes and over words.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 5, 0xD6E8FEB86659FD95
@@ -43,7 +43,6 @@ def _lower_table() -> np.ndarray:
 LOWER = _lower_table()
 
 
-@lru_cache(maxsize=4)
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of ``base`` and of its inverse modulo 2^64, ``n`` of each."""
     inverse = U64(pow(base, -1, 1 << 64))
@@ -54,9 +53,16 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return p, q
 
 
+#: The longest tables made for each base of a usual block; those of an outsized one aren't kept.
+_kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    p, q = _powers(base, size)
+    p, q = _kept.get(base, ((), ()))
+    if len(p) < n:
+        p, q = _powers(base, 1 << max(16, int(n).bit_length()))
+        if n <= 2 * BLOCK:
+            _kept[base] = p, q
     return p[:n], q[:n]
 
 

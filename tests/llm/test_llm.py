@@ -326,7 +326,7 @@ def test_bpe(spark, docs, empty):
     r = random.Random(2)
     own = docs.union(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate([*LONG, "".join(r.choice("theandiox") for _ in range(9000))], 1000)], DOCS))
     tok = bpe.Codec(path).tok
-    for x in bpe.encode_decode(own, path, with_text=True).collect():
+    for x in bpe.encode_decode(own, path, with_ids=True, with_text=True).collect():
         ids = tok.encode(x.row.text or "", add_special_tokens=False).ids
         text = tok.decode(ids, skip_special_tokens=False)
         assert (x.n_tokens, x.ids, x.decoded) == (len(ids), " ".join(map(str, ids)), text)
