@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import bpe, decontam, quality, simhash, substring
+from quillspan.llm import bpe, decontam, quality, similar, substring
 from quillspan.llm.queries import tokenizer_path
 from quillspan.llm.scratch import Scratch
 
@@ -27,11 +27,11 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents with near fingerprints of five-word shingles keep one, the one with the smallest id.
+    """Of each group of documents joined by similarities of 0.8 or more on five-word shingles keep one, the one with the smallest id.
 
     Of rows that repeat that id one stays; rows with a null id stay.
     """
-    got = simhash.near_duplicates(docs, shingle=5, radius=4)
+    got = similar.similar_documents(docs, shingle=5, similarity=0.8)
     gone = got.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = got.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("doc_id"))

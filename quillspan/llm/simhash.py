@@ -32,10 +32,8 @@ from quillspan.llm.xxh64 import xxh64_runs
 BUCKET = 8192
 
 
-def fingerprint_texts(col, shingle: int = 4, seed: int = 42) -> np.ndarray:
-    """The fingerprint of each text of an Arrow column (uint64)."""
-    ones = np.zeros((len(col), 64), np.int64)
-    total = np.zeros(len(col), np.int64)
+def shingle_runs(col, shingle: int, seed: int):
+    """(rows, heads, h): for some rows of an Arrow text column, where each row's shingle hashes begin in ``h``; a long text comes in several parts."""
     for b in blocks(col, SPACE, lower=True, margin=shingle - 1):
         if not b.n_words:
             continue
@@ -56,15 +54,30 @@ def fingerprint_texts(col, shingle: int = 4, seed: int = 42) -> np.ndarray:
             continue
         end = np.minimum(i + shingle - 1, last[valid])
         h = xxh64_runs(flat, begin[i], begin[end] + size[end] - begin[i], seed)
-        bits = np.unpackbits(h.byteswap().view(np.uint8).reshape(-1, 8), axis=1)
         piece = piece[valid]
         heads = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1])))
-        rows = b.rows[piece[heads]]
-        np.add.at(ones, rows, np.add.reduceat(bits, heads, axis=0, dtype=np.int64))
-        np.add.at(total, rows, np.diff(np.append(heads, len(piece))))
+        yield b.rows[piece[heads]], heads, h
+
+
+def _count_bits(ones: np.ndarray, total: np.ndarray, rows: np.ndarray, heads: np.ndarray, h: np.ndarray) -> None:
+    bits = np.unpackbits(h.byteswap().view(np.uint8).reshape(-1, 8), axis=1)
+    np.add.at(ones, rows, np.add.reduceat(bits, heads, axis=0, dtype=np.int64))
+    np.add.at(total, rows, np.diff(np.append(heads, len(h))))
+
+
+def _majority(ones: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > total[:, None], axis=1).view(np.uint64).byteswap().ravel()
 
 
+def fingerprint_texts(col, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """The fingerprint of each text of an Arrow column (uint64)."""
+    ones = np.zeros((len(col), 64), np.int64)
+    total = np.zeros(len(col), np.int64)
+    for rows, heads, h in shingle_runs(col, shingle, seed):
+        _count_bits(ones, total, rows, heads, h)
+    return _majority(ones, total)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
     """(id, fp): one row per row of ``docs``, fp the fingerprint's bits as a signed long."""
 
