@@ -144,6 +144,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs)
+        if not rounds:  # later pairs come from the same buckets, so only these texts are moved again
+            texts = scratch.save(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"))
         new = scratch.save(_verified(pairs, texts, shingle, similarity))
         tested = pairs if tested is None else tested.union(pairs)
         found = found.union(new)
