@@ -1,20 +1,21 @@
 """Groups of documents whose word shingles have a Jaccard similarity of ``similarity`` or more.
 
-SimHash fingerprints within a few bits don't decide that: at 0.8 two
-fingerprints of 64 bits differ in about ten.  So the covering of
-:mod:`quillspan.llm.simhash` only proposes pairs here, MinHash bands propose
-those further apart (at 0.8 a pair shares a band with probability 0.9995, and
-more above it), and every proposed pair is decided by the exact Jaccard
-similarity of the whole texts.
-
-Texts with equal shingle sets are one node.  A bucket proposes pairs of its
-members with one pivot each, not all its pairs.  Further rounds take other
-pivots for members that aren't grouped with them yet, until a round finds no
-new link.
+Texts with equal shingle sets are one node.  A few rounds over MinHash bands
+join most groups cheaply: each node meets one pivot of its buckets a round.
+What they miss is found by an exact join.  Each text's distinct shingles are
+put in one common order, those that many texts have last, and two texts of n
+shingles or more can only reach similarity t if they share one of their first
+n - ceil(t n) + 1, at places that leave enough shingles behind them.  All pairs
+with such a shingle that aren't in one group yet are decided by the exact
+Jaccard similarity of the whole texts, so no pair is lost (up to collisions of
+64 bits of hash).  The order is estimated from a sample; it bears on the cost
+only, any order gives the same groups.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,62 +23,198 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.components import components
 from quillspan.llm.scratch import Scratch
-from quillspan.llm.simhash import _count_bits, _majority, links, shingle_runs
+from quillspan.llm.simhash import shingle_runs
 from quillspan.llm.words import mix
 
 #: MinHash bands and the hashes in each.
 BANDS, ROWS = 32, 7
+#: Rounds over the bands; what they leave is left to the exact join.
+ROUNDS = 3
+#: Texts in the sample for the order of shingles, and members of a shingle's block in the exact join.
+SAMPLE, BLOCK = 4000, 2048
 _SALT = np.random.default_rng(20).integers(0, 1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64)
 
 
-def sketches(col, shingle: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprint, two hashes of the shingle set and band keys of each text; a text without words has set (0, 0)."""
-    n = len(col)
-    ones, total = np.zeros((n, 64), np.int64), np.zeros(n, np.int64)
-    least = np.full((n, BANDS * ROWS), np.iinfo(np.uint64).max, np.uint64)
-    sets, parts = np.zeros((n, 2), np.uint64), {}  # parts: of the one text that is at hand
+def _distinct(col, shingle: int, seed: int = 42):
+    """(row, the sorted distinct shingle hashes) of each text that has words; a long text's parts come one after the other."""
+    at, some = -1, []
+    for rows, heads, h in shingle_runs(col, shingle, seed):
+        for row, lo, hi in zip(rows.tolist(), heads, np.append(heads[1:], len(h)), strict=True):
+            if row != at:
+                if some:
+                    yield at, np.unique(np.concatenate(some))
+                at, some = row, []
+            some.append(h[lo:hi])
+    if some:
+        yield at, np.unique(np.concatenate(some))
 
-    def finish() -> None:
-        for row, some in parts.items():
-            h = some[0] if len(some) == 1 else np.unique(np.concatenate(some))
-            with np.errstate(over="ignore"):
-                sets[row] = np.sum(mix(h), dtype=np.uint64), np.sum(mix(h ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)
-        parts.clear()
 
-    for rows, heads, h in shingle_runs(col, shingle, seed):
-        _count_bits(ones, total, rows, heads, h)
-        with np.errstate(over="ignore"):
+def sketches(col, shingle: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of the shingle set and band keys of each text; a text without words has set (0, 0)."""
+    n = len(col)
+    least = np.full((n, BANDS * ROWS), np.iinfo(np.uint64).max, np.uint64)
+    sets = np.zeros((n, 2), np.uint64)
+    with np.errstate(over="ignore"):
+        for row, h in _distinct(col, shingle, seed):
+            sets[row] = np.sum(mix(h), dtype=np.uint64), np.sum(mix(h ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)
+        for rows, heads, h in shingle_runs(col, shingle, seed):
             for p in range(BANDS * ROWS):
                 v = np.minimum.reduceat((h ^ _SALT[0, p]) * (_SALT[1, p] | np.uint64(1)), heads)
                 least[rows, p] = np.minimum(least[rows, p], v)
-        for row, lo, hi in zip(rows.tolist(), heads, np.append(heads[1:], len(h)), strict=True):
-            if row not in parts:
-                finish()
-            parts.setdefault(row, []).append(np.unique(h[lo:hi]))
-    finish()
-    keys = np.zeros((n, BANDS), np.uint64)
-    with np.errstate(over="ignore"):
+        keys = np.zeros((n, BANDS), np.uint64)
         for b in range(BANDS):
             k = np.full(n, b + 1, np.uint64)
             for p in range(b * ROWS, (b + 1) * ROWS):
                 k = mix(k * np.uint64(0x9E3779B97F4A7C15) + least[:, p])
             keys[:, b] = k
-    return _majority(ones, total), sets[:, 0], sets[:, 1], keys
+    return sets[:, 0], sets[:, 1], keys
+
+
+def _lists(parts: list, n: int) -> pa.Array:
+    """An Arrow array of lists from (row, hashes) pairs with ascending rows; other rows have empty lists."""
+    size = np.zeros(n + 1, np.int64)
+    for row, h in parts:
+        size[row + 1] = len(h)
+    flat = np.concatenate([np.zeros(0, np.uint64), *(h for _, h in parts)])
+    return pa.ListArray.from_arrays(np.cumsum(size).astype(np.int32), pa.array(flat.view(np.int64)))
 
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, fp, s1, s2, keys) for each row."""
+    """(id, s1, s2, keys) for each row."""
 
-    @F.arrow_udf("fp long, s1 long, s2 long, keys array<long>")
+    @F.arrow_udf("s1 long, s2 long, keys array<long>")
     def of(texts: pa.Array) -> pa.Array:
-        fp, s1, s2, keys = sketches(texts, shingle)
+        s1, s2, keys = sketches(texts, shingle)
         listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel().view(np.int64)))
-        return pa.StructArray.from_arrays([*(pa.array(x.view(np.int64)) for x in (fp, s1, s2)), listed], ["fp", "s1", "s2", "keys"])
+        return pa.StructArray.from_arrays([*(pa.array(x.view(np.int64)) for x in (s1, s2)), listed], ["s1", "s2", "keys"])
 
     got = docs.select(F.col(id_col).cast("long").alias("id"), of(F.col(text_col).cast("string")).alias("x"))
     return got.select("id", "x.*")
 
 
+def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that three or more sampled texts have, ascending, and about how many of all texts have each."""
+    every = max(1, texts.count() // SAMPLE)
+
+    @F.arrow_udf("array<long>")
+    def of(col: pa.Array) -> pa.Array:
+        return _lists(list(_distinct(col, shingle)), len(col))
+
+    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select(F.explode(of("text")).alias("h"))
+    got = some.groupBy("h").count().where("count > 2").toArrow()
+    h = got.column("h").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], got.column("count").to_numpy().astype(np.int64)[order] * every
+
+
+def _least(n, similarity: float):
+    """The shingles that a text of ``n`` must share."""
+    return np.ceil(similarity * n - 1e-9).astype(np.int64)
+
+
+def _close(a: tuple, b: tuple, similarity: float) -> np.ndarray:
+    """Whether rows (id, root, place, size) that share a shingle may be similar, if it is their first one in common."""
+    (_, ra, pa_, na), (_, rb, pb, nb) = a, b
+    return (ra != rb) & (np.minimum(na - pa_, nb - pb) >= _least((na + nb) / (1 + similarity), similarity))
+
+
+def _pairs(similarity: float):
+    """Reads rows (key, id, root, place, size) sorted by key; yields the pairs of ids that share a key and may be similar."""
+
+    def bucket(cols):
+        n = len(cols[0])
+        for i in range(0, n, 512):
+            left = [c[i : i + 512, None] for c in cols]
+            for j in range(i, n, BLOCK):
+                right = [c[None, j : j + BLOCK] for c in cols]
+                x, y = np.nonzero(_close(left, right, similarity))
+                yield cols[0][i + x], cols[0][j + y]
+
+    def runs(key, *cols):
+        """Pairs of some whole buckets, in parts."""
+        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(head, len(key)))
+        mixed = np.minimum.reduceat(cols[1], head) < np.maximum.reduceat(cols[1], head)
+        two = head[mixed & (size == 2)]
+        ok = _close([c[two] for c in cols], [c[two + 1] for c in cols], similarity)
+        yield cols[0][two[ok]], cols[0][two[ok] + 1]
+        for lo, n in zip(head[mixed & (size > 2)].tolist(), size[mixed & (size > 2)].tolist(), strict=True):
+            yield from bucket([c[lo : lo + n] for c in cols])
+
+    def out(found):
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        both = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b)), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    def run(batches):
+        rest, found, n = [np.zeros(0, np.int64)] * 5, [], 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is None:
+                now, cut = rest, len(rest[0])
+            else:
+                now = [np.concatenate((r, c.to_numpy(zero_copy_only=False))) for r, c in zip(rest, batch.columns, strict=True)]
+                cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last bucket may go on
+            rest = [c[cut:] for c in now]
+            for a, b in runs(*(c[:cut] for c in now)) if cut else ():
+                found.append((a, b))
+                n += len(a)
+                if n > 200_000 or len(found) > 20_000:
+                    yield out(found)
+                    found, n = [], 0
+        if found:
+            yield out(found)
+
+    return run
+
+
+def _unjoined(texts: DataFrame, placed: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): all pairs of nodes with different roots (placed: id, root) that may be similar."""
+    common = texts.sparkSession.sparkContext.broadcast(_common(texts, shingle))
+
+    def often(h: np.ndarray) -> np.ndarray:
+        known, count = common.value
+        if not len(known):
+            return np.zeros(len(h), np.int64)
+        i = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        return np.where(known[i] == h, count[i], 0)
+
+    @F.arrow_udf("size long, first array<long>")
+    def of(col: pa.Array) -> pa.Array:
+        size, parts = np.zeros(len(col), np.int64), []
+        for row, h in _distinct(col, shingle):
+            size[row] = len(h)
+            parts.append((row, h[np.lexsort((h, often(h)))[: len(h) - int(_least(len(h), similarity)) + 1]]))
+        return pa.StructArray.from_arrays([pa.array(size), _lists(parts, len(col))], ["size", "first"])
+
+    def deal(batches):
+        """A row for each shingle; one that very many texts have is dealt into blocks, of which every two meet under a key of their own."""
+        for batch in batches:
+            id_, root, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            first = batch.column(3)
+            n = np.diff(first.offsets.to_numpy())
+            if not n.sum():
+                continue
+            h = first.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            row = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            cells = np.maximum(1, -(-often(h) // BLOCK))
+            own = (mix(id_.view(np.uint64)[row]) % cells.astype(np.uint64)).astype(np.int64)
+            at = np.repeat(np.arange(len(h)), cells)
+            other = np.arange(len(at)) - np.repeat(np.cumsum(cells) - cells, cells)
+            own = own[at]
+            cell = (np.minimum(own, other) << 32 | np.maximum(own, other)).view(np.uint64)
+            with np.errstate(over="ignore"):
+                key = np.where(cells[at] > 1, mix(h[at] + mix(cell)), h[at]).view(np.int64)
+            cols = key, id_[row[at]], root[row[at]], place[at], size[row[at]]
+            for lo in range(0, len(at), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000]) for c in cols], ["key", "id", "root", "place", "size"])
+
+    first = texts.select("id", of("text").alias("x")).select("id", "x.*").where("size > 0")
+    rows = first.join(placed, "id").select("id", "root", "size", "first")
+    rows = rows.mapInArrow(deal, "key long, id long, root long, place long, size long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs(similarity), "a long, b long").distinct()
+
+
 def jaccard(left, right, shingle: int, seed: int = 42) -> np.ndarray:
     """The exact Jaccard similarity of the shingle sets of two Arrow text columns, row by row; 1 where both are empty."""
     n = len(left)
@@ -114,7 +251,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     return both.where(of("text_a", "text_b") >= similarity).select("a", "b").distinct()
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component): component is the smallest id reachable over pairs of ``similarity`` or more, the row's own included.
 
     Defined results: null and wordless texts have the empty set and are similar
@@ -126,37 +263,32 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     made = scratch.save(_sketched(docs, id_col, text_col, shingle).where("id is not null"))
     low = made.groupBy("s1", "s2").agg(F.min("id").alias("low"))
     same = made.join(low, ["s1", "s2"])
-    alike = scratch.save(same.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
-    nodes = scratch.save(same.where("id = low and (s1 <> 0 or s2 <> 0)").select("id", "fp", "keys"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-
-    buckets = nodes.select("id", F.explode("keys").alias("key"))
-    pivots = buckets.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    same_fp = nodes.groupBy("fp").agg(F.min("id").alias("b"))
-    near = links(same_fp.select("fp"), scratch, radius)
-    ends = lambda end: same_fp.select(F.col("fp").alias(end), F.col("b").alias(f"id_{end}"))
-    pairs = buckets.join(pivots, "key").select(F.col("id").alias("a"), "b")
-    pairs = pairs.union(nodes.join(same_fp, "fp").select(F.col("id").alias("a"), "b"))
-    pairs = pairs.union(near.join(ends("a"), "a").join(ends("b"), "b").select("id_a", "id_b"))
-    tested, found, rounds = None, alike, 0
-    while True:
-        pairs = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs)
-        if not rounds:  # later pairs come from the same buckets, so only these texts are moved again
-            texts = scratch.save(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"))
-        new = scratch.save(_verified(pairs, texts, shingle, similarity))
-        tested = pairs if tested is None else tested.union(pairs)
-        found = found.union(new)
-        if rounds and new.isEmpty():
+    found = scratch.save(same.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
+    nodes = scratch.save(same.where("id = low and (s1 <> 0 or s2 <> 0)").select("id", "keys"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        return scratch.save(_verified(pairs, texts.join(ids, "id", "left_semi"), shingle, similarity))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(root.withColumnsRenamed({"node": "id"}), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+    buckets = scratch.save(nodes.select("id", F.explode("keys").alias("key")).join(nodes.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key"), "key", "left_semi").select("id", "key"))
+    root = scratch.save(components(found, scratch))
+    for n in range(ROUNDS):
+        # the pivot is another member each round, and members outside its group meet it, each node one pivot
+        now, rank = placed(buckets), F.xxhash64("id", "key", F.lit(n)) if n else F.col("id")
+        first = now.groupBy("key").agg(F.min_by(F.struct("id", "root"), rank).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+        pairs = now.join(first, "key").where("root <> p.root").groupBy(F.col("id").alias("a")).agg(F.min(F.col("p.id")).alias("b"))
+        new = compared(scratch.save(pairs))
+        if new.isEmpty():
             break
-        root, rounds = scratch.save(components(found, scratch)), rounds + 1
-        placed = buckets.join(root.withColumnsRenamed({"node": "id"}), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        # the pivot is another member now, and members outside its group meet it
-        rank = F.xxhash64("id", "key", F.lit(rounds))
-        first = placed.groupBy("key").agg(F.min_by(F.struct("id", "root"), rank).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        pairs = placed.join(first, "key").where("root <> p.root").select(F.col("id").alias("a"), F.col("p.id").alias("b"))
+        found = found.union(new)
+        root = scratch.save(components(found, scratch))
+    new = compared(scratch.save(_unjoined(texts, placed(nodes.select("id").distinct()), shingle, similarity)))
+    if not new.isEmpty():
+        root = scratch.save(components(found.union(new), scratch))
     got = made.select("id").join(root.withColumnsRenamed({"node": "id", "root": "component"}), "id", "left")
     got = got.select("id", F.coalesce("component", "id").alias("component"))
     return got.union(docs.where(F.col(id_col).cast("long").isNull()).select(F.lit(None).cast("long"), F.lit(None).cast("long")))

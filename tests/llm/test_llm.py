@@ -161,6 +161,30 @@ def test_similar_documents(spark, docs, empty):
     assert similar.similar_documents(empty).count() == 0
 
 
+def template_texts(pairs: int = 150) -> list[str]:
+    """One template; planted pairs a little above 0.8 within and below it between."""
+    r = random.Random(8)
+    template = [f"t{i}" for i in range(300)]
+    out = []
+    for p in range(pairs):
+        own = [f"p{p}_{i}" for i in range(10)]
+        for half in range(2):
+            out.append(" ".join([*template, *own, *(f"h{p}_{half}_{i}" for i in range(32))]))
+    r.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("block", [2048, 40])
+def test_similar_template(spark, block, monkeypatch):
+    """Pairs in a bucket that a template holds together, most members of which are below the threshold to any pivot."""
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rows = list(enumerate(template_texts()))
+    want = brute_similar(rows)
+    assert len(set(want.values())) == 150
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.id: r.component for r in similar.similar_documents(df).collect()} == want
+
+
 def test_jaccard_and_pieces():
     t = [*texts(), *near_texts()]
     left, right = pa.array(t[:-1]), pa.array(t[1:])
