@@ -185,6 +185,21 @@ def test_similar_template(spark, block, monkeypatch):
     assert {r.id: r.component for r in similar.similar_documents(df).collect()} == want
 
 
+def test_similar_dense_fingerprints(spark):
+    """Short texts on one pattern: fingerprints of few bits' difference, pairs on both sides of the threshold."""
+    r = random.Random(5)
+    rows = []
+    for i in range(300):
+        ws = [f"b{j}" for j in range(60)]
+        for _ in range(r.randrange(0, 4)):
+            ws[r.randrange(60)] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(ws)))
+    for i in range(300, 600):
+        rows.append((i, " ".join(["k l m n o p q", r.choice("abc"), r.choice("abcdefgh"), r.choice("abcdefgh")])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.id: r.component for r in similar.similar_documents(df).collect()} == brute_similar(rows)
+
+
 def test_jaccard_and_pieces():
     t = [*texts(), *near_texts()]
     left, right = pa.array(t[:-1]), pa.array(t[1:])
