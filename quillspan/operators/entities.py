@@ -134,8 +134,13 @@ def drop_similar(df: DataFrame, key: str, least: float = 0.8) -> DataFrame:
         kept, out = [], []
         for i, v in zip(rows.sort_values("seq").index, rows.sort_values("seq")["value"], strict=True):
             a = words(v)
-            if not any(0.4 * (len(set(a.split()) & set(b.split())) / len(set(b.split())) if b.split() else 0) + 0.6 * SequenceMatcher(None, a, b).ratio() >= least for b in kept):
-                kept.append(a)
+            own = set(a.split())
+            for b, its in kept:
+                shared = 0.4 * (len(own & its) / len(its) if its else 0)
+                if shared + 0.6 >= least and shared + 0.6 * SequenceMatcher(None, a, b).ratio() >= least:
+                    break
+            else:
+                kept.append((a, own))
                 out.append(i)
         return rows.loc[out]
 

@@ -121,11 +121,12 @@ def clause_batches(spark, sf_dir):
     return retrieval.batches(vocab.clause_groups(spark)).select("batch", F.size("types").alias("n"))
 
 
-def _runs(spark, sf_dir):
-    """Words of a conversation as entities, its turns as runs of a model."""
-    w = F.slice(F.filter(F.split("text", r"\s+"), lambda x: x != ""), 1, 12)
+def _runs(spark, sf_dir, most=12, turn=100):
+    """Words of a conversation as entities, its turns as runs of a model; the first ``most`` of each turn, as the SQL has it, or all."""
+    w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    w = F.slice(w, 1, most) if most else w
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("run"), F.concat(F.lit("m"), (F.col("turn") % 3).cast("string")).alias("model"), F.posexplode(w).alias("pos", "value"))
-    return c.select("doc_id", "run", "model", (F.col("run") * 100 + F.col("pos")).alias("seq"), F.when(F.char_length("value") > 4, "LONG").otherwise("SHORT").alias("type"), "value", ((F.char_length("value") % 10) / 10 + 0.05).alias("confidence"))
+    return c.select("doc_id", "run", "model", (F.col("run") * turn + F.col("pos")).alias("seq"), F.when(F.char_length("value") > 4, "LONG").otherwise("SHORT").alias("type"), "value", ((F.char_length("value") % 10) / 10 + 0.05).alias("confidence"))
 
 
 _RUNS = r"""u0 AS (SELECT conv_id AS doc_id, turn AS run, 'm' || (turn % 3) AS model, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:12] AS w FROM conversations),
@@ -195,9 +196,13 @@ def merge_validation(spark, sf_dir):
     return got.select("doc_id", "type", "value", "seq", "validated", F.round("confidence", 6).alias("confidence"))
 
 
+#: Places of a turn's words in ``seq`` where all words count.
+_TURN = 1_000_000
+
+
 def _spans(spark, sf_dir):
-    n = F.char_length("value")
-    return _runs(spark, sf_dir).withColumn("start", (F.col("seq") % 100 * 5).cast("int")).withColumn("end", (F.col("seq") % 100 * 5 + n).cast("int"))
+    at = (F.col("seq") % _TURN * 5).cast("int")
+    return _runs(spark, sf_dir, None, _TURN).withColumn("start", at).withColumn("end", at + F.char_length("value"))
 
 
 @query("resolve_overlaps_last")
@@ -212,7 +217,7 @@ def resolve_any(spark, sf_dir):
 
 @query("drop_similar")
 def drop_similar(spark, sf_dir):
-    return entities.drop_similar(_runs(spark, sf_dir).where("run = 0"), "doc_id")
+    return entities.drop_similar(_runs(spark, sf_dir, None, _TURN), "doc_id")
 
 
 _RE = {"EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "IPV4": r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "PHONE": r"\+\d{1,2} \(\d{3}\) \d{3}-\d{4}", "CARD": r"\b\d{16}\b", "TOKEN": r"\b[0-9a-f]{40}\b"}

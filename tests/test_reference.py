@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
 import random
+import re
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ import __spark_entry__ as entry
 from quillspan.functions import similarity as S
 from quillspan.functions import text as T
 from quillspan.functions import validate as V
-from quillspan.operators import bio, chunking, entities, evaluate, parse, providers
+from quillspan.operators import bio, chunking, entities, evaluate, parse, pipelines, providers
 from quillspan.sources import annotations, config, sinks
 
 
@@ -170,3 +172,15 @@ def test_stream(spark, tmp_path):
     q = sentence_stream(spark, str(tmp_path / "in"), df.schema).writeStream.format("memory").queryName("s").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [r.text for r in spark.table("s").orderBy("pos").collect()] == ["a b.", "c d."]
+
+
+def test_all_words_of_all_turns(spark, tmp_path):
+    """Spans past the twelfth word of a turn, and turns after the first."""
+    turns = [" ".join(f"w{t}x{i}" + "y" * (i % 7) for i in range(150)) for t in range(2)]
+    spark.createDataFrame([(1, t, "user", x) for t, x in enumerate(turns)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    q = entry.queries()
+    got = q["drop_similar"](spark, str(tmp_path)).collect()
+    assert sorted(r.value for r in got) == sorted(" ".join(turns).split()) and len({r.seq for r in got}) == 300
+    for name in ("resolve_overlaps_last", "resolve_overlaps_any"):
+        starts = {r.start for r in q[name](spark, str(tmp_path)).collect()}
+        assert max(starts) > 149 * 5 - 20 and len(starts) > 12
