@@ -244,8 +244,7 @@ def extract_provider(spark, sf_dir):
 
 @query("extract_rag")
 def extract_rag(spark, sf_dir):
-    docs = table(spark, sf_dir, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    return pipelines.rag(docs, providers.create("rules"), list(providers.RULES))
+    return pipelines.rag(table(spark, sf_dir, "documents").select("doc_id", "text"), providers.create("rules"), list(providers.RULES))
 
 
 @query("extract_segments")

@@ -250,7 +250,7 @@ def section_chunks(spark, sf_dir):
 def chunk_semantic(spark, sf_dir):
     from quillspan.operators.providers import HashEmbedder, embed
 
-    s = table(spark, sf_dir, "conversations").where("role = 'assistant'").select(F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_id"), F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
+    s = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
     return C.semantic(s.select("doc_id", "pos", "s.text", "s.start", "s.end", embed(F.col("s.text"), HashEmbedder()).alias("vector")), "doc_id")
 
 

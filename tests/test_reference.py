@@ -184,3 +184,32 @@ def test_all_words_of_all_turns(spark, tmp_path):
     for name in ("resolve_overlaps_last", "resolve_overlaps_any"):
         starts = {r.start for r in q[name](spark, str(tmp_path)).collect()}
         assert max(starts) > 149 * 5 - 20 and len(starts) > 12
+
+
+def test_documents_are_chunked_and_retrieved(spark, tmp_path):
+    """Long documents: the best five of many chunks, against plain Python."""
+    r = random.Random(4)
+    texts = []
+    for d in range(4):
+        parts = [" ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(r.randrange(4, 16))) + "." for _ in range(300)]
+        for n in range(9):
+            parts[r.randrange(300)] = f"Email u{d}n{n}@example.org email."
+        texts.append(" ".join(parts))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    q = entry.queries()
+    want = set()
+    for d, text in enumerate(texts):
+        chunks = [c for c, _, _ in chunking.walk_sliding(text, 512, 128)]
+        words = [[w for w in re.findall(r"\w+", c.lower()) if len(w) > 2] for c in chunks]
+        df, mean = sum("email" in w for w in words), sum(map(len, words)) / len(words)
+        idf = math.log(len(words) - df + 0.5) - math.log(df + 0.5)
+        assert len(chunks) > 15 and idf > 0
+        tf = [w.count("email") for w in words]
+        score = [round(idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len(w) / mean)), 12) for f, w in zip(tf, words, strict=True)]
+        best = sorted((i for i in range(len(chunks)) if tf[i]), key=lambda i: (-score[i], i))[:5]
+        want |= {(d, m) for i in best for m in re.findall(providers.RULES["EMAIL"], chunks[i])}
+    assert {(x.doc_id, x.value) for x in q["extract_rag"](spark, str(tmp_path)).where("type = 'EMAIL'").collect()} == want
+    got = q["chunk_semantic"](spark, str(tmp_path)).collect()
+    for d, text in enumerate(texts):
+        own = sorted((x for x in got if x.doc_id == d), key=lambda x: x.chunk_id)
+        assert " ".join(x.text for x in own).split() == text.split() and all(len(x.text) <= 1024 for x in own)
