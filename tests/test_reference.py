@@ -213,3 +213,11 @@ def test_documents_are_chunked_and_retrieved(spark, tmp_path):
     for d, text in enumerate(texts):
         own = sorted((x for x in got if x.doc_id == d), key=lambda x: x.chunk_id)
         assert " ".join(x.text for x in own).split() == text.split() and all(len(x.text) <= 1024 for x in own)
+
+
+def test_truncated_replies(spark, tmp_path):
+    """A reply cut before its last brackets gives no rows to the retrieval parser; the repairing one finds its entities."""
+    spark.createDataFrame([(i, f"Word{'abcdef'[i]} rest") for i in range(6)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    q = entry.queries()
+    assert sorted({r.item_id for r in q["parse_retrieval"](spark, str(tmp_path)).collect()}) == [0, 1, 2]
+    assert sorted((r.type, r.value) for r in q["parse_repaired"](spark, str(tmp_path)).where("item_id = 3").collect()) == [("DATE", "x 3"), ("PARTY", "Wordd")]
