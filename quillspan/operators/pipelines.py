@@ -55,11 +55,19 @@ def tag_long(docs: DataFrame, tagger, max_length: int = 512) -> DataFrame:
 
 
 def rule_spans(rules: dict[str, str], confidence: float = 0.9):
-    """A tagger of spans by regular expressions, in built-in functions: text -> array<struct<type,value,start,end,confidence>>."""
+    """A tagger of spans by regular expressions, one for each match, in built-in functions: text -> array<struct<type,value,start,end,confidence>>."""
 
     def of(text: Column, kind: str, pattern: str) -> Column:
-        values = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)))
-        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value"), (F.instr(text, v) - 1).alias("start"), (F.instr(text, v) - 1 + F.char_length(v)).alias("end"), F.lit(confidence).alias("confidence")))
+        # the stretches between the matches give each match its place
+        pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("v"), F.split(text, pattern, -1).alias("gap"))
+        zero = F.struct(F.array().cast("array<struct<value:string,start:int>>").alias("done"), F.lit(0).alias("at"))
+
+        def add(s: Column, x: Column) -> Column:
+            start = s["at"] + F.char_length(x["gap"])
+            return F.struct(F.concat(s["done"], F.array(F.struct(x["v"].alias("value"), start.alias("start")))).alias("done"), (start + F.char_length(x["v"])).alias("at"))
+
+        found = F.aggregate(F.filter(pairs, lambda x: x["v"].isNotNull()), zero, add)["done"]
+        return F.transform(found, lambda x: F.struct(F.lit(kind).alias("type"), x["value"].alias("value"), x["start"].alias("start"), (x["start"] + F.char_length(x["value"])).alias("end"), F.lit(confidence).alias("confidence")))
 
     return lambda text: F.concat(*[of(text, k, p) for k, p in rules.items()])
 

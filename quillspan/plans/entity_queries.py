@@ -228,7 +228,8 @@ _RE = {"EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "IPV4": r"\b(
     "SELECT doc_id, type, value FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{t}' AS type, unnest(list_distinct(regexp_extract_all(text, '{p}'))) AS value FROM documents" for t, p in _RE.items()) + ")",
 )
 def extract_rules(spark, sf_dir):
-    got = table(spark, sf_dir, "documents").select("doc_id", F.explode(pipelines.rule_spans(providers.RULES)(F.col("text"))).alias("x"))
+    values = F.array_distinct(F.transform(pipelines.rule_spans(providers.RULES)(F.col("text")), lambda x: F.struct(x["type"].alias("type"), x["value"].alias("value"))))
+    got = table(spark, sf_dir, "documents").select("doc_id", F.explode(values).alias("x"))
     return got.select("doc_id", "x.type", "x.value")
 
 

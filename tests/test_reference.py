@@ -221,3 +221,15 @@ def test_truncated_replies(spark, tmp_path):
     q = entry.queries()
     assert sorted({r.item_id for r in q["parse_retrieval"](spark, str(tmp_path)).collect()}) == [0, 1, 2]
     assert sorted((r.type, r.value) for r in q["parse_repaired"](spark, str(tmp_path)).where("item_id = 3").collect()) == [("DATE", "x 3"), ("PARTY", "Wordd")]
+
+
+def test_every_match_has_its_span(spark):
+    """Repeated values, values within longer ones, and characters of two code units."""
+    text = "xa@b.com.org a@b.com \U0001f600 1.2.3.4 a@b.com, é 1.2.3.4\n" * 60
+    want = {(t, m.group(), m.start(), m.end()) for t, p in providers.RULES.items() for m in re.finditer(p, text)}
+    assert len(want) == 300
+    df = spark.createDataFrame([(1, text), (2, ""), (3, "none")], "doc_id long, text string")
+    got = df.select("doc_id", F.explode(pipelines.rule_spans(providers.RULES)(F.col("text"))).alias("x")).select("doc_id", "x.*").collect()
+    assert {(r.type, r.value, r.start, r.end) for r in got} == want and {r.doc_id for r in got} == {1}
+    tagged = pipelines.tag_long(df, pipelines.rule_spans(providers.RULES)).collect()
+    assert {(r.type, r.value, r.start, r.end) for r in tagged} == want
