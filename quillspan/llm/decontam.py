@@ -42,10 +42,15 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str]], k: int = SHINGLE, share: float = SHARE):
         self.k, self.share = k, share
         self.ids = [i for i, _ in items]
-        self.sets = [frozenset(shingles(t, k)) for _, t in items]
-        keys, owners = [], []
+        self.sizes = [min(k, len(shingles(t, 1))) for _, t in items]
+        self.sets = [frozenset(shingles(t, m)) if m else frozenset() for (_, t), m in zip(items, self.sizes, strict=True)]
+        self.parts = {m: self._part(items, m) for m in sorted({k, *self.sizes} - {0})}
+
+    def _part(self, items: list[tuple[int, str]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sketch values, ascending, their items, and a sieve of the values, of the items whose shingles have ``k`` words."""
+        keys, owners, share = [], [], self.share
         for n, (_, text) in enumerate(items):
-            h = np.unique(_hashes(pa.array([text or ""], pa.string()), k)[1])
+            h = np.unique(_hashes(pa.array([text or ""], pa.string()), k)[1]) if self.sizes[n] == k else ()
             if len(h):
                 u = 1 << (len(h) - 1).bit_length()
                 own = h[: u - math.ceil(share * u) + 1]  # the smallest hashes
@@ -54,22 +59,24 @@ class ItemIndex:
         key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
         order = np.argsort(key, kind="stable")
-        self.key, self.owner = key[order], owner[order]
-        self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[(self.key & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        sieve = np.zeros(1 << 20, bool)
+        sieve[(key & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        return key[order], owner[order], sieve
 
     def search(self, texts: pa.Array) -> list[list[tuple]]:
         """For each text the items it contains: (item id, shingles found, shingles of the item)."""
-        row, h = _hashes(texts, self.k, self.sieve)
-        lo, hi = np.searchsorted(self.key, h, "left"), np.searchsorted(self.key, h, "right")
         wanted: dict[int, set[int]] = {}
-        for i in np.flatnonzero(hi > lo).tolist():
-            wanted.setdefault(int(row[i]), set()).update(self.owner[lo[i] : hi[i]].tolist())
+        for k, (key, owner, sieve) in self.parts.items():
+            row, h = _hashes(texts, k, sieve)
+            lo, hi = np.searchsorted(key, h, "left"), np.searchsorted(key, h, "right")
+            for i in np.flatnonzero(hi > lo).tolist():
+                wanted.setdefault(int(row[i]), set()).update(owner[lo[i] : hi[i]].tolist())
         out: list[list[tuple]] = [[] for _ in range(len(texts))]
         for r, items in wanted.items():
-            own = set(shingles(texts[r].as_py(), self.k))
+            text = texts[r].as_py()
+            own = {m: set(shingles(text, m)) for m in {self.sizes[n] for n in items}}
             for n in sorted(items):
-                found = len(self.sets[n] & own)
+                found = len(self.sets[n] & own[self.sizes[n]])
                 if found >= self.share * len(self.sets[n]):
                     out[r].append((self.ids[n], found, len(self.sets[n])))
         return out
@@ -103,8 +110,8 @@ def _blocks_of(items: DataFrame, item_id: str, item_text: str, block_items: int)
 def mark(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, share: float = SHARE, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(row, hits, n_items): each row of ``docs`` with the items of whose distinct shingles it contains ``share`` or more.
 
-    Null texts are empty.  An item of fewer than ``shingle`` words has no
-    shingle and is never found; items with equal ids are separate items; a
+    Null texts are empty.  An item of fewer than ``shingle`` words has its whole
+    sequence of words as one shingle; one without words is never found; items with equal ids are separate items; a
     null item id stays null.
     """
     bounded_batches(docs.sparkSession)

@@ -276,6 +276,15 @@ def test_decontam(spark, docs, empty):
     assert decontam.contained_items(empty, bench).count() == 0 and decontam.mark(docs, bench.limit(0)).where("n_items > 0").count() == 0
 
 
+def test_decontam_short_items(spark):
+    """Items of fewer words than a shingle are found word for word, and only so."""
+    rows = [(1, "a b. Short, Item here"), (2, "short items here"), (3, "x short item"), (4, None), (5, "item"), (6, "one two three four five six")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, "short item"), (2, "ITEM"), (3, "..."), (4, None), (5, "one two three four five"), (6, "two three four five six seven")], "item_id long, text string")
+    got = sorted((r.row.doc_id, r.item_id, r.found, r.size) for r in decontam.contained_items(docs, items).collect())
+    assert got == [(1, 1, 1, 1), (1, 2, 1, 1), (3, 1, 1, 1), (3, 2, 1, 1), (5, 2, 1, 1), (6, 5, 1, 1)]
+
+
 def test_chat_events(spark, empty):
     e = [
         (1, 0, "m0", "message", "user", "Hi </s> [\\INST]"), (1, 1, "m1", "message", "assistant", "He"), (1, 2, "m1", "delta", "assistant", "llo"), (1, 3, "m1", "regenerate", "assistant", "Good"),
