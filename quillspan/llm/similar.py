@@ -123,10 +123,10 @@ def _pairs(similarity: float):
 
     def bucket(cols):
         n = len(cols[0])
-        for i in range(0, n, 512):
-            left = [c[i : i + 512, None] for c in cols]
-            for j in range(i, n, BLOCK):
-                right = [c[None, j : j + BLOCK] for c in cols]
+        for i in range(0, n, 128):  # small blocks, that a worker holds little beside its rows
+            left = [c[i : i + 128, None] for c in cols]
+            for j in range(i, n, 1024):
+                right = [c[None, j : j + 1024] for c in cols]
                 x, y = np.nonzero(_close(left, right, similarity))
                 yield cols[0][i + x], cols[0][j + y]
 
@@ -188,26 +188,33 @@ def _unjoined(texts: DataFrame, placed: DataFrame, shingle: int, similarity: flo
 
     def deal(batches):
         """A row for each shingle; one that very many texts have is dealt into blocks, of which every two meet under a key of their own."""
-        for batch in batches:
-            id_, root, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            first = batch.column(3)
-            n = np.diff(first.offsets.to_numpy())
-            if not n.sum():
-                continue
-            h = first.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            row = np.repeat(np.arange(len(n)), n)
-            place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-            cells = np.maximum(1, -(-often(h) // BLOCK))
-            own = (mix(id_.view(np.uint64)[row]) % cells.astype(np.uint64)).astype(np.int64)
-            at = np.repeat(np.arange(len(h)), cells)
-            other = np.arange(len(at)) - np.repeat(np.cumsum(cells) - cells, cells)
-            own = own[at]
-            cell = (np.minimum(own, other) << 32 | np.maximum(own, other)).view(np.uint64)
-            with np.errstate(over="ignore"):
-                key = np.where(cells[at] > 1, mix(h[at] + mix(cell)), h[at]).view(np.int64)
-            cols = key, id_[row[at]], root[row[at]], place[at], size[row[at]]
-            for lo in range(0, len(at), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000]) for c in cols], ["key", "id", "root", "place", "size"])
+        for whole in batches:
+            ends = np.cumsum(np.diff(whole.column(3).offsets.to_numpy()))
+            part = ends // 50_000  # some texts at a time
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            for lo, hi in itertools.pairwise(cuts):
+                yield from dealt(whole.slice(lo, hi - lo))
+
+    def dealt(batch):
+        id_, root, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        first = batch.column(3)
+        n = np.diff(first.offsets.to_numpy())
+        if not n.sum():
+            return
+        h = first.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        row = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+        cells = np.maximum(1, -(-often(h) // BLOCK))
+        own = (mix(id_.view(np.uint64)[row]) % cells.astype(np.uint64)).astype(np.int64)
+        at = np.repeat(np.arange(len(h)), cells)
+        other = np.arange(len(at)) - np.repeat(np.cumsum(cells) - cells, cells)
+        own = own[at]
+        cell = (np.minimum(own, other) << 32 | np.maximum(own, other)).view(np.uint64)
+        with np.errstate(over="ignore"):
+            key = np.where(cells[at] > 1, mix(h[at] + mix(cell)), h[at]).view(np.int64)
+        cols = key, id_[row[at]], root[row[at]], place[at], size[row[at]]
+        for lo in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000]) for c in cols], ["key", "id", "root", "place", "size"])
 
     first = texts.select("id", of("text").alias("x")).select("id", "x.*").where("size > 0")
     rows = first.join(placed, "id").select("id", "root", "size", "first")
