@@ -432,28 +432,59 @@ def test_shards(spark, docs, empty):
 LONG = ["x" * 5000, "ab" * 4000 + "!?" * 3000, "ñ" * 4000, "don't<|endoftext|>I'll 12³ ΑΣ", "a\x1cb\x85c\xa0d　e"]
 
 
+def odd_texts(n: int = 400) -> list[str]:
+    """Random texts over letters, signs, blanks and characters that normalise, split or lower in special ways."""
+    r = random.Random(7)
+    bits = ["a", "B", "the", "'s", "'LL", "'", "!", "?!", "12", "½", "²", "é", "e\u0301", "İ", "ß", "Σ", "ς", "Ⱥ", "\u00a0", "\u2003", "\u0085", "\x1c", "\x00", "\u00ad", "漢字", "ﬁ", "🙂", "<|endoftext|>", "<|", "</w>", "w>", " ", "\n", "\t", "\r\n"]
+    return ["".join(r.choice(bits) for _ in range(r.randrange(0, 60))) for _ in range(n)]
+
+
 def test_bpe(spark, docs, empty):
     path = queries.tokenizer_path()
     r = random.Random(2)
-    own = docs.union(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate([*LONG, "".join(r.choice("theandiox") for _ in range(9000))], 1000)], DOCS))
+    more = [*LONG, "".join(r.choice("theandiox") for _ in range(9000)), *odd_texts()]
+    own = docs.union(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(more, 1000)], DOCS)).withColumnRenamed("lang", "ids")
     tok = bpe.Codec(path).tok
-    for x in bpe.encode_decode(own, path, with_ids=True, with_text=True).collect():
-        ids = tok.encode(x.row.text or "", add_special_tokens=False).ids
-        text = tok.decode(ids, skip_special_tokens=False)
-        assert (x.n_tokens, x.ids, x.decoded) == (len(ids), " ".join(map(str, ids)), text)
-        assert x.ids_sha256 == hashlib.sha256(x.ids.encode()).hexdigest() and x.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    for step in (bpe.STEP, 300):  # short steps: long texts come in pieces
+        rows = bpe.encode_decode(own, path, step=step, with_ids=True, with_text=True).collect()
+        assert len(rows) == own.count()
+        for x in rows:
+            ids = tok.encode(x.row.text or "", add_special_tokens=False).ids
+            text = tok.decode(ids, skip_special_tokens=False)
+            assert (x.n_tokens, x.ids, x.decoded) == (len(ids), ids, text)
+            assert x.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and x.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert bpe.encode_decode(empty, path).count() == 0
 
 
-@pytest.mark.parametrize("leaf", [8, 50])
+def test_bpe_forgets_exactly():
+    """A table of pre-tokens that overflows at each batch, and a tree for nearly all of them, change nothing."""
+    plain, small = bpe.Codec(queries.tokenizer_path()), bpe.Codec(queries.tokenizer_path(), leaf=2, cache=5)
+    for k in range(0, 400, 20):
+        batch = [t.encode() for t in odd_texts()[k : k + 20]]
+        want = [plain.tok.encode(t.decode(), add_special_tokens=False).ids for t in batch]
+        for c in (plain, small):
+            ends, ids = c.encode(batch)
+            assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == want
+
+
+@pytest.mark.parametrize("leaf", [2, 8, 50])
 def test_tree_concatenation(leaf):
     c = bpe.Codec(queries.tokenizer_path())
-    tree = bpe.TreeEncoder(json.loads(c.tok.to_str())["model"], leaf)
+    spec = json.loads(c.tok.to_str())["model"]
+    tree = bpe.TreeEncoder(spec, leaf)
     r = random.Random(leaf)
-    for alphabet in ("ab", "theandiong", "!?#*", "aeiou"):
-        for n in (1, 9, 51, 400, 1500):
-            s = "".join(r.choice(alphabet) for _ in range(n))
-            assert [t[0] for t in tree.encode(s)] == [t.id for t in c.tok.model.tokenize(s)]
+    words_ = ["".join(r.choice(alphabet) for _ in range(n)) for alphabet in ("ab", "theandiong", "!?#*", "aeiou", "</w>") for n in (1, 9, 51, 400, 1500)]
+    assert tree.encode(words_) == [[t.id for t in c.tok.model.tokenize(s)] for s in words_]
+    assert tree.encode([]) == []
+
+
+def test_bpe_one_huge_run():
+    """A run of 300,000 bytes without a split point: only the tree handles it, in bounded windows."""
+    c = bpe.Codec(queries.tokenizer_path())
+    r = random.Random(1)
+    text = "".join(r.choice("theandiongrs") for _ in range(300_000))
+    ends, ids = c.encode([text.encode(), b"x"])
+    assert ids[: ends[1]].tolist() == c.tok.encode(text, add_special_tokens=False).ids
 
 
 def test_whole_text_fallback():
@@ -462,9 +493,11 @@ def test_whole_text_fallback():
 
     c = bpe.Codec(public_tokenizers.path("byte_bpe_50k.json"))
     assert not c.by_run
-    text = "Hello  world"
-    ids = c.tok.encode(text, add_special_tokens=False).ids
-    assert c.rows([text.encode()])[0] == (len(ids), " ".join(map(str, ids)).encode(), c.tok.decode(ids, skip_special_tokens=False).encode())
+    texts_ = ["Hello  world", "", "x"]
+    want = [c.tok.encode(t, add_special_tokens=False).ids for t in texts_]
+    ends, ids = c.encode([t.encode() for t in texts_])
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == want
+    assert c.spell(ends, ids) == ([" ".join(map(str, w)).encode() for w in want], [c.tok.decode(w, skip_special_tokens=False).encode() for w in want])
 
 
 def test_pipeline(spark):
