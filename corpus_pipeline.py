@@ -57,8 +57,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with digests of the ids and of the text decoded from them."""
     got = bpe.encode_decode(docs, tokenizer_path(), with_ids=True)
-    ids = F.transform(F.filter(F.split("ids", " "), lambda x: x != ""), lambda x: x.cast("int"))
-    return got.select("row.doc_id", "row.lang", "row.source", "n_tokens", "ids_sha256", "decoded_sha256", ids.alias("ids"))
+    return got.select("row.doc_id", "row.lang", "row.source", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 
 STAGES = [("quality classifier", quality_filter), ("near-duplicates", near_duplicates), ("repeated passages", repeated_passages), ("benchmark leaks", benchmark_leaks), ("tokens", tokens)]
