@@ -33,27 +33,33 @@ def _by(df: DataFrame, key: str):
     return df.withColumn("value_key", norm_key(F.col("value"))).groupBy(key, "type", "value_key")
 
 
+def _surest() -> Column:
+    """The value as the most confident of a group spells it, the first of ties."""
+    return F.max_by("value", F.struct("confidence", -F.col("seq"))).alias("value")
+
+
 def majority_vote(df: DataFrame, key: str, least: int = 2) -> DataFrame:
-    """Entities that occur ``least`` times (repeats of one model count); confidence = occurrences / models of the document."""
+    """Entities that occur ``least`` times (repeats of one model count), as the most confident one; confidence = occurrences / models of the document."""
     models = df.groupBy(key).agg(F.count_distinct("model").alias("models"))
-    votes = _by(df, key).agg(F.count("*").alias("votes"), F.min_by("value", "seq").alias("value")).where(F.col("votes") >= least)
+    votes = _by(df, key).agg(F.count("*").alias("votes"), _surest()).where(F.col("votes") >= least)
     return votes.join(models, key).select(key, "type", "value", "votes", (F.col("votes") / F.col("models")).alias("confidence"))
 
 
 def weighted_vote(df: DataFrame, key: str, least: float = 0.0) -> DataFrame:
-    """Confidences added up and capped at 1."""
-    got = _by(df, key).agg(F.sum("confidence").alias("s"), F.min_by("value", "seq").alias("value"))
+    """Confidences added up and capped at 1; the value as the most confident one."""
+    got = _by(df, key).agg(F.sum("confidence").alias("s"), _surest())
     return got.where(F.col("s") >= least).select(key, "type", "value", F.least("s", F.lit(1.0)).alias("confidence"))
 
 
 def ensemble(df: DataFrame, weights: DataFrame, key: str, method: str = "vote") -> DataFrame:
-    """Entities of several models, confidences times the model's weight, then joined by ``vote``, ``weighted_vote``, ``confidence_max`` or ``union``."""
+    """Entities of several models, confidences times the model's weight, then joined by ``vote``, ``weighted_vote``, ``confidence_max`` or ``union``.
+
+    ``union`` goes through the entities from the most confident on, so it keeps the same ones as ``confidence_max``;
+    any other method is the weighted vote.
+    """
     # the weight table has a row per model
     df = df.join(weights, "model", "left").withColumn("confidence", F.col("confidence") * F.coalesce("weight", F.lit(1.0))).drop("weight")
-    methods = {"vote": majority_vote, "weighted_vote": weighted_vote, "confidence_max": dedup_best, "union": dedup_first}
-    if method not in methods:
-        raise ValueError(f"unknown method {method}")
-    return methods[method](df, key)
+    return {"vote": majority_vote, "confidence_max": dedup_best, "union": dedup_best}.get(method, weighted_vote)(df, key)
 
 
 def self_consistency(df: DataFrame, key: str, runs: int, share: float = 0.5) -> DataFrame:

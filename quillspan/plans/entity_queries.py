@@ -37,7 +37,7 @@ def _talk(spark, sf_dir):
     """Turns of a conversation are the chunks, its first turn's words the query."""
     c = table(spark, sf_dir, "conversations")
     chunks = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_id"), "text")
-    queries = c.where("turn = 0").select(F.col("conv_id").alias("doc_id"), F.lit("q").alias("query_id"), F.substr("text", F.lit(1), F.lit(60)).alias("query"))
+    queries = c.where("turn = 0").select(F.col("conv_id").alias("doc_id"), F.lit("q").alias("query_id"), F.col("text").alias("query"))
     return chunks, queries
 
 
@@ -45,7 +45,7 @@ _BM = r"""w AS (SELECT conv_id AS d, turn AS c, list_filter(regexp_extract_all(l
 n AS (SELECT d, count(*) AS n, avg(len(w)) AS a FROM w GROUP BY 1), t AS (SELECT d, c, w, count(*) AS tf FROM (SELECT d, c, unnest(w) AS w FROM w) GROUP BY ALL),
 i0 AS (SELECT t.d, t.w, any_value(n.a) AS a, ln(any_value(n.n) - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM t JOIN n ON t.d = n.d GROUP BY 1, 2), m AS (SELECT d, avg(r) AS m FROM i0 GROUP BY 1),
 i AS (SELECT i0.d, w, a, CASE WHEN r < 0 THEN 0.25 * m ELSE r END AS idf FROM i0 JOIN m ON i0.d = m.d),
-q AS (SELECT d, w, count(*) AS qf FROM (SELECT conv_id AS d, unnest(list_filter(regexp_extract_all(lower(left(text, 60)), '[\p{L}\p{N}\p{M}_]+'), lambda x: length(x) > 2)) AS w FROM conversations WHERE turn = 0) GROUP BY ALL),
+q AS (SELECT d, w, count(*) AS qf FROM (SELECT conv_id AS d, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+'), lambda x: length(x) > 2)) AS w FROM conversations WHERE turn = 0) GROUP BY ALL),
 bm AS (SELECT t.d AS doc_id, t.c AS chunk_id, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(x.w) / a))) AS score FROM q JOIN i ON q.d = i.d AND q.w = i.w JOIN t ON t.d = q.d AND t.w = q.w JOIN w x ON x.d = t.d AND x.c = t.c GROUP BY 1, 2 HAVING score > 0)"""
 
 
@@ -56,7 +56,7 @@ def bm25(spark, sf_dir):
 
 _TI = r"""g0 AS (SELECT conv_id AS d, turn AS c, text, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]{2,}') AS w FROM conversations),
 g AS (SELECT d, c, list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS w FROM g0),
-gq AS (SELECT d, list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS w FROM (SELECT conv_id AS d, regexp_extract_all(lower(left(text, 60)), '[\p{L}\p{N}\p{M}_]{2,}') AS w FROM conversations WHERE turn = 0)),
+gq AS (SELECT d, list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS w FROM (SELECT conv_id AS d, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]{2,}') AS w FROM conversations WHERE turn = 0)),
 tf AS (SELECT d, c, w, count(*) AS tf FROM (SELECT d, c, unnest(w) AS w FROM g) GROUP BY ALL), nn AS (SELECT d, count(*) AS n FROM g GROUP BY 1),
 vo AS (SELECT d, w, count(*) AS df, row_number() OVER (PARTITION BY d ORDER BY sum(tf) DESC, w) AS r FROM tf GROUP BY 1, 2), id AS (SELECT vo.d, w, ln((1 + n) / (1 + df)) + 1 AS idf FROM vo JOIN nn ON vo.d = nn.d WHERE r <= 10000),
 dx AS (SELECT tf.d, c, tf.w, tf * idf AS x FROM tf JOIN id ON tf.d = id.d AND tf.w = id.w), dn AS (SELECT d, c, sqrt(sum(x * x)) AS n FROM dx GROUP BY 1, 2),
@@ -121,17 +121,22 @@ def clause_batches(spark, sf_dir):
     return retrieval.batches(vocab.clause_groups(spark)).select("batch", F.size("types").alias("n"))
 
 
-def _runs(spark, sf_dir, most=12, turn=100):
-    """Words of a conversation as entities, its turns as runs of a model; the first ``most`` of each turn, as the SQL has it, or all."""
+#: Places of a turn's words in ``seq``.
+_TURN = 1_000_000
+
+
+def _runs(spark, sf_dir):
+    """All words of a conversation as entities, its turns as runs of a model; equal words differ in confidence and spelling."""
     w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    w = F.slice(w, 1, most) if most else w
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("run"), F.concat(F.lit("m"), (F.col("turn") % 3).cast("string")).alias("model"), F.posexplode(w).alias("pos", "value"))
-    return c.select("doc_id", "run", "model", (F.col("run") * turn + F.col("pos")).alias("seq"), F.when(F.char_length("value") > 4, "LONG").otherwise("SHORT").alias("type"), "value", ((F.char_length("value") % 10) / 10 + 0.05).alias("confidence"))
+    confidence = (F.char_length("value") + 3 * F.col("run") + F.col("pos")) % 10 / 10 + 0.05
+    return c.select("doc_id", "run", "model", (F.col("run") * _TURN + F.col("pos")).alias("seq"), F.when(F.char_length("value") > 4, "LONG").otherwise("SHORT").alias("type"), "value", confidence.alias("confidence"))
 
 
-_RUNS = r"""u0 AS (SELECT conv_id AS doc_id, turn AS run, 'm' || (turn % 3) AS model, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:12] AS w FROM conversations),
+_RUNS = r"""u0 AS (SELECT conv_id AS doc_id, turn AS run, 'm' || (turn % 3) AS model, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM conversations),
 u1 AS (SELECT doc_id, run, model, unnest(w) AS value, unnest(range(len(w))) AS pos FROM u0),
-e AS (SELECT doc_id, run, model, run * 100 + pos AS seq, CASE WHEN length(value) > 4 THEN 'LONG' ELSE 'SHORT' END AS type, value, lower(value) AS k, (length(value) % 10) / 10 + 0.05 AS confidence FROM u1)"""
+e AS (SELECT doc_id, run, model, run * 1000000 + pos AS seq, CASE WHEN length(value) > 4 THEN 'LONG' ELSE 'SHORT' END AS type, value, lower(value) AS k, ((length(value) + 3 * run + pos) % 10) / 10 + 0.05 AS confidence FROM u1)"""
+_SUREST = "first(value ORDER BY confidence DESC, seq) AS value"
 
 
 @query("dedup_first", f"WITH {_RUNS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type, k ORDER BY seq) AS r FROM e) SELECT doc_id, type, value, seq FROM r WHERE r = 1")
@@ -146,26 +151,37 @@ def dedup_best(spark, sf_dir):
 
 @query(
     "vote_majority",
-    f"WITH {_RUNS}, m AS (SELECT doc_id, count(DISTINCT model) AS m FROM e GROUP BY 1), v AS (SELECT doc_id, type, k, count(*) AS votes, arg_min(value, seq) AS value FROM e GROUP BY 1, 2, 3) SELECT v.doc_id, type, value, votes, round(votes / m, 6) AS confidence FROM v JOIN m ON v.doc_id = m.doc_id WHERE votes >= 2",
+    f"WITH {_RUNS}, m AS (SELECT doc_id, count(DISTINCT model) AS m FROM e GROUP BY 1), v AS (SELECT doc_id, type, k, count(*) AS votes, {_SUREST} FROM e GROUP BY 1, 2, 3) SELECT v.doc_id, type, value, votes, round(votes / m, 6) AS confidence FROM v JOIN m ON v.doc_id = m.doc_id WHERE votes >= 2",
 )
 def vote_majority(spark, sf_dir):
     return entities.majority_vote(_runs(spark, sf_dir), "doc_id").withColumn("confidence", F.round("confidence", 6))
 
 
-@query("vote_weighted", f"WITH {_RUNS} SELECT doc_id, type, arg_min(value, seq) AS value, round(least(sum(confidence), 1), 6) AS confidence FROM e GROUP BY doc_id, type, k")
+@query("vote_weighted", f"WITH {_RUNS} SELECT doc_id, type, {_SUREST}, round(least(sum(confidence), 1), 6) AS confidence FROM e GROUP BY doc_id, type, k")
 def vote_weighted(spark, sf_dir):
     return entities.weighted_vote(_runs(spark, sf_dir), "doc_id").withColumn("confidence", F.round("confidence", 6))
 
 
 @query(
     "vote_ensemble",
-    f"WITH {_RUNS} SELECT doc_id, type, arg_min(value, seq) AS value, round(least(sum(confidence * CASE model WHEN 'm0' THEN 0.5 WHEN 'm1' THEN 0.3 ELSE 1 END), 1), 6) AS confidence FROM e GROUP BY doc_id, type, k",
+    f"""WITH {_RUNS}, x AS (SELECT * REPLACE (confidence * CASE model WHEN 'm0' THEN 0.5 WHEN 'm1' THEN 0.3 ELSE 1 END AS confidence) FROM e)
+SELECT doc_id, type, {_SUREST}, round(least(sum(confidence), 1), 6) AS confidence FROM x GROUP BY doc_id, type, k""",
 )
 def vote_ensemble(spark, sf_dir):
     weights = spark.createDataFrame([("m0", 0.5), ("m1", 0.3)], "model string, weight double")
     return entities.ensemble(_runs(spark, sf_dir), weights, "doc_id", "weighted_vote").withColumn("confidence", F.round("confidence", 6))
 
 
+@query(
+    "vote_union",
+    f"""WITH {_RUNS}, x AS (SELECT * REPLACE (confidence * CASE model WHEN 'm0' THEN 0.5 WHEN 'm1' THEN 0.3 ELSE 1 END AS confidence) FROM e)
+SELECT doc_id, type, {_SUREST}, round(max(confidence), 6) AS confidence FROM x GROUP BY doc_id, type, k""",
+)
+def vote_union(spark, sf_dir):
+    weights = spark.createDataFrame([("m0", 0.5), ("m1", 0.3)], "model string, weight double")
+    return entities.ensemble(_runs(spark, sf_dir), weights, "doc_id", "union").select("doc_id", "type", "value", F.round("confidence", 6).alias("confidence"))
+
+
 @query(
     "self_consistency",
     f"""WITH {_RUNS}, o AS (SELECT doc_id, type, k, run, arg_min(confidence, seq) AS c, arg_min(value, seq) AS v FROM e GROUP BY 1, 2, 3, 4)
@@ -196,13 +212,9 @@ def merge_validation(spark, sf_dir):
     return got.select("doc_id", "type", "value", "seq", "validated", F.round("confidence", 6).alias("confidence"))
 
 
-#: Places of a turn's words in ``seq`` where all words count.
-_TURN = 1_000_000
-
-
 def _spans(spark, sf_dir):
     at = (F.col("seq") % _TURN * 5).cast("int")
-    return _runs(spark, sf_dir, None, _TURN).withColumn("start", at).withColumn("end", at + F.char_length("value"))
+    return _runs(spark, sf_dir).withColumn("start", at).withColumn("end", at + F.char_length("value"))
 
 
 @query("resolve_overlaps_last")
@@ -217,7 +229,7 @@ def resolve_any(spark, sf_dir):
 
 @query("drop_similar")
 def drop_similar(spark, sf_dir):
-    return entities.drop_similar(_runs(spark, sf_dir, None, _TURN), "doc_id")
+    return entities.drop_similar(_runs(spark, sf_dir), "doc_id")
 
 
 _RE = {"EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "IPV4": r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "PHONE": r"\+\d{1,2} \(\d{3}\) \d{3}-\d{4}", "CARD": r"\b\d{16}\b", "TOKEN": r"\b[0-9a-f]{40}\b"}
