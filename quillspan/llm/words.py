@@ -14,11 +14,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from quillspan.llm.xxh64 import windows64, xxh64_runs
+
 #: Bytes of text in a block; a block's arrays of 64-bit numbers take some tens of times as much.
 BLOCK = 1 << 18
 U64 = np.uint64
-#: Odd bases of the polynomial hashes over bytes and over words.
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 5, 0xD6E8FEB86659FD95
+#: Odd base of the polynomial hashes of runs of words.
+WORD_BASE = 0xD6E8FEB86659FD95
+#: Masks that keep the first 0 to 8 bytes of a little-endian 64-bit number.
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
 def separators(extra: bytes = b"") -> np.ndarray:
@@ -112,14 +116,21 @@ class Block:
         return np.repeat(np.arange(len(self.rows)), self.counts())
 
     def word_hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        n = len(self.buf)
-        p, q = powers(BYTE_BASE, n + 1)
+        """A 64-bit hash of each word's bytes: of its two halves up to 16 bytes, XXH64 beyond.
+
+        No polynomial over bytes, whose collisions modulo 2^64 are known for
+        long strings; distinct words collide by chance only, at 2^-64 a pair.
+        """
+        size = self.ends - self.starts
+        at = windows64(self.buf)
         with np.errstate(over="ignore"):
-            total = np.zeros(n + 1, U64)
-            np.cumsum((self.buf.astype(U64) + U64(1)) * p[:n], out=total[1:])
-            h = (total[self.ends] - total[self.starts]) * q[self.starts]
-            return mix(h + (self.ends - self.starts).astype(U64) * U64(0xA24BAED4963EE407))
+            low = at[self.starts] & FIRST_BYTES[np.minimum(size, 8)]
+            high = at[self.starts + 8] & FIRST_BYTES[np.clip(size - 8, 0, 8)]
+            h = mix(mix(low + size.astype(U64) * U64(0xA24BAED4963EE407)) + high * U64(0x9FB21C651E98DF25))
+        long = np.flatnonzero(size > 16)
+        if len(long):
+            h[long] = xxh64_runs(self.buf, self.starts[long], size[long], 0x5EED, at)
+        return h
 
 
 def run_hashes(words: np.ndarray, start: np.ndarray, length, seed: int = 0) -> np.ndarray:

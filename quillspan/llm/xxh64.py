@@ -36,12 +36,12 @@ def windows64(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-def xxh64_runs(buf: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int) -> np.ndarray:
-    """XXH64 of buf[start : start + length] for each run."""
+def xxh64_runs(buf: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int, at: np.ndarray | None = None) -> np.ndarray:
+    """XXH64 of buf[start : start + length] for each run; ``at``: windows64(buf), if it is known."""
     out = np.empty(len(start), U64)
     if not len(start):
         return out
-    at = windows64(buf)
+    at = windows64(buf) if at is None else at
     key = np.minimum(length, LONG + 1).astype(np.int16)
     order = np.argsort(key, kind="stable")
     bounds = np.searchsorted(key[order], np.arange(LONG + 2))

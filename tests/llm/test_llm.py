@@ -260,6 +260,31 @@ def test_substring(docs, empty, limit, monkeypatch):
     assert substring.remove_repeats(empty).count() == 0
 
 
+def thue_morse(n: int, a: str, b: str) -> str:
+    return "".join((a, b)[i.bit_count() % 2] for i in range(n))
+
+
+def test_colliding_words(spark):
+    """Strings of 1024 and more bytes that collide under every polynomial hash modulo 2^64 with an odd base are different words."""
+    for n in (1024, 2048, 4096):
+        one, two = thue_morse(n, "a", "b"), thue_morse(n, "b", "a")
+        h = next(words.blocks(pa.array([f"{one} {two}"]))).word_hashes()
+        assert h[0] != h[1]
+        common = " ".join(f"c{i}" for i in range(34))
+        df = spark.createDataFrame([(1, f"{common} {one}"), (2, f"{common} {two}"), (3, f"{common} {one} more")], "doc_id long, text string")
+        assert sorted((r.row.doc_id, r.n_removed) for r in substring.remove_repeats(df).collect()) == [(1, 35), (2, 0), (3, 35)]
+
+
+def test_substring_periodic(spark):
+    """Documents that repeat themselves and each other, a very common passage, and columns named like this operator's own."""
+    r = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(50))
+    rows = [(i, " ".join(["x y"] * r.randrange(10, 120) + [f"u{i}"] * r.randrange(0, 60)) + f" {passage} tail{i % 3}", "g", 1, [1]) for i in range(40)]
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, h string, id int, spans array<int>").repartition(3)
+    got = substring.remove_repeats(df).collect()
+    assert sorted(((x.row.doc_id, x.n_words, x.n_removed, x.kept) for x in got), key=str) == brute_kept([(d, t) for d, t, *_ in [*rows, rows[0]]])
+
+
 def test_decontam(spark, docs, empty):
     items = [(1, texts()[6]), (2, "one two three"), (3, None), (4, "a1 b2 c3 d4 e5 f6"), (None, texts()[9]), (6, " ".join(texts()[11].upper().split()[:30]) + "!")]
     bench = spark.createDataFrame(items, "item_id long, text string")
