@@ -45,7 +45,11 @@ def last_argmin(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _anchors(window: int, seed_words: int):
-    """Batches (id, h, text) -> rows (g, nb, id, h, lo, nw): windows lo .. lo + nw - 1 have the anchor g."""
+    """Batches (id, h, text) -> rows (g, nb, id, h, nw, los): windows lo .. lo + nw - 1 have the anchor g, for each lo of los.
+
+    A stretch that a document holds several times is one row, so text that
+    repeats itself costs no more rows than text that doesn't.
+    """
 
     def of(batch):
         out = [[] for _ in range(5)]
@@ -70,8 +74,12 @@ def _anchors(window: int, seed_words: int):
             for k, v in enumerate((grams[a[head]].view(np.int64), nb.view(np.int64), b.rows[p], (lo - b.first[:-1][p] + b.base[p]).astype(np.int32), size.astype(np.int32))):
                 out[k].append(v)
         g, nb, row, lo, nw = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-        take = pa.array(row.astype(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(nb, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(lo.astype(np.int32)), pa.array(nw.astype(np.int32))], ["g", "nb", "id", "h", "lo", "nw"])
+        order = np.lexsort((lo, nb, g, row))
+        g, nb, row, lo, nw = (x[order] for x in (g, nb, row, lo, nw))
+        head = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (g[1:] != g[:-1]) | (nb[1:] != nb[:-1])))) if len(row) else np.zeros(0, np.int64)
+        take = pa.array(row[head].astype(np.int64))
+        los = pa.ListArray.from_arrays(pa.array(np.append(head, len(row)).astype(np.int32)), pa.array(lo.astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(g[head], pa.int64()), pa.array(nb[head], pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(nw[head].astype(np.int32)), los], ["g", "nb", "id", "h", "nw", "los"])
 
     return lambda batches: map(of, batches)
 
@@ -157,20 +165,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are told apart by their texts.
     """
     scratch = Scratch(docs.sparkSession, "substring")
-    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("text"))
-    seeds = keyed.select("id", "h", "text").mapInArrow(_anchors(window, seed_words), "g long, nb long, id long, h long, lo int, nw int")
-    often = seeds.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    text = F.col("row")[text_col].cast("string").alias("text")  # once in a row, so that a shuffle moves it once
+    keyed = docs.select(F.struct("*").alias("row")).select("row", F.col("row")[id_col].cast("long").alias("id"), F.xxhash64(F.col("row")[text_col]).alias("h"))
+    seeds = scratch.save(keyed.select("id", "h", text).mapInArrow(_anchors(window, seed_words), "g long, nb long, id long, h long, nw int, los array<int>"))
+    often = scratch.save(seeds.groupBy("g").agg(F.sum(F.size("los")).alias("n")).where("n > 1").select("g"))
+    # both sides are tables, so that nothing else depends on how this join is dealt and Spark can split a hot anchor
     hits = scratch.save(seeds.join(often, "g"))
-    stretch = scratch.save(hits.groupBy("g", "nb").agg(F.count("*").alias("c"), F.min(F.struct("id", "h", "lo", "nw")).alias("one")))
-    inside = hits.join(stretch.where("c > 1").select("g", "nb"), ["g", "nb"]).select("id", "h", "lo", "nw")
+    scratch.drop(seeds)
+    stretch = scratch.save(hits.groupBy("g", "nb").agg(F.sum(F.size("los")).alias("c"), F.min(F.struct("id", "h", F.col("los")[0].alias("lo"), "nw")).alias("one")))
+    inside = hits.join(stretch.where("c > 1").select("g", "nb"), ["g", "nb"]).select("id", "h", "los", "nw")
     mixed = stretch.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
     probe = stretch.join(mixed, "g").select("one.id", "one.h", F.struct("one.lo", "one.nw", "g", (F.col("c") > 1).alias("sure")).alias("s"))
     probe = probe.groupBy("id", "h").agg(F.collect_list("s").alias("spans")).withColumnsRenamed({"id": "i", "h": "j"})
     # of repeated rows one is enough: what is compared are distinct stretches
     same = F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("j"))
-    again = keyed.select("id", "h", "text").join(probe, same).select("text", "id", "h", "spans")
+    again = keyed.select("id", "h", text).join(probe, same).select("text", "id", "h", "spans")
     each = scratch.save(again.mapInArrow(_windows(window), "g long, wh long, id long, h long, at int, sure boolean").distinct())
     shared = each.groupBy("g", "wh").agg(F.count("*").alias("n")).where("n > 1").select("g", "wh")
-    border = each.where("not sure").join(shared, ["g", "wh"]).select("id", "h", F.col("at").alias("lo"), F.lit(1).alias("nw"))
-    spans = inside.union(border).distinct().groupBy("id", "h").agg(F.collect_list(F.struct("lo", "nw")).alias("spans")).withColumnsRenamed({"id": "i", "h": "j"})
-    return keyed.join(spans, same, "left").select("row", _cut(window)("text", "spans").alias("c")).select("row", "c.*")
+    border = each.where("not sure").join(shared, ["g", "wh"]).groupBy("id", "h").agg(F.collect_set("at").alias("los"))
+    spans = inside.union(border.select("id", "h", "los", F.lit(1).alias("nw"))).groupBy("id", "h").agg(F.collect_set(F.struct("los", "nw")).alias("s"))
+    spans = spans.select(F.col("id").alias("i"), F.col("h").alias("j"), F.flatten(F.transform("s", lambda x: F.transform(x["los"], lambda lo: F.struct(lo.alias("lo"), x["nw"].alias("nw"))))).alias("spans"))
+    return keyed.join(spans, same, "left").select("row", _cut(window)(text, "spans").alias("c")).select("row", "c.*")
