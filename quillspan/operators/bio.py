@@ -65,18 +65,42 @@ def class_weights(entities: DataFrame, documents: DataFrame, types: list[str]) -
 
 
 def split_order(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """A place for each row in a seeded order by hash: ``r`` from 1, and the number of rows ``n``."""
-    n = df.agg(F.count("*").alias("n"))
-    return df.withColumn("r", F.row_number().over(Window.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))).join(F.broadcast(n))
+    """A place for each row in a seeded order by hash: ``r`` from 1, and the number of rows ``n``; rows of one key keep together.
+
+    The order is that of md5(seed:key).  Rows are numbered within 65,536
+    buckets of its first four digits and the buckets' totals, a table of
+    bounded size, are added up; no task sees more than a bucket.
+    """
+    rows = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))).withColumn("_b", F.substr("_h", F.lit(1), F.lit(4)))
+    totals = rows.groupBy("_b").agg(F.count("*").alias("c"))
+    totals = totals.select("_b", (F.sum("c").over(Window.orderBy("_b")) - F.col("c")).alias("_base"), F.sum("c").over(Window.partitionBy()).alias("n"))
+    placed = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))).join(F.broadcast(totals), "_b")
+    return placed.withColumn("r", F.col("_base") + F.col("_r")).drop("_h", "_b", "_base", "_r").select(*df.columns, "r", "n")
 
 
 def train_validation(df: DataFrame, key: str, share: float = 0.15, seed: int = 42) -> DataFrame:
-    """Adds split: validation for the share of keys with the smallest hashes (a hash threshold: no global sort), else train."""
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    return df.withColumn("split", F.when(u < share, "validation").otherwise("train"))
+    """Adds split: validation for the first int(n * share) rows of the seeded order, else train."""
+    placed = split_order(df, key, seed)
+    return placed.withColumn("split", F.when(F.col("r") <= F.floor(F.col("n") * share), "validation").otherwise("train")).drop("r", "n")
 
 
 def folds(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Adds fold 0 .. k - 1 of equal sizes in the seeded order; the last takes what is left over."""
     placed = split_order(df, key, seed)
     return placed.withColumn("fold", F.least(F.floor((F.col("r") - 1) / F.greatest(F.floor(F.col("n") / k), F.lit(1))), F.lit(k - 1)).cast("int")).drop("r", "n")
+
+
+def histogram(entities: DataFrame, most: int = 10) -> DataFrame:
+    """(type, n): the ``most`` most frequent types, ties by name."""
+    return entities.groupBy("type").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "type").limit(most)
+
+
+def entity_scores(tokens: DataFrame, key: str, true: str, pred: str, by: list[str] | None = None) -> DataFrame:
+    """Entity-level scores of label sequences: both columns are decoded to spans, which count if type, start and end agree."""
+    from quillspan.operators.evaluate import exact_spans
+
+    def spans(label: str) -> DataFrame:
+        own = tokens.select(key, "pos", "start", "end", F.col(label).alias("label"), F.lit(1.0).alias("confidence"))
+        return decode(own, key).select(F.col(key).alias("doc_id"), F.explode("spans").alias("s")).select("doc_id", "s.type", "s.start", "s.end")
+
+    return exact_spans(spans(pred), spans(true), by)

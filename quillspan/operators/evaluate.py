@@ -34,11 +34,15 @@ def set_counts(pred: DataFrame, gold: DataFrame, keys: list[str], by: list[str])
     return both.groupBy(*by).agg(n(F.col("p").isNotNull() & F.col("g").isNotNull())("tp"), n(F.col("g").isNull())("fp"), n(F.col("p").isNull())("fn"))
 
 
-def exact(pred: DataFrame, gold: DataFrame, norm: Callable[[Column], Column] = spaced, by: list[str] | None = None, per_document: bool = True) -> DataFrame:
-    """Exact set match on type and normalised value, within documents unless they are pooled."""
+def exact(pred: DataFrame, gold: DataFrame, norm: Callable[[Column], Column] = spaced, by: list[str] | None = None, per_document: bool = True, types: list[str] | None = None) -> DataFrame:
+    """Exact set match on type and normalised value, within documents unless they are pooled; with ``types`` a row for each of them, and for no other."""
     keys = (["doc_id"] if per_document else []) + ["type", "key"]
     own = [df.withColumn("key", norm(F.col("value"))) for df in (pred, gold)]
-    return prf(set_counts(*own, keys, by or []))
+    if types is None:
+        return prf(set_counts(*own, keys, by or []))
+    counts = set_counts(*own, keys, ["type"])
+    listed = pred.sparkSession.createDataFrame([(t,) for t in types], "type string")
+    return prf(F.broadcast(listed).join(counts, "type", "left").na.fill(0, ["tp", "fp", "fn"]))
 
 
 def exact_spans(pred: DataFrame, gold: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -84,6 +88,23 @@ def _pairs(pred: DataFrame, gold: DataFrame, score: Measure) -> DataFrame:
     return pred.withColumn("_p", score.prepare(F.col("value"))).join(g, ["doc_id", "type"]).withColumn("score", score.compare(F.col("_p"), F.col("_g"))).drop("_p", "_g")
 
 
+def _pairs_by_words(pred: DataFrame, gold: DataFrame, least: float, prepare: Callable[[Column], Column]) -> DataFrame:
+    """The pairs of predictions and golds of a document and type of which the prediction has a share of ``least`` or more of the gold's words.
+
+    Such a prediction has one of the gold's first n - ceil(least n) + 1 words
+    in any order; the rarest come first, so few other pairs are met.
+    """
+    keys = ["doc_id", "type"]
+    p, g = pred.withColumn("_p", prepare(F.col("value"))), gold.select(*keys, F.col("seq").alias("g_seq"), F.col("value").alias("gold"), prepare(F.col("value")).alias("_g"))
+    has = p.select(*keys, "seq", F.explode("_p").alias("w"))
+    often = g.select(*keys, F.explode("_g").alias("w")).union(has.select(*keys, "w")).groupBy(*keys, "w").agg(F.count("*").alias("c"))
+    ordered = g.select(*keys, "g_seq", F.explode("_g").alias("w")).join(often, [*keys, "w"]).groupBy(*keys, "g_seq").agg(F.sort_array(F.collect_list(F.struct("c", "w"))).alias("o"))
+    first = ordered.select(*keys, "g_seq", F.explode(F.slice("o", F.lit(1), F.size("o") - F.ceil(least * F.size("o") - 1e-9).cast("int") + 1)).alias("x")).select(*keys, "g_seq", F.col("x.w").alias("w"))
+    met = first.join(has, [*keys, "w"]).select(*keys, "g_seq", "seq").distinct()
+    both = met.join(p, [*keys, "seq"]).join(g, [*keys, "g_seq"])
+    return both.withColumn("score", F.size(F.array_intersect("_p", "_g")) / F.size("_g")).where(F.col("score") >= least).drop("_p", "_g")
+
+
 def first_match(pred: DataFrame, gold: DataFrame, least: float = 0.5, score: Measure = RECALL) -> DataFrame:
     """(doc_id, type, seq, value, gold): the first gold, in order, that a prediction matches; null if none."""
     hit = _pairs(pred, gold, score).where(F.col("score") >= least).groupBy("doc_id", "type", "seq").agg(F.min_by("gold", "g_seq").alias("gold"))
@@ -127,13 +148,14 @@ def shared_gold_protocol(pred: DataFrame, gold: DataFrame, by: list[str], least:
 def greedy_protocol(pred: DataFrame, gold: DataFrame, by: list[str], least: float = 0.5, best: bool = False, pooled: bool = False, score: Measure = RECALL) -> DataFrame:
     """Predictions in order take a gold that is still free: the first with ``least``, or the best (``best``); over all documents if ``pooled``.
 
-    Pair scores are computed in a join; the sequential choice is a fold over
-    one group's predictions with the set of golds taken.
+    Pair scores are computed in a join, by shared words if the score is the
+    recall of words; the sequential choice is a fold over one group's
+    predictions with the set of golds taken, so pooled it is one for each type.
     """
     if pooled:
         w = Window.partitionBy("type").orderBy("doc_id", "seq")
         pred, gold = (df.withColumn("seq", F.row_number().over(w)).withColumn("doc_id", F.lit(0).cast("long")) for df in (pred, gold))
-    pairs = _pairs(pred, gold, score).where(F.col("score") >= least)
+    pairs = _pairs_by_words(pred, gold, least, score.prepare) if score is RECALL and least > 0 else _pairs(pred, gold, score).where(F.col("score") >= least)
     options = pairs.groupBy("doc_id", "type", "seq").agg(F.sort_array(F.collect_list(F.struct((-F.col("score") if best else F.lit(0.0)).alias("s"), "g_seq"))).alias("o"))
     group = options.groupBy("doc_id", "type").agg(F.sort_array(F.collect_list(F.struct("seq", "o"))).alias("p"))
 

@@ -6,13 +6,15 @@ from them: every fourth is left out, every third is changed.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from quillspan.functions import similarity as S
 from quillspan.functions import text as T
 from quillspan.operators import bio, evaluate
 from quillspan.plans.registry import query
-from quillspan.plans.text_queries import SPACED, table
+from quillspan.plans.text_queries import SIMPLE, SPACED, table
 
 BASE = r"""WITH p0 AS (SELECT conv_id AS doc_id, role AS type, turn, list_filter(list_transform(regexp_extract_all(text, '(?s)(?:.*?[.!?]\s+|.+)'), lambda v: regexp_replace(v, '^\s+|\s+$', '', 'g')), lambda v: v <> '') AS s FROM conversations),
 pred AS (SELECT doc_id, type, turn * 1000 + unnest(range(len(s))) AS seq, unnest(s) AS value FROM p0),
@@ -26,6 +28,32 @@ RECALL = f"CASE WHEN len({GW}) = 0 THEN 0 ELSE len(list_intersect({PW}, {GW})) /
 COVERAGE = f"CASE WHEN contains({SPACED.format('p.value')}, {SPACED.format('g.value')}) THEN 1.0 ELSE {RECALL} END"
 
 
+#: Word lists are made once for each value, before the join.
+_LISTS = f"""{BASE.replace('WITH', 'WITH RECURSIVE', 1)}, ps AS (SELECT doc_id, type, seq, value, {WORDS.format(SIMPLE.format('value'))} AS w FROM pred), gs AS (SELECT doc_id, type, seq, value, {WORDS.format(SIMPLE.format('value'))} AS w FROM gold)"""
+_HIT = "CASE WHEN len(g.w) = 0 THEN 0 ELSE len(list_intersect(p.w, g.w)) / len(g.w) END"
+
+
+def _shared_sql(chosen):
+    return f"""{_LISTS}, m AS (SELECT p.doc_id, p.type, p.seq, {chosen} AS gold FROM ps p JOIN gs g ON p.doc_id = g.doc_id AND p.type = g.type WHERE {_HIT} >= 0.5 GROUP BY ALL),
+a AS (SELECT p.doc_id, p.type, count(m.gold) AS tp, count(*) FILTER (m.gold IS NULL) AS fp, count(DISTINCT m.gold) AS used FROM pred p LEFT JOIN m ON p.doc_id = m.doc_id AND p.type = m.type AND p.seq = m.seq GROUP BY 1, 2), b AS (SELECT doc_id, type, count(*) AS n FROM gold GROUP BY 1, 2),
+c AS (SELECT coalesce(a.type, b.type) AS type, CAST(sum(coalesce(tp, 0)) AS BIGINT) AS tp, CAST(sum(coalesce(fp, 0)) AS BIGINT) AS fp, CAST(sum(greatest(coalesce(n, 0) - coalesce(used, 0), 0)) AS BIGINT) AS fn FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.type = b.type GROUP BY 1)
+SELECT type, {PRF} FROM c"""
+
+
+def _greedy_sql(order, pooled=False):
+    """One step of the recursion gives one prediction of every group the first free gold of its list."""
+    own = f", {', '.join(f'{t} AS (SELECT 0 AS doc_id, type, row_number() OVER (PARTITION BY type ORDER BY doc_id, seq) AS seq, value, w FROM {s})' for t, s in (('pp', 'ps'), ('gg', 'gs')))}" if pooled else ", pp AS (SELECT * FROM ps), gg AS (SELECT * FROM gs)"
+    free = "list_filter(n.o, lambda x: NOT list_contains(w.used, x))"
+    return f"""{_LISTS}{own}, o AS (SELECT p.doc_id, p.type, p.seq, list(g.seq ORDER BY {order}) AS o FROM pp p JOIN gg g ON p.doc_id = g.doc_id AND p.type = g.type WHERE {_HIT} >= 0.5 GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY seq) AS i FROM o),
+w AS (SELECT DISTINCT doc_id, type, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used FROM o UNION ALL
+  SELECT w.doc_id, w.type, n.i, CASE WHEN len({free}) > 0 THEN list_append(w.used, {free}[1]) ELSE w.used END FROM w JOIN n ON w.doc_id = n.doc_id AND w.type = n.type AND n.i = w.i + 1),
+t AS (SELECT type, sum(k) AS tp FROM (SELECT doc_id, type, len(arg_max(used, i)) AS k FROM w GROUP BY 1, 2) GROUP BY 1),
+s AS (SELECT coalesce(p.type, g.type) AS type, coalesce(p.n, 0) AS np, coalesce(g.n, 0) AS ng FROM (SELECT type, count(*) AS n FROM pred GROUP BY 1) p FULL JOIN (SELECT type, count(*) AS n FROM gold GROUP BY 1) g ON p.type = g.type),
+c AS (SELECT s.type, CAST(coalesce(tp, 0) AS BIGINT) AS tp, CAST(np - coalesce(tp, 0) AS BIGINT) AS fp, CAST(ng - coalesce(tp, 0) AS BIGINT) AS fn FROM s LEFT JOIN t USING (type))
+SELECT type, {PRF} FROM c"""
+
+
 def pred_gold(spark, sf_dir):
     s = table(spark, sf_dir, "conversations").select("conv_id", "role", "turn", F.posexplode(T.sentences(F.col("text"))).alias("i", "s"))
     pred = s.select(F.col("conv_id").alias("doc_id"), F.col("role").alias("type"), (F.col("turn") * 1000 + F.col("i")).alias("seq"), F.col("s.text").alias("value"))
@@ -116,21 +144,43 @@ def span_rollup(spark, sf_dir):
     return scores(evaluate.aggregate_counts(evaluate.span_protocol(*pred_gold(spark, sf_dir), by=["type"])), "type")
 
 
-@query("shared_gold_protocol")
+@query("shared_gold_protocol", _shared_sql("arg_min(g.value, g.seq)"))
 def shared_gold(spark, sf_dir):
     return scores(evaluate.shared_gold_protocol(*pred_gold(spark, sf_dir), by=["type"]), "type")
 
 
-@query("greedy_protocol")
+@query("shared_gold_best", _shared_sql(f"first(g.value ORDER BY {_HIT} DESC, g.seq)"))
+def shared_gold_best(spark, sf_dir):
+    best = functools.partial(evaluate.best_match, score=S.RECALL)
+    return scores(evaluate.shared_gold_protocol(*pred_gold(spark, sf_dir), by=["type"], matcher=best), "type")
+
+
+@query("greedy_protocol", _greedy_sql("g.seq"))
 def greedy(spark, sf_dir):
     return scores(evaluate.greedy_protocol(*pred_gold(spark, sf_dir), by=["type"]), "type")
 
 
-@query("greedy_best_protocol")
+@query("greedy_best_protocol", _greedy_sql(f"{_HIT} DESC, g.seq"))
 def greedy_best(spark, sf_dir):
     return scores(evaluate.greedy_protocol(*pred_gold(spark, sf_dir), by=["type"], best=True), "type")
 
 
+@query("greedy_pooled_protocol", _greedy_sql(f"{_HIT} DESC, g.seq", pooled=True))
+def greedy_pooled(spark, sf_dir):
+    return scores(evaluate.greedy_protocol(*pred_gold(spark, sf_dir), by=["type"], best=True, pooled=True), "type")
+
+
+_LISTED = ["user", "assistant", "none of these", "system", "tool"]
+
+
+@query(
+    "exact_listed_types",
+    f"""{_exact_sql(["doc_id", "type", "key"], "type").rpartition("SELECT type,")[0]}, l AS (SELECT unnest({_LISTED}) AS type), d AS (SELECT l.type, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn FROM l LEFT JOIN c ON l.type = c.type) SELECT type, {PRF} FROM d""",
+)
+def exact_listed_types(spark, sf_dir):
+    return scores(evaluate.exact(*pred_gold(spark, sf_dir), types=_LISTED), "type")
+
+
 @query(
     "macro_by_document",
     rf"""{BASE}, p AS (SELECT DISTINCT doc_id, type, regexp_replace({KEY}, '[^\p{{L}}\p{{N}}\p{{M}}_\s]', '', 'g') AS key FROM pred), g AS (SELECT DISTINCT doc_id, type, regexp_replace({KEY}, '[^\p{{L}}\p{{N}}\p{{M}}_\s]', '', 'g') AS key FROM gold),
@@ -161,9 +211,9 @@ def error_by_type(spark, sf_dir):
     return evaluate.errors_by_type(evaluate.errors(*pred_gold(spark, sf_dir)))
 
 
-@query("error_patterns", f"{_ERR} SELECT error, type, count(*) AS n FROM err GROUP BY 1, 2 HAVING count(*) >= 2")
+@query("error_patterns", f"{_ERR} SELECT error, type, count(*) AS n, array_to_string(list(coalesce(predicted, expected) ORDER BY doc_id, coalesce(predicted, expected))[1:3], '|') AS examples FROM err GROUP BY 1, 2 HAVING count(*) >= 2")
 def error_patterns(spark, sf_dir):
-    return evaluate.error_patterns(evaluate.errors(*pred_gold(spark, sf_dir))).drop("examples")
+    return evaluate.error_patterns(evaluate.errors(*pred_gold(spark, sf_dir))).withColumn("examples", F.array_join("examples", "|"))
 
 
 @query("error_samples", f"{_ERR}, r AS (SELECT error, coalesce(predicted, expected) AS v, row_number() OVER (PARTITION BY error ORDER BY doc_id, type, coalesce(predicted, expected)) AS r, count(*) OVER (PARTITION BY error) AS n FROM err) SELECT error, n, string_agg(v, '|' ORDER BY r) AS samples FROM r WHERE r <= 5 GROUP BY 1, 2")
@@ -339,7 +389,12 @@ def bio_decode_skip(spark, sf_dir):
     return bio.decode(_labelled(spark, sf_dir), "k", "skip").select("k", F.explode("spans").alias("s")).select("k", "s.type", "s.start", "s.end")
 
 
-@query("bio_decode_close")
+@query(
+    "bio_decode_close",
+    f"""{_LAB}, a AS (SELECT *, sum(CAST(label = 'O' OR label LIKE 'B%' AS INT)) OVER (PARTITION BY k ORDER BY pos) AS g FROM l), h AS (SELECT *, first_value(label) OVER (PARTITION BY k, g ORDER BY pos) AS f FROM a),
+z AS (SELECT *, sum(CAST(right(label, 1) <> right(f, 1) AS INT)) OVER (PARTITION BY k, g ORDER BY pos) AS closed FROM h)
+SELECT k, right(min(f), 1) AS type, CAST(min(pos) * 10 AS INT) AS start, CAST(max(pos) * 10 + 5 AS INT) AS "end" FROM z WHERE f LIKE 'B%' AND closed = 0 GROUP BY k, g""",
+)
 def bio_decode_close(spark, sf_dir):
     return bio.decode(_labelled(spark, sf_dir), "k", "close").select("k", F.explode("spans").alias("s")).select("k", "s.type", "s.start", "s.end")
 
@@ -356,7 +411,59 @@ def class_weights(spark, sf_dir):
     return bio.class_weights(e, table(spark, sf_dir, "documents"), ["click", "view", "purchase"]).select("label", F.round("weight", 6).alias("weight"))
 
 
-@query("split_folds")
+_ISLANDS = """SELECT *, lag({0}) OVER (PARTITION BY k ORDER BY pos) AS p FROM l"""
+
+
+def _spans_sql(label):
+    return f"""SELECT DISTINCT k, right(min({label}), 1) AS type, min(pos) AS s, max(pos) AS e FROM (
+  SELECT *, sum(CASE WHEN {label} = 'O' OR {label} LIKE 'B%' OR p IS NULL OR p = 'O' OR right(p, 1) <> right({label}, 1) THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY pos) AS g FROM ({_ISLANDS.format(label)}))
+  WHERE {label} <> 'O' GROUP BY k, g"""
+
+
+@query(
+    "entity_level_scores",
+    f"""{_LAB.rpartition("l AS")[0]} l0 AS {_LAB.rpartition("l AS")[2]}, l AS (SELECT *, CASE WHEN pos % 11 = 4 THEN 'O' WHEN pos % 13 = 6 THEN 'I-B' ELSE label END AS guess FROM l0), g AS ({_spans_sql("label")}), p AS ({_spans_sql("guess")}),
+c AS (SELECT coalesce(p.type, g.type) AS type, count(*) FILTER (p.e IS NOT NULL AND g.e IS NOT NULL) AS tp, count(*) FILTER (g.e IS NULL) AS fp, count(*) FILTER (p.e IS NULL) AS fn FROM p FULL JOIN g ON p.k = g.k AND p.type = g.type AND p.s = g.s AND p.e = g.e GROUP BY 1) SELECT type, {PRF} FROM c""",
+)
+def entity_level_scores(spark, sf_dir):
+    guess = F.when(F.col("pos") % 11 == 4, "O").when(F.col("pos") % 13 == 6, "I-B").otherwise(F.col("label"))
+    return scores(bio.entity_scores(_labelled(spark, sf_dir).withColumn("guess", guess), "k", "label", "guess", ["type"]), "type")
+
+
+_ORDER = "r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS r, count(*) OVER () AS n FROM documents)"
+
+
+@query("split_folds", f"WITH {_ORDER} SELECT doc_id, CASE WHEN r <= floor(n * 0.15) THEN 'validation' ELSE 'train' END AS split, CAST(least((r - 1) // greatest(n // 5, 1), 4) AS INT) AS fold FROM r")
 def split_folds(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id")
     return bio.folds(bio.train_validation(d, "doc_id"), "doc_id")
+
+
+@query("type_histogram", "SELECT p_type AS type, count(*) AS n FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def type_histogram(spark, sf_dir):
+    return bio.histogram(table(spark, sf_dir, "part").select(F.col("p_type").alias("type")))
+
+
+@query(
+    "metrics_facade",
+    f"""{BASE}, p AS (SELECT DISTINCT doc_id, type, {KEY} AS key FROM pred), g AS (SELECT DISTINCT doc_id, type, {KEY} AS key FROM gold),
+c AS (SELECT count(*) FILTER (p.key IS NOT NULL AND g.key IS NOT NULL) AS tp, count(*) FILTER (g.key IS NULL) AS fp, count(*) FILTER (p.key IS NULL) AS fn FROM p FULL JOIN g ON p.doc_id = g.doc_id AND p.type = g.type AND p.key = g.key),
+b AS (SELECT p.doc_id, p.type, p.seq, max({JACCARD}) AS s FROM pred p JOIN gold g ON p.doc_id = g.doc_id AND p.type = g.type GROUP BY ALL),
+q AS (SELECT coalesce(sum(s) FILTER (s >= 0.5), 0) / (SELECT count(*) FROM pred) AS pp, coalesce(sum(s) FILTER (s >= 0.5), 0) / (SELECT count(*) FROM gold) AS pr FROM b),
+gt AS (SELECT DISTINCT doc_id, type FROM gold), h AS (SELECT gt.doc_id, avg(CAST(x.type IS NOT NULL AS INT)) AS c FROM gt LEFT JOIN (SELECT DISTINCT doc_id, type FROM pred) x ON gt.doc_id = x.doc_id AND gt.type = x.type GROUP BY 1),
+docs AS (SELECT doc_id FROM pred UNION SELECT doc_id FROM gold), cv AS (SELECT avg(coalesce(h.c, 1)) AS c FROM docs LEFT JOIN h USING (doc_id)),
+t AS (SELECT doc_id, type, count(*) AS n, count(DISTINCT {KEY}) AS d FROM pred GROUP BY 1, 2), k AS (SELECT doc_id, coalesce(avg(1 / d) FILTER (n > 1), 1) AS k FROM t GROUP BY 1)
+SELECT 'exact_precision' AS metric, round(tp / (tp + fp), 6) AS value FROM c UNION ALL SELECT 'exact_recall', round(tp / (tp + fn), 6) FROM c UNION ALL SELECT 'exact_f1', round(2 * tp / (2 * tp + fp + fn), 6) FROM c
+UNION ALL SELECT 'partial_precision', round(pp, 6) FROM q UNION ALL SELECT 'partial_recall', round(pr, 6) FROM q UNION ALL SELECT 'partial_f1', round(2 * pp * pr / (pp + pr), 6) FROM q
+UNION ALL SELECT 'coverage', round(c, 6) FROM cv UNION ALL SELECT 'consistency', round(avg(k), 6) FROM k""",
+)
+def metrics_facade(spark, sf_dir):
+    return evaluate.compute_metrics(*pred_gold(spark, sf_dir)).withColumn("value", F.round("value", 6))
+
+
+@query("jaccard_empty", f"""{BASE} SELECT p.doc_id, p.type, p.seq, round(CASE WHEN len({PW}) = 0 AND len({GW}) = 0 THEN 1 ELSE {JACCARD} END, 6) AS score FROM (SELECT * REPLACE (CASE WHEN seq % 5 = 0 THEN ' ' ELSE value END AS value) FROM pred) p JOIN (SELECT * REPLACE (CASE WHEN seq % 2 = 0 THEN '' ELSE value END AS value) FROM gold) g ON p.doc_id = g.doc_id AND p.seq = g.seq""")
+def jaccard_empty(spark, sf_dir):
+    pred, gold = pred_gold(spark, sf_dir)
+    both = pred.join(gold.select("doc_id", "seq", F.col("value").alias("gold")), ["doc_id", "seq"])
+    v, g = F.when(F.col("seq") % 5 == 0, " ").otherwise(F.col("value")), F.when(F.col("seq") % 2 == 0, "").otherwise(F.col("gold"))
+    return both.select("doc_id", "type", "seq", F.round(S.jaccard(v, g, 1.0), 6).alias("score"))
