@@ -25,9 +25,18 @@ CLAUSE_ALIASES = {
 
 # Words left out of legal text when comparing.
 STOPWORDS = {
-    "en": "the a an of to in for on by with at from as into through during before after above below between and or but nor so yet such any all each every other shall will may herein hereof hereby hereto hereunder therein thereof thereby thereto thereunder whereas therefore provided".split(),
-    "pt": "o a os as um uma uns umas de da do das dos em na no nas nos para por pela pelo pelas pelos com sem entre sobre sob ate desde contra perante e ou mas porem contudo todavia entretanto que qual quais este esta estes estas esse essa esses essas aquele aquela conforme mediante segundo consoante".split(),
-}
+    "en": [
+        "the", "a", "an", "of", "to", "in", "for", "on", "by", "with", "at", "from", "as", "into", "through", "during", "before", "after", "above",
+        "below", "between", "and", "or", "but", "nor", "so", "yet", "such", "any", "all", "each", "every", "other", "shall", "will", "may", "herein",
+        "hereof", "hereby", "hereto", "hereunder", "therein", "thereof", "thereby", "thereto", "thereunder", "whereas", "therefore", "provided",
+    ],
+    "pt": [
+        "o", "a", "os", "as", "um", "uma", "uns", "umas", "de", "da", "do", "das", "dos", "em", "na", "no", "nas", "nos", "para", "por", "pela",
+        "pelo", "pelas", "pelos", "com", "sem", "entre", "sobre", "sob", "ate", "desde", "contra", "perante", "e", "ou", "mas", "porem", "contudo",
+        "todavia", "entretanto", "que", "qual", "quais", "este", "esta", "estes", "estas", "esse", "essa", "esses", "essas", "aquele", "aquela",
+        "conforme", "mediante", "segundo", "consoante",
+    ],
+}
 
 
 def strip(c: Column) -> Column:

@@ -97,7 +97,14 @@ def truncate_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.truncate(t, 1000)).alias("head"), F.md5(T.truncate(t, 1000, "end")).alias("tail"), F.md5(T.truncate(t, 1000, "both", "<cut>")).alias("both_ends"), F.md5(T.truncate_marked(t, 2000, "<more>")).alias("marked"), T.token_estimate(t).alias("tokens"), T.fits(t, 1000).alias("fits"))
 
 
-@query("text_advanced")
+_STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS["en"]) + "]"
+
+
+@query(
+    "text_advanced",
+    # the tables hold no characters that the compatibility form changes
+    rf"""SELECT doc_id, md5(array_to_string(list_filter(regexp_extract_all(lower(text), '\$?\d[\d,]*\.?\d*%?|[\p{{L}}\p{{N}}\p{{M}}_\-]+'), lambda w: NOT list_contains({_STOP}, w)), ' ')) AS form FROM documents""",
+)
 def text_advanced(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.advanced(F.col("text"))).alias("form"))
 
@@ -202,21 +209,56 @@ def chunk_blank(spark, sf_dir):
   SELECT doc_id, text, k + 1, CASE WHEN e >= length(text) THEN e ELSE e - 200 END, CAST(e >= length(text) AS INT) FROM (
     SELECT doc_id, text, k, s, CASE WHEN least(s + 1000, length(text)) < length(text) AND contains(substring(text, s + 1, 1000), '.') AND 999 - instr(reverse(substring(text, s + 1, 1000)), '.') + 1 > 500
       THEN s + 1000 - instr(reverse(substring(text, s + 1, 1000)), '.') + 1 ELSE least(s + 1000, length(text)) END AS e FROM c WHERE done = 0))
-SELECT a.doc_id, a.k AS chunk_id, CAST(a.s AS INT) AS start FROM c a WHERE a.done = 0""",
+SELECT a.doc_id, a.k AS chunk_id, md5(substring(a.text, a.s + 1, b.e - a.s)) AS text, CAST(a.s AS INT) AS start, CAST(b.e AS INT) AS "end"
+FROM c a JOIN (SELECT doc_id, k, CASE WHEN done = 1 THEN s ELSE s + 200 END AS e FROM c) b ON a.doc_id = b.doc_id AND b.k = a.k + 1 WHERE a.done = 0""",
 )
 def chunk_full_stop(spark, sf_dir):
-    return C.explode_chunks(table(spark, sf_dir, "documents"), C.full_stops(F.col("text")), "doc_id").select("doc_id", "chunk_id", "start")
+    return C.explode_chunks(table(spark, sf_dir, "documents"), C.full_stops(F.col("text")), "doc_id").withColumn("text", F.md5("text"))
+
+
+@query(
+    "chunk_capped",
+    """WITH s AS (SELECT doc_id, text, unnest(range(0, CAST(greatest(ceil((length(text) - 2048) / 1024.0), 0) AS BIGINT) * 1024 + 1, 1024)) AS s FROM documents WHERE length(text) > 0)
+SELECT doc_id, CAST(s // 1024 AS INT) AS chunk_id, md5(substring(text, s + 1, 2048)) AS text, CAST(s AS INT) AS start, CAST(least(s + 2048, length(text)) AS INT) AS "end" FROM s WHERE s < 5 * 1024""",
+)
+def chunk_capped(spark, sf_dir):
+    # at most five windows of a document are this chunker's rule
+    return C.explode_chunks(table(spark, sf_dir, "documents"), C.stride(F.col("text"), 2048, 1024, most=5), "doc_id").withColumn("text", F.md5("text"))
 
 
-def _walked(name, chunks):
-    @query(name)
+def sliding_sql(size, overlap):
+    """Common tables up to ``ch`` (doc_id, chunk_id, body, q, e): the sliding chunker's walk as a recursion over starts."""
+    window = f"substring(text, s + 1, {size})"
+    hit = lambda m: f"length({window}) - instr(reverse({window}), reverse({m})) - 1"
+    ends = " ".join(f"WHEN contains({window}, {m}) AND {hit(m)} > {size // 2} THEN s + {hit(m)} + 2" for m in (f"'{c}' || {e}" for c in ".?!" for e in ("' '", "chr(10)")))
+    end = f"CASE WHEN s + {size} >= length(text) THEN length(text) {ends} ELSE s + {size} END"
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, text, CAST(0 AS BIGINT) AS s FROM documents WHERE length(text) > 0
+  UNION ALL SELECT doc_id, text, e - {overlap} FROM (SELECT doc_id, text, {end} AS e FROM w) WHERE e < length(text)),
+ch0 AS (SELECT doc_id, regexp_replace(substring(text, s + 1, {end} - s), '^\\s+|\\s+$', '', 'g') AS body, s AS q, {end} AS e FROM w),
+ch AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY q) - 1 AS chunk_id, body, q, e FROM ch0 WHERE body <> '')"""
+
+
+#: Sentences (doc_id, i, v, s, e) of the documents, v stripped, blank ones left out.
+SENTENCES_SQL = r"""a0 AS (SELECT doc_id, regexp_extract_all(text, '(?s)(?:.*?[.!?]\s+|.+)') AS p FROM documents),
+a1 AS (SELECT doc_id, unnest(p) AS v, unnest(range(len(p))) AS k FROM a0), a2 AS (SELECT doc_id, k, v, sum(length(v)) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM a1),
+st AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, regexp_replace(v, '^\s+|\s+$', '', 'g') AS v, e - length(v) AS s, e FROM a2 WHERE regexp_replace(v, '^\s+|\s+$', '', 'g') <> '')"""
+
+
+def _walked(name, chunks, sql=None):
+    @query(name, sql)
     def run(spark, sf_dir):
         return C.explode_chunks(table(spark, sf_dir, "documents"), chunks(F.col("text")), "doc_id").withColumn("text", F.md5("text"))
 
 
-_walked("chunk_sliding", C.sliding)
+_walked("chunk_sliding", C.sliding, f"""{sliding_sql(512, 128)} SELECT doc_id, CAST(chunk_id AS INT) AS chunk_id, md5(body) AS text, CAST(q AS INT) AS start, CAST(e AS INT) AS "end" FROM ch""")
 _walked("chunk_recursive", C.recursive)
-_walked("chunk_sentences", C.pack_sentences)
+_walked(
+    "chunk_sentences",
+    C.pack_sentences,
+    f"""WITH RECURSIVE {SENTENCES_SQL}, r AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS c, CAST(0 AS BIGINT) AS used FROM st WHERE i = 1
+  UNION ALL SELECT st.doc_id, st.i, CASE WHEN r.used + length(v) > 1024 OR r.c < 0 THEN r.c + 1 ELSE r.c END, CASE WHEN r.used + length(v) > 1024 OR r.c < 0 THEN 0 ELSE r.used END + length(v) + 1 FROM r JOIN st ON st.doc_id = r.doc_id AND st.i = r.i + 1)
+SELECT r.doc_id, CAST(c AS INT) AS chunk_id, md5(string_agg(v, ' ' ORDER BY st.i)) AS text, CAST(min(s) AS INT) AS start, CAST(max(e) AS INT) AS "end" FROM r JOIN st ON st.doc_id = r.doc_id AND st.i = r.i GROUP BY 1, 2""",
+)
 
 
 def _headed(spark, sf_dir):
@@ -241,7 +283,24 @@ def sections(spark, sf_dir):
     return C.sections(_headed(spark, sf_dir), "o_custkey")
 
 
-@query("section_chunks")
+_ADD = "list_append(out, {{'t': {0}, 's': {1}, 'e': {2}, 'k': {3}}})"
+_HELD = "CASE WHEN held IS NULL THEN body ELSE held || chr(10) || chr(10) || body END"
+
+
+@query(
+    "section_chunks",
+    # no section of this table is longer than a chunk may be
+    f"""WITH RECURSIVE {_HEADED}, b0 AS (SELECT o_custkey, s AS i, trim(string_agg(line, chr(10) ORDER BY no)) AS body, min(q) AS start, least(max(q + length(line) + 1), max(length(text))) AS e FROM n WHERE s > 0 GROUP BY 1, 2),
+r AS (SELECT o_custkey, CAST(0 AS HUGEINT) AS i, CAST(NULL AS VARCHAR) AS held, CAST(NULL AS HUGEINT) AS begin, CAST([] AS STRUCT(t VARCHAR, s HUGEINT, e HUGEINT, k VARCHAR)[]) AS out FROM b0 WHERE i = 1
+  UNION ALL SELECT o_custkey, i, CASE WHEN length(body) >= 128 OR length({_HELD}) >= 128 THEN NULL ELSE {_HELD} END, CASE WHEN held IS NULL THEN start ELSE begin END,
+    CASE WHEN length(body) >= 128 THEN list_append(CASE WHEN held IS NULL THEN out ELSE {_ADD.format('held', 'begin', 'start', "'merged'")} END, {{'t': body, 's': start, 'e': e, 'k': 'article'}})
+      WHEN length({_HELD}) >= 128 THEN {_ADD.format(_HELD, 'CASE WHEN held IS NULL THEN start ELSE begin END', 'e', "'merged'")} ELSE out END
+  FROM (SELECT b0.*, r.held, r.begin, r.out FROM r JOIN b0 ON b0.o_custkey = r.o_custkey AND b0.i = r.i + 1)),
+f AS (SELECT o_custkey, arg_max(held, i) AS held, arg_max(begin, i) AS begin, arg_max(out, i) AS out, arg_max(h, i) AS h FROM (SELECT *, held IS NOT NULL AS h FROM r) GROUP BY 1), z AS (SELECT o_custkey, max(e) AS e FROM b0 GROUP BY 1),
+x AS (SELECT f.o_custkey, CASE WHEN h THEN {_ADD.format('(SELECT first(y.held) FROM r y WHERE y.o_custkey = f.o_custkey AND y.i = (SELECT max(i) FROM r v WHERE v.o_custkey = f.o_custkey))', '(SELECT first(y.begin) FROM r y WHERE y.o_custkey = f.o_custkey AND y.i = (SELECT max(i) FROM r v WHERE v.o_custkey = f.o_custkey))', 'z.e', "'merged'")} ELSE out END AS out FROM f JOIN z USING (o_custkey)),
+u AS (SELECT o_custkey, unnest(out) AS c, unnest(range(len(out))) AS chunk_id FROM x)
+SELECT o_custkey, CAST(chunk_id AS INT) AS chunk_id, c.t AS text, CAST(c.s AS INT) AS start, CAST(c.e AS INT) AS "end", c.k AS kind FROM u""",
+)
 def section_chunks(spark, sf_dir):
     return C.section_chunks(C.sections(_headed(spark, sf_dir), "o_custkey"), "o_custkey")
 
