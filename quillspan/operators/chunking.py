@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillspan.functions.text import sentences, strip
 
 CHUNK = "array<struct<text:string,start:int,end:int>>"
+# What ends a sentence, tried in order.
 ENDS = (". ", ".\n", "? ", "?\n", "! ", "!\n")
 
 # Heading patterns with the kind of section they open, tried in order.
@@ -35,6 +36,7 @@ HEADINGS_SHORT = [
     (r"^(ARTICLE|Article)\s+(\w+)", "article"),
     (r"^(SECTION|Section)\s+(\d+)", "section"),
 ]
+# Where texts are split, from the largest to the smallest.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
 
@@ -52,12 +54,20 @@ def stride(text: Column, size: int, overlap: int, most: int | None = None, to_en
     return F.transform(starts, lambda s: F.struct(F.substr(text, s + 1, F.lit(size)).alias("text"), s.alias("start"), F.least(s + size, n).alias("end")))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def word_windows(text: Column, size: int = 512, overlap: int = 128) -> Column:
     """Windows of words joined by blanks, until starts pass the end (the last may repeat a tail)."""
-    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
-    n = F.size(words)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.struct(F.array_join(F.slice(words, s + 1, size), " ").alias("text"), s.alias("start"), F.least(s + size, n).alias("end")))
+
+    def of(words: Column) -> Column:
+        n = F.size(words)
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.struct(F.array_join(F.slice(words, s + 1, size), " ").alias("text"), s.alias("start"), F.least(s + size, n).alias("end")))
+
+    return once(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""), of)
 
 
 def blank_extended(text: Column, size: int = 2040, step: int = 1428) -> Column:
@@ -203,19 +213,31 @@ def heading_kind(line: Column, patterns: list[tuple[str, str]]) -> Column:
     return out
 
 
-def sections(docs: DataFrame, key: str, text: str = "text", patterns: list[tuple[str, str]] = HEADINGS_SHORT) -> DataFrame:
+def sections(docs: DataFrame, key: str, text: str = "text", patterns: list[tuple[str, str]] = HEADINGS_SHORT, whole: bool = False) -> DataFrame:
     """(key, section_no, kind, title, text, start, end): headings open sections; what precedes the first is dropped.
 
-    Islands of lines between headings, with exact offsets.
+    Islands of lines between headings, with exact offsets.  ``whole``: a
+    document without a heading is one section of kind document.
     """
-    lines = docs.select(key, F.col(text).alias("t")).select(key, F.posexplode(F.split("t", "\n")).alias("no", "line"))
-    lines = lines.select("*", heading_kind(F.col("line"), patterns).alias("kind"))
     from pyspark.sql import Window
 
-    w = Window.partitionBy(key).orderBy("no")
-    lines = lines.select("*", F.sum(F.when(F.col("kind").isNotNull(), 1).otherwise(0)).over(w).alias("section_no"), (F.sum(F.char_length("line") + 1).over(w) - F.char_length("line") - 1).alias("at"), F.max("no").over(Window.partitionBy(key)).alias("last"))
-    got = lines.where("section_no > 0").groupBy(key, "section_no").agg(F.sort_array(F.collect_list(F.struct("no", "line", "kind", "at"))).alias("l"), F.max(F.struct("no", F.col("at") + F.char_length("line") + F.when(F.col("no") == F.col("last"), 0).otherwise(1))).alias("z"))
-    return got.select(key, F.col("section_no").cast("int").alias("section_no"), F.col("l")[0]["kind"].alias("kind"), strip(F.col("l")[0]["line"]).alias("title"), F.array_join("l.line", "\n").alias("text"), F.col("l")[0]["at"].cast("int").alias("start"), F.col("z.col2").cast("int").alias("end"))
+    lines = docs.select(key, F.col(text).alias("t")).select(key, F.posexplode(F.split("t", "\n")).alias("no", "line"))
+    lines = lines.select("*", heading_kind(F.col("line"), patterns).alias("kind"))
+    w, all_ = Window.partitionBy(key).orderBy("no"), Window.partitionBy(key)
+    lines = lines.select("*", F.sum(F.when(F.col("kind").isNotNull(), 1).otherwise(0)).over(w).alias("section_no"), (F.sum(F.char_length("line") + 1).over(w) - F.char_length("line") - 1).alias("at"), F.max("no").over(all_).alias("last"), F.count("kind").over(all_).alias("headings"))
+    got = lines.where((F.col("section_no") > 0) | (F.lit(whole) & (F.col("headings") == 0)))
+    got = got.groupBy(key, "section_no").agg(F.sort_array(F.collect_list(F.struct("no", "line", "kind", "at"))).alias("l"), F.max(F.struct("no", F.col("at") + F.char_length("line") + F.when(F.col("no") == F.col("last"), 0).otherwise(1))).alias("z"))
+    first = F.col("l")[0]
+    title = F.when(first["kind"].isNull(), "Document").otherwise(strip(first["line"]))
+    return got.select(key, F.col("section_no").cast("int").alias("section_no"), F.coalesce(first["kind"], F.lit("document")).alias("kind"), title.alias("title"), F.array_join("l.line", "\n").alias("text"), first["at"].cast("int").alias("start"), F.col("z.col2").cast("int").alias("end"))
+
+
+def detect_sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """The same with all eight heading patterns and the fallback; a section's text begins with its heading without outer blanks, and its end is where that text ends."""
+    got = sections(docs, key, text, HEADINGS_FULL, whole=True)
+    body = F.when(F.col("kind") == "document", F.col("text")).otherwise(F.concat("title", F.substr("text", F.char_length(F.substring_index("text", "\n", 1)) + 1)))
+    got = got.withColumn("text", body)
+    return got.withColumn("end", (F.col("start") + F.char_length("text")).cast("int"))
 
 
 def section_chunks(found: DataFrame, key: str, most: int = 2048, least: int = 128) -> DataFrame:

@@ -2,28 +2,104 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import clean_document
-from quillspan.functions.validate import relevant_types
+from quillspan.functions.validate import registry_entity, relevant_types
 from quillspan.operators import chunking, entities, parse, prompts, providers, retrieval
 
 
-def rag(docs: DataFrame, provider: providers.Provider, types: list[str], k: int = 5, size: int = 512, overlap: int = 128) -> DataFrame:
-    """Chunk each document, rank its chunks for each type by BM25, ask once per document and type, drop repeats."""
-    spark = docs.sparkSession
-    clean = docs.select("doc_id", clean_document(F.col("text")).alias("text"))
-    chunks = chunking.explode_chunks(clean, chunking.sliding(F.col("text"), size, overlap), "doc_id").select("doc_id", "chunk_id", "text")
-    asked = retrieval.type_queries(spark.createDataFrame([(t,) for t in types], "type string"))
-    # the types are a stated, small set
-    queries = clean.select("doc_id").join(F.broadcast(asked), F.lit(True)).withColumnRenamed("type", "query_id")
-    best = retrieval.top_k(retrieval.bm25(chunks, queries, "doc_id"), ["doc_id", "query_id"], k).join(chunks, ["doc_id", "chunk_id"])
-    context = retrieval.build_context(best, ["doc_id", "query_id"])
-    reply = providers.generate(prompts.zero_shot(F.col("context"), types), provider)
-    rows = context.select("doc_id", "query_id", reply.alias("g")).select("doc_id", "query_id", F.posexplode(parse.retrieval_reply(F.col("g.reply"), types)).alias("pos", "x"))
-    rows = rows.select("doc_id", (F.xxhash64("query_id", "pos")).alias("seq"), "x.*")
-    return entities.dedup_first(rows, "doc_id")
+def rag(docs: DataFrame, provider: providers.Provider, types: list[str], model: providers.Embedder | None = None, about: dict[str, str] | None = None, k: int = 5, batch: int = 10, **windows) -> DataFrame:
+    """(doc_id, seq, type, value, confidence): ask for ``batch`` types at a time with the parts of a document that are most like their descriptions.
+
+    Short documents are asked whole.  Repeats of a value are dropped, the
+    first by batch and place in the reply stays.
+    """
+    model = model or providers.embedder("hash")
+    groups = [types[i : i + batch] for i in range(0, len(types), batch)]
+    queries = [" ".join(f"{t}: {(about or {}).get(t, retrieval.TYPE_QUERIES.get(t, t))}" for t in g) for g in groups]
+    own = docs.select("doc_id", clean_document(F.col("text")).alias("text"))
+    own = own.select("doc_id", F.posexplode(retrieval.flat_contexts(F.col("text"), model, queries, k, **windows)).alias("batch", "context"))
+    prompt = F.element_at(F.array(*[prompts.zero_shot(F.col("context"), g) for g in groups]), F.col("batch") + 1)
+    reply = own.select("doc_id", "batch", providers.generate(prompt, provider).alias("g"))
+    rows = reply.select("doc_id", "batch", F.posexplode(parse.retrieval_reply(F.col("g.reply"), types)).alias("pos", "x"))
+    return entities.dedup_first(rows.select("doc_id", (F.col("batch").cast("long") * 1_000_000 + F.col("pos")).alias("seq"), "x.*"), "doc_id")
+
+
+def basic(docs: DataFrame, provider: providers.Provider, types: list[str]) -> DataFrame:
+    """(doc_id, seq, type, value, confidence) by one prompt."""
+    return providers.extract(docs, provider, lambda t: prompts.zero_shot(t, types), parse.repaired_reply)
+
+
+def checked(found: DataFrame) -> DataFrame:
+    """Of rows (type, value, ...) those that the registry's rules accept."""
+    return found.where(registry_entity(F.col("type"), F.col("value"))["is_valid"])
+
+
+#: The parts of a document that the two-phase prompt names, and which types each is asked for.
+PARTS = {"socios": lambda t: "socio" in t.lower(), "sociedade": lambda t: "->sociedade" in t, "registro": lambda t: "data" in t.lower()}
+
+
+def two_phase(docs: DataFrame, provider: providers.Provider, types: list[str], most: int = 20_000) -> DataFrame:
+    """(doc_id, seq, type, value, confidence): first ask which passages belong to which part, then for each passage's entities.
+
+    Dates of the part ``registro`` aren't checked, the others are.  Where the
+    first reply isn't JSON, the document is asked once and checked.  Equal
+    rows of a document are one, the first by part and place.
+    """
+    kind = "struct<sections:map<string,array<string>>>"
+    first = docs.select("doc_id", "text", providers.generate(prompts.sections(F.col("text"), tuple(PARTS), most), provider).alias("g"))
+    first = first.select("doc_id", "text", F.from_json("g.reply", kind)["sections"].alias("s"))
+    plain = checked(basic(first.where("s is null").select("doc_id", "text"), provider, types))
+    rows = []
+    for n, (part, wanted) in enumerate(PARTS.items()):
+        own = [t for t in types if wanted(t)]
+        passages = first.where("s is not null").select("doc_id", F.posexplode(F.try_element_at("s", F.lit(part))).alias("p", "passage")).where("passage <> ''")
+        got = passages.select("doc_id", "p", providers.generate(prompts.from_section(F.col("passage"), part, own), provider).alias("g"))
+        got = got.select("doc_id", "p", F.posexplode(parse.repaired_reply(F.col("g.reply"))).alias("pos", "x"))
+        got = got.select("doc_id", (F.lit(n * 10**12).cast("long") + F.col("p") * 1_000_000 + F.col("pos")).alias("seq"), "x.*")
+        rows.append(got if part == "registro" else checked(got))
+    found = functools.reduce(DataFrame.unionByName, rows)
+    return entities.dedup_first(found, "doc_id", exact=True).unionByName(plain)
+
+
+def consistent(docs: DataFrame, provider: providers.Provider, types: list[str], runs: int = 3, share: float = 0.5) -> DataFrame:
+    """(doc_id, type, value, votes, confidence): ``runs`` wordings of the prompt, then self-consistency."""
+    asked = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
+    got = asked.select("doc_id", "run", providers.generate(prompts.variation(F.col("text"), types, F.col("run")), provider).alias("g"))
+    rows = got.select("doc_id", "run", F.posexplode(parse.repaired_reply(F.col("g.reply"))).alias("pos", "x")).select("doc_id", "run", (F.col("run").cast("long") * 1_000_000 + F.col("pos")).alias("seq"), "x.*")
+    return entities.self_consistency(rows, "doc_id", runs, share)
+
+
+def by_strategy(docs: DataFrame, provider: providers.Provider, types: list[str], strategy: str = "validation") -> DataFrame:
+    """(doc_id, type, value, confidence) by ``basic``, ``validation``, ``two_phase`` or ``self_consistency``; others raise."""
+    known = {"basic": basic, "validation": lambda *a: checked(basic(*a)), "two_phase": two_phase, "self_consistency": consistent}
+    if strategy not in known:
+        raise ValueError(f"unknown strategy {strategy}; known: {', '.join(known)}")
+    return known[strategy](docs, provider, types).select("doc_id", "type", "value", "confidence")
+
+
+def hybrid(docs: DataFrame, provider: providers.Provider, types: list[str], config: dict | None = None) -> DataFrame:
+    """(doc_id, type, value, confidence) by the first of the ways that ``config`` enables, else retrieval with validation.
+
+    ``rag_llm_validation``; ``ensemble_slm``: {"models": {name: (provider, weight)}, "method": ...};
+    ``pipeline``: {"keywords": ..., "extractor": ..., "method": ...} as of ``segmented``.
+    """
+    config = config or {}
+    on = next((n for n in ("rag_llm_validation", "ensemble_slm", "pipeline") if config.get(n, {}).get("enabled")), "rag_llm_validation")
+    own = config.get(on, {})
+    if on == "ensemble_slm":
+        runs = {n: basic(docs, p, types) for n, (p, _) in own["models"].items()}
+        weights = docs.sparkSession.createDataFrame([(n, float(w)) for n, (_, w) in own["models"].items()], "model string, weight double")
+        found = entities.ensemble(run_models(runs), weights, "doc_id", own.get("method", "weighted_vote"))
+    elif on == "pipeline":
+        found = segmented(docs, own["keywords"], own["extractor"], method=own.get("method", "section"))
+    else:
+        found = validated(docs, rag(docs, provider, types), provider, types)
+    return found.select("doc_id", "type", "value", "confidence")
 
 
 def validated(docs: DataFrame, found: DataFrame, provider: providers.Provider, types: list[str]) -> DataFrame:
@@ -34,9 +110,16 @@ def validated(docs: DataFrame, found: DataFrame, provider: providers.Provider, t
     return entities.merge_validation(found, ok, "doc_id")
 
 
-def segmented(docs: DataFrame, keywords: dict[str, list[str]], extractor, size: int = 2000, overlap: int = 200) -> DataFrame:
+def segments(docs: DataFrame, method: str = "section", size: int = 2000, overlap: int = 200) -> DataFrame:
+    """(doc_id, chunk_id, text, start, end): the sections of each document, or sliding windows by any other ``method``."""
+    if method == "section":
+        return chunking.detect_sections(docs, "doc_id").select("doc_id", F.col("section_no").alias("chunk_id"), "text", "start", "end")
+    return chunking.explode_chunks(docs, chunking.sliding(F.col("text"), size, overlap), "doc_id")
+
+
+def segmented(docs: DataFrame, keywords: dict[str, list[str]], extractor, size: int = 2000, overlap: int = 200, method: str = "section") -> DataFrame:
     """Cut, keep segments that mention a type's keyword, extract (a Column function to array<struct<type,value,start,end,confidence>>), shift, drop repeats."""
-    parts = chunking.explode_chunks(docs, chunking.sliding(F.col("text"), size, overlap), "doc_id").withColumnRenamed("start", "at")
+    parts = segments(docs, method, size, overlap).withColumnRenamed("start", "at")
     parts = parts.withColumn("relevant", relevant_types(F.col("text"), keywords)).where(F.size("relevant") > 0)
     rows = parts.select("doc_id", "chunk_id", "at", F.posexplode(extractor(F.col("text"))).alias("pos", "x"))
     rows = rows.select("doc_id", (F.col("chunk_id").cast("long") * 1_000_000 + F.col("pos")).alias("seq"), "x.type", "x.value", (F.col("x.start") + F.col("at")).alias("start"), (F.col("x.end") + F.col("at")).alias("end"), "x.confidence")

@@ -55,13 +55,47 @@ def sections(text: Column, names: tuple[str, ...] = ("socios", "sociedade", "reg
     return _join("Name the passages of the document that belong to each part: " + ", ".join(names) + ".", "Answer with JSON: " + '{"sections": {' + ", ".join(f'"{n}": ["..."]' for n in names) + "}}", F.concat(F.lit("Document:\n"), F.substr(text, F.lit(1), F.lit(most))))
 
 
+def from_section(part: Column, kind: str, types: list[str]) -> Column:
+    """Second of two phases: the entities of one part of the document."""
+    return _join(f"Extract the entities of these types from a passage of the part {kind}. Copy the text as it stands.", _types(types), f"Answer with JSON: {JSON_FORM}", F.concat(F.lit("Document:\n"), part))
+
+
+def grouped(text: Column, groups: dict[str, list[str]], most: int = 100_000) -> Column:
+    """The types under the headings of their groups."""
+    listed = "\n\n".join(f"{name}:\n" + "\n".join(f"- {t}" for t in ts) for name, ts in groups.items())
+    return _join("Extract the entities of these types, group by group. Copy the text as it stands.", listed, f"Answer with JSON: {JSON_FORM}", F.concat(F.lit("Document:\n"), truncate_marked(text, most)))
+
+
+def grouped_few_shot(text: Column, groups: dict[str, list[str]], examples: dict[str, tuple[str, str]], most: int = 15_000) -> Column:
+    """Groups of types, each with its example (text, expected JSON) if it has one."""
+    listed = "\n\n".join(f"{name}:\n" + "\n".join(f"- {t}" for t in ts) + (f"\nExample:\n{examples[name][0]}\n{examples[name][1]}" if name in examples else "") for name, ts in groups.items())
+    return _join("Extract the entities of these types, as in the examples of each group.", listed, f"Answer with JSON: {JSON_FORM}", F.concat(F.lit("Document:\n"), truncate_marked(text, most)))
+
+
+def full_reasoning(text: Column, groups: dict[str, list[str]], most: int = 100_000) -> Column:
+    """Steps through every group, then the answer in a schema."""
+    steps = "\n".join(f"{i}. Search for {name}: {', '.join(ts)}." for i, (name, ts) in enumerate(groups.items(), 1))
+    return _join("Work through the document in these steps and note what you find in each.", steps, f"End with JSON: {JSON_FORM}", F.concat(F.lit("Document:\n"), truncate_marked(text, most)))
+
+
+def compact(text: Column, types: list[str], most: int = 100_000) -> Column:
+    """A short form: types on one line."""
+    return _join(f"Types: {', '.join(types)}. Answer with JSON: {JSON_FORM}", truncate_marked(text, most))
+
+
+def core(text: Column, types: list[str], about: dict[str, str], most: int = 100_000) -> Column:
+    """Only the types that are described, with what counts and what doesn't."""
+    own = [t for t in types if t in about]
+    return _join("Extract only these core types; leave out what is mentioned in passing.", _types(own, about), f"Answer with JSON: {JSON_FORM}", F.concat(F.lit("Document:\n"), truncate_marked(text, most)))
+
+
 def validation(text: Column, candidates: Column, most: int = 50_000) -> Column:
     """Check candidates (array<struct<type,value>>) against the document."""
     listed = F.array_join(F.transform(candidates, lambda c: F.concat(F.lit("- "), c["type"], F.lit(": "), c["value"])), "\n")
     return _join("Check which candidates the document confirms; correct or leave out the others.", F.concat(F.lit("Candidates:\n"), listed), f"Answer with JSON: {JSON_FORM}", F.concat(F.lit("Document:\n"), F.substr(text, F.lit(1), F.lit(most))))
 
 
-STRATEGIES = {"zero_shot": zero_shot, "few_shot": few_shot, "chain_of_thought": chain_of_thought, "self_consistency": variation}
+STRATEGIES = {"zero_shot": zero_shot, "few_shot": few_shot, "chain_of_thought": chain_of_thought, "self_consistency": variation, "grouped": grouped, "grouped_few_shot": grouped_few_shot, "full_reasoning": full_reasoning, "compact": compact, "core": core}
 
 
 def strategy(name: str):

@@ -55,6 +55,28 @@ class RuleProvider:
         return reply, len(prompt) // 4, len(reply) // 4
 
 
+class PartProvider(RuleProvider):
+    """As ``RuleProvider``; asked for the parts of a document it sorts its lines: with an @ to the first part, with a digit to the last.
+
+    Without a line of the first kind its reply isn't JSON.
+    """
+
+    def generate(self, prompt: str) -> tuple[str, int, int]:
+        import json
+
+        if not prompt.startswith("Name the passages"):
+            return super().generate(prompt)
+        names = re.match(r"[^:]*: ([^\n]*)\.\n", prompt)[1].split(", ")
+        parts: dict[str, list[str]] = {n: [] for n in names}
+        for line in prompt.partition("Document:\n")[2].split("\n"):
+            if "@" in line:
+                parts[names[0]].append(line)
+            elif re.search("[0-9]", line):
+                parts[names[-1]].append(line)
+        reply = json.dumps({"sections": parts}, ensure_ascii=False) if parts[names[0]] else "none"
+        return reply, len(prompt) // 4, len(reply) // 4
+
+
 class Retrying:
     """Tries again after 2^n seconds, capped; the last error is raised."""
 
@@ -73,7 +95,7 @@ class Retrying:
         raise ValueError("tries must be 1 or more")
 
 
-_PROVIDERS: dict[str, Callable[..., Provider]] = {"rules": RuleProvider}
+_PROVIDERS: dict[str, Callable[..., Provider]] = {"rules": RuleProvider, "parts": PartProvider}
 
 
 def register(name: str):
@@ -139,7 +161,17 @@ class HashEmbedder:
         return out
 
 
-_EMBEDDERS: dict[str, Callable[..., Embedder]] = {"hash": HashEmbedder, "hash-e5": lambda **o: HashEmbedder(query_prefix="query: ", passage_prefix="passage: ", **o)}
+class LetterEmbedder:
+    """Deterministic: how often each of the letters a to z occurs, in any case, plus one for the text itself."""
+
+    dimension, query_prefix, passage_prefix = 27, "", ""
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        low = [(t or "").lower() for t in texts]
+        return [[*(float(t.count(chr(c))) for c in range(97, 123)), 1.0] for t in low]
+
+
+_EMBEDDERS: dict[str, Callable[..., Embedder]] = {"hash": HashEmbedder, "letters": LetterEmbedder, "hash-e5": lambda **o: HashEmbedder(query_prefix="query: ", passage_prefix="passage: ", **o)}
 
 
 def embedder(name: str, **options) -> Embedder:
@@ -148,8 +180,8 @@ def embedder(name: str, **options) -> Embedder:
     return _EMBEDDERS[name](**options)
 
 
-def embed(text: Column, model: Embedder, query: bool = False, batch: int = 100) -> Column:
-    """Vectors in batches; a batch that fails gives zero vectors."""
+def embed(text: Column, model: Embedder, query: bool = False, batch: int = 100, tries: int = 3, wait: float = 1.0) -> Column:
+    """Vectors in batches, each tried ``tries`` times with doubling pauses; a batch that fails gives zero vectors."""
     prefix = getattr(model, "query_prefix" if query else "passage_prefix", "")
 
     @F.arrow_udf("array<double>")
@@ -159,15 +191,34 @@ def embed(text: Column, model: Embedder, query: bool = False, batch: int = 100)
         out = []
         own = [prefix + (t or " ").replace("\n", " ") for t in texts.to_pylist()]
         for at in range(0, len(own), batch):
-            try:
-                out += model.embed(own[at : at + batch])
-            except Exception:
-                out += [[0.0] * model.dimension] * len(own[at : at + batch])
+            out += embed_batch(model, own[at : at + batch], tries, wait)
         return pa.array(out, pa.list_(pa.float64()))
 
     return run(text)
 
 
+def embed_batch(model: Embedder, texts: list[str], tries: int = 3, wait: float = 1.0) -> list[list[float]]:
+    for n in range(tries):
+        try:
+            return model.embed(texts)
+        except Exception:
+            if n < tries - 1:
+                time.sleep(wait * 2**n)
+    return [[0.0] * model.dimension] * len(texts)
+
+
+def pooled(tokens: Column, mask: Column, how: str = "mean") -> Column:
+    """One vector from a token model's output (array<array<double>>): the first token's, or the mean of those that ``mask`` marks by 1."""
+    if how == "cls":
+        return tokens[0]
+    if how != "mean":
+        raise ValueError(f"pooling: cls or mean, not {how}")
+    n = F.greatest(F.aggregate(mask, F.lit(0.0), lambda a, m: a + m), F.lit(1e-9))
+    marked = F.zip_with(tokens, mask, lambda t, m: F.transform(t, lambda x: x * m))
+    zero = F.transform(tokens[0], lambda x: F.lit(0.0))
+    return F.transform(F.aggregate(marked, zero, lambda a, t: F.zip_with(a, t, lambda x, y: x + y)), lambda x: x / n)
+
+
 def extract(docs: DataFrame, provider: Provider, prompt: Callable[[Column], Column], parse: Callable[[Column], Column], how: str = "truncate", size: int = 50_000, overlap: int = 1000) -> DataFrame:
     """(doc_id, seq, type, value, confidence) by prompting: ``direct``, ``truncate`` where a text doesn't fit, or ``chunk_aggregate``."""
     if how == "chunk_aggregate":

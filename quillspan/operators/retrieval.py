@@ -147,3 +147,70 @@ def select_demos(pool: DataFrame, n: int = 3, aim: int = 100) -> DataFrame:
     near = [F.abs(F.char_length("text") - aim), F.col("seq")]
     pool = pool.where(F.char_length("text") > 5).withColumn("dup", F.row_number().over(Window.partitionBy("type", "doc_id").orderBy(*near)))
     return pool.withColumn("r", F.row_number().over(Window.partitionBy("type").orderBy(F.col("dup") > 1, *near))).where(F.col("r") <= n).drop("dup")
+
+
+def flat_contexts(text: Column, model, queries: list[str], k: int = 5, size: int = 512, overlap: int = 128, bypass: int = 1000) -> Column:
+    """array<string>: for each query the best ``k`` word windows of a text by cosine, best first, joined by a blank.
+
+    A text of fewer than ``bypass`` words is its own context.  Windows,
+    vectors and their flat index belong to one document, so nothing is
+    shuffled; the queries are a stated, small list.
+    """
+    step = size - overlap
+
+    @F.arrow_udf("array<string>")
+    def run(texts):
+        import numpy as np
+        import pyarrow as pa
+
+        from quillspan.operators.providers import embed_batch
+
+        def unit(vectors):
+            v = np.asarray(vectors, float).reshape(len(vectors), -1)
+            return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+        asked = unit(embed_batch(model, [getattr(model, "query_prefix", "") + q for q in queries]))
+        out = []
+        for t in texts.to_pylist():
+            words = (t or "").split()
+            if len(words) < bypass:
+                out.append([t or ""] * len(queries))
+                continue
+            parts = [" ".join(words[i : i + size]) for i in range(0, len(words), step)]
+            score = np.round(asked @ unit(embed_batch(model, [getattr(model, "passage_prefix", "") + p for p in parts])).T, 9)
+            # ties by the earlier window
+            out.append([" ".join(parts[i] for i in np.lexsort((np.arange(len(parts)), -row))[:k]) for row in score])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return run(text)
+
+
+RETRIEVERS = ("dense", "bm25", "tfidf", "hybrid")
+
+
+def retriever(name: str, model=None, k: int = 5):
+    """A function (chunks, queries, key) -> ranked chunks by name: chunks (key, chunk_id, text), queries (key, query_id, query).
+
+    ``dense`` and ``hybrid`` (dense and BM25, fused) need an embedder.
+    """
+    from quillspan.operators.providers import embed
+
+    if name not in RETRIEVERS:
+        raise ValueError(f"unknown retriever {name}; known: {', '.join(RETRIEVERS)}")
+    if name in ("dense", "hybrid") and model is None:
+        raise ValueError(f"{name} needs an embedder")
+
+    def by_vectors(chunks: DataFrame, queries: DataFrame, key: str, most: int) -> DataFrame:
+        c = chunks.select(key, "chunk_id", embed(F.col("text"), model).alias("vector"))
+        q = queries.select(key, "query_id", embed(F.col("query"), model, query=True).alias("query_vector"))
+        return dense(c, q, key, most, "cosine", None).withColumn("score", F.round("score", 9))
+
+    def run(chunks: DataFrame, queries: DataFrame, key: str) -> DataFrame:
+        on = [key, "query_id"]
+        if name == "dense":
+            return by_vectors(chunks, queries, key, k)
+        if name == "hybrid":
+            return hybrid(by_vectors(chunks, queries, key, int(1.5 * k)), bm25(chunks, queries, key), on, k)
+        return top_k((bm25 if name == "bm25" else tfidf)(chunks, queries, key), on, k)
+
+    return run

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspan.operators import chunking, entities, parse, pipelines, prompts, providers, retrieval
 from quillspan.plans.registry import query
-from quillspan.plans.text_queries import table
+from quillspan.plans.text_queries import detected_sql, sliding_sql, table
 from quillspan.sources import annotations, vocab
 
 _EMB = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 20 = 0)"
@@ -217,12 +217,40 @@ def _spans(spark, sf_dir):
     return _runs(spark, sf_dir).withColumn("start", at).withColumn("end", at + F.char_length("value"))
 
 
-@query("resolve_overlaps_last")
+_SPAN_ROWS = f"""WITH RECURSIVE {_RUNS}, sp AS (SELECT *, CAST(seq % {_TURN} * 5 AS INT) AS start, CAST(seq % {_TURN} * 5 + length(value) AS INT) AS "end" FROM e)"""
+
+
+def _last_sql(rows, key="doc_id"):
+    """Common tables up to ``kept`` (key, seq): the fold that compares with the last kept span, a step of the recursion for each span.
+
+    ``slot`` counts what is kept; who takes a slot last stays.
+    """
+    over = "n.start < r.e"
+    return f"""{rows}, n AS (SELECT {key}, start, "end", confidence, seq, row_number() OVER (PARTITION BY {key} ORDER BY start, -"end", seq, "end", confidence) AS i FROM sp),
+r AS (SELECT {key}, i, 1 AS slot, seq AS q, "end" AS e, confidence AS c FROM n WHERE i = 1 UNION ALL
+  SELECT n.{key}, n.i, CASE WHEN {over} THEN slot ELSE slot + 1 END, CASE WHEN {over} AND n.confidence <= r.c THEN q ELSE n.seq END, CASE WHEN {over} AND n.confidence <= r.c THEN e ELSE n."end" END, CASE WHEN {over} AND n.confidence <= r.c THEN c ELSE n.confidence END
+  FROM r JOIN n ON n.{key} = r.{key} AND n.i = r.i + 1),
+kept AS (SELECT {key}, slot, arg_max(q, i) AS seq FROM r GROUP BY 1, 2)"""
+
+
+@query("resolve_overlaps_last", f"""{_last_sql(_SPAN_ROWS)} SELECT sp.doc_id, run, model, sp.seq, type, value, confidence, start, "end" FROM sp JOIN kept ON sp.doc_id = kept.doc_id AND sp.seq = kept.seq""")
 def resolve_last(spark, sf_dir):
     return entities.resolve_last(_spans(spark, sf_dir), "doc_id")
 
 
-@query("resolve_overlaps_any")
+_HIT = """list_filter(k, lambda y: n.start < y.e AND n."end" > y.s)"""
+
+
+@query(
+    "resolve_overlaps_any",
+    f"""{_SPAN_ROWS}, n AS (SELECT doc_id, start, "end", confidence, seq, row_number() OVER (PARTITION BY doc_id ORDER BY start, -"end", seq) AS i FROM sp),
+r AS (SELECT doc_id, i, [{{'s': start, 'e': "end", 'c': confidence, 'q': seq}}] AS k FROM n WHERE i = 1 UNION ALL
+  SELECT n.doc_id, n.i, CASE WHEN len({_HIT}) = 0 THEN list_append(k, {{'s': n.start, 'e': n."end", 'c': n.confidence, 'q': n.seq}})
+    WHEN n.confidence > {_HIT}[1].c THEN list_append(list_filter(k, lambda y: y.q <> {_HIT}[1].q), {{'s': n.start, 'e': n."end", 'c': n.confidence, 'q': n.seq}}) ELSE k END
+  FROM r JOIN n ON n.doc_id = r.doc_id AND n.i = r.i + 1),
+kept AS (SELECT doc_id, unnest(arg_max(k, i)).q AS seq FROM r GROUP BY 1)
+SELECT sp.doc_id, run, model, sp.seq, type, value, confidence, start, "end" FROM sp JOIN kept ON sp.doc_id = kept.doc_id AND sp.seq = kept.seq""",
+)
 def resolve_any(spark, sf_dir):
     return entities.resolve_any(_spans(spark, sf_dir), "doc_id")
 
@@ -255,17 +283,107 @@ def extract_provider(spark, sf_dir):
     return entities.dedup_first(got, "doc_id").select("doc_id", "type", "value")
 
 
-@query("extract_rag")
+_CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g'), '“”‘’–—', '""' || chr(39) || chr(39) || '--'), '(?i)\n\s*Page\s+\d+\s+of\s+\d+\s*\n', chr(10), 'g'), '\n\s*-\s*\d+\s*-\s*\n', chr(10), 'g'), '^\s+|\s+$', '', 'g')"""
+_LETTERS = "list_append(list_transform(range(97, 123), lambda c: CAST(length({0}) - length(replace({0}, chr(CAST(c AS INT)), '')) AS DOUBLE)), 1.0)"
+
+
+def _firsts_sql(rows):
+    """Rows (doc_id, type, value): of each type the matches in ``body``, values that differ in case only as first seen."""
+    one = " UNION ALL ".join(f"SELECT doc_id, place, '{t}' AS type, regexp_extract_all(body, '{p}') AS v FROM {rows}" for t, p in _RE.items())
+    return f"SELECT doc_id, type, first(value ORDER BY place, j) AS value FROM (SELECT doc_id, place, type, unnest(v) AS value, unnest(range(len(v))) AS j FROM ({one})) GROUP BY doc_id, type, lower(value)"
+
+
+@query(
+    "extract_rag",
+    f"""WITH c0 AS (SELECT doc_id, {_CLEAN} AS text FROM documents), c AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM c0),
+q0 AS (SELECT lower('{" ".join(f"{t}: {t}" for t in providers.RULES)}') AS t), q AS (SELECT {_LETTERS.format("t")} AS y FROM q0),
+p AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 512], ' ') AS part FROM (SELECT doc_id, w, unnest(range(0, len(w), 384)) AS i FROM c WHERE len(w) >= 1000)),
+r AS (SELECT doc_id, part, row_number() OVER (PARTITION BY doc_id ORDER BY round(list_cosine_similarity({_LETTERS.format("lower(part)")}, (SELECT y FROM q)), 9) DESC, i) AS rank FROM p),
+b AS (SELECT doc_id, 0 AS place, string_agg(part, ' ' ORDER BY rank) AS body FROM r WHERE rank <= 5 GROUP BY 1 UNION ALL SELECT doc_id, 0, text FROM c WHERE len(w) < 1000)
+{_firsts_sql("b")}""",
+)
 def extract_rag(spark, sf_dir):
-    return pipelines.rag(table(spark, sf_dir, "documents").select("doc_id", "text"), providers.create("rules"), list(providers.RULES))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pipelines.rag(docs, providers.create("rules"), list(providers.RULES), providers.embedder("letters")).select("doc_id", "type", "value")
+
+
+@query(
+    "extract_two_phase",
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(left(text, 20000), chr(10))) AS line, unnest(range(len(string_split(left(text, 20000), chr(10))))) AS no FROM documents),
+s AS (SELECT doc_id, CASE WHEN contains(line, '@') THEN 0 WHEN regexp_matches(line, '[0-9]') THEN 1 END AS part, line, no FROM l), f AS (SELECT DISTINCT doc_id FROM s WHERE part = 0),
+b AS (SELECT doc_id, part * 1000000 + no AS place, line AS body FROM s JOIN f USING (doc_id) WHERE part IS NOT NULL UNION ALL SELECT doc_id, 0, CASE WHEN length(text) > 100000 THEN left(text, 100000) ELSE text END FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM f)),
+m AS ({" UNION ALL ".join(f"SELECT doc_id, '{t}' AS type, unnest(regexp_extract_all(body, '{p}')) AS value FROM b" for t, p in _RE.items())}) SELECT DISTINCT doc_id, type, value FROM m""",
+)
+def extract_two_phase(spark, sf_dir):
+    return pipelines.two_phase(table(spark, sf_dir, "documents").select("doc_id", "text"), providers.create("parts"), list(providers.RULES)).select("doc_id", "type", "value")
+
+
+_ONCE = f"""WITH b AS (SELECT doc_id, 0 AS place, left(text, 100000) AS body FROM documents), m AS ({_firsts_sql("b")})"""
+
+
+@query("extract_consistent", f"{_ONCE} SELECT doc_id, type, value, CAST(3 AS BIGINT) AS votes, 0.9::DOUBLE AS confidence FROM m")
+def extract_consistent(spark, sf_dir):
+    got = pipelines.consistent(table(spark, sf_dir, "documents").select("doc_id", "text"), providers.create("rules"), list(providers.RULES))
+    return got.withColumn("confidence", F.round("confidence", 6))
 
 
-@query("extract_segments")
+@query("extract_hybrid", f"{_ONCE} SELECT doc_id, type, value, CAST(1 AS DOUBLE) AS confidence FROM m")
+def extract_hybrid(spark, sf_dir):
+    models = {"one": (providers.create("rules"), 0.75), "two": (providers.create("parts"), 0.5)}
+    config = {"ensemble_slm": {"enabled": True, "models": models, "method": "weighted_vote"}}
+    return pipelines.hybrid(table(spark, sf_dir, "documents").select("doc_id", "text"), providers.create("rules"), list(providers.RULES), config).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(
+    "pool_tokens",
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, CASE WHEN vec_id % 3 = 0 THEN [1, 1, 0, 1] WHEN vec_id % 3 = 1 THEN [1, 0, 0, 0] ELSE [0, 0, 0, 0] END AS m FROM embeddings),
+t AS (SELECT vec_id, m, list_transform(range(4), lambda i: e[CAST(i * 16 + 1 AS INT) : CAST(i * 16 + 16 AS INT)]) AS t FROM e)
+SELECT vec_id, list_transform(range(1, 17), lambda d: round(list_sum(list_transform(range(1, 5), lambda i: t[i][d] * m[i])) / greatest(list_sum(m), 1e-9), 6)) AS mean, list_transform(t[1], lambda x: round(x, 6)) AS cls FROM t""",
+)
+def pool_tokens(spark, sf_dir):
+    parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.transform(F.slice("embedding", i * 16 + 1, F.lit(16)), lambda x: x.cast("double")))
+    mask = F.when(F.col("vec_id") % 3 == 0, F.array(*map(F.lit, (1, 1, 0, 1)))).when(F.col("vec_id") % 3 == 1, F.array(*map(F.lit, (1, 0, 0, 0)))).otherwise(F.array(*map(F.lit, (0, 0, 0, 0))))
+    rounded = lambda c: F.transform(c, lambda x: F.round(x, 6))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", parts.alias("t"), mask.alias("m"))
+    return e.select("vec_id", rounded(providers.pooled(F.col("t"), F.col("m"))).alias("mean"), rounded(providers.pooled(F.col("t"), F.col("m"), "cls")).alias("cls"))
+
+
+def _found_sql(rows):
+    """``f`` (..., type, value, start, end, pos) of the rules' matches in ``body``: the gaps between matches give each its place."""
+    one = " UNION ALL ".join(f"SELECT *, {k} AS rule, '{t}' AS type, regexp_extract_all(body, '{p}') AS v, regexp_split_to_array(body, '{p}') AS gap FROM {rows}" for k, (t, p) in enumerate(_RE.items()))
+    return f"""m0 AS ({one}), m1 AS (SELECT * EXCLUDE (v, gap), unnest(v) AS value, unnest(range(len(v))) AS j, unnest(list_transform(range(len(v)), lambda j: list_sum(list_transform(gap[1 : j + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1 : j], lambda x: length(x))), 0))) AS start FROM m0),
+f AS (SELECT *, start + length(value) AS "end", row_number() OVER (PARTITION BY doc_id, chunk_id ORDER BY rule, j) - 1 AS pos FROM m1)"""
+
+
+_KEYS = {"EMAIL": ["@"], "TOKEN": ["token"], "IPV4": ["."]}
+
+
+@query(
+    "extract_segments",
+    f"""{sliding_sql(2000, 200)}, sel AS (SELECT doc_id, chunk_id, q, substring(w.text, q + 1, e - q) AS body FROM ch JOIN (SELECT doc_id, text FROM documents) w USING (doc_id) WHERE {" OR ".join(f"contains(lower(body), '{k}')" for ks in _KEYS.values() for k in ks)}),
+own AS (SELECT doc_id, chunk_id, q, regexp_replace(body, '^\\s+|\\s+$', '', 'g') AS body FROM sel), {_found_sql("own")},
+x AS (SELECT doc_id, CAST(chunk_id * 1000000 + pos AS BIGINT) AS seq, type, value, CAST(start + q AS INT) AS start, CAST("end" + q AS INT) AS "end", 0.9::DOUBLE AS confidence FROM f),
+d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type, lower(value) ORDER BY seq) AS r FROM x) SELECT doc_id, seq, type, value, start, "end", confidence FROM d WHERE r = 1""",
+)
 def extract_segments(spark, sf_dir):
-    return pipelines.segmented(table(spark, sf_dir, "documents"), {"EMAIL": ["@"], "TOKEN": ["token"], "IPV4": ["."]}, pipelines.rule_spans(providers.RULES))
+    return pipelines.segmented(table(spark, sf_dir, "documents"), _KEYS, pipelines.rule_spans(providers.RULES), method="sliding_window")
+
+
+@query(
+    "extract_sections",
+    f"""WITH {detected_sql("documents", "doc_id")}, sel AS (SELECT doc_id, section_no AS chunk_id, start AS q, text AS body FROM det), own AS (SELECT * FROM sel WHERE {" OR ".join(f"contains(lower(body), '{k}')" for ks in _KEYS.values() for k in ks)}), {_found_sql("own")},
+x AS (SELECT doc_id, CAST(chunk_id * 1000000 + pos AS BIGINT) AS seq, type, value, CAST(start + q AS INT) AS start, CAST("end" + q AS INT) AS "end", 0.9::DOUBLE AS confidence FROM f),
+d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type, lower(value) ORDER BY seq) AS r FROM x) SELECT doc_id, seq, type, value, start, "end", confidence FROM d WHERE r = 1""",
+)
+def extract_sections(spark, sf_dir):
+    return pipelines.segmented(table(spark, sf_dir, "documents").select("doc_id", "text"), _KEYS, pipelines.rule_spans(providers.RULES))
+
 
+_LONG = f"""WITH RECURSIVE own AS (SELECT doc_id, CAST(q // 1024 AS INT) AS chunk_id, q, substring(text, q + 1, 2048) AS body FROM (SELECT doc_id, text, unnest(CASE WHEN length(text) > 2048 THEN range(0, length(text), 1024) ELSE [0] END) AS q FROM documents WHERE text IS NOT NULL)),
+{_found_sql("own")}, sp AS (SELECT doc_id, CAST(chunk_id * 1000000 + pos AS BIGINT) AS seq, type, value, CAST(start + q AS INT) AS start, CAST("end" + q AS INT) AS "end", 0.9::DOUBLE AS confidence FROM f)"""
 
-@query("tag_long")
+
+@query("tag_long", f"""{_last_sql(_LONG)} SELECT sp.doc_id, sp.seq, type, value, start, "end", confidence FROM sp JOIN kept ON sp.doc_id = kept.doc_id AND sp.seq = kept.seq""")
 def tag_long(spark, sf_dir):
     return pipelines.tag_long(table(spark, sf_dir, "documents"), pipelines.rule_spans(providers.RULES))
 
@@ -302,7 +420,11 @@ def parse_repaired(spark, sf_dir):
     return _replies(spark, sf_dir).select("item_id", F.explode(parse.repaired_reply(F.col("reply"))).alias("x")).select("item_id", "x.*")
 
 
-@query("parse_model")
+@query(
+    "parse_model",
+    f"""SELECT item_id, 'PARTY' AS type, {_W} AS value, CAST(CASE WHEN item_id % 6 = 2 THEN 0.7 ELSE 0.5 END AS DOUBLE) AS confidence FROM benchmark WHERE item_id % 6 < 3 AND {_W} <> ''
+UNION ALL SELECT item_id, 'DATE', 'x ' || item_id, 0.9 FROM benchmark WHERE item_id % 6 < 2""",
+)
 def parse_model(spark, sf_dir):
     return _replies(spark, sf_dir).select("item_id", F.explode(parse.model_reply(F.col("reply"), ["PARTY", "DATE"])).alias("x")).select("item_id", "x.*")
 

@@ -283,6 +283,30 @@ def sections(spark, sf_dir):
     return C.sections(_headed(spark, sf_dir), "o_custkey")
 
 
+def detected_sql(source, key):
+    """Common tables up to ``det`` (key, section_no, kind, title, text, start, end): sections by all patterns, or the whole document."""
+    kind = " ".join(f"WHEN regexp_matches(s, '{p}') THEN '{k}'" for p, k in C.HEADINGS_FULL)
+    return f"""dl AS (SELECT {key}, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM {source}),
+dk AS (SELECT *, CASE {kind} END AS kind FROM (SELECT *, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS s FROM dl)),
+dn AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY {key} ORDER BY no) - length(line) - 1 AS q, count(kind) OVER (PARTITION BY {key} ORDER BY no) AS section_no, count(kind) OVER (PARTITION BY {key}) AS headings FROM dk),
+dt AS (SELECT {key}, section_no, coalesce(first(kind ORDER BY no), 'document') AS kind, CASE WHEN first(kind ORDER BY no) IS NULL THEN 'Document' ELSE first(s ORDER BY no) END AS title,
+  string_agg(CASE WHEN kind IS NULL THEN line ELSE s END, chr(10) ORDER BY no) AS text, min(q) AS start FROM dn WHERE section_no > 0 OR headings = 0 GROUP BY 1, 2),
+det AS (SELECT *, start + length(text) AS "end" FROM dt)"""
+
+
+_MIXED = """o AS (SELECT o_custkey, o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN '  ARTICLE ' || o_orderkey || ': ends ' || chr(10) WHEN 1 THEN 'Section 3 of it' || chr(10) WHEN 2 THEN '12. Title' || chr(10) WHEN 3 THEN 'IV - Term' || chr(10) WHEN 4 THEN 'GENERAL TERMS:' || chr(10) ELSE '' END || ' ' || o_orderpriority || ' x' AS line FROM orders),
+d AS (SELECT o_custkey, string_agg(line, chr(10) ORDER BY o_orderkey) AS text FROM o WHERE o_custkey % 3 > 0 OR o_orderkey % 9 > 4 GROUP BY 1)"""
+
+
+@query("sections_all", f"""WITH {_MIXED}, {detected_sql("d", "o_custkey")} SELECT o_custkey, CAST(section_no AS INT) AS section_no, kind, title, text, CAST(start AS INT) AS start, CAST("end" AS INT) AS "end" FROM det""")
+def sections_all(spark, sf_dir):
+    k = F.col("o_orderkey") % 9
+    head = F.when(k == 0, F.concat(F.lit("  ARTICLE "), F.col("o_orderkey").cast("string"), F.lit(": ends \n"))).when(k == 1, "Section 3 of it\n").when(k == 2, "12. Title\n").when(k == 3, "IV - Term\n").when(k == 4, "GENERAL TERMS:\n").otherwise("")
+    o = table(spark, sf_dir, "orders").where((F.col("o_custkey") % 3 > 0) | (k > 4)).select("o_custkey", "o_orderkey", F.concat(head, F.lit(" "), "o_orderpriority", F.lit(" x")).alias("line"))
+    d = o.groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return C.detect_sections(d, "o_custkey")
+
+
 _ADD = "list_append(out, {{'t': {0}, 's': {1}, 'e': {2}, 'k': {3}}})"
 _HELD = "CASE WHEN held IS NULL THEN body ELSE held || chr(10) || chr(10) || body END"
 
