@@ -454,7 +454,7 @@ def event_props(spark, sf_dir):
 
 def _qa(spark, sf_dir):
     """Nested question-answer files from pages and orders."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0")
+    o = table(spark, sf_dir, "orders")
     ans = F.array(F.struct(F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.col("o_orderpriority")).alias("text"), (F.col("o_orderkey") % 100).cast("int").alias("answer_start")))
     quoted = F.element_at(F.array(*[F.lit(x) for x in ("Governing Law", "Non-Compete", "Parties", "Unknown Thing")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
     qas = F.struct(F.concat(F.lit('Highlight the parts related to "'), quoted, F.lit('" that a lawyer reviews')).alias("question"), (F.col("o_orderkey") % 7 == 0).alias("is_impossible"), ans.alias("answers"))
@@ -462,7 +462,7 @@ def _qa(spark, sf_dir):
     return annotations.paragraphs(p)
 
 
-_QA = """o AS (SELECT 'c' || o_custkey AS title, o_orderkey AS k, o_orderpriority AS v, ['Governing Law', 'Non-Compete', 'Parties', 'Unknown Thing'][1 + o_orderkey % 4] AS q FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0)"""
+_QA = """o AS (SELECT 'c' || o_custkey AS title, o_orderkey AS k, o_orderpriority AS v, ['Governing Law', 'Non-Compete', 'Parties', 'Unknown Thing'][1 + o_orderkey % 4] AS q FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0)"""
 
 
 @query(
@@ -486,11 +486,11 @@ def qa_clauses(spark, sf_dir):
 
 @query(
     "qa_gold",
-    f"""WITH {_QA} SELECT title || '_0' AS doc_id, CASE q WHEN 'Governing Law' THEN 'GOVERNING_LAW' WHEN 'Non-Compete' THEN 'NON_COMPETE' ELSE 'PARTIES' END AS type, count(*) AS n FROM o WHERE q <> 'Unknown Thing' GROUP BY ALL""",
+    f"""WITH {_QA} SELECT title || '_0' AS doc_id, CASE q WHEN 'Governing Law' THEN 'GOVERNING_LAW' WHEN 'Non-Compete' THEN 'NON_COMPETE' ELSE 'PARTIES' END AS type, count(*) AS n, string_agg(v, '|' ORDER BY v) AS found FROM o WHERE q <> 'Unknown Thing' GROUP BY 1, 2""",
 )
 def qa_gold(spark, sf_dir):
     g = annotations.gold_by_type(_qa(spark, sf_dir), lambda q: annotations.question_clause(q, vocab.CLAUSES), keep_empty=False)
-    return g.select("doc_id", F.explode("gold").alias("type", "v")).select("doc_id", "type", F.size("v").cast("long").alias("n"))
+    return g.select("doc_id", F.explode("gold").alias("type", "v")).select("doc_id", "type", F.size("v").cast("long").alias("n"), F.array_join(F.sort_array("v"), "|").alias("found"))
 
 
 @query(
@@ -513,17 +513,64 @@ def latest_results(spark, sf_dir):
     return annotations.latest_results(f, "run").drop("ts").groupBy("path", "stamp").agg(F.count("*").alias("n"))
 
 
-@query("prompt_rendering")
+_GROUPS = {"people": ["PARTY"], "days": ["AGMT_DATE", "END_DATE"]}
+_JSON = '{"entities": [{"type": "TYPE", "value": "exact text", "confidence": 0.95}]}'
+_LIST, _GAP, _ANSWER, _END = "Types:\n- PARTY\n- AGMT_DATE", "\n\n", f"Answer with JSON: {_JSON}", "Document:\n"
+#: The static part of each prompt, which the document follows, or (before, after) it.
+_PROMPTS = {
+    "zero_shot": f"Extract the entities of these types. Copy the text as it stands.{_GAP}{_LIST}{_GAP}{_ANSWER}{_GAP}{_END}",
+    "few_shot": f'Extract the entities of these types, as in the examples.{_GAP}{_LIST}{_GAP}Example 1:\nACME signs\n{{"entities": []}}{_GAP}{_ANSWER}{_GAP}{_END}',
+    "chain_of_thought": f"Work in steps: name the kind of document, find the passages for each type, copy the text, check it, then answer.{_GAP}{_LIST}{_GAP}End with JSON: {_JSON}{_GAP}{_END}",
+    "question": ("Contract:\n", f'{_GAP}Question: Who signs?{_GAP}Copy the passages that answer it word for word, separated by "|||". If there is none, answer "No related clause".'),
+    "sections": f'Name the passages of the document that belong to each part: socios, sociedade, registro.{_GAP}Answer with JSON: {{"sections": {{"socios": ["..."], "sociedade": ["..."], "registro": ["..."]}}}}{_GAP}{_END}',
+    "from_section": f"Extract the entities of these types from a passage of the part registro. Copy the text as it stands.{_GAP}{_LIST}{_GAP}{_ANSWER}{_GAP}{_END}",
+    "grouped": f"Extract the entities of these types, group by group. Copy the text as it stands.{_GAP}people:\n- PARTY{_GAP}days:\n- AGMT_DATE\n- END_DATE{_GAP}{_ANSWER}{_GAP}{_END}",
+    "grouped_few_shot": f"Extract the entities of these types, as in the examples of each group.{_GAP}people:\n- PARTY\nExample:\nACME signs\n[]{_GAP}days:\n- AGMT_DATE\n- END_DATE{_GAP}{_ANSWER}{_GAP}{_END}",
+    "full_reasoning": f"Work through the document in these steps and note what you find in each.{_GAP}1. Search for people: PARTY.\n2. Search for days: AGMT_DATE, END_DATE.{_GAP}End with JSON: {_JSON}{_GAP}{_END}",
+    "compact": f"Types: PARTY, AGMT_DATE. {_ANSWER}{_GAP}",
+    "core": f"Extract only these core types; leave out what is mentioned in passing.{_GAP}Types:\n- PARTY: who signs{_GAP}{_ANSWER}{_GAP}{_END}",
+    "validation": f"Check which candidates the document confirms; correct or leave out the others.{_GAP}Candidates:\n- PARTY: ACME{_GAP}{_ANSWER}{_GAP}{_END}",
+}
+_RUN_WORDS = ("Read the contract from start to end and list every match.", "Go through the types one by one and search the contract for each.", "First mark candidate passages, then keep those that fit a type exactly.")
+
+
+def _lit(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _prompt_sql(name, part):
+    before, after = part if isinstance(part, tuple) else (part, "")
+    return f"SELECT item_id, '{name}' AS strategy, {_lit(before)} || text || {_lit(after)} AS prompt FROM benchmark"
+
+
+@query(
+    "prompt_rendering",
+    " UNION ALL ".join(_prompt_sql(n, p) for n, p in _PROMPTS.items())
+    + f" UNION ALL SELECT item_id, 'variation', CASE item_id % 3 WHEN 0 THEN {_lit(_RUN_WORDS[0])} WHEN 1 THEN {_lit(_RUN_WORDS[1])} ELSE {_lit(_RUN_WORDS[2])} END || {_lit(f'{_GAP}{_LIST}{_GAP}{_ANSWER}{_GAP}{_END}')} || text FROM benchmark",
+)
 def prompt_rendering(spark, sf_dir):
-    d, types = table(spark, sf_dir, "benchmark"), ["PARTY", "AGMT_DATE"]
-    t = F.col("text")
-    made = {"zero_shot": prompts.zero_shot(t, types), "few_shot": prompts.few_shot(t, types, [("ACME signs", '{"entities": []}')]), "chain_of_thought": prompts.chain_of_thought(t, types), "variation": prompts.variation(t, types, F.col("item_id")), "question": prompts.question(t, F.lit("Who signs?")), "sections": prompts.sections(t)}
+    t, types, example = F.col("text"), ["PARTY", "AGMT_DATE"], ("ACME signs", '{"entities": []}')
+    made = {
+        "zero_shot": prompts.zero_shot(t, types), "few_shot": prompts.few_shot(t, types, [example]), "chain_of_thought": prompts.chain_of_thought(t, types), "variation": prompts.variation(t, types, F.col("item_id")),
+        "question": prompts.question(t, F.lit("Who signs?")), "sections": prompts.sections(t), "from_section": prompts.from_section(t, "registro", types), "grouped": prompts.grouped(t, _GROUPS),
+        "grouped_few_shot": prompts.grouped_few_shot(t, _GROUPS, {"people": ("ACME signs", "[]")}), "full_reasoning": prompts.full_reasoning(t, _GROUPS), "compact": prompts.compact(t, types), "core": prompts.core(t, types, {"PARTY": "who signs"}),
+        "validation": prompts.validation(t, F.array(F.struct(F.lit("PARTY").alias("type"), F.lit("ACME").alias("value")))),
+    }
+    d = table(spark, sf_dir, "benchmark")
     return d.select("item_id", F.explode(F.create_map(*[x for k, v in made.items() for x in (F.lit(k), v)])).alias("strategy", "prompt"))
 
 
-@query("prompt_batches", "SELECT item_id, CAST(i AS INT) AS batch FROM benchmark CROSS JOIN range(5) t(i)")
+def _batch_lists():
+    return ", ".join(f"({i}, {_lit(chr(10).join(f'- {c}' for c in vocab.CLAUSES[10 * i : 10 * i + 10]))})" for i in range(5))
+
+
+@query(
+    "prompt_batches",
+    f"""SELECT item_id, CAST(batch AS INT) AS batch, md5('Contract:' || chr(10) || text || {_lit(_GAP + "Clauses:" + chr(10))} || listed || {_lit(_GAP + 'Answer with JSON: clause -> passages separated by "|||", or "No related clause".')}) AS prompt FROM benchmark CROSS JOIN (VALUES {_batch_lists()}) v(batch, listed)""",
+)
 def prompt_batches(spark, sf_dir):
-    return prompts.per_batch(table(spark, sf_dir, "benchmark"), retrieval.batches(vocab.clause_groups(spark))).select("item_id", "batch")
+    got = prompts.per_batch(table(spark, sf_dir, "benchmark"), retrieval.batches(vocab.clause_groups(spark)))
+    return got.select("item_id", "batch", F.md5("prompt").alias("prompt"))
 
 
 @query(
