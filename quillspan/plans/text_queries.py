@@ -329,12 +329,23 @@ def section_chunks(spark, sf_dir):
     return C.section_chunks(C.sections(_headed(spark, sf_dir), "o_custkey"), "o_custkey")
 
 
-@query("chunk_semantic")
+_VECTOR = "list_append(list_transform(range(97, 123), lambda c: CAST(length(lower(v)) - length(replace(lower(v), chr(CAST(c AS INT)), '')) AS DOUBLE)), 1.0)"
+_CUT = "(r.c < 0 OR r.size + length(v) > 1024 OR (cos < 0.7 AND r.size >= 256))"
+
+
+@query(
+    "chunk_semantic",
+    f"""WITH RECURSIVE {SENTENCES_SQL}, sv AS (SELECT *, {_VECTOR} AS x FROM st), sc AS (SELECT *, coalesce(list_cosine_similarity(x, lag(x) OVER (PARTITION BY doc_id ORDER BY i)), 1.0) AS cos FROM sv),
+r AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS c, CAST(0 AS BIGINT) AS size FROM sc WHERE i = 1
+  UNION ALL SELECT sc.doc_id, sc.i, CASE WHEN {_CUT} THEN r.c + 1 ELSE r.c END, CASE WHEN {_CUT} THEN 0 ELSE r.size END + length(v) + 1 FROM r JOIN sc ON sc.doc_id = r.doc_id AND sc.i = r.i + 1)
+SELECT r.doc_id, CAST(c AS INT) AS chunk_id, md5(string_agg(v, ' ' ORDER BY st.i)) AS text, CAST(min(s) AS INT) AS start, CAST(max(e) AS INT) AS "end" FROM r JOIN st ON st.doc_id = r.doc_id AND st.i = r.i GROUP BY 1, 2""",
+)
 def chunk_semantic(spark, sf_dir):
-    from quillspan.operators.providers import HashEmbedder, embed
+    from quillspan.operators.providers import embed, embedder
 
     s = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
-    return C.semantic(s.select("doc_id", "pos", "s.text", "s.start", "s.end", embed(F.col("s.text"), HashEmbedder()).alias("vector")), "doc_id")
+    s = s.select("doc_id", "pos", "s.text", "s.start", "s.end", embed(F.col("s.text"), embedder("letters")).alias("vector"))
+    return C.semantic(s, "doc_id").withColumn("text", F.md5("text"))
 
 
 @query(
