@@ -52,7 +52,7 @@ def decode(tokens: DataFrame, key: str, orphans: str = "start") -> DataFrame:
 
 
 def class_weights(entities: DataFrame, documents: DataFrame, types: list[str]) -> DataFrame:
-    """(label, weight): inverse frequency over the mean, within 0.1 and 10; words, entities and their further words are counted."""
+    """(label, weight): inverse frequency over the mean, within 0.1 and 10; words, entities and their further words are counted.  Without any, all weights are 1."""
     n_words = lambda c: F.size(F.filter(F.split(c, r"(?U)\s+"), lambda w: w != ""))
     o = documents.agg(F.coalesce(F.sum(n_words(F.col("text"))), F.lit(0)).alias("n")).select(F.lit("O").alias("label"), "n")
     each = entities.where(F.col("type").isin(types)).groupBy("type").agg(F.count("*").alias("b"), F.sum(F.greatest(n_words(F.col("value")) - 1, F.lit(1))).alias("i"))
@@ -61,7 +61,7 @@ def class_weights(entities: DataFrame, documents: DataFrame, types: list[str]) -
     counts = documents.sparkSession.createDataFrame([(x,) for x in labels(types)], "label string").join(o.unionByName(marked), "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     raw = counts.join(F.broadcast(total)).select("label", (F.col("total") / (F.lit(len(labels(types))) * F.col("n") + 1)).alias("w"))
-    return raw.join(F.broadcast(raw.agg(F.avg("w").alias("m")))).select("label", F.least(F.greatest(F.col("w") / F.col("m"), F.lit(0.1)), F.lit(10.0)).alias("weight"))
+    return raw.join(F.broadcast(raw.agg(F.avg("w").alias("m")))).select("label", F.least(F.greatest(F.when(F.col("m") > 0, F.col("w") / F.col("m")).otherwise(1.0), F.lit(0.1)), F.lit(10.0)).alias("weight"))
 
 
 def split_order(df: DataFrame, key: str, seed: int = 42) -> DataFrame:

@@ -456,7 +456,7 @@ def _qa(spark, sf_dir):
     """Nested question-answer files from pages and orders."""
     o = table(spark, sf_dir, "orders")
     ans = F.array(F.struct(F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.col("o_orderpriority")).alias("text"), (F.col("o_orderkey") % 100).cast("int").alias("answer_start")))
-    quoted = F.element_at(F.array(*[F.lit(x) for x in ("Governing Law", "Non-Compete", "Parties", "Unknown Thing")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    quoted = F.try_element_at(F.array(*[F.lit(x) for x in ("Governing Law", "Non-Compete", "Parties", "Unknown Thing")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
     qas = F.struct(F.concat(F.lit('Highlight the parts related to "'), quoted, F.lit('" that a lawyer reviews')).alias("question"), (F.col("o_orderkey") % 7 == 0).alias("is_impossible"), ans.alias("answers"))
     p = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", qas.alias("q")))).alias("q")).select(F.array(F.struct(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("title"), F.array(F.struct(F.lit("context text").alias("context"), F.transform("q", lambda x: x["q"]).alias("qas"))).alias("paragraphs"))).alias("data"))
     return annotations.paragraphs(p)

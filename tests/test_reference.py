@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import random
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quillspan.functions import similarity as S
 from quillspan.functions import text as T
 from quillspan.functions import validate as V
-from quillspan.operators import bio, chunking, entities, evaluate, parse, pipelines, providers
+from quillspan.operators import bio, chunking, entities, evaluate, parse, pipelines, providers, retrieval
 from quillspan.sources import annotations, config, sinks
 
 
@@ -197,24 +200,166 @@ def test_documents_are_chunked_and_retrieved(spark, tmp_path):
         texts.append(" ".join(parts))
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     q = entry.queries()
-    want = set()
+    want, types, model = set(), list(providers.RULES), providers.LetterEmbedder()
+    (asked,) = model.embed([" ".join(f"{t}: {t}" for t in types)])
+    cos = lambda x, y: sum(a * b for a, b in zip(x, y, strict=True)) / math.sqrt(sum(a * a for a in x) * sum(b * b for b in y))
     for d, text in enumerate(texts):
-        chunks = [c for c, _, _ in chunking.walk_sliding(text, 512, 128)]
-        words = [[w for w in re.findall(r"\w+", c.lower()) if len(w) > 2] for c in chunks]
-        df, mean = sum("email" in w for w in words), sum(map(len, words)) / len(words)
-        idf = math.log(len(words) - df + 0.5) - math.log(df + 0.5)
-        assert len(chunks) > 15 and idf > 0
-        tf = [w.count("email") for w in words]
-        score = [round(idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len(w) / mean)), 12) for f, w in zip(tf, words, strict=True)]
-        best = sorted((i for i in range(len(chunks)) if tf[i]), key=lambda i: (-score[i], i))[:5]
-        want |= {(d, m) for i in best for m in re.findall(providers.RULES["EMAIL"], chunks[i])}
+        words = text.split()
+        parts = [" ".join(words[i : i + 512]) for i in range(0, len(words), 384)]
+        assert len(words) >= 1000 and len(parts) > 5
+        best = sorted(range(len(parts)), key=lambda i: (-round(cos(model.embed([parts[i]])[0], asked), 9), i))[:5]
+        want |= {(d, m) for i in best for m in re.findall(providers.RULES["EMAIL"], parts[i])}
     assert {(x.doc_id, x.value) for x in q["extract_rag"](spark, str(tmp_path)).where("type = 'EMAIL'").collect()} == want
-    got = q["chunk_semantic"](spark, str(tmp_path)).collect()
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    sentences = docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s")).select("doc_id", "pos", "s.*")
+    got = chunking.semantic(sentences.withColumn("vector", providers.embed(F.col("text"), model)), "doc_id").collect()
     for d, text in enumerate(texts):
         own = sorted((x for x in got if x.doc_id == d), key=lambda x: x.chunk_id)
         assert " ".join(x.text for x in own).split() == text.split() and all(len(x.text) <= 1024 for x in own)
 
 
+def test_flat_contexts(spark):
+    """Short and null texts are their own context; of equal windows the first ones are taken."""
+
+    class Zeros(providers.LetterEmbedder):
+        def embed(self, texts):
+            return [[0.0] * self.dimension] * len(texts)
+
+    long = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, long), (2, "a b"), (3, None), (4, "")], "doc_id long, text string")
+    make = lambda m: {r[0]: r[1] for r in df.select("doc_id", retrieval.flat_contexts(F.col("text"), m, ["x", "w"], 2, 20, 5, 10)).collect()}
+    assert make(providers.LetterEmbedder())[2] == ["a b", "a b"] and make(providers.LetterEmbedder())[3] == ["", ""]
+    words = long.split()
+    assert make(Zeros())[1] == [" ".join(words[:20]) + " " + " ".join(words[15:35])] * 2
+
+
+def test_embedding_is_tried_again():
+    calls = []
+
+    class Twice(providers.LetterEmbedder):
+        def embed(self, texts):
+            calls.append(len(texts))
+            if len(calls) < 3:
+                raise OSError("busy")
+            return super().embed(texts)
+
+    assert providers.embed_batch(Twice(), ["ab"], wait=0)[0][:3] == [1.0, 1.0, 0.0] and calls == [1, 1, 1]
+    calls.clear()
+    assert providers.embed_batch(Twice(), ["ab"], tries=2, wait=0) == [[0.0] * 27]
+
+
+def test_retrievers(spark):
+    chunks = spark.createDataFrame([(1, 0, "alpha beta gamma"), (1, 1, "delta epsilon"), (1, 2, "alpha alpha zeta"), (2, 0, "alpha")], "k long, chunk_id int, text string")
+    asked = spark.createDataFrame([(1, "q", "alpha zeta")], "k long, query_id string, query string")
+    for name in retrieval.RETRIEVERS:
+        got = retrieval.retriever(name, providers.LetterEmbedder(), 2)(chunks, asked, "k").orderBy("rank").collect()
+        assert got and got[0].chunk_id == 2 and len(got) <= 2
+    for name, model in (("dense", None), ("hybrid", None), ("nearest", providers.LetterEmbedder())):
+        with pytest.raises(ValueError):
+            retrieval.retriever(name, model)
+
+
+def test_strategies(spark):
+    df = spark.createDataFrame([(1, "mail a@b.com now\n1.2.3.4 x\nnothing"), (2, "no mail, 1.2.3.4"), (3, None)], "doc_id long, text string")
+    types, parts = list(providers.RULES), providers.create("parts")
+    want = {(1, "EMAIL", "a@b.com"), (1, "IPV4", "1.2.3.4"), (2, "IPV4", "1.2.3.4")}
+    for strategy in ("basic", "validation", "two_phase", "self_consistency"):
+        got = pipelines.by_strategy(df, parts, types, strategy).collect()
+        assert {(r.doc_id, r.type, r.value) for r in got} == want and len(got) == len(want)
+    with pytest.raises(ValueError):
+        pipelines.by_strategy(df, parts, types, "other")
+    keys = {"EMAIL": ["@"], "IPV4": ["."]}
+    for config in (None, {"pipeline": {"enabled": True, "keywords": keys, "extractor": pipelines.rule_spans(providers.RULES)}}, {"ensemble_slm": {"enabled": True, "models": {"m": (parts, 1.0)}, "method": "union"}}):
+        assert {(r.doc_id, r.type, r.value) for r in pipelines.hybrid(df, parts, types, config).collect()} == want
+
+
+def test_votes_keep_the_most_confident(spark):
+    rows = [(1, "m1", 0, "PARTY", "Acme", 0.5), (1, "m2", 1, "PARTY", "ACME ", 0.9), (1, "m1", 2, "PARTY", "acme", 0.9), (1, "m1", 3, "DATE", "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, model string, seq long, type string, value string, confidence double")
+    none = spark.createDataFrame([], "model string, weight double")
+    for method in ("vote", "weighted_vote", "confidence_max", "union", "unknown"):
+        assert {r.value for r in entities.ensemble(df, none, "doc_id", method).where("type = 'PARTY'").collect()} == {"ACME "}
+
+
+def test_drop_similar_against_a_loop(spark):
+    r = random.Random(6)
+    words = ["acme", "corp", "inc", "acme", "limited", "of", "north"]
+    rows = [(d, i, " ".join(r.choice(words) for _ in range(r.randrange(1, 5)))) for d in range(3) for i in range(40)]
+    got = entities.drop_similar(spark.createDataFrame(rows, "doc_id long, seq long, value string"), "doc_id").collect()
+
+    def alike(a, b):
+        own, its = set(a.split()), set(b.split())
+        return 0.4 * len(own & its) / len(its) + 0.6 * SequenceMatcher(None, a, b).ratio()
+
+    want = []
+    for d in range(3):
+        kept = []
+        for _, i, v in sorted(x for x in rows if x[0] == d):
+            if all(alike(v, k) < 0.8 for k in kept):
+                kept.append(v)
+                want.append((d, i))
+    assert sorted((x.doc_id, x.seq) for x in got) == want
+
+
+def plain_recursive(text, size, overlap, marks):
+    """The recursive splitter by string operations, without offsets."""
+    if len(text) <= size:
+        return [text.strip()] if text.strip() else []
+    if not marks:
+        head, rest = text[:size].strip(), text[size - overlap :]
+        return [head, *(plain_recursive(rest, size, overlap, marks) if rest.strip() else [])]
+    parts = re.findall(f"(?s).*?{re.escape(marks[0])}|.+", text) if marks[0] else list(text)
+    packs, now = [], ""
+    for p in parts:
+        if now and len(now) + len(p) > size:
+            packs.append(now)
+            now = ""
+        now += p
+    packs.append(now)
+    return [c for p in packs for c in plain_recursive(p, size, overlap, marks[1:])]
+
+
+def test_recursive_chunks_against_strings():
+    r = random.Random(9)
+    for _ in range(300):
+        text = "".join(r.choice(["a", "bc", ". ", "\n", "\n\n", " ", "d" * 30]) for _ in range(r.randrange(0, 120)))
+        assert [c for c, _, _ in chunking.walk_recursive(text, 40, 10)] == plain_recursive(text, 40, 10, list(chunking.SEPARATORS))
+
+
+def test_splits_are_exact(spark):
+    df = spark.createDataFrame([(i,) for i in range(103)], "doc_id long").repartition(5)
+    got = bio.folds(bio.train_validation(df, "doc_id"), "doc_id").collect()
+    assert sum(r.split == "validation" for r in got) == int(103 * 0.15)
+    assert sorted(Counter(r.fold for r in got).items()) == [(0, 20), (1, 20), (2, 20), (3, 20), (4, 23)]
+    assert bio.folds(df.limit(0), "doc_id").count() == 0
+
+
+SMALL = "/root/testdata/sf0.001"
+TABLES = [f.removesuffix(".parquet") for f in sorted(os.listdir(SMALL))]
+
+
+def _reference_queries():
+    return {n: f for n, f in entry.queries().items() if not re.match(r"op\d+_|pipeline$", n)}
+
+
+def test_queries_on_empty_tables(spark, tmp_path):
+    for t in TABLES:
+        spark.read.parquet(f"{SMALL}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    for name, f in _reference_queries().items():
+        f(spark, str(tmp_path)).collect()
+
+
+def test_queries_with_nulls(spark, tmp_path):
+    """A row of nulls, an empty text and repeated rows in every table: no query fails."""
+    for t in TABLES:
+        df = spark.read.parquet(f"{SMALL}/{t}.parquet").limit(30)
+        null = spark.createDataFrame([tuple(None for _ in df.columns)], df.schema)
+        texts = [F.lit("").alias(c) if kind == "string" else F.col(c) for c, kind in df.dtypes]
+        df.union(null).union(df.limit(3)).union(df.limit(1).select(*texts)).write.parquet(f"{tmp_path}/{t}.parquet")
+    for name, f in _reference_queries().items():
+        f(spark, str(tmp_path)).collect()
+
+
 def test_truncated_replies(spark, tmp_path):
     """A reply cut before its last brackets gives no rows to the retrieval parser; the repairing one finds its entities."""
     spark.createDataFrame([(i, f"Word{'abcdef'[i]} rest") for i in range(6)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
