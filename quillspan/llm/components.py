@@ -59,20 +59,39 @@ def _thin(batches):
     yield out()
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b: long); root is the smallest node reachable.
-
-    Alternating star contraction: each round links every node's larger
-    neighbours to its smallest one, then its smaller neighbours likewise, until
-    only stars are left.  A hub's links are spread by hash of the other end
-    and its minimum is pre-aggregated; only skewed joins, which Spark can
-    split, meet on a hub.  Each round is written to the shared folder.
+#: Up to so many links, after thinning, one task joins them all; it holds a few tens of MB.
+ONE_TASK = 100_000
+
+
+def _join_all(batches):
+    """(node, root) for every integer of the links, in one task."""
+    forest = Forest()
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            forest.parent.setdefault(a, a)
+            forest.parent.setdefault(b, b)
+            forest.join(a, b)
+    both = np.array([(x, forest.find(x)) for x in forest.parent], np.int64).reshape(-1, 2)
+    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["node", "root"])
+
+
+def components(edges: DataFrame, scratch: Scratch, rounds: int = 60, most: int | None = None) -> DataFrame:
+    """(node, root) for every node of ``edges`` (a, b: long), saved; root is the smallest node reachable.
+
+    Each task first thins its links to stars.  If few are left (``ONE_TASK``,
+    measured), one task joins them; otherwise by alternating star contraction:
+    each round links every node's larger neighbours to its smallest one, then
+    its smaller neighbours likewise, until only stars are left.  A hub's links
+    are spread by hash of the other end and its minimum is pre-aggregated;
+    only skewed joins, which Spark can split, meet on a hub.  Each round is
+    written to the shared folder.  Both ways give the same result.
+    ``most``: a bound on the links, if it is known.
     """
     ordered = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    now = scratch.save(ordered(edges.select("a", "b").mapInArrow(_thin, "a long, b long")).distinct())
+    now = scratch.save(ordered(edges.select("a", "b").mapInArrow(_thin, "a long, b long")).distinct(), most)
     size = _measure(now)
-    if size[0] == 0:
-        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if size[0] <= ONE_TASK:
+        return scratch.save(now.coalesce(1).mapInArrow(_join_all, "node long, root long"))
     for _ in range(rounds):
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -88,7 +107,7 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return scratch.save(roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
 
 
 def _measure(edges: DataFrame) -> tuple:

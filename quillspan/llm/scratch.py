@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,20 +36,55 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+#: Bytes of input that go to one file of a saved table, and rows of a small table.
+FILE_BYTES, FILE_ROWS = 32 << 20, 1 << 20
+
+
+def files_for(df: DataFrame) -> int:
+    """How many files a table of about the size of ``df`` should have: of ``FILE_BYTES`` each, and as many for each core.
+
+    By the optimizer's estimate, which is the files' size for a table that is
+    read and too large rather than too small for others.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return cores * -(-min(max(size, 1), 1 << 60) // (FILE_BYTES * cores))
+
+
+def few_files(df: DataFrame, files: int) -> DataFrame:
+    """``df`` in about ``files`` partitions if it would have many more, so that a small input doesn't become very many tiny files.
+
+    A plan without a shuffle gets fewer tasks.  What comes from a shuffle is
+    dealt again only if the session asks for over four times as many
+    partitions; otherwise adaptive execution's choice stays.
+    """
+    if not re.search(r"(?<!Broadcast)Exchange", df._jdf.queryExecution().executedPlan().toString()):
+        return df.coalesce(files)
+    return df.repartition(files) if 4 * files < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 class Scratch:
-    """A private folder below the shared one; tables saved there are read back as new roots of a plan."""
+    """A private folder below the shared one; tables saved there are read back as new roots of a plan.
+
+    ``like``: a table of the size of those that will be saved; it bounds the number of files.
+    """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, like: DataFrame | None = None):
         self.spark = spark
         bounded_batches(spark)
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.files = None if like is None else files_for(like)
         self._n = 0
 
-    def save(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
-        """Write ``df`` once and return a DataFrame that reads the written files."""
+    def save(self, df: DataFrame, rows: int | None = None, codec: str = "zstd") -> DataFrame:
+        """Write ``df`` once and return a DataFrame that reads the written files; ``rows``: a bound on its rows, if it is known."""
         self._n += 1
         path = f"{self.path}/t{self._n}"
         schema = df.schema
+        if rows is not None:
+            df = df.repartition(1 + rows // FILE_ROWS)
+        elif self.files:
+            df = few_files(df, self.files)
         df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path

@@ -59,13 +59,13 @@ def shingle_runs(col, shingle: int, seed: int):
         yield b.rows[piece[heads]], heads, h
 
 
-def _count_bits(ones: np.ndarray, total: np.ndarray, rows: np.ndarray, heads: np.ndarray, h: np.ndarray) -> None:
+def count_bits(ones: np.ndarray, total: np.ndarray, rows: np.ndarray, heads: np.ndarray, h: np.ndarray) -> None:
     bits = np.unpackbits(h.byteswap().view(np.uint8).reshape(-1, 8), axis=1)
     np.add.at(ones, rows, np.add.reduceat(bits, heads, axis=0, dtype=np.int64))
     np.add.at(total, rows, np.diff(np.append(heads, len(h))))
 
 
-def _majority(ones: np.ndarray, total: np.ndarray) -> np.ndarray:
+def majority(ones: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > total[:, None], axis=1).view(np.uint64).byteswap().ravel()
 
 
@@ -74,8 +74,8 @@ def fingerprint_texts(col, shingle: int = 4, seed: int = 42) -> np.ndarray:
     ones = np.zeros((len(col), 64), np.int64)
     total = np.zeros(len(col), np.int64)
     for rows, heads, h in shingle_runs(col, shingle, seed):
-        _count_bits(ones, total, rows, heads, h)
-    return _majority(ones, total)
+        count_bits(ones, total, rows, heads, h)
+    return majority(ones, total)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -169,15 +169,16 @@ def _by_table(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, "fp")
 
 
-def links(fps: DataFrame, scratch: Scratch, radius: int = 4) -> DataFrame:
+def links(fps: DataFrame, scratch: Scratch, radius: int = 4, most: int | None = None) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that differ in at most ``radius`` bits.
 
     Not all pairs: as many links as hold the connected groups together.
+    ``most``: a bound on the fingerprints, if it is known.
     """
     first, second = masks(radius), masks(radius, seed=5)
     tables = F.array(*[F.struct(F.lit(i).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("k")) for i, m in enumerate(first)])
     rows = fps.select("fp", F.explode(tables).alias("x")).select("x.t", "x.k", "fp")
-    found = scratch.save(_by_table(rows, "t", "k").mapInArrow(_linker(radius, BUCKET), "kind int, a long, b long"))
+    found = scratch.save(_by_table(rows, "t", "k").mapInArrow(_linker(radius, BUCKET), "kind int, a long, b long"), most)
     over = found.where("kind = 1").select(F.col("a").alias("t"), F.col("b").alias("fp"))
     mask: Column = F.element_at(F.array(*[F.lit(m).cast("long") for m in first]), (F.col("t") + 1).cast("int"))
     tables = F.array(*[F.struct(F.lit(i).cast("long").alias("u"), F.col("fp").bitwiseAND(mask.bitwiseOR(F.lit(m).cast("long"))).alias("k")) for i, m in enumerate(second)])
@@ -194,7 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links, and a group of such rows only has a null component; repeated ids
     give repeated rows.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
+    scratch = Scratch(docs.sparkSession, "simhash", docs)
     fp = scratch.save(fingerprints(docs, id_col, text_col, shingle, seed))
     node = scratch.save(fp.groupBy("fp").agg(F.min("id").alias("low")))
     root = components(links(node.select("fp"), scratch, radius), scratch).withColumnsRenamed({"node": "fp"})

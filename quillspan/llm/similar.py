@@ -1,15 +1,24 @@
 """Groups of documents whose word shingles have a Jaccard similarity of ``similarity`` or more.
 
-Texts with equal shingle sets are one node.  A few rounds over MinHash bands
-join most groups cheaply: each node meets one pivot of its buckets a round.
-What they miss is found by an exact join.  Each text's distinct shingles are
-put in one common order, those that many texts have last, and two texts of n
-shingles or more can only reach similarity t if they share one of their first
-n - ceil(t n) + 1, at places that leave enough shingles behind them.  All pairs
-with such a shingle that aren't in one group yet are decided by the exact
-Jaccard similarity of the whole texts, so no pair is lost (up to collisions of
-64 bits of hash).  The order is estimated from a sample; it bears on the cost
-only, any order gives the same groups.
+SimHash leads: texts with equal shingle sets are one node, and nodes whose
+fingerprints differ in few bits are linked by the covering of ``simhash``.  At
+a similarity of 0.8 two fingerprints of 64 bits differ in about ten, which no
+covering of a practical number of tables reaches, and some pairs within four
+bits are below 0.8.  So every link is decided by the exact similarity of the
+whole texts, and an exact join finds what the covering can't.
+
+That join is by prefixes.  Each text's distinct shingles are put in one common
+order, those that many texts have last.  Let a text of n shingles have the
+prefix of its first n - ceil(t n) + 1.  Two texts that reach similarity t share
+at least ``alpha`` shingles, and of those the first in the order lie in both
+prefixes, as many as ``_shared_at_least`` says.  Texts that have too few such
+shared shingles with any other are left alone; of the rest each node is compared,
+in a few rounds, with one pivot of the prefixes it shares, the one it shares
+most with, which joins large groups at a cost that follows their size.  All
+pairs that are left, nodes of different groups that share enough of their
+prefixes, are then compared without exception, so no pair is lost (up to
+collisions of 64 bits of hash).  The order is estimated from a sample; it bears
+on the cost only, any order gives the same groups.
 """
 
 from __future__ import annotations
@@ -18,27 +27,32 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm import simhash
 from quillspan.llm.components import components
 from quillspan.llm.scratch import Scratch
 from quillspan.llm.simhash import shingle_runs
 from quillspan.llm.words import mix
 
-#: MinHash bands and the hashes in each.
-BANDS, ROWS = 32, 7
-#: Rounds over the bands; what they leave is left to the exact join.
+#: Rounds of pivots; what they leave is left to the exact join.
 ROUNDS = 3
-#: Texts in the sample for the order of shingles, and members of a shingle's block in the exact join.
-SAMPLE, BLOCK = 4000, 2048
-_SALT = np.random.default_rng(20).integers(0, 1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64)
+#: Texts in the sample for the order of shingles.
+SAMPLE = 20_000
+#: Nodes of a shingle from which it counts as hot and isn't paired off in advance; nodes in a block of the exact join.
+HOT, BLOCK = 64, 4096
 
 
-def _distinct(col, shingle: int, seed: int = 42):
-    """(row, the sorted distinct shingle hashes) of each text that has words; a long text's parts come one after the other."""
+def _distinct(col, shingle: int, seed: int = 42, ones: np.ndarray | None = None, total: np.ndarray | None = None):
+    """(row, the sorted distinct shingle hashes) of each text that has words; a long text's parts come one after the other.
+
+    ``ones`` and ``total``, if given, gather the bit counts of the fingerprints.
+    """
     at, some = -1, []
     for rows, heads, h in shingle_runs(col, shingle, seed):
+        if ones is not None:
+            simhash.count_bits(ones, total, rows, heads, h)
         for row, lo, hi in zip(rows.tolist(), heads, np.append(heads[1:], len(h)), strict=True):
             if row != at:
                 if some:
@@ -49,27 +63,6 @@ def _distinct(col, shingle: int, seed: int = 42):
         yield at, np.unique(np.concatenate(some))
 
 
-def sketches(col, shingle: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes of the shingle set and band keys of each text; a text without words has set (0, 0)."""
-    n = len(col)
-    least = np.full((n, BANDS * ROWS), np.iinfo(np.uint64).max, np.uint64)
-    sets = np.zeros((n, 2), np.uint64)
-    with np.errstate(over="ignore"):
-        for row, h in _distinct(col, shingle, seed):
-            sets[row] = np.sum(mix(h), dtype=np.uint64), np.sum(mix(h ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)
-        for rows, heads, h in shingle_runs(col, shingle, seed):
-            for p in range(BANDS * ROWS):
-                v = np.minimum.reduceat((h ^ _SALT[0, p]) * (_SALT[1, p] | np.uint64(1)), heads)
-                least[rows, p] = np.minimum(least[rows, p], v)
-        keys = np.zeros((n, BANDS), np.uint64)
-        for b in range(BANDS):
-            k = np.full(n, b + 1, np.uint64)
-            for p in range(b * ROWS, (b + 1) * ROWS):
-                k = mix(k * np.uint64(0x9E3779B97F4A7C15) + least[:, p])
-            keys[:, b] = k
-    return sets[:, 0], sets[:, 1], keys
-
-
 def _lists(parts: list, n: int) -> pa.Array:
     """An Arrow array of lists from (row, hashes) pairs with ascending rows; other rows have empty lists."""
     size = np.zeros(n + 1, np.int64)
@@ -79,17 +72,9 @@ def _lists(parts: list, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(np.cumsum(size).astype(np.int32), pa.array(flat.view(np.int64)))
 
 
-def _sketched(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, s1, s2, keys) for each row."""
-
-    @F.arrow_udf("s1 long, s2 long, keys array<long>")
-    def of(texts: pa.Array) -> pa.Array:
-        s1, s2, keys = sketches(texts, shingle)
-        listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel().view(np.int64)))
-        return pa.StructArray.from_arrays([*(pa.array(x.view(np.int64)) for x in (s1, s2)), listed], ["s1", "s2", "keys"])
-
-    got = docs.select(F.col(id_col).cast("long").alias("id"), of(F.col(text_col).cast("string")).alias("x"))
-    return got.select("id", "x.*")
+def _least(n, similarity: float):
+    """The shingles that a text of ``n`` must share."""
+    return np.ceil(similarity * n - 1e-9).astype(np.int64)
 
 
 def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,13 +92,59 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], got.column("count").to_numpy().astype(np.int64)[order] * every
 
 
-def _least(n, similarity: float):
-    """The shingles that a text of ``n`` must share."""
-    return np.ceil(similarity * n - 1e-9).astype(np.int64)
+def _sketched(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(id, s1, s2, fp, size, first) of each row (id, text).
+
+    Two hashes of the set of shingles, the fingerprint, the set's size and its
+    first shingles in the common order; a text without words has set (0, 0).
+    """
+    common = texts.sparkSession.sparkContext.broadcast(_common(texts, shingle))
+
+    def often(h: np.ndarray) -> np.ndarray:
+        known, count = common.value
+        if not len(known):
+            return np.zeros(len(h), np.int64)
+        i = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        return np.where(known[i] == h, count[i], 0)
+
+    @F.arrow_udf("s1 long, s2 long, fp long, size int, first array<long>")
+    def of(col: pa.Array) -> pa.Array:
+        n = len(col)
+        sets, size, parts = np.zeros((n, 2), np.uint64), np.zeros(n, np.int32), []
+        ones, total = np.zeros((n, 64), np.int64), np.zeros(n, np.int64)
+        with np.errstate(over="ignore"):
+            for row, h in _distinct(col, shingle, 42, ones, total):
+                sets[row] = np.sum(mix(h), dtype=np.uint64), np.sum(mix(h ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)
+                size[row] = len(h)
+                parts.append((row, h[np.lexsort((h, often(h)))[: len(h) - int(_least(len(h), similarity)) + 1]]))
+        fp = simhash.majority(ones, total).view(np.int64)
+        return pa.StructArray.from_arrays([*(pa.array(sets[:, k].copy().view(np.int64)) for k in (0, 1)), pa.array(fp), pa.array(size), _lists(parts, n)], ["s1", "s2", "fp", "size", "first"])
+
+    return texts.select("id", of("text").alias("x")).select("id", "x.*")
+
+
+def _ceil(x: Column) -> Column:
+    return F.ceil(x - 1e-9).cast("int")
+
+
+def _alpha(na: Column, nb: Column, t: float) -> Column:
+    """The shingles that two similar texts of these sizes share."""
+    return _ceil(t / (1 + t) * (na + nb))
+
+
+def _shared_at_least(na: Column, nb: Column, t: float) -> Column:
+    """The shingles in both prefixes of two similar texts; more than any text has if the sizes rule a pair out.
+
+    The k-th shared shingle has at most k - 1 shared ones and n - alpha others
+    before it, so it is among the first n - ceil(t n) + 1 if k is at most
+    alpha - ceil(t n) + 1.
+    """
+    k = _alpha(na, nb, t) + 1 - _ceil(t * F.greatest(na, nb))
+    return F.when(F.least(na, nb) >= _ceil(t * F.greatest(na, nb)), k).otherwise(F.lit(2**31 - 1))
 
 
 def _close(a: tuple, b: tuple, similarity: float) -> np.ndarray:
-    """Whether rows (id, root, place, size) that share a shingle may be similar, if it is their first one in common."""
+    """Whether two rows (id, root, place, size) of different groups that share a shingle may be similar, if it is their first one in common."""
     (_, ra, pa_, na), (_, rb, pb, nb) = a, b
     return (ra != rb) & (np.minimum(na - pa_, nb - pb) >= _least((na + nb) / (1 + similarity), similarity))
 
@@ -141,13 +172,12 @@ def _pairs(similarity: float):
         for lo, n in zip(head[mixed & (size > 2)].tolist(), size[mixed & (size > 2)].tolist(), strict=True):
             yield from bucket([c[lo : lo + n] for c in cols])
 
-    def out(found):
+    def merged(found):
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        both = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b)), axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+        return np.unique(np.stack((np.maximum(a, b), np.minimum(a, b)), axis=1), axis=0)
 
     def run(batches):
-        rest, found, n = [np.zeros(0, np.int64)] * 5, [], 0
+        rest, found, n, limit = [np.zeros(0, np.int64)] * 5, [], 0, 200_000
         for batch in itertools.chain(batches, [None]):
             if batch is None:
                 now, cut = rest, len(rest[0])
@@ -158,144 +188,146 @@ def _pairs(similarity: float):
             for a, b in runs(*(c[:cut] for c in now)) if cut else ():
                 found.append((a, b))
                 n += len(a)
-                if n > 200_000 or len(found) > 20_000:
-                    yield out(found)
-                    found, n = [], 0
-        if found:
-            yield out(found)
+                if n > 2 * limit or len(found) > 20_000:
+                    both = merged(found)  # a pair that shares many shingles here is handed on once
+                    found, n = [(both[:, 0], both[:, 1])], len(both)
+                    if n > limit:
+                        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+                        found, n = [], 0
+        if n:
+            both = merged(found)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     return run
 
 
-def _unjoined(texts: DataFrame, placed: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b): all pairs of nodes with different roots (placed: id, root) that may be similar."""
-    common = texts.sparkSession.sparkContext.broadcast(_common(texts, shingle))
-
-    def often(h: np.ndarray) -> np.ndarray:
-        known, count = common.value
-        if not len(known):
-            return np.zeros(len(h), np.int64)
-        i = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        return np.where(known[i] == h, count[i], 0)
-
-    @F.arrow_udf("size long, first array<long>")
-    def of(col: pa.Array) -> pa.Array:
-        size, parts = np.zeros(len(col), np.int64), []
-        for row, h in _distinct(col, shingle):
-            size[row] = len(h)
-            parts.append((row, h[np.lexsort((h, often(h)))[: len(h) - int(_least(len(h), similarity)) + 1]]))
-        return pa.StructArray.from_arrays([pa.array(size), _lists(parts, len(col))], ["size", "first"])
-
-    def deal(batches):
-        """A row for each shingle; one that very many texts have is dealt into blocks, of which every two meet under a key of their own."""
-        for whole in batches:
-            ends = np.cumsum(np.diff(whole.column(3).offsets.to_numpy()))
-            part = ends // 50_000  # some texts at a time
-            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
-            for lo, hi in itertools.pairwise(cuts):
-                yield from dealt(whole.slice(lo, hi - lo))
-
-    def dealt(batch):
-        id_, root, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        first = batch.column(3)
-        n = np.diff(first.offsets.to_numpy())
-        if not n.sum():
-            return
-        h = first.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        row = np.repeat(np.arange(len(n)), n)
-        place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-        cells = np.maximum(1, -(-often(h) // BLOCK))
-        own = (mix(id_.view(np.uint64)[row]) % cells.astype(np.uint64)).astype(np.int64)
-        at = np.repeat(np.arange(len(h)), cells)
-        other = np.arange(len(at)) - np.repeat(np.cumsum(cells) - cells, cells)
-        own = own[at]
-        cell = (np.minimum(own, other) << 32 | np.maximum(own, other)).view(np.uint64)
-        with np.errstate(over="ignore"):
-            key = np.where(cells[at] > 1, mix(h[at] + mix(cell)), h[at]).view(np.int64)
-        cols = key, id_[row[at]], root[row[at]], place[at], size[row[at]]
-        for lo in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000]) for c in cols], ["key", "id", "root", "place", "size"])
-
-    first = texts.select("id", of("text").alias("x")).select("id", "x.*").where("size > 0")
-    rows = first.join(placed, "id").select("id", "root", "size", "first")
-    rows = rows.mapInArrow(deal, "key long, id long, root long, place long, size long")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs(similarity), "a long, b long").distinct()
-
-
-def jaccard(left, right, shingle: int, seed: int = 42) -> np.ndarray:
-    """The exact Jaccard similarity of the shingle sets of two Arrow text columns, row by row; 1 where both are empty."""
-    n = len(left)
-    seen, size = [], []
-    for col in (left, right):
-        row, hash_ = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for rows, heads, h in shingle_runs(col, shingle, seed):
-            row.append(np.repeat(rows, np.diff(np.append(heads, len(h)))))
-            hash_.append(h)
-        row, hash_ = np.concatenate(row), np.concatenate(hash_)
-        order = np.lexsort((hash_, row))
-        row, hash_ = row[order], hash_[order]
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (hash_[1:] != hash_[:-1])
-        seen.append((row[new], hash_[new]))
-        size.append(np.bincount(row[new], minlength=n))
-    row, hash_ = (np.concatenate(x) for x in zip(*seen, strict=True))
-    order = np.lexsort((hash_, row))
-    row, hash_ = row[order], hash_[order]
-    both = np.bincount(row[1:][(row[1:] == row[:-1]) & (hash_[1:] == hash_[:-1])], minlength=n)
-    union = size[0] + size[1] - both
-    return np.where(union > 0, both / np.maximum(union, 1), 1.0)
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are similar enough."""
-
-    @F.arrow_udf("double")
-    def of(left: pa.Array, right: pa.Array) -> pa.Array:
-        return pa.array(jaccard(left, right, shingle))
-
-    t = lambda end: texts.select(F.col("id").alias(end), F.col("text").alias(f"text_{end}"))
-    both = pairs.join(t("b"), "b").join(t("a"), "a")
-    return both.where(of("text_a", "text_b") >= similarity).select("a", "b").distinct()
-
-
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+class _Nodes:
+    """The nodes that can have a partner, and the groups they are in so far."""
+
+    def __init__(self, scratch: Scratch, made: DataFrame, texts: DataFrame, shingle: int, similarity: float):
+        self.scratch, self.similarity, self.turn = scratch, similarity, 0
+        rows = made.select("id", "size", F.posexplode("first").alias("place", "key"))
+        often = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        #: (key, id, size, place, n) of the shingles in several nodes' prefixes.
+        shared = scratch.save(rows.join(often, "key").select("key", "id", "place", "size", "n"))
+        most = shared.count()
+        ids = scratch.save(self._partnered(shared).select("id").distinct(), most)
+        self.count = ids.count()
+        self.rows = scratch.save(shared.join(ids, "id", "left_semi").select("key", "id", "place", "size"), most)
+        self.n_rows = self.rows.count()
+        scratch.drop(shared)
+
+        @F.arrow_udf("array<long>")
+        def whole(col: pa.Array) -> pa.Array:
+            return _lists(list(_distinct(col, shingle)), len(col))
+
+        # texts are moved and cut into shingles once, those of nodes that can have a partner only
+        self.sets = scratch.save(texts.join(ids, "id", "left_semi").select("id", whole("text").alias("set")))
+        self.root = ids.select("id", F.col("id").alias("root"))
+
+    def _partnered(self, shared: DataFrame) -> DataFrame:
+        """(id) of the nodes that have a hot shingle, or share enough others with some node.
+
+        At most ``HOT`` nodes meet at a shingle here.
+        """
+        hot = shared.where(F.col("n") > HOT).groupBy("id").agg(F.count("*").alias("hot"))
+        cool = shared.where(F.col("n") <= HOT).select("key", "id", "size")
+        pairs = cool.join(cool.toDF("key", "b", "nb"), "key").where("id > b").groupBy("id", "size", "b", "nb").agg(F.count("*").alias("c"))
+        # what they may share besides are hot shingles, of which each has a few
+        pairs = pairs.join(hot, "id", "left").join(hot.toDF("b", "hot_b"), "b", "left")
+        more = F.least(F.coalesce("hot", F.lit(0)), F.coalesce("hot_b", F.lit(0)))
+        near = pairs.where(F.col("c") + more >= _shared_at_least(F.col("size"), F.col("nb"), self.similarity))
+        return near.select(F.explode(F.array("id", "b")).alias("id")).union(hot.select("id"))
+
+    def placed(self, rows: DataFrame, node: str = "id", root: str = "root") -> DataFrame:
+        return rows.join(self.root.withColumnsRenamed({"id": node, "root": root}), node)
+
+    def compare(self, pairs: DataFrame) -> int:
+        """Join the groups of the pairs (a, b) that are similar enough; returns how many are."""
+        own = lambda end: self.sets.select(F.col("id").alias(end), F.col("set").alias(f"set_{end}"))
+        both = pairs.join(own("b"), "b").join(own("a"), "a")
+        n = F.size(F.array_intersect("set_a", "set_b"))
+        near = both.where(n / (F.size("set_a") + F.size("set_b") - n) >= self.similarity)
+        found = self.scratch.save(near.select("a", "b").distinct(), self.count)
+        n_found = found.count()
+        if n_found:
+            # only the groups are joined anew: the smallest node of each stands for it
+            links = self.placed(self.placed(found, "a", "ra"), "b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+            new = components(links, self.scratch, most=self.count).select(F.col("node").alias("root"), F.col("root").alias("new"))
+            moved = self.root.join(new, "root", "left").select("id", F.coalesce("new", "root").alias("root"))
+            self.root = self.scratch.save(moved, self.count)
+        return n_found
+
+    def unsettled(self) -> DataFrame:
+        """Rows (key, id, place, size, root, p, n) of the shingles that nodes of different groups have; p: a pivot, n: how many have it."""
+        now = self.placed(self.rows)
+        rank = F.xxhash64("id", "key", F.lit(self.turn)) if self.turn else F.col("id")
+        pivot = now.groupBy("key").agg(F.min_by(F.struct("id", "root", "place", "size"), rank).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
+        self.rows = self.scratch.save(now.join(pivot.where("lo < hi").select("key", "p", "n"), "key"), self.n_rows)
+        got, self.rows, self.turn = self.rows, self.rows.select("key", "id", "place", "size"), self.turn + 1
+        return got
+
+    def pivots(self) -> DataFrame:
+        """(a, b): each node with one pivot of another group, the one it shares most of its prefix with, if that is half of what it takes or more."""
+        names = ["id", "root", "place", "size"]
+        met = self.unsettled().select(*names, *(f"p.{c}" for c in names)).toDF(*names, *(f"p_{c}" for c in names))
+        met = met.where(F.col("root") != F.col("p_root")).groupBy("id", "size", "p_id", "p_size").agg(F.count("*").alias("n"))
+        met = met.where(2 * F.col("n") >= _shared_at_least(F.col("size"), F.col("p_size"), self.similarity))
+        return self.scratch.save(met.groupBy(F.col("id").alias("a")).agg(F.max_by("p_id", F.struct("n", -F.col("p_id"))).alias("b")), self.count)
+
+    def all_pairs(self) -> DataFrame:
+        """(a, b): all pairs of nodes of different groups that may be similar.
+
+        A shingle of more than ``BLOCK`` nodes is dealt into cells, of which
+        every two meet under a key of their own.  Of the pairs that some shared
+        shingle proposes those stay that share enough of their prefixes.
+        """
+        cells = F.ceil(F.col("n") / BLOCK).cast("int")
+        all_ = self.unsettled().select("key", "id", "root", "place", "size", cells.alias("cells"))
+        rows = all_.withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+        key = F.when(F.col("cells") > 1, F.xxhash64("key", F.least("cell", "other"), F.greatest("cell", "other"))).otherwise(F.col("key"))
+        rows = rows.select(key.alias("key"), "id", "root", F.col("place").cast("long"), F.col("size").cast("long"))
+        met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs(self.similarity), "a long, b long").distinct()
+        # nodes of different groups have all their common shingles among these rows
+        keys = self.scratch.save(all_.groupBy("id", "size").agg(F.collect_list("key").alias("keys")), self.n_rows)
+        own = lambda end: keys.select(F.col("id").alias(end), F.col("size").alias(f"n{end}"), F.col("keys").alias(f"keys_{end}"))
+        both = met.join(own("b"), "b").join(own("a"), "a")
+        enough = F.size(F.array_intersect("keys_a", "keys_b")) >= _shared_at_least(F.col("na"), F.col("nb"), self.similarity)
+        return self.scratch.save(both.where(enough).select("a", "b").distinct())
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """(id, component): component is the smallest id reachable over pairs of ``similarity`` or more, the row's own included.
 
     Defined results: null and wordless texts have the empty set and are similar
     to each other only; a text of fewer words than a shingle is one shingle;
     rows with a null id have a null component and link nothing; rows that
-    repeat an id are one node, linked by any of their texts.
+    repeat an id are one node, linked by any of their texts; an empty table
+    gives an empty one; other columns of ``docs`` don't matter.
     """
-    scratch = Scratch(docs.sparkSession, "similar")
-    made = scratch.save(_sketched(docs, id_col, text_col, shingle).where("id is not null"))
-    low = made.groupBy("s1", "s2").agg(F.min("id").alias("low"))
-    same = made.join(low, ["s1", "s2"])
-    found = scratch.save(same.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
-    nodes = scratch.save(same.where("id = low and (s1 <> 0 or s2 <> 0)").select("id", "keys"))
+    scratch = Scratch(docs.sparkSession, "similar", docs)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        return scratch.save(_verified(pairs, texts.join(ids, "id", "left_semi"), shingle, similarity))
-
-    def placed(rows: DataFrame) -> DataFrame:
-        return rows.join(root.withColumnsRenamed({"node": "id"}), "id", "left").withColumn("root", F.coalesce("root", "id"))
-
-    buckets = scratch.save(nodes.select("id", F.explode("keys").alias("key")).join(nodes.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key"), "key", "left_semi").select("id", "key"))
-    root = scratch.save(components(found, scratch))
-    for n in range(ROUNDS):
-        # the pivot is another member each round, and members outside its group meet it, each node one pivot
-        now, rank = placed(buckets), F.xxhash64("id", "key", F.lit(n)) if n else F.col("id")
-        first = now.groupBy("key").agg(F.min_by(F.struct("id", "root"), rank).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        pairs = now.join(first, "key").where("root <> p.root").groupBy(F.col("id").alias("a")).agg(F.min(F.col("p.id")).alias("b"))
-        new = compared(scratch.save(pairs))
-        if new.isEmpty():
+    made = scratch.save(_sketched(texts, shingle, similarity))
+    low = made.groupBy("s1", "s2").agg(F.min("id").alias("low"))
+    same = made.select("id", "s1", "s2").join(low, ["s1", "s2"])
+    copies = same.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
+    unique = made.join(low.withColumnRenamed("low", "id"), ["s1", "s2", "id"], "left_semi").where("size > 0")
+    nodes = _Nodes(scratch, unique, texts, shingle, similarity)
+
+    # the covering: nodes of equal fingerprints, and fingerprints within the radius
+    fps = scratch.save(unique.select("id", "fp").join(nodes.root.select("id"), "id", "left_semi"), 2 * nodes.count)
+    first = fps.groupBy("fp").agg(F.min("id").alias("low"))
+    linked = simhash.links(first.select("fp"), scratch, radius, nodes.count).distinct()
+    near = linked.join(first.withColumnsRenamed({"fp": "a", "low": "x"}), "a").join(first.withColumnsRenamed({"fp": "b", "low": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    equal = fps.join(first, "fp").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
+    nodes.compare(scratch.save(near.union(equal), 2 * nodes.count))
+
+    for _ in range(ROUNDS):
+        if 50 * nodes.compare(nodes.pivots()) <= nodes.count:
             break
-        found = found.union(new)
-        root = scratch.save(components(found, scratch))
-    new = compared(scratch.save(_unjoined(texts, placed(nodes.select("id").distinct()), shingle, similarity)))
-    if not new.isEmpty():
-        root = scratch.save(components(found.union(new), scratch))
-    got = made.select("id").join(root.withColumnsRenamed({"node": "id", "root": "component"}), "id", "left")
-    got = got.select("id", F.coalesce("component", "id").alias("component"))
+    nodes.compare(nodes.all_pairs())
+
+    joined = nodes.root.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+    root = components(copies.union(joined), scratch).withColumnsRenamed({"node": "id", "root": "component"})
+    got = made.select("id").join(root, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     return got.union(docs.where(F.col(id_col).cast("long").isNull()).select(F.lit(None).cast("long"), F.lit(None).cast("long")))

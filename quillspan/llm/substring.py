@@ -164,7 +164,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies of each other, so their windows repeat; rows with null or equal ids
     are told apart by their texts.
     """
-    scratch = Scratch(docs.sparkSession, "substring")
+    scratch = Scratch(docs.sparkSession, "substring", docs)
     text = F.col("row")[text_col].cast("string").alias("text")  # once in a row, so that a shuffle moves it once
     keyed = docs.select(F.struct("*").alias("row")).select("row", F.col("row")[id_col].cast("long").alias("id"), F.xxhash64(F.col("row")[text_col]).alias("h"))
     seeds = scratch.save(keyed.select("id", "h", text).mapInArrow(_anchors(window, seed_words), "g long, nb long, id long, h long, nw int, los array<int>"))
