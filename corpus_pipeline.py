@@ -8,12 +8,14 @@ reading them again as the next one's input.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm import bpe, decontam, quality, similar, substring
 from quillspan.llm.queries import tokenizer_path
-from quillspan.llm.scratch import Scratch
+from quillspan.llm.scratch import Scratch, few_files, files_for
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document stays if the classifier gives label 1 this likelihood or more.
@@ -35,6 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     gone = got.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = got.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("doc_id"))
+    if again.isEmpty():
+        return kept
     once = kept.join(again, "doc_id", "left_semi").select(*docs.columns).groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("row")).select("row.*")
     return kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(once)
 
@@ -60,7 +64,25 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return got.select("row.doc_id", "row.lang", "row.source", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 
-STAGES = [("quality classifier", quality_filter), ("near-duplicates", near_duplicates), ("repeated passages", repeated_passages), ("benchmark leaks", benchmark_leaks), ("tokens", tokens)]
+
+
+def _in_few_files(stage):
+    """The stage's rows in no more files than a table of its input's size should have."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return few_files(stage(spark, docs, sf_dir), files_for(docs))
+
+    return run
+
+
+STAGES = [
+    ("quality classifier", _in_few_files(quality_filter)),
+    ("near-duplicates", _in_few_files(near_duplicates)),
+    ("repeated passages", _in_few_files(repeated_passages)),
+    ("benchmark leaks", _in_few_files(benchmark_leaks)),
+    ("tokens", _in_few_files(tokens)),
+]
 
 #: No SQL: the first stage is a trained model.  Tests compare each stage with a brute-force version.
 ORACLE_SQL = None
