@@ -4,9 +4,10 @@ Arrivals are appended as small immutable Parquet shards.  Shards of similar
 size (one tier spans a factor of ``FACTOR``) are merged, ``runs`` or more at a
 time, into files of about ``target`` bytes.  What a reader sees is the newest
 manifest: each append or merge writes its files under fresh names first and
-then commits the next version, a small file that is created in one step and
-never changed; a writer that comes second for a version fails and nothing of
-it is visible.
+then commits the next version, a small file that appears whole under its final
+name and is never changed; a writer that comes second for a version fails and
+nothing of it is visible.  That takes a file system whose rename doesn't
+replace a file (HDFS); local files are linked, which doesn't either.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import math
 import uuid
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,17 +55,33 @@ class ShardStore:
             stream.close()
 
     def commit(self, base: int, shards: list[dict]) -> int:
-        """Make ``shards`` version base + 1, or fail if another writer has; the file appears whole, by one rename."""
+        """Make ``shards`` version base + 1, or fail if another writer has; the file appears whole, in one step that never replaces one."""
         final = self._path(f"{self.path}/_manifests/v{base + 1:09d}.json")
         tmp = self._path(f"{self.path}/_manifests/.tmp-{uuid.uuid4().hex}")
         out = self._fs.create(tmp, False)
         out.write(bytearray(json.dumps({"version": base + 1, "shards": sorted(shards, key=lambda s: s["file"])}).encode()))
         out.close()
-        if self._fs.exists(final) or not self._fs.rename(tmp, final):
+        try:
+            done = self._publish(tmp, final)
+        finally:
             self._fs.delete(tmp, False)
+        if not done:
             raise RuntimeError(f"version {base + 1} is committed already")
         return base + 1
 
+    def _publish(self, tmp, final) -> bool:
+        if self._fs.getScheme() != "file":
+            return not self._fs.exists(final) and self._fs.rename(tmp, final)
+        jvm = self.spark.sparkContext._jvm
+        local = lambda path: jvm.java.io.File(path.toUri().getPath()).toPath()
+        try:
+            jvm.java.nio.file.Files.createLink(local(final), local(tmp))
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
     def tier(self, size: int) -> int:
         return max(0, math.ceil(math.log(max(size, 1) / self.target, FACTOR)) + 16)
 
@@ -106,8 +124,9 @@ class ShardStore:
             if not bins:
                 return base
             folder = f"merged-{uuid.uuid4().hex}"
-            todo = self.spark.createDataFrame([(i, [s["file"] for s in b]) for i, b in enumerate(bins)], "bin int, files array<string>").repartition(len(bins), "bin")
-            done = todo.mapInArrow(_merger(self.path, folder), "bin int, file string, bytes long").collect()
+            # one partition for each bin; the lists are part of a manifest, which the driver holds anyway
+            merge = _merger(self.path, folder, [[s["file"] for s in b] for b in bins])
+            done = self.spark.range(0, len(bins), 1, len(bins)).mapInArrow(merge, "bin int, file string, bytes long").collect()
             gone = {s["file"] for b in bins for s in b}
             self.commit(base, [s for s in shards if s["file"] not in gone] + [{"file": r["file"], "bytes": r["bytes"], "tier": self.tier(r["bytes"])} for r in done])
 
@@ -127,18 +146,18 @@ class ShardStore:
                         self._fs.delete(f.getPath(), True)
 
 
-def _merger(root: str, folder: str):
+def _merger(root: str, folder: str, bins: list[list[str]]):
     def run(batches):
         import pyarrow.parquet as pq
 
         store, base = open_store(root)
         for batch in batches:
-            for n, files in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for n in batch.column(0).to_pylist():
                 tmp, final = f"{base}/{folder}/.tmp-{uuid.uuid4().hex}", f"{folder}/shard-{n:06d}.parquet"
                 store.create_dir(f"{base}/{folder}", recursive=True)
                 with store.open_output_stream(tmp, compression=None) as sink:
                     writer = None
-                    for f in files:
+                    for f in bins[n]:
                         with store.open_input_file(f"{base}/{f}") as source, pq.ParquetFile(source) as shard:
                             for part in shard.iter_batches(4096):
                                 writer = writer or pq.ParquetWriter(sink, part.schema.remove_metadata(), compression="zstd")
@@ -152,15 +171,24 @@ def _merger(root: str, folder: str):
     return run
 
 
-def shard_table(rows: DataFrame, target: int = TARGET) -> tuple[ShardStore, DataFrame]:
+def shard_table(rows: DataFrame, target: int = TARGET, arrivals: int = 1) -> tuple[ShardStore, DataFrame]:
     """Append ``rows`` to a new store in the shared folder, compact it and read the committed version back.
 
-    Every row of any value, nulls and repeated rows included, comes back once; an empty table gives an empty store.
+    ``arrivals``: the rows come in so many parts, by a hash of each row, the
+    store is compacted after each and every tier of merges is run through.
+    Every row of any value, nulls and repeated rows included, comes back once;
+    an empty table gives an empty store.  The file that a row comes from is in
+    a column _shard, with more underscores if the rows have one of that name.
     """
     from quillspan.llm.scratch import Scratch
 
     store = ShardStore(rows.sparkSession, f"{Scratch(rows.sparkSession, 'shards').path}", target)
-    store.append(rows)
-    store.compact()
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(arrivals))
+    for n in range(arrivals):
+        store.append(rows.where(part == n) if arrivals > 1 else rows)
+        store.compact()
     store.vacuum()
-    return store, store.read(rows.schema).withColumn("_shard", F.input_file_name())
+    name = "_shard"
+    while name.lower() in (c.lower() for c in rows.columns):
+        name = f"_{name}"
+    return store, store.read(rows.schema).withColumn(name, F.input_file_name())
