@@ -10,12 +10,15 @@ and no signature of the document is needed whose size would have to grow with
 it.  Documents that hold a sketch value are verified by exact containment of
 the item's shingles, byte for byte.
 
-The items are a stated query set.  They are gathered in blocks of at most
-``block_items`` items and documents pass each block once.
+The items are a stated query set.  They are gathered in blocks of about
+``block_bytes`` bytes of text; documents pass one block after the other, and
+one block's index at a time is sent to the executors, so what is broadcast
+stays the same size however many items there are.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -23,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.scratch import bounded_batches
+from quillspan.llm.scratch import Scratch, bounded_batches
 from quillspan.llm.words import LOWER, PUNCT, blocks, run_hashes
 
-SHINGLE, SHARE, BLOCK_ITEMS = 5, 0.8, 20_000
+SHINGLE, SHARE, BLOCK_BYTES = 5, 0.8, 4 << 20
 
 
 def shingles(text: str | bytes | None, k: int = SHINGLE) -> list[bytes]:
@@ -98,39 +101,67 @@ def _hashes(texts, k: int, sieve: np.ndarray | None = None) -> tuple[np.ndarray,
     return np.concatenate(rows), np.concatenate(found)
 
 
-def _blocks_of(items: DataFrame, item_id: str, item_text: str, block_items: int):
-    """The items in blocks of about ``block_items``, as lists; hashing spreads them evenly."""
+def _blocks_of(items: DataFrame, item_id: str, item_text: str, block_bytes: int):
+    """The items in blocks of about ``block_bytes`` bytes, as lists; hashing spreads them evenly.  At least one block, empty or not."""
     items = items.select(F.col(item_id).cast("long").alias("i"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t"))
-    parts = max(1, math.ceil(items.count() / block_items))
+    size = items.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
+    parts = max(1, -(-size // block_bytes))
     for n in range(parts):
         block = items if parts == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == n)
-        yield sorted(((r[0], r[1]) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        yield n == parts - 1, sorted(((r[0], r[1]) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
-def mark(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, share: float = SHARE, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
+    row = docs.select(F.struct("*").alias("row"))
+    return row.select("row", F.col("row")[text_col].cast("string").alias("t"))
+
+
+def mark(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, share: float = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(row, hits, n_items): each row of ``docs`` with the items of whose distinct shingles it contains ``share`` or more.
 
-    Null texts are empty.  An item of fewer than ``shingle`` words has its whole
-    sequence of words as one shingle; one without words is never found; items with equal ids are separate items; a
-    null item id stays null.
+    Null texts are empty and long ones are searched whole.  An item of fewer
+    than ``shingle`` words has its whole sequence of words as one shingle; one
+    without words is never found; items with equal ids are separate items; a
+    null item id stays null.  Repeated rows of ``docs`` are marked alike, an
+    empty table gives an empty one and ``row`` is a struct, so columns of any
+    name pass through.  With several blocks of items the rows are written to
+    the shared folder after each block but the last.
     """
     bounded_batches(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
-    found = [_searcher(context.broadcast(ItemIndex(block, shingle, share)))(F.col("t")) for block in _blocks_of(items, item_id, item_text, block_items)]
-    keyed = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("t"))
-    out = keyed.select("row", (F.concat(*found) if len(found) > 1 else found[0]).alias("hits"))
-    return out.withColumn("n_items", F.size("hits"))
+    context, scratch = docs.sparkSession.sparkContext, Scratch(docs.sparkSession, "decontam", docs)
+    now = docs.select(F.struct("*").alias("row")).withColumn("hits", F.array().cast(HITS))
+    for last, block in _blocks_of(items, item_id, item_text, block_bytes):
+        index = context.broadcast(ItemIndex(block, shingle, share))
+        found = _searcher(index)(F.col("row")[text_col].cast("string"))
+        now = now.select("row", F.concat("hits", found).alias("hits"))
+        if not last:
+            now = scratch.save(now)
+            index.destroy()
+    return now.withColumn("n_items", F.size("hits"))
+
+
+def contained_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, share: float = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(row, item_id, found, size): a row for each document and item that ``mark`` finds in it; only those are written between blocks."""
+    bounded_batches(docs.sparkSession)
+    context, scratch = docs.sparkSession.sparkContext, Scratch(docs.sparkSession, "decontam", docs)
+    parts = []
+    for last, block in _blocks_of(items, item_id, item_text, block_bytes):
+        index = context.broadcast(ItemIndex(block, shingle, share))
+        found = _keyed(docs, text_col).select("row", F.explode(_searcher(index)(F.col("t"))).alias("x")).select("row", "x.*")
+        if not last:
+            found = scratch.save(found)
+            index.destroy()
+        parts.append(found)
+    return functools.reduce(DataFrame.union, parts)
 
 
-def contained_items(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """(row, item_id, found, size): a row for each document and item that ``mark`` finds in it."""
-    return mark(docs, items, **options).select("row", F.explode("hits").alias("x")).select("row", "x.*")
+HITS = "array<struct<item_id:long,found:long,size:long>>"
 
 
 def _searcher(shared):
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("found", pa.int64()), ("size", pa.int64())]))
 
-    @F.arrow_udf("array<struct<item_id:long,found:long,size:long>>")
+    @F.arrow_udf(HITS)
     def search(texts: pa.Array) -> pa.Array:
         got = [[{"item_id": i, "found": f, "size": s} for i, f, s in hits] for hits in shared.value.search(texts)]
         return pa.array(got, kind)
