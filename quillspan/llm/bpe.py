@@ -351,4 +351,5 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", step: int
             cols.append(pa.array([b" ".join(d).decode() for d in decoded], pa.string()))
         return pa.StructArray.from_arrays(cols, list(kind))
 
-    return docs.select(F.struct("*").alias("row"), coded(F.col(text_col).cast("binary")).alias("c")).select("row", "c.*")
+    own_rows = docs.select(F.struct("*").alias("row"))
+    return own_rows.select("row", coded(F.col("row")[text_col].cast("binary")).alias("c")).select("row", "c.*")

@@ -62,6 +62,12 @@ def fold(events: DataFrame) -> DataFrame:
 def render(messages: DataFrame) -> DataFrame:
     """(conv_id, formatted, mask): one row per conversation.
 
+    Turns of one seq are ordered by role and text, those without a seq come
+    last; repeated rows are turns of their own; a null conv_id is a
+    conversation like any other; an empty table gives an empty one; columns
+    that aren't named here are left out.  A conversation is one string, so it
+    must fit in one.
+
     ``mask`` lists the stretches that count for the loss, the assistant's
     texts: the turn's number and the code points [start, end) in its part of
     the output, counted from the turn's ``<s>``.
@@ -80,7 +86,11 @@ def render(messages: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """(conv_id, turns, loss): roles and texts parsed from the output alone, and the texts under the mask, unescaped and in order."""
+    """(conv_id, turns, loss): roles and texts parsed from the output alone, and the texts under the mask, unescaped and in order.
+
+    One row for each row of ``formatted``; other columns are left out.  A
+    conversation without an assistant has an empty loss text.
+    """
     raw = F.split("formatted", CLOSE)
     pieces = F.slice(raw, 1, F.size(raw) - 1)  # the output ends with the last turn's close
     df = formatted.select("conv_id", "mask", pieces.alias("p"))

@@ -140,8 +140,13 @@ def held_out(id_col: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, target: str, id_col: str = "doc_id", text_col: str = "text", sample: int = 6000, buckets: int = BUCKETS) -> FactorisationMachine:
     """Train on at most ``sample`` labelled rows, those with the smallest hashes of their ids.
 
-    Held-out rows and rows without a label or id are never read for this;
-    a document with several labels counts as the lowest of them.
+    Held-out rows and rows without a label or id are never read for this; a
+    document with several labels counts as the lowest of them, documents that
+    repeat an id as often as they occur, null texts as empty ones.  Ties of
+    the hash go by id.  Rows are put in one order by their values before
+    training, so the model doesn't depend on how they arrive.  Without any row
+    (an empty table, no label) every score is 0.5.  Only the named columns are
+    read, whatever others there are.
     """
     bounded_batches(docs.sparkSession)
     chosen = labels.select(F.col(id_col).alias("k"), F.col(target).cast("int").alias("y")).where("k is not null and y is not null").where(~held_out("k"))
@@ -162,7 +167,13 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, id_col: str = "doc_id",
 
 
 def score(docs: DataFrame, model: FactorisationMachine, text_col: str = "text", buckets: int = BUCKETS, step: int = 512) -> DataFrame:
-    """(row, score): each row of ``docs`` as a struct, and how likely its whole text is of label 1; null texts are empty."""
+    """(row, score): each row of ``docs`` as a struct, and how likely its whole text is of label 1.
+
+    Null texts are empty; an empty text has a score like any other; long texts
+    are read whole, in blocks; repeated rows are scored alike; an empty table
+    gives an empty one; ``row`` is a struct, so columns of any name (score
+    too) pass through.
+    """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -170,4 +181,5 @@ def score(docs: DataFrame, model: FactorisationMachine, text_col: str = "text",
     def likelihood(texts: pa.Array) -> pa.Array:
         return pa.array(np.concatenate([shared.value.score(features(texts.slice(at, step), buckets)) for at in range(0, len(texts), step)] or [np.zeros(0)]))
 
-    return docs.select(F.struct("*").alias("row"), likelihood(F.col(text_col).cast("string")).alias("score"))
+    own = docs.select(F.struct("*").alias("row"))
+    return own.select("row", likelihood(F.col("row")[text_col].cast("string")).alias("score"))

@@ -48,7 +48,7 @@ def files_for(df: DataFrame) -> int:
     """
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return cores * -(-min(max(size, 1), 1 << 60) // (FILE_BYTES * cores))
+    return cores * min(-(-max(size, 1) // (FILE_BYTES * cores)), 1 << 20)
 
 
 def few_files(df: DataFrame, files: int) -> DataFrame:

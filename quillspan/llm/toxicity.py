@@ -22,19 +22,20 @@ from quillspan.llm.words import PUNCT, blocks
 
 
 def distinct_words(col) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct words of each text, sorted by row."""
+    """(row, hash) of the distinct words of each text, sorted by row; a long text comes in several blocks and counts each word once too."""
     rows, words = [], []
     for b in blocks(col, PUNCT, lower=True):
         if b.n_words:
-            h, r = b.word_hashes(), b.rows[b.piece_of_word()]
-            order = np.lexsort((h, r))
-            h, r = h[order], r[order]
-            new = np.concatenate(([True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])))
-            rows.append(r[new])
-            words.append(h[new])
+            both = np.unique(np.stack((b.piece_of_word().astype(np.uint64), b.word_hashes()), axis=1), axis=0)
+            rows.append(b.rows[both[:, 0].astype(np.int64)])
+            words.append(both[:, 1])
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(rows), np.concatenate(words)
+    r, h = np.concatenate(rows), np.concatenate(words)
+    order = np.lexsort((h, r))
+    r, h = r[order], h[order]
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])))
+    return r[new], h[new]
 
 
 @dataclass
@@ -127,8 +128,13 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str =
     """Train on at most ``sample`` labelled rows, those with the smallest hashes of their ids.
 
     ``graded``: ``target`` already holds ordered grades from 0; otherwise it is
-    two-valued and ``grade_by_density`` refines it.  A document with several
-    labels counts as the highest of them.
+    two-valued and ``grade_by_density`` refines it, so that grade 2 then means
+    "toxic, with more telling words than half of the toxic ones" and severity
+    is no more than that.  A document with several labels counts as the
+    highest of them, documents that repeat an id as often as they occur, null
+    texts as empty ones; labels without an id or value aren't read.  Ties of
+    the hash go by id.  Without any row every text has grade 0.  Only the named
+    columns are read, whatever others there are.
     """
     bounded_batches(docs.sparkSession)
     chosen = labels.select(F.col(id_col).alias("k"), F.col(target).cast("int").alias("y")).where("k is not null and y is not null")
@@ -151,7 +157,13 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str =
 
 
 def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
-    """(row, severity, p_toxic, grade): expected grade, P(grade > 0) and the likeliest grade of every whole text; null texts are empty."""
+    """(row, severity, p_toxic, grade): expected grade, P(grade > 0) and the likeliest grade of every whole text.
+
+    Null texts are empty and have no words; long texts are read whole, in
+    blocks, and count each distinct word once; of equally likely grades the
+    lowest is taken; repeated rows are scored alike; an empty table gives an
+    empty one; ``row`` is a struct, so columns of any name pass through.
+    """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -161,4 +173,5 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataF
         each = -np.diff(np.concatenate((np.ones((len(above), 1)), above, np.zeros((len(above), 1))), axis=1), axis=1)
         return pa.StructArray.from_arrays([pa.array(above.sum(1)), pa.array(above[:, 0].copy()), pa.array(each.argmax(1).astype(np.int32))], ["severity", "p_toxic", "grade"])
 
-    return docs.select(F.struct("*").alias("row"), graded(F.col(text_col).cast("string")).alias("g")).select("row", "g.*")
+    own = docs.select(F.struct("*").alias("row"))
+    return own.select("row", graded(F.col("row")[text_col].cast("string")).alias("g")).select("row", "g.*")

@@ -104,7 +104,9 @@ def write(pages: DataFrame, folder: str, scratch: Scratch, roll_bytes: int = ROL
     A null payload is empty, a null url is replaced by the page's name, null
     page ids come first and never are what a revisit refers to (payloads under
     null ids only are all response); of rows with one page id and payload the
-    first is the response.
+    first by url is the response.  A payload of any length is one record, held
+    whole by the task that writes it.  An empty table gives no file and an
+    empty manifest; only the named columns are read.
     """
     payload = F.coalesce(F.col(html).cast("string"), F.lit(""))
     own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.cast("binary").alias("payload"), F.sha2(payload, 256).alias("digest"))

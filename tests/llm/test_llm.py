@@ -174,10 +174,11 @@ def template_texts(pairs: int = 150) -> list[str]:
     return out
 
 
-@pytest.mark.parametrize("block", [2048, 40])
-def test_similar_template(spark, block, monkeypatch):
+@pytest.mark.parametrize(("block", "hot", "rounds"), [(4096, 64, 3), (40, 2, 3), (7, 1, 0)])
+def test_similar_template(spark, block, hot, rounds, monkeypatch):
     """Pairs in a bucket that a template holds together, most members of which are below the threshold to any pivot."""
-    monkeypatch.setattr(similar, "BLOCK", block)
+    for name, value in (("BLOCK", block), ("HOT", hot), ("ROUNDS", rounds)):
+        monkeypatch.setattr(similar, name, value)
     rows = list(enumerate(template_texts()))
     want = brute_similar(rows)
     assert len(set(want.values())) == 150
@@ -200,18 +201,19 @@ def test_similar_dense_fingerprints(spark):
     assert {r.id: r.component for r in similar.similar_documents(df).collect()} == brute_similar(rows)
 
 
-def test_jaccard_and_pieces():
+def test_distinct_shingles_in_pieces(monkeypatch):
+    """A text that comes in many pieces has the same shingles and the same fingerprint."""
     t = [*texts(), *near_texts()]
-    left, right = pa.array(t[:-1]), pa.array(t[1:])
-    want = [len(a & b) / len(a | b) if a | b else 1.0 for a, b in zip(map(shingle_set, t), map(shingle_set, t[1:]), strict=False)]
-    assert similar.jaccard(left, right, 5).tolist() == want
-    whole, plain = words.blocks, similar.sketches(left, 5)
-    try:
-        simhash.blocks = lambda *a, **k: whole(*a, **k, limit=97)
-        assert similar.jaccard(left, right, 5).tolist() == want
-        assert all((x == y).all() for x, y in zip(plain, similar.sketches(left, 5), strict=True))
-    finally:
-        simhash.blocks = whole
+    col, whole = pa.array(t), words.blocks
+
+    def sketch():
+        ones, total = np.zeros((len(t), 64), np.int64), np.zeros(len(t), np.int64)
+        return [(row, h.tolist()) for row, h in similar._distinct(col, 5, 42, ones, total)], simhash.majority(ones, total).tolist()
+
+    plain = sketch()
+    monkeypatch.setattr(simhash, "blocks", lambda *a, **k: whole(*a, **k, limit=97))
+    assert sketch() == plain
+    assert [(i, len(x)) for i, x in enumerate(map(shingle_set, t)) if x] == [(row, len(h)) for row, h in plain[0]]
 
 
 def test_dense_fingerprints(spark):
@@ -295,9 +297,11 @@ def test_decontam(spark, docs, empty):
             s = set(decontam.shingles(x))
             if s and len(s & own) >= 0.8 * len(s):
                 want.append((d, i, len(s & own), len(s)))
-    for block in (20_000, 2):
-        got = decontam.contained_items(docs, bench, block_items=block)
+    for block in (1 << 20, 200):
+        got = decontam.contained_items(docs, bench, block_bytes=block)
         assert sorted(((r.row.doc_id, r.item_id, r.found, r.size) for r in got.collect()), key=str) == sorted(want, key=str)
+        marked = [(r.row.doc_id, h.item_id, h.found, h.size) for r in decontam.mark(docs, bench, block_bytes=block).collect() for h in r.hits]
+        assert sorted(marked, key=str) == sorted(want, key=str)
     assert decontam.contained_items(empty, bench).count() == 0 and decontam.mark(docs, bench.limit(0)).where("n_items > 0").count() == 0
 
 
@@ -360,7 +364,9 @@ def test_warc(spark):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("block", [embed.BLOCK, 7])
+def test_embeddings(spark, block, monkeypatch):
+    monkeypatch.setattr(embed, "BLOCK", block)  # small: leaves and components are dealt into cells
     r = np.random.default_rng(6)
     base = r.normal(size=(40, 8))
     rows = [(i, [float(x) for x in base[i % 40] + r.normal(scale=0.04, size=8)], i % 3) for i in range(300)]
@@ -384,6 +390,26 @@ def test_embeddings(spark):
     assert embed.near_vectors(df.limit(0)).count() == 0
 
 
+def test_forest_recall_beyond_the_sample(spark):
+    """A first sample far too small for its leaves: they are split in the executors, and the pairs are still found."""
+    r = np.random.default_rng(2)
+    v = r.normal(size=(1500, 16))
+    near = v + r.normal(scale=0.03, size=v.shape) * np.linalg.norm(v, axis=1, keepdims=True) / 4
+    both = np.concatenate((v, near))
+    unit = both / np.linalg.norm(both, axis=1, keepdims=True)
+    links = unit @ unit.T >= 0.98
+    want = links.sum(1) - 1
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(both)], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {x.id: x.n_links for x in embed.near_vectors(df, leaf=32, sample=200).collect()}
+    found = sum(got.values())
+    assert want.sum() > 2000 and 0.95 * want.sum() <= found <= want.sum() and all(got[i] <= want[i] for i in got)
+    # leaves that the first trees leave too large are gone
+    nodes = df.select("label", F.lit(16).cast("long").alias("dim"), F.col("vec_id").alias("node"), F.col("embedding").alias("vec"), F.lit(0).cast("long").alias("leaf")).withColumn("label", F.col("label").cast("long"))
+    split = embed.split_leaves(nodes, 32, Scratch(spark, "e"))
+    sizes = [x[0] for x in split.groupBy("leaf").count().select("count").collect()]
+    assert {x.node for x in split.select("node").distinct().collect()} == set(range(3000)) and max(sizes) < 120 and len(sizes) > 60
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(200)]
@@ -416,6 +442,84 @@ def test_quality_held_out(spark, docs, empty):
     assert {r.score for r in quality.score(docs, none).collect()} == {0.5}
 
 
+def plain_features(text: str, buckets: int = 64) -> list[float]:
+    """The features of one short text, by Python's strings and whole numbers."""
+    data, words_ = text.encode() + b"\n", text.encode().split()
+    full = (1 << 64) - 1
+
+    def mixed(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & full
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & full
+        return h ^ h >> 31
+
+    def hashed(w):
+        if len(w) > 16:
+            return xxhash.xxh64_intdigest(w, 0x5EED)
+        low, high = int.from_bytes(w[:8], "little"), int.from_bytes(w[8:], "little")
+        return mixed(mixed(low + len(w) * 0xA24BAED4963EE407 & full) + high * 0x9FB21C651E98DF25 & full)
+
+    sign = lambda b: 33 <= b < 127 and not chr(b).isalnum()
+    upper, lower, digit, signs, line, beyond = (sum(f(b) for b in data) for f in (lambda b: 65 <= b <= 90, lambda b: 97 <= b <= 122, lambda b: 48 <= b <= 57, sign, lambda b: b == 10, lambda b: b >= 128))
+    count = np.zeros(buckets)
+    for w in words_:
+        count[hashed(w) % buckets] += 1
+    n, total = max(len(words_), 1), len(data)
+    more = [sum(a == b for a, b in zip(words_, words_[1:], strict=False)), sum(any(map(sign, w)) for w in words_), sum(map(len, words_)) / 10, sum(a == b and sign(a) for a, b in zip(data, data[1:], strict=False)), sum(all(map(sign, w)) for w in words_), sum(len(w) > 20 for w in words_)]
+    stats = [upper / max(upper + lower, 1), digit / total, signs / total, line / n, beyond / total, *(x / n for x in more), (count > 0).sum() / min(n, buckets), count.max() / n, np.log1p(len(words_)) / 5, float(not words_), np.log1p(total) / 8]
+    v = np.log1p(count)
+    return [*(v / max(np.sqrt((v**2).sum()), 1e-9)), *stats]
+
+
+def test_quality_features_and_scores_by_hand(spark):
+    t = ["", "  ", "A b b 12 -- x!!", "É ünï " * 5, "w" * 30 + " w" * 9 + "\n\n(a)", *[x for x in texts()[:20] if x]]
+    want = np.array([plain_features(x) for x in t])
+    assert np.allclose(quality.features(pa.array(t), 64), want, atol=1e-5)
+    r = np.random.default_rng(3)
+    size = want.shape[1]
+    m = quality.FactorisationMachine(0.1, r.normal(size=size), r.normal(size=(size, 3)), np.full(size, 0.1), np.full(size, 1.5))
+    x = np.clip((want - 0.1) * 1.5, -6, 6)
+    slow = [0.1 + v @ m.weights + sum(m.factors[i] @ m.factors[j] * v[i] * v[j] for i in range(size) for j in range(i)) for v in x]
+    df = spark.createDataFrame([*enumerate(t), (99, None), (2, t[2])], "score long, text string")  # a clashing name, a null, a repeated row
+    got = {(s.row.score, s.row.text): s.score for s in quality.score(df, m, buckets=64).collect()}
+    assert np.allclose([got[i, x] for i, x in enumerate(t)], 1 / (1 + np.exp(-np.clip(slow, -35, 35))), atol=1e-4) and got[99, None] == got[0, ""]
+
+
+def test_toxicity_scores_by_hand(spark):
+    """The cumulative link from distinct words, also of a text longer than a block, and ties between grades."""
+    vocab = [b"bad", b"worse", b"fine"]
+    block = next(words.blocks(pa.array(["bad worse fine"]), words.PUNCT, lower=True))
+    hashes = block.word_hashes()
+    order = np.argsort(hashes)
+    sieve = np.zeros(1 << 16, bool)
+    sieve[(hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
+    weight = {b"bad": 1.0, b"worse": 2.0, b"fine": -1.0}
+    m = toxicity.OrdinalModel(hashes[order], np.array([weight[vocab[k]] for k in order]), np.array([0.5, 1.5]), sieve)
+    long = ("fine BAD, " + "x " * 2000) * 80
+    assert len(long) > words.BLOCK
+    t = ["bad", "Bad! bad worse", "", "fine", "nothing", long]
+    df = spark.createDataFrame([*enumerate(t), (9, None), (0, "bad")], "grade long, text string")
+    got = {(r.row.grade, r.row.text): r for r in toxicity.score(df, m).collect()}
+    for i, x in enumerate(t):
+        eta = sum(weight[w] for w in set(x.lower().replace("!", " ").replace(",", " ").encode().split()) & set(weight))
+        above = 1 / (1 + np.exp(-(eta - np.array([0.5, 1.5]))))
+        each = [1 - above[0], above[0] - above[1], above[1]]
+        assert np.isclose(got[i, x].severity, above.sum()) and np.isclose(got[i, x].p_toxic, above[0]) and got[i, x].grade == int(np.argmax(each))
+    assert got[9, None].severity == got[2, ""].severity
+    row, h = toxicity.distinct_words(pa.array(t))
+    assert len({*zip(row.tolist(), h.tolist(), strict=True)}) == len(row) == 1 + 2 + 0 + 1 + 1 + 3
+
+
+def test_toxicity_held_out(spark):
+    """Fitted on one half of the labelled rows, measured on the other."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    half = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = toxicity.score(docs.where(~half), toxicity.fit(docs, labels.where(half))).select("row.doc_id", "p_toxic").join(labels, "doc_id").collect()
+    bad, good = ([r for r in got if r.toxic == v] for v in (1, 0))
+    assert len(bad) > 20 and sum(r.p_toxic >= 0.5 for r in bad) >= 0.85 * len(bad) and sum(r.p_toxic >= 0.5 for r in good) <= 0.01 * len(good)
+
+
 def test_pairwise_identity():
     r = np.random.default_rng(0)
     m = quality.FactorisationMachine(0.1, r.normal(size=7), r.normal(size=(7, 3)), np.zeros(7), np.ones(7))
@@ -439,9 +543,11 @@ def test_toxicity(spark, docs, empty):
 
 
 def test_shards(spark, docs, empty):
-    store, back = shards.shard_table(docs, target=20_000)
-    key = lambda df: sorted(map(str, df.select("doc_id", "text", "lang", "score", "row").collect()))
-    assert key(back) == key(docs)
+    docs = docs.withColumn("_shard", F.lit("own"))
+    key = lambda df: sorted(map(str, df.select("doc_id", "text", "lang", "score", "row", "_shard").collect()))
+    for arrivals in (1, 4):
+        store, back = shards.shard_table(docs, target=20_000, arrivals=arrivals)
+        assert key(back) == key(docs) and back.columns[-1] == "__shard"
     v = store.version()
     for _ in range(5):
         store.append(docs.limit(2))
@@ -449,9 +555,27 @@ def test_shards(spark, docs, empty):
     store.compact()
     assert len(store.manifest()) < n and store.read(docs.schema).count() == docs.count() + 10
     assert store.read(docs.schema, v).count() == docs.count()  # older versions stay readable until vacuum
+    before = store.manifest(v)
+    with pytest.raises(RuntimeError):
+        store.commit(v - 1, [])
+    assert store.manifest(v) == before  # the second writer replaced nothing
+    assert shards.shard_table(empty)[1].count() == 0 and shards.shard_table(empty, arrivals=3)[1].count() == 0
+
+
+def test_shards_second_writer_between(spark, docs, monkeypatch):
+    """A writer that commits the same version after the check and before the rename isn't replaced."""
+    store, _ = shards.shard_table(docs, target=20_000)
+    base, publish = store.version(), shards.ShardStore._publish
+
+    def late(self, tmp, final):
+        monkeypatch.setattr(shards.ShardStore, "_publish", publish)
+        store.commit(base, store.manifest(base)[:1])  # the other writer
+        return publish(self, tmp, final)
+
+    monkeypatch.setattr(shards.ShardStore, "_publish", late)
     with pytest.raises(RuntimeError):
-        store.commit(v, [])
-    assert shards.shard_table(empty)[1].count() == 0
+        store.commit(base, [])
+    assert store.version() == base + 1 and len(store.manifest()) == 1
 
 
 LONG = ["x" * 5000, "ab" * 4000 + "!?" * 3000, "ñ" * 4000, "don't<|endoftext|>I'll 12³ ΑΣ", "a\x1cb\x85c\xa0d　e"]
@@ -525,6 +649,60 @@ def test_whole_text_fallback():
     assert c.spell(ends, ids) == ([" ".join(map(str, w)).encode() for w in want], [c.tok.decode(w, skip_special_tokens=False).encode() for w in want])
 
 
+def rough_documents() -> list[tuple]:
+    """Rows for the pipeline: nulls in every column, empty, wordless and very long texts, ties, repeated rows."""
+    t = texts(3, 30)
+    long = " ".join(f"long{i % 70_000}" for i in range(90_000))
+    rows = [(i, x, "en", "s", None if x is None else len(x)) for i, x in enumerate([*t, long, near_texts()[0], near_texts()[0] + " tail"])]
+    return [*rows, rows[0], rows[2], (None, t[1], None, None, None), (None, None, None, None, None), (5, t[7], "pt", None, 3)]
+
+
+def test_pipeline_on_rough_rows(spark, tmp_path):
+    """Every stage on nulls, ties, repeated rows, long texts and empty tables, against brute force."""
+    import corpus_pipeline as cp
+
+    sf, rows = str(tmp_path), rough_documents()
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    long = next(r[1] for r in rows if r[1] and len(r[1]) > words.BLOCK)
+    assert long
+    spark.createDataFrame([(0, 1, 0), (1, 0, None), (None, 1, 1), (2, None, 1), (0, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    item = next(r[1] for r in rows if r[1] and len(r[1].split()) > 20)
+    spark.createDataFrame([(1, item), (None, None), (3, "")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    stage = {name.split()[0]: f for name, f in cp.STAGES}
+    key = lambda rs: sorted(map(str, rs))
+
+    got = stage["quality"](spark, docs, sf).collect()
+    assert {tuple(r) for r in got} <= set(rows) and stage["quality"](spark, docs, sf).columns == list(cp.COLUMNS)
+
+    group = brute_similar([(d, x) for d, x, *_ in rows if d is not None and d != 5])
+    kept = stage["near-duplicates"](spark, docs.where("doc_id <> 5 or doc_id is null"), sf).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(group.values())) and sum(r.doc_id is None for r in kept) == 2
+    twice = stage["near-duplicates"](spark, docs, sf).collect()  # id 5 has two texts and is one document
+    assert sum(r.doc_id == 5 for r in twice) <= 1
+
+    cut = {(d, n, g): k for d, n, g, k in brute_kept([(d, x) for d, x, *_ in rows])}
+    left = stage["repeated"](spark, docs, sf).collect()
+    assert len(left) == len(rows)
+    want = []
+    for (d, x, lang, source, n), (_, _, gone, k) in zip(sorted(rows, key=lambda r: str((r[0], r[1]))), sorted(((d, x, *next((g, k) for (e, m, g), k in cut.items() if e == d and m == len((x or "").split()))) for d, x, *_ in rows), key=lambda r: str((r[0], r[1]))), strict=True):
+        want.append((d, k if gone else x, lang, source, len(k) if gone else n))
+    assert key(map(tuple, left)) == key(want)
+
+    clean = stage["benchmark"](spark, docs, sf).collect()
+    held = set(decontam.shingles(item))
+    assert key(map(tuple, clean)) == key(r for r in rows if len(held & set(decontam.shingles(r[1]))) < 0.8 * len(held))
+
+    tok = bpe.Codec(queries.tokenizer_path()).tok
+    coded = stage["tokens"](spark, docs, sf).collect()
+    assert key((r.doc_id, r.n_tokens) for r in coded) == key((d, len(tok.encode(x or "", add_special_tokens=False).ids)) for d, x, *_ in rows)
+
+    none = docs.limit(0)
+    for name, f in cp.STAGES:
+        out = f(spark, none, sf)
+        assert out.count() == 0 and (name == "tokens" or out.columns == list(cp.COLUMNS))
+
+
 def test_pipeline(spark):
     """Each stage's decisions against a brute-force version on its own input."""
     import corpus_pipeline as cp
