@@ -23,7 +23,11 @@ LEAST_QUALITY = 0.3
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the quality classifier rejects; it learns from the labelled rows that are not held out."""
+    """Drop the documents that the quality classifier rejects; it learns from the labelled rows that are not held out.
+
+    Null texts are scored as empty ones, repeated rows alike; without any
+    labelled row all documents score 0.5 and stay; an empty table stays empty.
+    """
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality")
     return quality.score(docs, model).where(F.col("score") >= LEAST_QUALITY).select("row.*")
 
@@ -44,7 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut every passage of 35 words or more that occurs elsewhere; documents without one keep their text as it is."""
+    """Cut every passage of 35 words or more that occurs elsewhere; documents without one keep their text as it is, null texts too."""
     got = substring.remove_repeats(docs)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
     cut = got.select("row", text.alias("text"))
@@ -53,13 +57,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that contain 0.8 or more of a test item's five-word shingles."""
+    """Drop the documents that contain 0.8 or more of a test item's five-word shingles.
+
+    Null texts contain nothing and stay; repeated rows go or stay alike.
+    """
     hits = decontam.mark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return hits.where("n_items = 0").select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with digests of the ids and of the text decoded from them."""
+    """Token ids of every text, with digests of the ids and of the text decoded from them; a null text has none."""
     got = bpe.encode_decode(docs, tokenizer_path(), with_ids=True)
     return got.select("row.doc_id", "row.lang", "row.source", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
