@@ -307,10 +307,12 @@ def student_tail(t: float, df: float) -> float:
 def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
     """(n, w_plus, w_minus, w, p): signed-rank sums with mean ranks on ties, zero differences left out; normal approximation with tie correction."""
     d = df.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0").withColumn("x", F.abs("d"))
-    # ranks from counts per size: what is ordered are distinct sizes
-    size = d.groupBy("x").agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("plus"))
-    upto = F.sum("c").over(Window.orderBy("x"))
-    size = size.withColumn("rank", upto - (F.col("c") - 1) / 2)
+    # ranks from counts per size, added up within intervals of size, of which a double has a bounded number, and over them
+    size = d.groupBy("x").agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("plus")).withColumn("_b", F.floor(F.log2("x") * 64))
+    totals = size.groupBy("_b").agg(F.sum("c").alias("_n"))
+    totals = totals.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_base"))
+    upto = F.col("_base") + F.sum("c").over(Window.partitionBy("_b").orderBy("x"))
+    size = size.join(F.broadcast(totals), "_b").withColumn("rank", upto - (F.col("c") - 1) / 2)
     s = size.agg(F.sum("c").alias("n"), F.sum(F.col("rank") * F.col("plus")).alias("w_plus"), F.sum(F.col("rank") * (F.col("c") - F.col("plus"))).alias("w_minus"), F.sum(F.col("c") ** 3 - F.col("c")).alias("ties"))
     n, w = F.col("n"), F.least("w_plus", "w_minus")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48

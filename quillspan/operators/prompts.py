@@ -9,6 +9,8 @@ from quillspan.functions.text import truncate_marked
 
 JSON_FORM = '{"entities": [{"type": "TYPE", "value": "exact text", "confidence": 0.95}]}'
 NONE_FOUND = "No related clause"
+#: Batches of types that a document can be asked about.
+MOST_BATCHES = 1000
 VARIATIONS = ("Read the contract from start to end and list every match.", "Go through the types one by one and search the contract for each.", "First mark candidate passages, then keep those that fit a type exactly.")
 
 
@@ -105,5 +107,11 @@ def strategy(name: str):
 
 
 def per_batch(docs: DataFrame, batches: DataFrame) -> DataFrame:
-    """Documents x batches of types (a stated set of few rows) with their prompts."""
-    return docs.join(F.broadcast(batches), F.lit(True)).withColumn("prompt", batch(F.col("text"), F.col("types")))
+    """A row for each document and batch of types (batch, types), with its prompt; batches are a stated set of ``MOST_BATCHES`` rows at most."""
+    rows = batches.select("batch", "types").limit(MOST_BATCHES + 1).collect()
+    if len(rows) > MOST_BATCHES:
+        raise ValueError(f"over {MOST_BATCHES} batches")
+    if not rows:
+        return docs.limit(0).select("*", F.lit(0).alias("batch"), F.array().cast("array<string>").alias("types"), F.lit("").alias("prompt"))
+    listed = F.array(*[F.struct(F.lit(r[0]).alias("batch"), F.array(*map(F.lit, r[1])).alias("types")) for r in sorted(rows)])
+    return docs.select("*", F.explode(listed).alias("_b")).select(*docs.columns, "_b.*").withColumn("prompt", batch(F.col("text"), F.col("types")))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspan.operators import chunking, entities, parse, pipelines, prompts, providers, retrieval
+from quillspan.functions import text as T
+from quillspan.functions import validate as V
+from quillspan.operators import bio, chunking, entities, parse, pipelines, prompts, providers, retrieval
 from quillspan.plans.registry import query
 from quillspan.plans.text_queries import detected_sql, sliding_sql, table
 from quillspan.sources import annotations, vocab
@@ -584,3 +586,112 @@ def entity_windows(spark, sf_dir):
     w = chunking.explode_chunks(d, chunking.stride(F.col("text"), 2048, 1024), "doc_id")
     e = d.select("doc_id", (F.instr("text", F.lit("the")) - 1).alias("start")).where("start >= 0").withColumn("end", F.col("start") + 3)
     return chunking.in_window(e, w, "doc_id")
+
+
+def _items(spark, sf_dir):
+    """Annotated items in three shapes from orders: triples, annotations with type, entities with label; some spans leave the text."""
+    k, text = F.col("o_orderkey"), F.concat(F.col("o_orderpriority"), F.lit(" "), F.col("o_clerk_text"))
+    o = table(spark, sf_dir, "orders").withColumn("o_clerk_text", F.concat(F.lit("clerk "), F.col("o_custkey").cast("string")))
+    m = k % 3
+    span = F.array((k % 4).cast("string"), (k % 4 + 5 + F.when(k % 11 == 0, 100).otherwise(0)).cast("string"), F.concat(F.lit("T"), (k % 5).cast("string")))
+    far = F.array(F.lit("900"), F.lit("905"), F.lit("FAR"))
+    named = lambda label: F.array(F.struct(*[(F.concat(F.lit("T"), (k % 5).cast("string")) if c == label else F.lit(None).cast("string")).alias(c) for c in ("type", "label")], F.col("o_orderstatus").alias("value"), F.lit(None).cast("string").alias("text"), F.lit(0).alias("start"), F.lit(1).alias("end")))
+    return o.select(
+        k.cast("string").alias("id"), F.when(m == 0, text).alias("text"), F.when(m == 1, text).alias("context"), F.when(m == 2, text).alias("content"),
+        F.when((m == 0) & (k % 7 > 0), F.array(span, far)).alias("label"), F.lit(None).cast("array<array<string>>").alias("labels"),
+        F.when(m == 1, named("type")).alias("annotations"), F.when(m == 2, named("label")).alias("entities"), F.lit(None).cast("map<string,string>").alias("metadata"),
+    )
+
+
+_ITEMS = """i AS (SELECT o_orderkey AS k, o_orderpriority || ' clerk ' || o_custkey AS text, 'T' || (o_orderkey % 5) AS t, o_orderstatus AS st FROM orders),
+a AS (SELECT k, t AS type, CASE WHEN {strict} AND k % 4 + 5 + CASE WHEN k % 11 = 0 THEN 100 ELSE 0 END > length(text) THEN '' ELSE substring(text, k % 4 + 1, 5 + CASE WHEN k % 11 = 0 THEN 100 ELSE 0 END) END AS value,
+  CAST(k % 4 AS INT) AS start, CAST(k % 4 + 5 + CASE WHEN k % 11 = 0 THEN 100 ELSE 0 END AS INT) AS "end" FROM i WHERE k % 3 = 0 AND k % 7 > 0
+  UNION ALL SELECT k, 'FAR', '', 900, 905 FROM i WHERE k % 3 = 0 AND k % 7 > 0 AND {strict} UNION ALL SELECT k, t, st, 0, 1 FROM i WHERE k % 3 > 0)"""
+
+
+def _annotated(docs):
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode("annotations").alias("x")).select("doc_id", "x.*")
+
+
+@query("item_documents", f"""WITH {_ITEMS.format(strict='false')} SELECT k AS doc_id, type, value, start, "end" FROM a WHERE type IN ('T1', 'T2', 'FAR')""")
+def item_documents(spark, sf_dir):
+    return _annotated(annotations.documents(_items(spark, sf_dir), types=["T1", "T2", "FAR"]))
+
+
+@query("item_documents_strict", f"""WITH {_ITEMS.format(strict='true')} SELECT k AS doc_id, type, value, start, "end" FROM a""")
+def item_documents_strict(spark, sf_dir):
+    return _annotated(annotations.documents(_items(spark, sf_dir), strict=True))
+
+
+@query("documents_having_types", f"""WITH {_ITEMS.format(strict='false')} SELECT DISTINCT CAST(k AS VARCHAR) AS doc_id, md5(i.text) AS text FROM a JOIN i USING (k) WHERE type IN ('T3', 'T4')""")
+def documents_having_types(spark, sf_dir):
+    docs = annotations.documents(_items(spark, sf_dir), keep_empty=False)
+    return annotations.having_types(docs, ["T3", "T4"]).select("doc_id", F.md5("text").alias("text"))
+
+
+@query("infer_types", f"""WITH {_ITEMS.format(strict='true')} SELECT DISTINCT type FROM a""")
+def infer_types(spark, sf_dir):
+    docs = annotations.documents(_items(spark, sf_dir), strict=True)
+    return annotations.entity_types(annotations.of_split(annotations.with_splits({"train": docs, "val": docs.limit(0)}), "train"))
+
+
+@query(
+    "core_types",
+    "WITH t AS (SELECT o_custkey, list(DISTINCT CASE o_orderkey % 4 WHEN 0 THEN 'PARTY' WHEN 1 THEN 'DOC_NAME' WHEN 2 THEN 'AGMT_DATE' ELSE CASE WHEN o_custkey % 2 = 0 THEN 'PARTY' ELSE 'OTHER' END END) AS t FROM orders GROUP BY 1) SELECT o_custkey, len(t) <= 12 AND len(list_filter(t, lambda x: x = 'OTHER')) = 0 AS core FROM t",
+)
+def core_types(spark, sf_dir):
+    m = F.col("o_orderkey") % 4
+    kind = F.when(m == 0, "PARTY").when(m == 1, "DOC_NAME").when(m == 2, "AGMT_DATE").when(F.col("o_custkey") % 2 == 0, "PARTY").otherwise("OTHER")
+    t = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set(kind).alias("t"))
+    return t.select("o_custkey", V.all_core(F.col("t"), vocab.CORE_TYPES).alias("core"))
+
+
+@query(
+    "validate_loose",
+    r"""WITH v AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN '111.111.111-11' ELSE lpad(CAST(c_custkey AS VARCHAR), 11, '0') END AS b, lpad(CAST(c_custkey AS VARCHAR), CASE WHEN c_custkey % 2 = 0 THEN 8 ELSE 7 END, '0') AS d, repeat('7', CAST(c_custkey % 20 AS INT)) || '-X' AS e FROM customer)
+SELECT k, length(regexp_replace(b, '[^0-9]', '', 'g')) = 11 AS cpf, length(d) = 8 AS cep, length(regexp_replace(e, '[^0-9]', '', 'g')) >= 5 AS rg FROM v""",
+)
+def validate_loose(spark, sf_dir):
+    k, s = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    b = F.when(k % 5 == 0, "111.111.111-11").otherwise(F.lpad(s, 11, "0"))
+    d = F.when(k % 2 == 0, F.lpad(s, 8, "0")).otherwise(F.lpad(s, 7, "0"))
+    e = F.concat(F.repeat(F.lit("7"), (k % 20).cast("int")), F.lit("-X"))
+    return table(spark, sf_dir, "customer").select(k.alias("k"), V.cpf(b, strict=False).alias("cpf"), V.cep(d, strict=False).alias("cep"), V.rg(e, strict=False).alias("rg"))
+
+
+@query(
+    "demo_forms",
+    """WITH v AS (SELECT conv_id, turn, text, CAST(turn * 60 AS INT) AS s, CAST(least(turn * 60 + 150 * (1 + turn % 2), length(text)) AS INT) AS e FROM conversations), x AS (SELECT *, substring(text, s + 1, greatest(e - s, 0)) AS v FROM v)
+SELECT conv_id, turn, CASE WHEN length(v) > 200 THEN left(v, 200) || '...' ELSE v END AS value, right(substring(text, greatest(s - 149, 1), least(s, 150)), 100) AS before, substring(text, e + 1, 100) AS after FROM x""",
+)
+def demo_forms(spark, sf_dir):
+    s = (F.col("turn") * 60).cast("int")
+    e = F.least(s + 150 * (1 + F.col("turn") % 2), F.char_length("text")).cast("int")
+    value = F.substr("text", s + 1, F.greatest(e - s, F.lit(0)))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.demo(value, s, e, F.col("text")).alias("d")).select("conv_id", "turn", "d.*")
+
+
+@query(
+    "rerank_chunks",
+    f"""WITH {_BM}, r AS (SELECT doc_id, chunk_id, CAST(-abs(length(text) - 200) AS DOUBLE) AS score FROM bm JOIN conversations ON conv_id = doc_id AND turn = chunk_id), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_id) AS rank FROM r)
+SELECT doc_id, chunk_id, score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 2""",
+)
+def rerank_chunks(spark, sf_dir):
+    chunks, queries = _talk(spark, sf_dir)
+    found = retrieval.bm25(chunks, queries, "doc_id").join(chunks, ["doc_id", "chunk_id"])
+    return retrieval.rerank(found, ["doc_id"], -F.abs(F.char_length("text") - 200).cast("double"), 2).select("doc_id", "chunk_id", "score", "rank")
+
+
+@query("bio_vocabulary", "SELECT CAST(i AS INT) AS pos, label FROM (VALUES (0, 'O'), (1, 'B-A'), (2, 'I-A'), (3, 'E-A'), (4, 'S-A'), (5, 'B-B'), (6, 'I-B'), (7, 'E-B'), (8, 'S-B')) v(i, label)")
+def bio_vocabulary(spark, sf_dir):
+    return spark.createDataFrame(list(enumerate(bio.labels(["A", "B"], "BIOES"))), "pos int, label string")
+
+
+@query(
+    "clauses_replies",
+    "SELECT o_orderkey, unnest([o_orderpriority, 'x ' || o_orderkey]) AS clause FROM orders WHERE o_orderkey % 3 = 0",
+)
+def clauses_replies(spark, sf_dir):
+    k = F.col("o_orderkey")
+    reply = F.when(k % 3 == 0, F.concat(F.lit('So: {"clauses": ["'), "o_orderpriority", F.lit('", "x '), k.cast("string"), F.lit('"]} done'))).when(k % 3 == 1, '{"other": 1}').otherwise("no braces")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(parse.clauses_reply(reply)).alias("clause"))

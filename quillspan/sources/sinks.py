@@ -47,9 +47,17 @@ def _cells(rows, cols) -> list[list[str]]:
     return [[f"{r[c]:.4f}" if isinstance(r[c], float) else "" if r[c] is None else str(r[c]) for c in cols] for r in rows]
 
 
+def summary_rows(df: DataFrame, limit: int) -> list:
+    """The rows of a summary for a report; more than ``limit`` raise, nothing is left out."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"over {limit} rows: a report takes a summary")
+    return rows
+
+
 def markdown(ranked: DataFrame, title: str, limit: int = 1000) -> str:
     """A report of a ranking: best model and table (a summary of one row per model, ``limit`` at most)."""
-    cols, rows = ranked.columns, ranked.orderBy("rank").limit(limit).collect()
+    cols, rows = ranked.columns, summary_rows(ranked.orderBy("rank"), limit)
     best = f"Best: {rows[0]['model']}\n\n" if rows else ""
     table = "\n".join("| " + " | ".join(c) + " |" for c in [cols, ["---"] * len(cols), *_cells(rows, cols)])
     return f"# {title}\n\n{best}{table}\n"
@@ -57,7 +65,7 @@ def markdown(ranked: DataFrame, title: str, limit: int = 1000) -> str:
 
 def latex(df: DataFrame, limit: int = 1000) -> str:
     cols = df.columns
-    body = [" & ".join(c.replace("_", r"\_").replace("%", r"\%").replace("&", r"\&") for c in r) + r" \\" for r in [cols, *_cells(df.limit(limit).collect(), cols)]]
+    body = [" & ".join(c.replace("_", r"\_").replace("%", r"\%").replace("&", r"\&") for c in r) + r" \\" for r in [cols, *_cells(summary_rows(df, limit), cols)]]
     return "\n".join([r"\begin{tabular}{" + "l" * len(cols) + "}", r"\hline", body[0], r"\hline", *body[1:], r"\hline", r"\end{tabular}"])
 
 
@@ -65,7 +73,7 @@ def html(df: DataFrame, title: str, limit: int = 1000) -> str:
     from html import escape
 
     row = lambda cells, tag: "<tr>" + "".join(f"<{tag}>{escape(c)}</{tag}>" for c in cells) + "</tr>"
-    return f"<h1>{escape(title)}</h1><table>{row(df.columns, 'th')}{''.join(row(r, 'td') for r in _cells(df.limit(limit).collect(), df.columns))}</table>"
+    return f"<h1>{escape(title)}</h1><table>{row(df.columns, 'th')}{''.join(row(r, 'td') for r in _cells(summary_rows(df, limit), df.columns))}</table>"
 
 
 def chart_data(per_type: DataFrame, metrics: tuple[str, ...] = ("precision", "recall", "f1")) -> DataFrame:
