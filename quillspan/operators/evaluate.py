@@ -333,6 +333,23 @@ def rank_models(results: DataFrame, by: str = "f1") -> DataFrame:
     return results.withColumn("rank", F.row_number().over(Window.orderBy(F.col(by).desc(), "seq")))
 
 
+def evaluate_models(pred: DataFrame, gold: DataFrame, models: list[str], norm: Callable[[Column], Column] = spaced, failed: DataFrame | None = None) -> DataFrame:
+    """Each of ``models`` with its exact scores and rank, from predictions with a model column.
+
+    ``failed`` (model, doc_id): documents that a model could not be asked about;
+    they are left out of its counts.  The models are a stated, small list.
+    """
+    names = F.array(*map(F.lit, models))
+    gold = gold.select("*", F.explode(names).alias("model"))
+    pred = pred.where(F.col("model").isin(models))
+    if failed is not None:
+        pred, gold = (df.join(failed.select("model", "doc_id").distinct(), ["model", "doc_id"], "left_anti") for df in (pred, gold))
+    own = [df.withColumn("key", norm(F.col("value"))) for df in (pred, gold)]
+    counts = set_counts(*own, ["model", "doc_id", "type", "key"], ["model"])
+    listed = pred.sparkSession.createDataFrame(list(enumerate(models)), "seq int, model string")
+    return rank_models(prf(F.broadcast(listed).join(counts, "model", "left").na.fill(0, ["tp", "fp", "fn"]))).drop("seq")
+
+
 def compare_datasets(a: DataFrame, b: DataFrame) -> DataFrame:
     """Models in both results with the difference of their F1."""
     return a.select("model", F.col("f1").alias("f1_a")).join(b.select("model", F.col("f1").alias("f1_b")), "model").withColumn("difference", F.col("f1_a") - F.col("f1_b"))

@@ -467,3 +467,22 @@ def jaccard_empty(spark, sf_dir):
     both = pred.join(gold.select("doc_id", "seq", F.col("value").alias("gold")), ["doc_id", "seq"])
     v, g = F.when(F.col("seq") % 5 == 0, " ").otherwise(F.col("value")), F.when(F.col("seq") % 2 == 0, "").otherwise(F.col("gold"))
     return both.select("doc_id", "type", "seq", F.round(S.jaccard(v, g, 1.0), 6).alias("score"))
+
+
+@query(
+    "model_ranking",
+    f"""{BASE}, m AS (SELECT 'whole' AS model, * FROM pred UNION ALL SELECT 'half', * FROM pred WHERE seq % 2 = 0 UNION ALL SELECT 'marked', * REPLACE (CASE WHEN seq % 5 = 0 THEN value || '#' ELSE value END AS value) FROM pred),
+n AS (SELECT unnest(['none', 'whole', 'half', 'marked']) AS model, unnest(range(4)) AS i), x AS (SELECT DISTINCT n.model, doc_id, type, {KEY} AS key FROM gold CROSS JOIN n WHERE NOT (n.model = 'half' AND doc_id % 4 = 1)),
+p AS (SELECT DISTINCT model, doc_id, type, {KEY} AS key FROM m WHERE NOT (model = 'half' AND doc_id % 4 = 1)),
+c AS (SELECT coalesce(p.model, x.model) AS model, count(*) FILTER (p.key IS NOT NULL AND x.key IS NOT NULL) AS tp, count(*) FILTER (x.key IS NULL) AS fp, count(*) FILTER (p.key IS NULL) AS fn FROM p FULL JOIN x ON p.model = x.model AND p.doc_id = x.doc_id AND p.type = x.type AND p.key = x.key GROUP BY 1)
+SELECT model, {PRF}, row_number() OVER (ORDER BY CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END DESC, i) AS rank FROM c JOIN n USING (model)""",
+)
+def model_ranking(spark, sf_dir):
+    from quillspan.operators.pipelines import run_models
+
+    pred, gold = pred_gold(spark, sf_dir)
+    marked = pred.withColumn("value", F.when(F.col("seq") % 5 == 0, F.concat("value", F.lit("#"))).otherwise(F.col("value")))
+    runs = run_models({"whole": pred, "half": pred.where("seq % 2 = 0"), "marked": marked})
+    failed = pred.where("doc_id % 4 = 1").select(F.lit("half").alias("model"), "doc_id")
+    got = evaluate.evaluate_models(runs, gold, ["none", "whole", "half", "marked"], failed=failed)
+    return scores(got.withColumn("rank", F.col("rank").cast("long")), "model", "rank")

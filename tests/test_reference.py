@@ -334,6 +334,19 @@ def test_splits_are_exact(spark):
     assert bio.folds(df.limit(0), "doc_id").count() == 0
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from quillspan.__main__ import main
+
+    main([])
+    assert "exact_metrics" in capsys.readouterr().out.split()
+    for kind in ("csv", "json", "parquet"):
+        main(["exact_metrics", SMALL, "--out", f"{tmp_path}/{kind}", "--format", kind])
+        assert getattr(spark.read.option("header", True), kind)(f"{tmp_path}/{kind}").count() == 4
+    for wrong in (["nothing", SMALL], ["exact_metrics"]):
+        with pytest.raises(SystemExit):
+            main(wrong)
+
+
 SMALL = "/root/testdata/sf0.001"
 TABLES = [f.removesuffix(".parquet") for f in sorted(os.listdir(SMALL))]
 
