@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,17 +101,44 @@ def word_set(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(c, r"(?U)\s+"), lambda w: w != ""))
 
 
+#: Sentences that one fold adds up; a text's folds are then added up by another.
+FOLD = 64
+
+
 def sentences(c: Column) -> Column:
-    """Array of (text, start, end): cut after . ! or ? before white space; text stripped, offsets not."""
+    """Array of (text, start, end): cut after . ! or ? before white space; text stripped, offsets not.
+
+    Offsets are sums of lengths.  They are added up in blocks of ``FOLD`` and
+    over the blocks, so a text of n sentences costs n FOLD + (n / FOLD)^2 steps
+    and not n^2.
+    """
+    kind = "array<struct<text:string,start:int,end:int>>"
+
+    def within(block: Column, base: Column) -> Column:
+        def add(state, piece):
+            end = state["at"] + F.char_length(piece)
+            one = F.struct(strip(piece).alias("text"), state["at"].alias("start"), end.alias("end"))
+            return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+
+        return F.aggregate(block, F.struct(base.alias("at"), F.array().cast(kind).alias("out")), add)["out"]
+
+    def of(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + F.char_length(x)))
+        bases = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
+        return F.flatten(F.zip_with(blocks, bases, within))
+
+    def cut(pieces: Column) -> Column:
+        starts = F.when(F.size(pieces) > 0, F.sequence(F.lit(1), F.size(pieces), F.lit(FOLD))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.slice(pieces, s, F.lit(FOLD)))
+
     pieces = F.regexp_extract_all(c, F.lit(r"(?Us).*?[.!?]\s+|.+"), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"))
+    made = once(once(pieces, cut), of)
+    return F.when(c.isNotNull(), F.filter(made, lambda s: s["text"] != ""))
 
-    def add(state, piece):
-        end = state["at"] + F.char_length(piece)
-        one = F.struct(strip(piece).alias("text"), state["at"].alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
-    return F.filter(F.aggregate(pieces, zero, add)["out"], lambda s: s["text"] != "")
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def find(value: Column, text: Column) -> Column:

@@ -35,20 +35,23 @@ def decode(tokens: DataFrame, key: str, orphans: str = "start") -> DataFrame:
     passed over and leaves an open entity open, ``close`` ends the open one.
     """
     seq = tokens.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "start", "end", "label", "confidence"))).alias("t"))
-    zero = F.struct(F.array().cast(SPAN).alias("out"), F.lit(False).alias("open"))
+    one = SPAN.removeprefix("array<").removesuffix(">")
+    # the last span is kept apart: those before it are copied only when one is added to them
+    zero = F.struct(F.array().cast(SPAN).alias("out"), F.lit(None).cast(one).alias("last"), F.lit(False).alias("open"))
 
     def add(s: Column, t: Column) -> Column:
-        mark, kind = F.substring(t["label"], 1, 2), F.substring(t["label"], 3, 1000)
-        last = F.try_element_at(s["out"], F.lit(-1))
-        begin = F.concat(s["out"], F.array(F.struct(kind.alias("type"), t["start"].alias("start"), t["end"].alias("end"), t["confidence"].alias("confidence"))))
-        grown = F.concat(F.slice(s["out"], 1, F.greatest(F.size(s["out"]) - 1, F.lit(0))), F.array(F.struct(last["type"].alias("type"), last["start"].alias("start"), t["end"].alias("end"), F.least(last["confidence"], t["confidence"]).alias("confidence"))))
+        mark, kind, last = F.substring(t["label"], 1, 2), F.substring(t["label"], 3, 1000), s["last"]
         goes_on = (mark == "I-") & s["open"] & F.coalesce(last["type"] == kind, F.lit(False))
         orphan = (mark == "I-") & ~goes_on
-        out = F.when(goes_on, grown).when((mark == "B-") | (orphan if orphans == "start" else F.lit(False)), begin).otherwise(s["out"])
+        begins = (mark == "B-") | (orphan if orphans == "start" else F.lit(False))
+        begin = F.struct(kind.alias("type"), t["start"].alias("start"), t["end"].alias("end"), t["confidence"].alias("confidence"))
+        grown = F.struct(last["type"].alias("type"), last["start"].alias("start"), t["end"].alias("end"), F.least(last["confidence"], t["confidence"]).alias("confidence"))
+        out = F.when(begins & last.isNotNull(), F.concat(s["out"], F.array(last))).otherwise(s["out"])
         open_ = F.when(goes_on | (mark == "B-"), True).when(orphan, F.lit(True) if orphans == "start" else s["open"] if orphans == "skip" else F.lit(False)).otherwise(False)
-        return F.struct(out.cast(SPAN).alias("out"), open_.alias("open"))
+        return F.struct(out.cast(SPAN).alias("out"), F.when(goes_on, grown).when(begins, begin).otherwise(last).cast(one).alias("last"), open_.alias("open"))
 
-    return seq.select(key, F.aggregate("t", zero, add)["out"].alias("spans"))
+    spans = F.aggregate("t", zero, add, lambda s: F.when(s["last"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["last"]))))
+    return seq.select(key, spans.alias("spans"))
 
 
 def class_weights(entities: DataFrame, documents: DataFrame, types: list[str]) -> DataFrame:

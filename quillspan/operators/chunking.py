@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import sentences, strip
+from quillspan.functions.text import once, sentences, strip
 
 CHUNK = "array<struct<text:string,start:int,end:int>>"
 # What ends a sentence, tried in order.
@@ -54,11 +54,6 @@ def stride(text: Column, size: int, overlap: int, most: int | None = None, to_en
     return F.transform(starts, lambda s: F.struct(F.substr(text, s + 1, F.lit(size)).alias("text"), s.alias("start"), F.least(s + size, n).alias("end")))
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def word_windows(text: Column, size: int = 512, overlap: int = 128) -> Column:
     """Windows of words joined by blanks, until starts pass the end (the last may repeat a tail)."""
 
@@ -168,16 +163,18 @@ def recursive(text: Column, size: int = 1000, overlap: int = 200) -> Column:
 
 def pack_sentences(text: Column, size: int = 1024) -> Column:
     """Sentences packed in order until the next would pass ``size`` (each counts its length and one)."""
-    zero = F.struct(F.array().cast(CHUNK).alias("done"), F.lit(0).alias("used"))
+    chunk = CHUNK.removeprefix("array<").removesuffix(">")
+    zero = F.struct(F.array().cast(CHUNK).alias("done"), F.lit(None).cast(chunk).alias("now"), F.lit(0).alias("used"))
 
     def add(state, s):
-        flush = (state["used"] + F.char_length(s["text"]) > size) | (F.size(state["done"]) == 0)
-        last = F.try_element_at(state["done"], F.lit(-1))
-        grown = F.concat(F.slice(state["done"], 1, F.greatest(F.size(state["done"]) - 1, F.lit(0))), F.array(F.struct(F.concat(last["text"], F.lit(" "), s["text"]).alias("text"), last["start"].alias("start"), s["end"].alias("end"))))
-        done = F.when(flush, F.concat(state["done"], F.array(s))).otherwise(grown)
-        return F.struct(done.cast(CHUNK).alias("done"), (F.when(flush, 0).otherwise(state["used"]) + F.char_length(s["text"]) + 1).alias("used"))
-
-    return F.aggregate(sentences(text), zero, add)["done"]
+        # what is done is copied only when a chunk is added to it
+        now = state["now"]
+        flush = now.isNull() | (state["used"] + F.char_length(s["text"]) > size)
+        done = F.when(flush & now.isNotNull(), F.concat(state["done"], F.array(now))).otherwise(state["done"])
+        grown = F.struct(F.concat(now["text"], F.lit(" "), s["text"]).alias("text"), now["start"].alias("start"), s["end"].alias("end"))
+        return F.struct(done.cast(CHUNK).alias("done"), F.when(flush, s).otherwise(grown).cast(chunk).alias("now"), (F.when(flush, 0).otherwise(state["used"]) + F.char_length(s["text"]) + 1).alias("used"))
+
+    return F.aggregate(sentences(text), zero, add, lambda z: F.when(z["now"].isNull(), z["done"]).otherwise(F.concat(z["done"], F.array(z["now"]))))
 
 
 def semantic(parts: DataFrame, key: str, most: int = 1024, least: int = 256, similar: float = 0.7) -> DataFrame:
