@@ -62,12 +62,17 @@ def ensemble(df: DataFrame, weights: DataFrame, key: str, method: str = "vote")
     return {"vote": majority_vote, "confidence_max": dedup_best, "union": dedup_best}.get(method, weighted_vote)(df, key)
 
 
-def self_consistency(df: DataFrame, key: str, runs: int, share: float = 0.5) -> DataFrame:
-    """Entities in int(runs * share) runs or more (one of two for three runs); confidence = mean of each run's first, times the share of runs, 0.99 at most."""
+def self_consistency(df: DataFrame, key: str, runs: int, share: float = 0.5, places: bool = False) -> DataFrame:
+    """Entities in int(runs * share) runs or more (one of two for three runs); confidence = mean of each run's first, times the share of runs, 0.99 at most.
+
+    The last run's value is kept, and with ``places`` its start and end too.
+    """
+    kept = ["value", "start", "end"] if places else ["value"]
     df = df.withColumn("value_key", norm_key(F.col("value")))
-    once = df.groupBy(key, "type", "value_key", "run").agg(F.min_by(F.struct("confidence", "value"), "seq").alias("f"))
-    got = once.groupBy(key, "type", "value_key").agg(F.count("*").alias("votes"), F.avg("f.confidence").alias("mean"), F.max_by("f.value", "run").alias("value"))
-    return got.where(F.col("votes") >= int(runs * share)).select(key, "type", "value", "votes", F.least(F.col("mean") * F.col("votes") / runs, F.lit(0.99)).alias("confidence"))
+    once = df.groupBy(key, "type", "value_key", "run").agg(F.min_by(F.struct("confidence", *kept), "seq").alias("f"))
+    last = F.max_by(F.struct(*(f"f.{c}" for c in kept)), "run").alias("l")
+    got = once.groupBy(key, "type", "value_key").agg(F.count("*").alias("votes"), F.avg("f.confidence").alias("mean"), last)
+    return got.where(F.col("votes") >= int(runs * share)).select(key, "type", "l.*", "votes", F.least(F.col("mean") * F.col("votes") / runs, F.lit(0.99)).alias("confidence"))
 
 
 def prompt_consistency(df: DataFrame, key: str, runs: int, union: bool = False) -> DataFrame:

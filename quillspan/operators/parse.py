@@ -66,6 +66,30 @@ def repaired_reply(reply: Column, default: float = 0.85) -> Column:
     return F.coalesce(_rows(_items(body), "fallback", default), _rows(_items(closed), "fallback", default), _rows(single, "fallback", default), _empty())
 
 
+def lenient_reply(reply: Column, default: float = 0.85) -> Column:
+    """JSON with entities or a list of them, after taking a fence off; else the first of four places in the reply where such JSON stands."""
+    bare = F.regexp_replace(strip(F.regexp_replace(strip(reply), "^```(json)?", "")), "```$", "")
+    inside = [F.regexp_extract(reply, p, g) for p, g in ((r"```json\s*([\s\S]*?)\s*```", 1), (r"```\s*([\s\S]*?)\s*```", 1), (r'\{[\s\S]*"entities"[\s\S]*\}', 0), (r'\[[\s\S]*\{[\s\S]*"text"[\s\S]*\}[\s\S]*\]', 0))]
+    found = [x for part in (strip(bare), *inside) for x in (F.from_json(part, f"struct<entities:{_ITEM}>")["entities"], F.from_json(part, _ITEM))]
+    return F.coalesce(_rows(F.coalesce(*found), "fallback", default), _empty())
+
+
+def typed_reply(reply: Column, types: list[str]) -> Column:
+    """(type, value, 1) of the outermost braces in three forms: a list of entities, type -> texts, type -> objects with a text."""
+    body = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
+    known = F.map_entries(F.from_json(body, "map<string,string>"))
+    listed = F.from_json(body, f"struct<entities:{_ITEM}>")["entities"]
+
+    def texts(value: Column) -> Column:
+        each = F.coalesce(F.when(value.startswith("["), F.from_json(value, "array<string>")), F.when(value.startswith("{"), F.array().cast("array<string>")).otherwise(F.array(value)))
+        return F.transform(each, lambda x: F.when(x.startswith("{"), F.get_json_object(x, "$.text")).otherwise(x))
+
+    pairs = F.flatten(F.transform(known, lambda e: F.transform(texts(e["value"]), lambda v: F.struct(e["key"].alias("type"), v.alias("value")))))
+    own = F.transform(listed, lambda x: F.struct(x["type"].alias("type"), x["text"].alias("value")))
+    rows = F.transform(F.coalesce(own, pairs), lambda x: F.struct(clause_type(x["type"]).alias("type"), strip(x["value"]).alias("value"), F.lit(1.0).alias("confidence")))
+    return F.coalesce(F.filter(rows, lambda x: x["type"].isin(types) & (x["value"] != "")), _empty())
+
+
 def grouped_reply(reply: Column) -> Column:
     """map<type, array<text>> from the outermost braces: entities grouped by type, or type -> texts."""
     body = F.regexp_extract(reply, r"(?s)\{.*\}", 0)

@@ -193,6 +193,16 @@ def self_consistency(spark, sf_dir):
     return entities.self_consistency(_runs(spark, sf_dir), "doc_id", 5).withColumn("confidence", F.round("confidence", 6))
 
 
+@query(
+    "self_consistency_places",
+    f"""WITH {_RUNS}, s AS (SELECT *, CAST(seq % {_TURN} * 5 AS INT) AS start, CAST(seq % {_TURN} * 5 + length(value) AS INT) AS stop FROM e),
+o AS (SELECT doc_id, type, k, run, arg_min(confidence, seq) AS c, arg_min(value, seq) AS v, arg_min(start, seq) AS s, arg_min(stop, seq) AS x FROM s GROUP BY 1, 2, 3, 4)
+SELECT doc_id, type, arg_max(v, run) AS value, arg_max(s, run) AS start, arg_max(x, run) AS "end", count(*) AS votes, round(least(avg(c) * count(*) / 3, 0.99), 6) AS confidence FROM o GROUP BY doc_id, type, k""",
+)
+def self_consistency_places(spark, sf_dir):
+    return entities.self_consistency(_spans(spark, sf_dir), "doc_id", 3, places=True).withColumn("confidence", F.round("confidence", 6))
+
+
 @query("prompt_consistency", f"WITH {_RUNS} SELECT doc_id, type, arg_max(value, seq) AS value, count(*) AS votes, round(count(*) / 3, 6) AS confidence FROM e GROUP BY doc_id, type, k HAVING count(*) >= 2")
 def prompt_consistency(spark, sf_dir):
     return entities.prompt_consistency(_runs(spark, sf_dir), "doc_id", 3).withColumn("confidence", F.round("confidence", 6))
@@ -695,3 +705,31 @@ def clauses_replies(spark, sf_dir):
     k = F.col("o_orderkey")
     reply = F.when(k % 3 == 0, F.concat(F.lit('So: {"clauses": ["'), "o_orderpriority", F.lit('", "x '), k.cast("string"), F.lit('"]} done'))).when(k % 3 == 1, '{"other": 1}').otherwise("no braces")
     return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(parse.clauses_reply(reply)).alias("clause"))
+
+
+def _five_replies(spark, sf_dir):
+    k, p, m = F.col("o_orderkey").cast("string"), F.col("o_orderpriority"), F.col("o_orderkey") % 5
+    lit = F.lit
+    reply = (
+        F.when(m == 0, F.concat(lit('```json\n[{"text":"'), p, lit('","type":"Governing Law"}]\n```')))
+        .when(m == 1, F.concat(lit('noise {"entities":[{"text":" '), p, lit('","type":"Parties","confidence":0.5}]} tail')))
+        .when(m == 2, F.concat(lit('{"Governing Law":["'), p, lit('", {"text":"q '), k, lit('"}], "Other":["z"]}')))
+        .when(m == 3, F.concat(lit('{"Parties":"'), p, lit('"}')))
+        .otherwise('broken {"entities":[')
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", reply.alias("reply"))
+
+
+@query("parse_lenient", "SELECT o_orderkey, 'Governing Law' AS type, o_orderpriority AS value, 0.85::DOUBLE AS confidence FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, 'Parties', ' ' || o_orderpriority, 0.5 FROM orders WHERE o_orderkey % 5 = 1")
+def parse_lenient(spark, sf_dir):
+    r = _five_replies(spark, sf_dir)
+    return r.select("o_orderkey", F.explode(parse.lenient_reply(F.col("reply"))).alias("x")).select("o_orderkey", "x.*")
+
+
+@query(
+    "parse_typed",
+    "SELECT o_orderkey, 'GOVERNING_LAW' AS type, unnest([o_orderpriority, 'q ' || o_orderkey]) AS value FROM orders WHERE o_orderkey % 5 = 2 UNION ALL SELECT o_orderkey, 'PARTIES', o_orderpriority FROM orders WHERE o_orderkey % 5 IN (1, 3)",
+)
+def parse_typed(spark, sf_dir):
+    r = _five_replies(spark, sf_dir)
+    return r.select("o_orderkey", F.explode(parse.typed_reply(F.col("reply"), vocab.CLAUSES)).alias("x")).select("o_orderkey", "x.type", "x.value")
