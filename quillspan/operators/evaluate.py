@@ -111,10 +111,15 @@ def first_match(pred: DataFrame, gold: DataFrame, least: float = 0.5, score: Mea
     return pred.select("doc_id", "type", "seq", "value").join(hit, ["doc_id", "type", "seq"], "left")
 
 
+def _best(pred: DataFrame, gold: DataFrame, least: float, score: Measure) -> DataFrame:
+    """(doc_id, type, seq, gold, score) of the predictions that have a gold of ``least`` or more."""
+    hit = _pairs(pred, gold, score).groupBy("doc_id", "type", "seq").agg(F.max_by(F.struct("gold", "score"), F.struct("score", -F.col("g_seq"))).alias("m")).where(F.col("m.score") >= least)
+    return hit.select("doc_id", "type", "seq", "m.*")
+
+
 def best_match(pred: DataFrame, gold: DataFrame, least: float = 0.5, score: Measure = COMBINED) -> DataFrame:
     """(doc_id, type, seq, value, gold, score): the best gold, the first of ties; null below ``least``."""
-    hit = _pairs(pred, gold, score).groupBy("doc_id", "type", "seq").agg(F.max_by(F.struct("gold", "score"), F.struct("score", -F.col("g_seq"))).alias("m")).where(F.col("m.score") >= least)
-    return pred.select("doc_id", "type", "seq", "value").join(hit.select("doc_id", "type", "seq", "m.*"), ["doc_id", "type", "seq"], "left")
+    return pred.select("doc_id", "type", "seq", "value").join(_best(pred, gold, least, score), ["doc_id", "type", "seq"], "left")
 
 
 def span_protocol(pred: DataFrame, gold: DataFrame, by: list[str], least: float = 0.7) -> DataFrame:
@@ -123,8 +128,7 @@ def span_protocol(pred: DataFrame, gold: DataFrame, by: list[str], least: float
     Closed form of the sequential rule: for each matched text, as many hits as
     the lesser of the predictions that chose it and the golds that have it.
     """
-    m = best_match(pred, gold, least, COVERAGE)
-    chosen = m.where("gold is not null").groupBy("doc_id", "type", "gold").agg(F.count("*").alias("a"))
+    chosen = _best(pred, gold, least, COVERAGE).groupBy("doc_id", "type", "gold").agg(F.count("*").alias("a"))
     have = gold.groupBy("doc_id", "type", F.col("value").alias("gold")).agg(F.count("*").alias("b"))
     tp = chosen.join(have, ["doc_id", "type", "gold"]).groupBy("doc_id", "type").agg(F.sum(F.least("a", "b")).alias("tp"))
     return _from_totals(tp, pred, gold, by)
