@@ -36,8 +36,8 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-#: Bytes of input that go to one file of a saved table, and rows of a small table.
-FILE_BYTES, FILE_ROWS = 32 << 20, 1 << 20
+#: Bytes of input that go to one file of a saved table, rows of a small table, and how many times too many partitions are dealt again.
+FILE_BYTES, FILE_ROWS, DEAL_AGAIN = 32 << 20, 1 << 20, 16
 
 
 def files_for(df: DataFrame) -> int:
@@ -55,12 +55,12 @@ def few_files(df: DataFrame, files: int) -> DataFrame:
     """``df`` in about ``files`` partitions if it would have many more, so that a small input doesn't become very many tiny files.
 
     A plan without a shuffle gets fewer tasks.  What comes from a shuffle is
-    dealt again only if the session asks for over four times as many
+    dealt again only if the session asks for over ``DEAL_AGAIN`` times as many
     partitions; otherwise adaptive execution's choice stays.
     """
     if not re.search(r"(?<!Broadcast)Exchange", df._jdf.queryExecution().executedPlan().toString()):
         return df.coalesce(files)
-    return df.repartition(files) if 4 * files < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    return df.repartition(files) if DEAL_AGAIN * files < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 class Scratch:
@@ -90,9 +90,10 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table saved here that nothing reads any more."""
-        delete(self.spark, df._scratch_path)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables saved here that nothing reads any more."""
+        for t in tables:
+            delete(self.spark, t._scratch_path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
