@@ -191,12 +191,13 @@ def _send_down(batches):
             yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(code), part.column(6).take(take), part.column(7).take(take)], ["label", "dim", "leaf", "node", "vec"])
 
 
-def split_leaves(rows: DataFrame, leaf: int, scratch: Scratch, depth: int = DEPTH) -> DataFrame:
-    """Rows (label, dim, leaf, node, vec) with leaves of more than ``leaf`` nodes split further where they can be."""
-    keys, done = ["label", "dim", "leaf"], []
+def split_leaves(rows: DataFrame, leaf: int, scratch: Scratch, depth: int = DEPTH) -> tuple[DataFrame, bool]:
+    """Rows (label, dim, leaf, node, vec) with leaves of more than ``leaf`` nodes split further where they can be, and whether some still have more."""
+    keys, done, over = ["label", "dim", "leaf"], [], True
     for level in range(depth):
         large = scratch.save(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > leaf), 0)
         if large.isEmpty():
+            over = False
             break
         share = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 30)) < F.col("n").cast("double") ** -1 * LEAF_SAMPLE * (1 << 30)
         some = rows.join(large, keys).where(share).select(*keys, "n", "vec").repartition(*keys).sortWithinPartitions(*keys)
@@ -210,7 +211,7 @@ def split_leaves(rows: DataFrame, leaf: int, scratch: Scratch, depth: int = DEPT
         both = first.union(then).repartition(*keys, "part").sortWithinPartitions(*keys, "part", "kind")
         done.append(rows.join(split, keys, "left_anti").select(*keys, "node", "vec"))
         rows = scratch.save(both.mapInArrow(_send_down, "label long, dim long, leaf long, node long, vec array<double>"))
-    return functools.reduce(DataFrame.union, done, rows.select(*keys, "node", "vec"))
+    return functools.reduce(DataFrame.union, done, rows.select(*keys, "node", "vec")), over or bool(done)
 
 
 def spanning_links(v: np.ndarray, least: float, block: int = 4096) -> list[tuple[int, int]]:
@@ -274,14 +275,14 @@ def _count_links(least: float, block: int = 1024):
     return run
 
 
-def _dealt(rows: DataFrame, sizes: DataFrame, keys: list[str], columns: list[str], scratch: Scratch) -> DataFrame:
+def _dealt(rows: DataFrame, sizes: DataFrame | None, keys: list[str], columns: list[str], scratch: Scratch) -> DataFrame:
     """Rows (keys, lo, hi, own, columns), sorted by the first ones within partitions of whole blocks.
 
-    ``sizes``: (keys, n).  The rows of a group of more than ``BLOCK`` are in one
+    ``sizes``: (keys, n), or None if no group is larger.  The rows of a group of more than ``BLOCK`` are in one
     cell each and come once for every cell that theirs meets, their own too.
     """
-    large = scratch.save(sizes.where(F.col("n") > BLOCK), 0)
-    if large.isEmpty():
+    large = None if sizes is None else scratch.save(sizes.where(F.col("n") > BLOCK), 0)
+    if large is None or large.isEmpty():
         rows = rows.withColumns({"lo": F.lit(0), "hi": F.lit(0), "own": F.lit(0)})
     else:
         rows = rows.join(large, keys, "left").withColumn("cells", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int"))
@@ -311,8 +312,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     forest = vectors.sparkSession.sparkContext.broadcast(grow_forest(nodes, trees, leaf, sample))
     leaves = nodes.select("label", F.col("dim").cast("long").alias("dim"), "node", "vec", F.explode(_router(forest)("label", "dim", "vec")).alias("leaf"))
     keys = ["label", "dim", "leaf"]
-    leaves = split_leaves(leaves, leaf, scratch)
-    placed = _dealt(leaves, leaves.groupBy(*keys).agg(F.count("*").alias("n")), keys, ["node", "vec"], scratch)
+    leaves, over = split_leaves(leaves, leaf, scratch)
+    sizes = leaves.groupBy(*keys).agg(F.count("*").alias("n")) if over or leaf > BLOCK else None
+    placed = _dealt(leaves, sizes, keys, ["node", "vec"], scratch)
     root = components(placed.mapInArrow(_leaf_links(cosine), "a long, b long"), scratch)
     member = nodes.join(root, "node")
     low = member.groupBy("root").agg(F.min("low").alias("component"))

@@ -405,7 +405,7 @@ def test_forest_recall_beyond_the_sample(spark):
     assert want.sum() > 2000 and 0.95 * want.sum() <= found <= want.sum() and all(got[i] <= want[i] for i in got)
     # leaves that the first trees leave too large are gone
     nodes = df.select("label", F.lit(16).cast("long").alias("dim"), F.col("vec_id").alias("node"), F.col("embedding").alias("vec"), F.lit(0).cast("long").alias("leaf")).withColumn("label", F.col("label").cast("long"))
-    split = embed.split_leaves(nodes, 32, Scratch(spark, "e"))
+    split, _ = embed.split_leaves(nodes, 32, Scratch(spark, "e"))
     sizes = [x[0] for x in split.groupBy("leaf").count().select("count").collect()]
     assert {x.node for x in split.select("node").distinct().collect()} == set(range(3000)) and max(sizes) < 120 and len(sizes) > 60
 
