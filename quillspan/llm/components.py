@@ -91,7 +91,9 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60, most: int |
     now = scratch.save(ordered(edges.select("a", "b").mapInArrow(_thin, "a long, b long")).distinct(), most)
     size = _measure(now)
     if size[0] <= ONE_TASK:
-        return scratch.save(now.coalesce(1).mapInArrow(_join_all, "node long, root long"))
+        done = scratch.save(now.coalesce(1).mapInArrow(_join_all, "node long, root long"))
+        scratch.drop(now)
+        return done
     for _ in range(rounds):
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -107,7 +109,9 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60, most: int |
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return scratch.save(roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
+    done = scratch.save(roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
+    scratch.drop(now)
+    return done
 
 
 def _measure(edges: DataFrame) -> tuple:

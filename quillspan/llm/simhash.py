@@ -202,5 +202,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = node.join(root, "fp")
     low = linked.groupBy("root").agg(F.min("low").alias("component"))
     reach = linked.join(low, "root").select("fp", "component")
-    alone = node.join(reach, "fp", "left").select("fp", F.coalesce("component", "low").alias("component"))
+    # saved, so that Spark can split the join of a fingerprint that very many rows have
+    alone = scratch.save(node.join(reach, "fp", "left").select("fp", F.coalesce("component", "low").alias("component")))
     return fp.join(alone, "fp").select("id", "fp", "component")

@@ -208,11 +208,12 @@ class _Nodes:
         self.scratch, self.similarity, self.turn = scratch, similarity, 0
         rows = made.select("id", "size", F.posexplode("first").alias("place", "key"))
         often = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        #: (key, id, size, place, n) of the shingles in several nodes' prefixes.
+        # (key, id, size, place, n) of the shingles in several nodes' prefixes
         shared = scratch.save(rows.join(often, "key").select("key", "id", "place", "size", "n"))
         most = shared.count()
         ids = scratch.save(self._partnered(shared).select("id").distinct(), most)
         self.count = ids.count()
+        #: (key, id, place, size) of the shingles that can still settle something.
         self.rows = scratch.save(shared.join(ids, "id", "left_semi").select("key", "id", "place", "size"), most)
         self.n_rows = self.rows.count()
         scratch.drop(shared)
@@ -223,7 +224,8 @@ class _Nodes:
 
         # texts are moved and cut into shingles once, those of nodes that can have a partner only
         self.sets = scratch.save(texts.join(ids, "id", "left_semi").select("id", whole("text").alias("set")))
-        self.root = ids.select("id", F.col("id").alias("root"))
+        self.root = scratch.save(ids.select("id", F.col("id").alias("root")), self.count)
+        scratch.drop(ids)
 
     def _partnered(self, shared: DataFrame) -> DataFrame:
         """(id) of the nodes that have a hot shingle, or share enough others with some node.
@@ -243,7 +245,7 @@ class _Nodes:
         return rows.join(self.root.withColumnsRenamed({"id": node, "root": root}), node)
 
     def compare(self, pairs: DataFrame) -> int:
-        """Join the groups of the pairs (a, b) that are similar enough; returns how many are."""
+        """Join the groups of the saved pairs (a, b) that are similar enough; returns how many are."""
         own = lambda end: self.sets.select(F.col("id").alias(end), F.col("set").alias(f"set_{end}"))
         both = pairs.join(own("b"), "b").join(own("a"), "a")
         n = F.size(F.array_intersect("set_a", "set_b"))
@@ -253,19 +255,22 @@ class _Nodes:
         if n_found:
             # only the groups are joined anew: the smallest node of each stands for it
             links = self.placed(self.placed(found, "a", "ra"), "b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-            new = components(links, self.scratch, most=self.count).select(F.col("node").alias("root"), F.col("root").alias("new"))
-            moved = self.root.join(new, "root", "left").select("id", F.coalesce("new", "root").alias("root"))
-            self.root = self.scratch.save(moved, self.count)
+            new = components(links, self.scratch, most=self.count)
+            moved = self.root.join(new.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("id", F.coalesce("new", "root").alias("root"))
+            old, self.root = self.root, self.scratch.save(moved, self.count)
+            self.scratch.drop(old, new)
+        self.scratch.drop(pairs, found)
         return n_found
 
     def unsettled(self) -> DataFrame:
         """Rows (key, id, place, size, root, p, n) of the shingles that nodes of different groups have; p: a pivot, n: how many have it."""
-        now = self.placed(self.rows)
+        now = self.placed(self.rows.select("key", "id", "place", "size"))
         rank = F.xxhash64("id", "key", F.lit(self.turn)) if self.turn else F.col("id")
         pivot = now.groupBy("key").agg(F.min_by(F.struct("id", "root", "place", "size"), rank).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
-        self.rows = self.scratch.save(now.join(pivot.where("lo < hi").select("key", "p", "n"), "key"), self.n_rows)
-        got, self.rows, self.turn = self.rows, self.rows.select("key", "id", "place", "size"), self.turn + 1
-        return got
+        old, self.rows = self.rows, self.scratch.save(now.join(pivot.where("lo < hi").select("key", "p", "n"), "key"), self.n_rows)
+        self.scratch.drop(old)
+        self.turn += 1
+        return self.rows
 
     def pivots(self) -> DataFrame:
         """(a, b): each node with one pivot of another group, the one it shares most of its prefix with, if that is half of what it takes or more."""
@@ -293,7 +298,14 @@ class _Nodes:
         own = lambda end: keys.select(F.col("id").alias(end), F.col("size").alias(f"n{end}"), F.col("keys").alias(f"keys_{end}"))
         both = met.join(own("b"), "b").join(own("a"), "a")
         enough = F.size(F.array_intersect("keys_a", "keys_b")) >= _shared_at_least(F.col("na"), F.col("nb"), self.similarity)
-        return self.scratch.save(both.where(enough).select("a", "b").distinct())
+        found = self.scratch.save(both.where(enough).select("a", "b").distinct())
+        self.scratch.drop(keys)
+        return found
+
+    def settle(self) -> DataFrame:
+        """(a, b): each node that isn't the smallest of its group with that one; nothing else is needed any more."""
+        self.scratch.drop(self.sets, self.rows)
+        return self.root.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
@@ -308,7 +320,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     scratch = Scratch(docs.sparkSession, "similar", docs)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     made = scratch.save(_sketched(texts, shingle, similarity))
-    low = made.groupBy("s1", "s2").agg(F.min("id").alias("low"))
+    # saved, so that no aggregate shares the join's dealing and Spark can split a hot group of copies
+    low = scratch.save(made.groupBy("s1", "s2").agg(F.min("id").alias("low")))
     same = made.select("id", "s1", "s2").join(low, ["s1", "s2"])
     copies = same.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
     unique = made.join(low.withColumnRenamed("low", "id"), ["s1", "s2", "id"], "left_semi").where("size > 0")
@@ -321,13 +334,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     near = linked.join(first.withColumnsRenamed({"fp": "a", "low": "x"}), "a").join(first.withColumnsRenamed({"fp": "b", "low": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     equal = fps.join(first, "fp").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
     nodes.compare(scratch.save(near.union(equal), 2 * nodes.count))
+    scratch.drop(fps)
 
     for _ in range(ROUNDS):
         if 50 * nodes.compare(nodes.pivots()) <= nodes.count:
             break
     nodes.compare(nodes.all_pairs())
 
-    joined = nodes.root.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
-    root = components(copies.union(joined), scratch).withColumnsRenamed({"node": "id", "root": "component"})
+    root = components(copies.union(nodes.settle()), scratch).withColumnsRenamed({"node": "id", "root": "component"})
     got = made.select("id").join(root, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     return got.union(docs.where(F.col(id_col).cast("long").isNull()).select(F.lit(None).cast("long"), F.lit(None).cast("long")))

@@ -174,7 +174,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch.drop(seeds)
     stretch = scratch.save(hits.groupBy("g", "nb").agg(F.sum(F.size("los")).alias("c"), F.min(F.struct("id", "h", F.col("los")[0].alias("lo"), "nw")).alias("one")))
     inside = hits.join(stretch.where("c > 1").select("g", "nb"), ["g", "nb"]).select("id", "h", "los", "nw")
-    mixed = stretch.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
+    mixed = scratch.save(stretch.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g"))
     probe = stretch.join(mixed, "g").select("one.id", "one.h", F.struct("one.lo", "one.nw", "g", (F.col("c") > 1).alias("sure")).alias("s"))
     probe = probe.groupBy("id", "h").agg(F.collect_list("s").alias("spans")).withColumnsRenamed({"id": "i", "h": "j"})
     # of repeated rows one is enough: what is compared are distinct stretches
