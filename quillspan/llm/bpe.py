@@ -35,7 +35,7 @@ from quillspan.llm.scratch import bounded_batches
 from quillspan.llm.words import SPACE
 
 #: Pre-tokens a worker keeps; characters from which a pre-token is halved; bytes of text handled at a time.
-CACHE, LEAF, STEP = 150_000, 16, 1 << 20
+CACHE, LEAF, STEP = 100_000, 16, 1 << 20
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
 #: A run with one of these characters or an added token, or longer than this, is left to the library's own normaliser and splitter.
 ODD, PLAIN_MOST = r"[^\x21-\x7e\x{a1}-\x{24f}]", 1 << 16

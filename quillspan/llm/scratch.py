@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -63,6 +64,18 @@ def few_files(df: DataFrame, files: int) -> DataFrame:
     return df.repartition(files) if DEAL_AGAIN * files < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
+@contextlib.contextmanager
+def more_partitions(spark: SparkSession, times: int):
+    """``times`` as many shuffle partitions for what runs inside: for a step whose rows are many times its input's, so that a task's share still fits."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(int(before) * times))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """A private folder below the shared one; tables saved there are read back as new roots of a plan.
 

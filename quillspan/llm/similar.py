@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm import simhash
 from quillspan.llm.components import components
-from quillspan.llm.scratch import Scratch
+from quillspan.llm.scratch import Scratch, more_partitions
 from quillspan.llm.simhash import shingle_runs
 from quillspan.llm.words import mix
 
@@ -42,6 +42,8 @@ ROUNDS = 3
 SAMPLE = 20_000
 #: Nodes of a shingle from which it counts as hot and isn't paired off in advance; nodes in a block of the exact join.
 HOT, BLOCK = 64, 4096
+#: Times as many shuffle partitions for the rows of all prefixes, of which a text has one for every five words.
+WIDE = 4
 
 
 def _distinct(col, shingle: int, seed: int = 42, ones: np.ndarray | None = None, total: np.ndarray | None = None):
@@ -209,7 +211,8 @@ class _Nodes:
         rows = made.select("id", "size", F.posexplode("first").alias("place", "key"))
         often = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         # (key, id, size, place, n) of the shingles in several nodes' prefixes
-        shared = scratch.save(rows.join(often, "key").select("key", "id", "place", "size", "n"))
+        with more_partitions(scratch.spark, WIDE):
+            shared = scratch.save(rows.join(often, "key").select("key", "id", "place", "size", "n"))
         most = shared.count()
         ids = scratch.save(self._partnered(shared).select("id").distinct(), most)
         self.count = ids.count()
