@@ -162,14 +162,24 @@ def greedy_protocol(pred: DataFrame, gold: DataFrame, by: list[str], least: floa
     pairs = _pairs_by_words(pred, gold, least, score.prepare) if score is RECALL and least > 0 else _pairs(pred, gold, score).where(F.col("score") >= least)
     options = pairs.groupBy("doc_id", "type", "seq").agg(F.sort_array(F.collect_list(F.struct((-F.col("score") if best else F.lit(0.0)).alias("s"), "g_seq"))).alias("o"))
     group = options.groupBy("doc_id", "type").agg(F.sort_array(F.collect_list(F.struct("seq", "o"))).alias("p"))
+    wanted = F.transform("p", lambda p: F.transform(p["o"], lambda x: x["g_seq"].cast("long")))
+    tp = group.select("doc_id", "type", F.arrow_udf("int")(_take_free)(wanted).alias("tp"))
+    return _from_totals(tp, pred, gold, by)
 
-    def take(used: Column, p: Column) -> Column:
-        free = F.filter(p["o"], lambda x: ~F.array_contains(used, x["g_seq"]))
-        return F.when(F.size(free) > 0, F.concat(used, F.array(free[0]["g_seq"]))).otherwise(used)
 
-    kind = f"array<{gold.schema['seq'].dataType.simpleString()}>"
-    tp = group.select("doc_id", "type", F.size(F.aggregate("p", F.array().cast(kind), take)).alias("tp"))
-    return _from_totals(tp, pred, gold, by)
+def _take_free(groups):
+    """How many golds each group's predictions take, each the first of its list that is free."""
+    import pyarrow as pa
+
+    out = []
+    for group in groups.to_pylist():
+        used: set[int] = set()
+        for wanted in group:
+            free = next((g for g in wanted if g not in used), None)
+            if free is not None:
+                used.add(free)
+        out.append(len(used))
+    return pa.array(out, pa.int32())
 
 
 def confusion(df: DataFrame, true: str, pred: str) -> DataFrame:
