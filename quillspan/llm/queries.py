@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import bpe, chat, decontam, embed, quality, shards, simhash, substring, toxicity, warc
+from quillspan.llm import audit, bpe, chat, decontam, embed, periodic, quality, rules, shards, simhash, substring, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,7 +87,40 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_simhash, op3_warc, op4_substring, op5_decontam, op6_embed, op7_quality, op8_toxicity, op9_shards, op10_bpe)}
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in one of ten texts, by crc32 of the id, the words from some place on repeat with some period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.filter(F.split("text", audit.BLANKS), lambda w: w != ""))
+    base = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("words"))
+    base = base.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    base = base.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get(F.col("words"), (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return base.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = periodic.collapse_runs(with_periodic_tails(_table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    got = got.select(F.col("row.doc_id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    start, length, period = -F.col("best.start"), F.col("best.length"), -F.col("best.period")
+    return got.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    learned = rules.fit(docs, _table(spark, sf_dir, "labels"))
+    got = rules.judge(docs, learned)
+    return got.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = audit.text_masks(_table(spark, sf_dir, "documents"))
+    counts = audit.mask_counts(masks, _table(spark, sf_dir, "labels"), marked={"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1})
+    return audit.audit(counts, "ABCDE", ("good", "toxic"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat, op2_simhash, op3_warc, op4_substring, op5_decontam, op6_embed, op7_quality, op8_toxicity, op9_shards, op10_bpe, op11_periodic, op12_rules, op13_audit)}
 
 #: What DuckDB's regular expressions take for a control string of the chat template.
 _CONTROL = r"([<\[])(\\*)(/?s>|/?INST\]|/?RESP\]|/?SYS\]|/?ROLE\])"
@@ -146,4 +179,56 @@ m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY 1),
 k AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
 SELECT m.vec_id, coalesce(k.n, 0) AS n_links, m.component_id, m.vec_id = m.component_id AS kept FROM m LEFT JOIN k ON m.vec_id = k.a""",
     "op9_shards": "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents",
+    "op11_periodic": r"""
+WITH tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+h AS (
+  SELECT doc_id, text, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM documents, tab),
+w AS (SELECT doc_id, h, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM h),
+a AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM w),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_select(w, list_transform(range(n), lambda i: CASE WHEN i < a THEN i + 1 ELSE a + (i - a) % p + 1 END)) END AS w FROM p),
+l AS (SELECT doc_id, n, unnest(range(n)) AS k, unnest(w) AS x FROM d),
+g AS (SELECT doc_id, n, k AS i, concat_ws(' ', x, lead(x, 1) OVER v, lead(x, 2) OVER v, lead(x, 3) OVER v, lead(x, 4) OVER v) AS x FROM l WINDOW v AS (PARTITION BY doc_id ORDER BY k)),
+q AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.x = b.x AND b.i > a.i AND b.i <= a.n - 5 AND 4 * (b.i - a.i) <= a.n),
+s AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM q),
+e AS (SELECT doc_id, q, min(i) AS start, max(i) - min(i) + q + 5 AS length FROM s GROUP BY doc_id, q, island),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM e WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+m AS (
+  SELECT doc_id, count(*) AS n_runs, max(struct_pack(length := length, start := -start, period := -period)) AS best,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs
+  FROM r GROUP BY doc_id),
+c AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS k FROM r),
+k AS (SELECT l.doc_id, string_agg(l.x, ' ' ORDER BY l.k) FILTER (c.k IS NULL) AS kept FROM l LEFT JOIN c ON l.doc_id = c.doc_id AND l.k = c.k GROUP BY 1)
+SELECT d.doc_id, coalesce(m.n_runs, 0) AS n_runs, -m.best.start AS start, m.best.length AS length, -m.best.period AS period,
+  1000 * m.best.length // -m.best.period AS exponent_milli, sha256(coalesce(m.runs, '')) AS runs_sha256, sha256(coalesce(k.kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN m ON d.doc_id = m.doc_id LEFT JOIN k ON d.doc_id = k.doc_id""",
+    "op13_audit": r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM t),
+lab AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+f AS (
+  SELECT w.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    concat(CASE WHEN len(w) < 50 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END,
+      CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END,
+      CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END,
+      CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails
+  FROM w LEFT JOIN lab ON w.doc_id = lab.doc_id),
+o AS (SELECT '' AS o UNION ALL SELECT o || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(o, x)),
+s AS (SELECT o AS filter_order, CAST(k AS INTEGER) AS step, o[k : k] AS x FROM o, (SELECT unnest(range(1, 6)) AS k) WHERE length(o) = 5),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+a AS (
+  SELECT part, filter_order, step, x, n, good, toxic, contains(fails, x) AS fails_x, fails = x AS only_x,
+    coalesce(list_min(list_transform(string_split(fails, ''), lambda y: CASE WHEN y = '' THEN 9 ELSE position(y IN filter_order) END)), 9) AS gone
+  FROM c, s),
+r AS (
+  SELECT part, filter_order, step, x,
+    sum(CASE WHEN gone > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN gone = step THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails_x AND gone < step THEN n ELSE 0 END) AS redundant, sum(CASE WHEN only_x THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN gone = step THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN gone = step THEN toxic ELSE 0 END) AS toxic_lost
+  FROM a GROUP BY part, filter_order, step, x)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM r""",
 }

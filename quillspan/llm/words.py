@@ -217,3 +217,30 @@ def _reach(raw: np.ndarray, at: int, way: int, words: int, table: np.ndarray) ->
             return (lo, len(begins)) if way < 0 else (hi, len(begins))
         span *= 4
     return at, 0
+
+
+class Texts:
+    """Whole texts: one block of several, or all the pieces of a long one.
+
+    ``rows``: the row of each text; ``hashes``: the hashes of all their words
+    in order; ``first``: where each text's words begin in them, and the end.
+    """
+
+    def __init__(self, parts: list[Block]):
+        self.blocks = parts
+        self.rows = parts[0].rows
+        each = [b.word_hashes() for b in parts]
+        self.hashes = np.concatenate(each) if len(each) > 1 else each[0]
+        self.first = parts[0].first if len(parts) == 1 else np.array([0, len(self.hashes)])
+
+
+def whole_texts(col, table: np.ndarray = SPACE) -> Iterator[Texts]:
+    """The texts of an Arrow column, each whole; a text's words are held as eight bytes each."""
+    held: list[Block] = []
+    for b in blocks(col, table):
+        if held and (len(b.rows) > 1 or b.rows[0] != held[0].rows[0]):
+            yield Texts(held)
+            held = []
+        held.append(b)
+    if held:
+        yield Texts(held)
