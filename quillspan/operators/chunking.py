@@ -45,13 +45,19 @@ def explode_chunks(docs: DataFrame, chunks: Column, *keep: str) -> DataFrame:
     return docs.select(*keep, F.posexplode(chunks).alias("chunk_id", "c")).select(*keep, "chunk_id", "c.*")
 
 
+def walk_stride(text: str, size: int, overlap: int, most: int | None = None, to_end: bool = False) -> list[tuple[str, int, int]]:
+    step, n = size - overlap, len(text)
+    stop = n if to_end else max(-(-(n - size) // step) * step, 0) + 1
+    return [(text[s : s + size], s, min(s + size, n)) for s in range(0, min(stop, n), step)[:most]]
+
+
 def stride(text: Column, size: int, overlap: int, most: int | None = None, to_end: bool = False) -> Column:
-    """Windows of ``size`` characters; up to the first that reaches the end, or until starts pass it if ``to_end``."""
-    n, step = F.char_length(text), size - overlap
-    last = (n - 1) if to_end else F.greatest(F.ceil((n - size) / step).cast("int") * step, F.lit(0))
-    starts = F.when(n > 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    starts = F.slice(starts, 1, most) if most else starts
-    return F.transform(starts, lambda s: F.struct(F.substr(text, s + 1, F.lit(size)).alias("text"), s.alias("start"), F.least(s + size, n).alias("end")))
+    """Windows of ``size`` characters; up to the first that reaches the end, or until starts pass it if ``to_end``.
+
+    One walk over a decoded text: cutting by character positions in an
+    expression would read a text anew for each window.
+    """
+    return _walker(lambda t: walk_stride(t, size, overlap, most, to_end))(text)
 
 
 def word_windows(text: Column, size: int = 512, overlap: int = 128) -> Column:
@@ -65,18 +71,19 @@ def word_windows(text: Column, size: int = 512, overlap: int = 128) -> Column:
     return once(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""), of)
 
 
-def blank_extended(text: Column, size: int = 2040, step: int = 1428) -> Column:
-    """Windows of ``size`` characters that go on to the next blank."""
-    n = F.char_length(text)
-    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(F.ceil((n - size) / step).cast("int") * step, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
+def walk_blanks(text: str, size: int, step: int) -> list[tuple[str, int, int]]:
+    n, out = len(text), []
+    for s in range(0, min(max(-(-(n - size) // step) * step, 0) + 1, n), step):
+        end = min(s + size, n)
+        gap = text.find(" ", end) if end < n else -1
+        stop = n if gap < 0 else gap
+        out.append((text[s:stop], s, stop))
+    return out
 
-    def window(s):
-        end = F.least(s + size, n)
-        gap = F.call_function("locate", F.lit(" "), text, end + 1)
-        stop = F.when(end >= n, n).when(gap == 0, n).otherwise(gap - 1)
-        return F.struct(F.substr(text, s + 1, stop - s).alias("text"), s.alias("start"), stop.alias("end"))
 
-    return F.transform(starts, window)
+def blank_extended(text: Column, size: int = 2040, step: int = 1428) -> Column:
+    """Windows of ``size`` characters that go on to the next blank."""
+    return _walker(lambda t: walk_blanks(t, size, step))(text)
 
 
 def _walker(walk: Callable[[str], list[tuple[str, int, int]]]):

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.text import strip
 
-SPAN = "array<struct<start:int,end:int,confidence:double,seq:long>>"
-
-
 def norm_key(value: Column) -> Column:
     return F.lower(strip(value))
 
@@ -95,39 +92,83 @@ def merge_validation(found: DataFrame, confirmed: DataFrame, key: str, keep: flo
     return both.withColumn("confidence", F.when(F.col("validated"), F.greatest("confidence", F.lit(raised))).otherwise(F.col("confidence"))).drop("value_key")
 
 
-def _ordered(df: DataFrame, key: str) -> DataFrame:
-    item = F.struct("start", (-F.col("end")).alias("back"), "seq", "end", "confidence")
-    spans = F.transform(F.sort_array(F.collect_list(item)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["confidence"].alias("confidence"), x["seq"].cast("long").alias("seq")))
-    return df.groupBy(key).agg(spans.cast(SPAN).alias("e"))
+def _span_order(key: str) -> list[Column]:
+    return [F.col(key), F.col("start").asc_nulls_first(), F.col("end").desc_nulls_first(), F.col("seq")]
 
 
-def _kept(folded: DataFrame, df: DataFrame, key: str) -> DataFrame:
-    return df.join(folded.select(key, F.explode(F.transform("kept", lambda x: x["seq"])).alias("seq")), [key, "seq"], "left_semi")
+def _fold_spans(df: DataFrame, key: str, step) -> DataFrame:
+    """The rows of ``df`` that stay when each key's spans go through ``step`` by start, longest first.
 
+    ``step(active, span)`` changes the list of kept spans that still can meet
+    another one, and returns the one it replaces, the span itself if it goes,
+    or None.  Rows stream through sorted partitions: a task holds the active
+    spans, one as a rule, and the batches that they are in.
+    """
 
-def resolve_last(df: DataFrame, key: str) -> DataFrame:
-    """By start, longest first: an entity that overlaps the last kept one replaces it if it is more confident, else goes."""
-    zero = F.array().cast(SPAN)
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        waiting, first, active, now = [], 0, [], object()
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            waiting.append((batch, keep))
+            n = first + len(waiting) - 1
+            columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (key, "start", "end", "confidence"))
+            for row, (k, start, end, confidence) in enumerate(zip(*columns, strict=True)):
+                if k != now:
+                    active, now = [], k
+                gone = step(active, (start, end, confidence, n, row))
+                if gone is not None:
+                    waiting[gone[3] - first][1][gone[4]] = False
+            oldest = min((x[3] for x in active), default=n + 1)
+            while waiting and first < min(oldest, n + 1):
+                done, mask = waiting.pop(0)
+                yield done.filter(pa.array(mask))
+                first += 1
+        for done, mask in waiting:
+            yield done.filter(pa.array(mask))
+
+    return df.repartition(key).sortWithinPartitions(*_span_order(key)).mapInArrow(run, df.schema)
+
+
+def _surer(x: tuple, y: tuple) -> bool:
+    return x[2] is not None and y[2] is not None and x[2] > y[2]
+
+
+def _meets_last(active: list, x: tuple):
+    if active and x[0] is not None and active[0][1] is not None and x[0] < active[0][1]:
+        if not _surer(x, active[0]):
+            return x
+        gone, active[0] = active[0], x
+        return gone
+    active[:] = [x]
+    return None
+
+
+def _meets_any(active: list, x: tuple):
+    if x[0] is None or x[1] is None:
+        return None  # overlaps nothing, and nothing overlaps it
+    active[:] = [y for y in active if y[1] > x[0]]  # starts only grow: the others are passed
+    hit = next((y for y in active if y[0] < x[1]), None)
+    if hit is None:
+        active.append(x)
+        return None
+    if not _surer(x, hit):
+        return x
+    active.remove(hit)
+    active.append(x)
+    return hit
 
-    def add(s: Column, x: Column) -> Column:
-        last = F.try_element_at(s, F.lit(-1))
-        over = F.coalesce(x["start"] < last["end"], F.lit(False))
-        swap = F.concat(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.array(x))
-        return F.when(~over, F.concat(s, F.array(x))).when(x["confidence"] > last["confidence"], swap).otherwise(s)
 
-    return _kept(_ordered(df, key).select(key, F.aggregate("e", zero, add).alias("kept")), df, key)
+def resolve_last(df: DataFrame, key: str) -> DataFrame:
+    """By start, longest first: an entity that overlaps the last kept one replaces it if it is more confident, else goes."""
+    return _fold_spans(df, key, _meets_last)
 
 
 def resolve_any(df: DataFrame, key: str) -> DataFrame:
     """Likewise, but the first kept one that it overlaps decides; a replacement goes to the end of the kept ones."""
-    zero = F.array().cast(SPAN)
-
-    def add(s: Column, x: Column) -> Column:
-        hit = F.try_element_at(F.filter(s, lambda y: (x["start"] < y["end"]) & (x["end"] > y["start"])), F.lit(1))
-        swap = F.concat(F.filter(s, lambda y: y["seq"] != hit["seq"]), F.array(x))
-        return F.when(hit.isNull(), F.concat(s, F.array(x))).when(x["confidence"] > hit["confidence"], swap).otherwise(s)
-
-    return _kept(_ordered(df, key).select(key, F.aggregate("e", zero, add).alias("kept")), df, key)
+    return _fold_spans(df, key, _meets_any)
 
 
 def drop_similar(df: DataFrame, key: str, least: float = 0.8) -> DataFrame:

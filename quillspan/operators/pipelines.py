@@ -2,36 +2,56 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import clean_document
 from quillspan.functions.validate import registry_entity, relevant_types
 from quillspan.operators import chunking, entities, parse, prompts, providers, retrieval
+from quillspan.operators.calls import CallTable
+
+
+def _table(docs: DataFrame, calls: CallTable | None) -> CallTable:
+    return calls or CallTable(docs.sparkSession)
+
+
+def _batches(types: list[str], batch: int) -> list[list[str]]:
+    return [types[i : i + batch] for i in range(0, len(types), batch)]
 
 
-def rag(docs: DataFrame, provider: providers.Provider, types: list[str], model: providers.Embedder | None = None, about: dict[str, str] | None = None, k: int = 5, batch: int = 10, **windows) -> DataFrame:
-    """(doc_id, seq, type, value, confidence): ask for ``batch`` types at a time with the parts of a document that are most like their descriptions.
+def rag_replies(docs: DataFrame, provider: providers.Provider, types: list[str], model: providers.Embedder | None = None, about: dict[str, str] | None = None, k: int = 5, batch: int = 10, calls: CallTable | None = None, **windows) -> DataFrame:
+    """(doc_id, batch, g): the reply to each batch of types, asked with the parts of a document that are most like their descriptions.
 
-    Short documents are asked whole.  Repeats of a value are dropped, the
-    first by batch and place in the reply stays.
+    Short documents are asked whole.
     """
-    model = model or providers.embedder("hash")
-    groups = [types[i : i + batch] for i in range(0, len(types), batch)]
+    model, groups = model or providers.embedder("hash"), _batches(types, batch)
     queries = [" ".join(f"{t}: {(about or {}).get(t, retrieval.TYPE_QUERIES.get(t, t))}" for t in g) for g in groups]
     own = docs.select("doc_id", clean_document(F.col("text")).alias("text"))
     own = own.select("doc_id", F.posexplode(retrieval.flat_contexts(F.col("text"), model, queries, k, **windows)).alias("batch", "context"))
     prompt = F.element_at(F.array(*[prompts.zero_shot(F.col("context"), g) for g in groups]), F.col("batch") + 1)
-    reply = own.select("doc_id", "batch", providers.generate(prompt, provider).alias("g"))
-    rows = reply.select("doc_id", "batch", F.posexplode(parse.retrieval_reply(F.col("g.reply"), types)).alias("pos", "x"))
+    return _table(docs, calls).ask(own, prompt, provider).select("doc_id", "batch", "g")
+
+
+def rag_entities(replies: DataFrame, types: list[str]) -> DataFrame:
+    """(doc_id, seq, type, value, confidence) of the replies; of a document's equal values the first by batch and place stays."""
+    rows = replies.select("doc_id", "batch", F.posexplode(parse.retrieval_reply(F.col("g.reply"), types)).alias("pos", "x"))
     return entities.dedup_first(rows.select("doc_id", (F.col("batch").cast("long") * 1_000_000 + F.col("pos")).alias("seq"), "x.*"), "doc_id")
 
 
-def basic(docs: DataFrame, provider: providers.Provider, types: list[str]) -> DataFrame:
+def rag(docs: DataFrame, provider: providers.Provider, types: list[str], *args, **options) -> DataFrame:
+    """(doc_id, seq, type, value, confidence) by ``rag_replies`` and ``rag_entities``."""
+    return rag_entities(rag_replies(docs, provider, types, *args, **options), types)
+
+
+def call_statistics(replies: DataFrame, price_in: float = 0.0, price_out: float = 0.0) -> DataFrame:
+    """Per document of (doc_id, g): calls, failed ones, tokens and what they cost by prices a thousand tokens."""
+    got = replies.groupBy("doc_id").agg(F.count("*").alias("calls"), F.count("g.error").alias("errors"), F.sum("g.input_tokens").alias("input_tokens"), F.sum("g.output_tokens").alias("output_tokens"))
+    return got.withColumn("cost", (F.col("input_tokens") * price_in + F.col("output_tokens") * price_out) / 1000)
+
+
+def basic(docs: DataFrame, provider: providers.Provider, types: list[str], calls: CallTable | None = None) -> DataFrame:
     """(doc_id, seq, type, value, confidence) by one prompt."""
-    return providers.extract(docs, provider, lambda t: prompts.zero_shot(t, types), parse.repaired_reply)
+    return providers.extract(docs, provider, lambda t: prompts.zero_shot(t, types), parse.repaired_reply, calls=_table(docs, calls))
 
 
 def checked(found: DataFrame) -> DataFrame:
@@ -43,69 +63,80 @@ def checked(found: DataFrame) -> DataFrame:
 PARTS = {"socios": lambda t: "socio" in t.lower(), "sociedade": lambda t: "->sociedade" in t, "registro": lambda t: "data" in t.lower()}
 
 
-def two_phase(docs: DataFrame, provider: providers.Provider, types: list[str], most: int = 20_000) -> DataFrame:
+def two_phase(docs: DataFrame, provider: providers.Provider, types: list[str], most: int = 20_000, calls: CallTable | None = None) -> DataFrame:
     """(doc_id, seq, type, value, confidence): first ask which passages belong to which part, then for each passage's entities.
 
     Dates of the part ``registro`` aren't checked, the others are.  Where the
     first reply isn't JSON, the document is asked once and checked.  Equal
-    rows of a document are one, the first by part and place.
+    rows of a document are one, the first by part and place.  All passages of
+    all parts, and the documents asked whole, are one step of the call table.
     """
-    kind = "struct<sections:map<string,array<string>>>"
-    first = docs.select("doc_id", "text", providers.generate(prompts.sections(F.col("text"), tuple(PARTS), most), provider).alias("g"))
-    first = first.select("doc_id", "text", F.from_json("g.reply", kind)["sections"].alias("s"))
-    plain = checked(basic(first.where("s is null").select("doc_id", "text"), provider, types))
-    rows = []
+    calls = _table(docs, calls)
+    first = calls.ask(docs.select("doc_id", "text"), prompts.sections(F.col("text"), tuple(PARTS), most), provider)
+    first = first.select("doc_id", "text", F.from_json("g.reply", "struct<sections:map<string,array<string>>>")["sections"].alias("s"))
+    due = []
     for n, (part, wanted) in enumerate(PARTS.items()):
         own = [t for t in types if wanted(t)]
-        passages = first.where("s is not null").select("doc_id", F.posexplode(F.try_element_at("s", F.lit(part))).alias("p", "passage")).where("passage <> ''")
-        got = passages.select("doc_id", "p", providers.generate(prompts.from_section(F.col("passage"), part, own), provider).alias("g"))
-        got = got.select("doc_id", "p", F.posexplode(parse.repaired_reply(F.col("g.reply"))).alias("pos", "x"))
-        got = got.select("doc_id", (F.lit(n * 10**12).cast("long") + F.col("p") * 1_000_000 + F.col("pos")).alias("seq"), "x.*")
-        rows.append(got if part == "registro" else checked(got))
-    found = functools.reduce(DataFrame.unionByName, rows)
-    return entities.dedup_first(found, "doc_id", exact=True).unionByName(plain)
+        due.append(F.transform(F.coalesce(F.try_element_at("s", F.lit(part)), F.array().cast("array<string>")), _passage(n, part, own)))
+    whole = F.array(F.struct(F.lit(len(PARTS)).alias("part"), F.lit(0).alias("p"), F.col("text").alias("passage"), prompts.zero_shot(F.col("text"), types).alias("prompt")))
+    asked = first.select("doc_id", F.explode(F.when(F.col("s").isNull(), whole).otherwise(F.filter(F.concat(*due), lambda x: x["passage"] != ""))).alias("q")).select("doc_id", "q.*")
+    replies = calls.ask(asked, F.col("prompt"), provider)
+    rows = replies.select("doc_id", "part", "p", F.posexplode(parse.repaired_reply(F.col("g.reply"))).alias("pos", "x"))
+    rows = rows.select("doc_id", "part", (F.when(F.col("part") < len(PARTS), F.col("part").cast("long") * 10**12 + F.col("p") * 1_000_000).otherwise(F.lit(0)) + F.col("pos")).alias("seq"), "x.*")
+    rows = rows.where((F.col("part") == list(PARTS).index("registro")) | registry_entity(F.col("type"), F.col("value"))["is_valid"])
+    found = rows.where(F.col("part") < len(PARTS)).drop("part")
+    return entities.dedup_first(found, "doc_id", exact=True).unionByName(rows.where(F.col("part") == len(PARTS)).drop("part"))
+
+
+def _passage(n: int, part: str, types: list[str]):
+    """What is asked about a part's passages: (part, place, passage, prompt) of each."""
+    return lambda x, i: F.struct(F.lit(n).alias("part"), i.alias("p"), x.alias("passage"), prompts.from_section(x, part, types).alias("prompt"))
 
 
-def consistent(docs: DataFrame, provider: providers.Provider, types: list[str], runs: int = 3, share: float = 0.5) -> DataFrame:
-    """(doc_id, type, value, votes, confidence): ``runs`` wordings of the prompt, then self-consistency."""
+def consistent(docs: DataFrame, provider: providers.Provider, types: list[str], runs: int = 3, share: float = 0.5, calls: CallTable | None = None) -> DataFrame:
+    """(doc_id, type, value, votes, confidence): ``runs`` wordings of the prompt, then self-consistency.
+
+    Runs beyond the third repeat a wording, and so a reply: a call table has
+    one for each prompt.
+    """
     asked = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
-    got = asked.select("doc_id", "run", providers.generate(prompts.variation(F.col("text"), types, F.col("run")), provider).alias("g"))
+    got = _table(docs, calls).ask(asked, prompts.variation(F.col("text"), types, F.col("run")), provider)
     rows = got.select("doc_id", "run", F.posexplode(parse.repaired_reply(F.col("g.reply"))).alias("pos", "x")).select("doc_id", "run", (F.col("run").cast("long") * 1_000_000 + F.col("pos")).alias("seq"), "x.*")
     return entities.self_consistency(rows, "doc_id", runs, share)
 
 
-def by_strategy(docs: DataFrame, provider: providers.Provider, types: list[str], strategy: str = "validation") -> DataFrame:
+def by_strategy(docs: DataFrame, provider: providers.Provider, types: list[str], strategy: str = "validation", calls: CallTable | None = None) -> DataFrame:
     """(doc_id, type, value, confidence) by ``basic``, ``validation``, ``two_phase`` or ``self_consistency``; others raise."""
-    known = {"basic": basic, "validation": lambda *a: checked(basic(*a)), "two_phase": two_phase, "self_consistency": consistent}
+    known = {"basic": basic, "validation": lambda *a, **b: checked(basic(*a, **b)), "two_phase": two_phase, "self_consistency": consistent}
     if strategy not in known:
         raise ValueError(f"unknown strategy {strategy}; known: {', '.join(known)}")
-    return known[strategy](docs, provider, types).select("doc_id", "type", "value", "confidence")
+    return known[strategy](docs, provider, types, calls=calls).select("doc_id", "type", "value", "confidence")
 
 
-def hybrid(docs: DataFrame, provider: providers.Provider, types: list[str], config: dict | None = None) -> DataFrame:
+def hybrid(docs: DataFrame, provider: providers.Provider, types: list[str], config: dict | None = None, model: providers.Embedder | None = None, calls: CallTable | None = None) -> DataFrame:
     """(doc_id, type, value, confidence) by the first of the ways that ``config`` enables, else retrieval with validation.
 
     ``rag_llm_validation``; ``ensemble_slm``: {"models": {name: (provider, weight)}, "method": ...};
     ``pipeline``: {"keywords": ..., "extractor": ..., "method": ...} as of ``segmented``.
     """
-    config = config or {}
+    config, calls = config or {}, _table(docs, calls)
     on = next((n for n in ("rag_llm_validation", "ensemble_slm", "pipeline") if config.get(n, {}).get("enabled")), "rag_llm_validation")
     own = config.get(on, {})
     if on == "ensemble_slm":
-        runs = {n: basic(docs, p, types) for n, (p, _) in own["models"].items()}
+        runs = {n: basic(docs, p, types, calls) for n, (p, _) in own["models"].items()}
         weights = docs.sparkSession.createDataFrame([(n, float(w)) for n, (_, w) in own["models"].items()], "model string, weight double")
         found = entities.ensemble(run_models(runs), weights, "doc_id", own.get("method", "weighted_vote"))
     elif on == "pipeline":
         found = segmented(docs, own["keywords"], own["extractor"], method=own.get("method", "section"))
     else:
-        found = validated(docs, rag(docs, provider, types), provider, types)
+        found = validated(docs, rag(docs, provider, types, model, calls=calls), provider, types, calls)
     return found.select("doc_id", "type", "value", "confidence")
 
 
-def validated(docs: DataFrame, found: DataFrame, provider: providers.Provider, types: list[str]) -> DataFrame:
+def validated(docs: DataFrame, found: DataFrame, provider: providers.Provider, types: list[str], calls: CallTable | None = None) -> DataFrame:
     """A second call checks what the first found; ``entities.merge_validation`` joins the two."""
     listed = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("type", "value"))).alias("c"))
-    asked = docs.join(listed, "doc_id").select("doc_id", providers.generate(prompts.validation(F.col("text"), F.col("c")), provider).alias("g"))
+    asked = _table(docs, calls).ask(docs.select("doc_id", "text").join(listed, "doc_id"), prompts.validation(F.col("text"), F.col("c")), provider)
     ok = asked.select("doc_id", F.explode(parse.model_reply(F.col("g.reply"), types)).alias("x")).select("doc_id", "x.*")
     return entities.merge_validation(found, ok, "doc_id")
 
@@ -137,22 +168,38 @@ def tag_long(docs: DataFrame, tagger, max_length: int = 512) -> DataFrame:
     return entities.resolve_last(rows, "doc_id")
 
 
-def rule_spans(rules: dict[str, str], confidence: float = 0.9):
-    """A tagger of spans by regular expressions, one for each match, in built-in functions: text -> array<struct<type,value,start,end,confidence>>."""
-
-    def of(text: Column, kind: str, pattern: str) -> Column:
-        # the stretches between the matches give each match its place
-        pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("v"), F.split(text, pattern, -1).alias("gap"))
-        zero = F.struct(F.array().cast("array<struct<value:string,start:int>>").alias("done"), F.lit(0).alias("at"))
+SPANS = "array<struct<type:string,value:string,start:int,end:int,confidence:double>>"
 
-        def add(s: Column, x: Column) -> Column:
-            start = s["at"] + F.char_length(x["gap"])
-            return F.struct(F.concat(s["done"], F.array(F.struct(x["v"].alias("value"), start.alias("start")))).alias("done"), (start + F.char_length(x["v"])).alias("at"))
 
-        found = F.aggregate(F.filter(pairs, lambda x: x["v"].isNotNull()), zero, add)["done"]
-        return F.transform(found, lambda x: F.struct(F.lit(kind).alias("type"), x["value"].alias("value"), x["start"].alias("start"), (x["start"] + F.char_length(x["value"])).alias("end"), F.lit(confidence).alias("confidence")))
+def rule_spans(rules: dict[str, str], confidence: float = 0.9):
+    """A tagger of spans by regular expressions, one for each match: text -> array<struct<type,value,start,end,confidence>>.
 
-    return lambda text: F.concat(*[of(text, k, p) for k, p in rules.items()])
+    All rules go over a text in one Arrow pass that takes the matches' own
+    offsets; ``\\d``, ``\\w`` and ``\\b`` are ASCII.  A null text has no spans.
+    """
+    import re
+
+    compiled = [(kind, re.compile(pattern, re.ASCII)) for kind, pattern in rules.items()]
+
+    @F.arrow_udf(SPANS)
+    def tag(texts):
+        import numpy as np
+        import pyarrow as pa
+
+        kinds, values, starts, offsets = [], [], [], [0]
+        for text in texts.to_pylist():
+            for kind, pattern in compiled:
+                for m in pattern.finditer(text or ""):
+                    kinds.append(kind)
+                    values.append(m.group())
+                    starts.append(m.start())
+            offsets.append(len(kinds))
+        start = np.array(starts, np.int32)
+        end = start + np.fromiter(map(len, values), np.int32, len(values))
+        spans = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array(start), pa.array(end, pa.int32()), pa.array(np.full(len(kinds), confidence))], ["type", "value", "start", "end", "confidence"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)
+
+    return tag
 
 
 def run_models(results: dict[str, DataFrame]) -> DataFrame:

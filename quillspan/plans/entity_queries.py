@@ -305,15 +305,22 @@ def _firsts_sql(rows):
     return f"SELECT doc_id, type, first(value ORDER BY place, j) AS value FROM (SELECT doc_id, place, type, unnest(v) AS value, unnest(range(len(v))) AS j FROM ({one})) GROUP BY doc_id, type, lower(value)"
 
 
-@query(
-    "extract_rag",
-    f"""WITH c0 AS (SELECT doc_id, {_CLEAN} AS text FROM documents), c AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM c0),
+def _contexts_sql():
+    """``b`` (doc_id, place, body): what retrieval-augmented extraction shows of each document."""
+    return f"""c0 AS (SELECT doc_id, {_CLEAN} AS text FROM documents), c AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM c0),
 q0 AS (SELECT lower('{" ".join(f"{t}: {t}" for t in providers.RULES)}') AS t), q AS (SELECT {_LETTERS.format("t")} AS y FROM q0),
 p AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 512], ' ') AS part FROM (SELECT doc_id, w, unnest(range(0, len(w), 384)) AS i FROM c WHERE len(w) >= 1000)),
 r AS (SELECT doc_id, part, row_number() OVER (PARTITION BY doc_id ORDER BY round(list_cosine_similarity({_LETTERS.format("lower(part)")}, (SELECT y FROM q)), 9) DESC, i) AS rank FROM p),
-b AS (SELECT doc_id, 0 AS place, string_agg(part, ' ' ORDER BY rank) AS body FROM r WHERE rank <= 5 GROUP BY 1 UNION ALL SELECT doc_id, 0, text FROM c WHERE len(w) < 1000)
-{_firsts_sql("b")}""",
-)
+b AS (SELECT doc_id, 0 AS place, string_agg(part, ' ' ORDER BY rank) AS body FROM r WHERE rank <= 5 GROUP BY 1 UNION ALL SELECT doc_id, 0, text FROM c WHERE len(w) < 1000)"""
+
+
+def _prompt_chars():
+    """Characters of the first prompt besides the document's."""
+    types = "Types:\n" + "\n".join(f"- {t}" for t in providers.RULES)
+    return len("\n\n".join(("Extract the entities of these types. Copy the text as it stands.", types, f"Answer with JSON: {prompts.JSON_FORM}", "Document:\n")))
+
+
+@query("extract_rag", f"WITH {_contexts_sql()} {_firsts_sql('b')}")
 def extract_rag(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pipelines.rag(docs, providers.create("rules"), list(providers.RULES), providers.embedder("letters")).select("doc_id", "type", "value")
@@ -330,20 +337,71 @@ def extract_two_phase(spark, sf_dir):
     return pipelines.two_phase(table(spark, sf_dir, "documents").select("doc_id", "text"), providers.create("parts"), list(providers.RULES)).select("doc_id", "type", "value")
 
 
-_ONCE = f"""WITH b AS (SELECT doc_id, 0 AS place, left(text, 100000) AS body FROM documents), m AS ({_firsts_sql("b")})"""
+def _hedged_sql(rows, lead):
+    """As ``_firsts_sql`` with what the hedging provider leaves out for the first line ``lead`` (an expression), and its confidence."""
+    one = " UNION ALL ".join(f"SELECT doc_id, place, {lead} AS lead, '{t}' AS type, unnest(list_distinct(regexp_extract_all(body, '{p}'))) AS value, unnest(list_transform(list_distinct(regexp_extract_all(body, '{p}')), lambda v: list_position(regexp_extract_all(body, '{p}'), v))) AS j FROM {rows}" for t, p in _RE.items())
+    return f"""SELECT * EXCLUDE (h), round(0.2 + 0.05 * (position(h[2] IN '0123456789abcdef') - 1), 2) AS confidence FROM (SELECT *, md5(lead || '|' || type || '|' || value) AS h FROM ({one})) WHERE h[1] >= '4'"""
+
 
+_WHOLE = "b AS (SELECT doc_id, CASE WHEN length(text) > 100000 THEN left(text, 100000) ELSE text END AS body FROM documents)"
+_VARIED = "CASE place " + " ".join(f"WHEN {n} THEN '{v}'" for n, v in enumerate(prompts.VARIATIONS)) + " END"
 
-@query("extract_consistent", f"{_ONCE} SELECT doc_id, type, value, CAST(3 AS BIGINT) AS votes, 0.9::DOUBLE AS confidence FROM m")
+
+@query(
+    "extract_consistent",
+    f"""WITH {_WHOLE}, r AS (SELECT doc_id, body, unnest([0, 1, 2]) AS place FROM b), m AS ({_hedged_sql("r", _VARIED)}),
+o AS (SELECT doc_id, type, lower(value) AS k, place, first(confidence ORDER BY j) AS c, first(value ORDER BY j) AS v FROM m GROUP BY ALL)
+SELECT doc_id, type, last(v ORDER BY place) AS value, count(*) AS votes, round(least(avg(c) * count(*) / 3, 0.99), 6) AS confidence FROM o GROUP BY doc_id, type, k""",
+)
 def extract_consistent(spark, sf_dir):
-    got = pipelines.consistent(table(spark, sf_dir, "documents").select("doc_id", "text"), providers.create("rules"), list(providers.RULES))
+    got = pipelines.consistent(table(spark, sf_dir, "documents").select("doc_id", "text"), providers.create("hedging"), list(providers.RULES))
     return got.withColumn("confidence", F.round("confidence", 6))
 
 
-@query("extract_hybrid", f"{_ONCE} SELECT doc_id, type, value, CAST(1 AS DOUBLE) AS confidence FROM m")
-def extract_hybrid(spark, sf_dir):
-    models = {"one": (providers.create("rules"), 0.75), "two": (providers.create("parts"), 0.5)}
+_ASKED = "'Extract the entities of these types. Copy the text as it stands.'"
+
+
+@query(
+    "extract_ensemble",
+    f"""WITH {_WHOLE}, z AS (SELECT doc_id, 0 AS place, body FROM b), k AS ({" UNION ALL ".join(f"SELECT '{t}' AS type, {n} AS rule" for n, t in enumerate(_RE))}),
+e AS (SELECT doc_id, type, value, 0.75 * confidence AS c, j FROM ({_hedged_sql("z", _ASKED)})),
+p AS ({" UNION ALL ".join(f"SELECT doc_id, '{t}' AS type, unnest(list_distinct(regexp_extract_all(body, '{x}'))) AS value, 0.5 * 0.9 AS c, unnest(list_transform(list_distinct(regexp_extract_all(body, '{x}')), lambda v: list_position(regexp_extract_all(body, '{x}'), v))) AS j FROM b" for t, x in _RE.items())}),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rule, j) AS seq FROM e JOIN k USING (type) UNION ALL SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rule, j) AS seq FROM p JOIN k USING (type))
+SELECT doc_id, type, first(value ORDER BY c DESC, seq) AS value, round(least(sum(c), 1), 6) AS confidence FROM s GROUP BY doc_id, type, lower(value)""",
+)
+def extract_ensemble(spark, sf_dir):
+    models = {"one": (providers.create("hedging"), 0.75), "two": (providers.create("parts"), 0.5)}
     config = {"ensemble_slm": {"enabled": True, "models": models, "method": "weighted_vote"}}
-    return pipelines.hybrid(table(spark, sf_dir, "documents").select("doc_id", "text"), providers.create("rules"), list(providers.RULES), config).withColumn("confidence", F.round("confidence", 6))
+    got = pipelines.hybrid(table(spark, sf_dir, "documents").select("doc_id", "text"), providers.create("rules"), list(providers.RULES), config)
+    return got.withColumn("confidence", F.round("confidence", 6))
+
+
+_CHECKED = "'Check which candidates the document confirms; correct or leave out the others.'"
+
+
+@query(
+    "extract_hybrid",
+    f"""WITH {_contexts_sql()}, f0 AS ({_hedged_sql("b", _ASKED)}),
+f AS (SELECT doc_id, type, lower(value) AS k, first(value ORDER BY j) AS value, first(confidence ORDER BY j) AS confidence FROM f0 GROUP BY doc_id, type, lower(value)),
+w AS (SELECT doc_id, 0 AS place, left(text, 50000) AS body FROM documents WHERE doc_id IN (SELECT doc_id FROM f)), v AS (SELECT DISTINCT doc_id, type, lower(value) AS k, true AS ok FROM ({_hedged_sql("w", _CHECKED)}))
+SELECT doc_id, type, value, CASE WHEN ok THEN greatest(confidence, 0.9) ELSE confidence END AS confidence FROM f LEFT JOIN v USING (doc_id, type, k) WHERE ok OR confidence >= 0.8""",
+)
+def extract_hybrid(spark, sf_dir):
+    """Retrieval with validation: each model call is made once, though the second step refers to the first twice."""
+    return pipelines.hybrid(table(spark, sf_dir, "documents").select("doc_id", "text"), providers.create("hedging"), list(providers.RULES), model=providers.embedder("letters"))
+
+
+@query(
+    "rag_usage",
+    f"""WITH {_contexts_sql()}, m AS ({" UNION ALL ".join(f"SELECT doc_id, '{t}' AS type, unnest(list_distinct(regexp_extract_all(body, '{x}'))) AS value FROM b" for t, x in _RE.items())}),
+u AS (SELECT doc_id, sum(length(type) + length(value) + {len('{"type": "", "value": "", "confidence": 0.9}')}) + 2 * (count(*) - 1) AS n FROM m GROUP BY 1),
+n AS (SELECT doc_id, ({_prompt_chars()} + length(body)) // 4 AS input_tokens, ({len('{"entities": []}')} + coalesce(n, 0)) // 4 AS output_tokens FROM b LEFT JOIN u USING (doc_id))
+SELECT doc_id, CAST(1 AS BIGINT) AS calls, CAST(0 AS BIGINT) AS errors, CAST(input_tokens AS BIGINT) AS input_tokens, CAST(output_tokens AS BIGINT) AS output_tokens, round((input_tokens * 2.5 + output_tokens * 10) / 1000, 6) AS cost FROM n""",
+)
+def rag_usage(spark, sf_dir):
+    """Calls, tokens and cost of each document's retrieval-augmented extraction."""
+    got = pipelines.rag_replies(table(spark, sf_dir, "documents").select("doc_id", "text"), providers.create("rules"), list(providers.RULES), providers.embedder("letters"))
+    return pipelines.call_statistics(got, 2.5, 10).withColumn("cost", F.round("cost", 6))
 
 
 @query(
