@@ -37,13 +37,18 @@ def open_store(path: str):
 
 
 def record(page_id, copy: int, url: str | None, payload: bytes, digest: str, first) -> bytes:
-    """The bytes of one record; ``first``: the page id that a revisit refers to, None for a response."""
+    """The bytes of one record; ``first``: the page id that a revisit refers to, None for a response.
+
+    A record is named by its page, its digest and the number of records before
+    it that have both, so a response, the first of its payload, is always
+    number 0 and a revisit can name it.
+    """
     name = "null" if page_id is None else page_id
     target = "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url or f"urn:page:{name}")
     kind, body = ("response", payload) if first is None else ("revisit", b"")
-    head = [FORMAT, f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{name}:{copy}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}", "Content-Type: text/html; charset=utf-8"]
+    head = [FORMAT, f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{name}:{digest}:{copy}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}", "Content-Type: text/html; charset=utf-8"]
     if first is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{first}:0>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{first}:{digest}:0>"]
     head.append(f"Content-Length: {len(body)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -67,22 +72,22 @@ def _writer(folder: str, roll_bytes: int):
             store.move(state["tmp"], f"{base}/{state['name']}")
             done.append((state["name"], state["size"], state["n"], state["sha"].hexdigest()))
 
-        refers, last, copy = [], object(), 0
+        refers, last, before, copy = {}, object(), None, 0
         store.create_dir(f"{base}/_tmp", recursive=True)
         for batch in batches:
             for pid, kind, url, payload, digest, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if pid != last:
-                    refers, last, copy = {}, pid, 0
+                    refers, last, before = {}, pid, None
                 if kind == 0:  # a note before its page: the copies of this digest refer to ``first``
                     refers[digest] = first
                     continue
                 payload, first = payload or b"", refers.get(digest)
+                before, copy = digest, copy + 1 if digest == before else 0
                 if first is not None and first == pid and digest not in refers.setdefault("own", set()):
                     refers["own"].add(digest)
                     first = None  # the first of several rows with this id and payload
                 packer = zlib.compressobj(6, zlib.DEFLATED, 31)
                 data = packer.compress(record(pid, copy, url, payload, digest, first)) + packer.flush()
-                copy += 1
                 out = out or begin()
                 out.write(data)
                 state["sha"].update(data)
