@@ -94,7 +94,12 @@ class ShardStore:
         return self.commit(base, self.manifest(base) + [{"file": f, "bytes": n, "tier": self.tier(n)} for f, n in files])
 
     def plan(self, shards: list[dict]) -> list[list[dict]]:
-        """The merges that are due: bins of about the target size, from shards of one tier below it."""
+        """The merges that are due: bins of about the target size, from shards of one tier below it.
+
+        What a tier of fewer than ``runs`` shards has moves up and counts with
+        the next one, so fewer than ``runs`` shards that are too small stay
+        unmerged over all tiers, besides single ones that fill no bin with others.
+        """
         small = [s for s in shards if s["bytes"] < self.target // 2]
         tiers: dict[int, list[dict]] = {}
         for s in small:
@@ -103,7 +108,7 @@ class ShardStore:
         for t in sorted(tiers):
             run = sorted(rest + tiers[t], key=lambda s: (s["bytes"], s["file"]))
             if len(run) < self.runs:
-                rest = run if len(tiers[t]) < len(run) else []  # what a smaller tier left over moves up
+                rest = run
                 continue
             rest, own, size = [], [], 0
             for s in run:
