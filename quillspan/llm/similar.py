@@ -40,6 +40,8 @@ from quillspan.llm.words import mix
 ROUNDS = 3
 #: Texts in the sample for the order of shingles.
 SAMPLE = 20_000
+#: Shingles of which the order knows how often they occur, the most frequent ones; the others count as rare.
+KNOWN = 1 << 20
 #: Nodes of a shingle from which it counts as hot and isn't paired off in advance; nodes in a block of the exact join.
 HOT, BLOCK = 64, 4096
 #: Times as many shuffle partitions for the rows of all prefixes, of which a text has one for every five words.
@@ -80,7 +82,7 @@ def _least(n, similarity: float):
 
 
 def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that three or more sampled texts have, ascending, and about how many of all texts have each."""
+    """The ``KNOWN`` most frequent shingles that three or more sampled texts have, ascending, and about how many of all texts have each."""
     every = max(1, texts.count() // SAMPLE)
 
     @F.arrow_udf("array<long>")
@@ -88,7 +90,7 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
         return _lists(list(_distinct(col, shingle)), len(col))
 
     some = texts.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select(F.explode(of("text")).alias("h"))
-    got = some.groupBy("h").count().where("count > 2").toArrow()
+    got = some.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(KNOWN).toArrow()
     h = got.column("h").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], got.column("count").to_numpy().astype(np.int64)[order] * every
