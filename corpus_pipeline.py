@@ -35,16 +35,24 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents joined by similarities of 0.8 or more on five-word shingles keep one, the one with the smallest id.
 
-    Of rows that repeat that id one stays; rows with a null id stay.
+    Rows are documents, also where several have one id: each is compared by
+    its own text, and of a group's rows with its smallest id one stays.  Rows
+    with a null id stay.
     """
-    got = similar.similar_documents(docs, shingle=5, similarity=0.8)
-    gone = got.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = got.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("doc_id"))
+    known = docs.where("doc_id is not null")
+    again = known.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("again"))
     if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").select(*docs.columns).groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("row")).select("row.*")
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(once)
+        got = similar.similar_documents(docs, shingle=5, similarity=0.8)
+        gone = got.where("id <> component").select(F.col("id").alias("doc_id"))
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # rows that share an id get numbers of their own, which hold once they are written; no id is expected beyond 2^62
+    node = F.when(F.col("again"), F.lit(1 << 62) + F.monotonically_increasing_id()).otherwise(F.col("doc_id"))
+    rows = Scratch(spark, "near", docs).save(known.join(again, "doc_id", "left").withColumn("_node", node).drop("again"))
+    got = similar.similar_documents(rows, id_col="_node", shingle=5, similarity=0.8)
+    own = rows.select(F.col("_node").alias("id"), "doc_id").join(got, "id")
+    stays = own.groupBy("component").agg(F.min(F.struct("doc_id", "id")).alias("x")).select(F.col("x.id").alias("_node"))
+    kept = rows.join(stays, "_node", "left_semi").select(*docs.columns)
+    return kept.union(docs.where("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
