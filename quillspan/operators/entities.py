@@ -8,7 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import strip
+from quillspan.functions.similarity import EPSILON, sequence_at_least
+from quillspan.functions.text import simple, strip, word_set
+from quillspan.operators import matching
+from quillspan.sources.shared import fresh_folder, save
 
 def norm_key(value: Column) -> Column:
     return F.lower(strip(value))
@@ -172,31 +175,45 @@ def resolve_any(df: DataFrame, key: str) -> DataFrame:
 
 
 def drop_similar(df: DataFrame, key: str, least: float = 0.8) -> DataFrame:
-    """Keep a value if it is less alike than ``least`` to every value kept before it in its group (a sequential rule: one group is one fold)."""
-    import pandas as pd
-
-    schema = df.schema
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        from difflib import SequenceMatcher
-
-        def words(v):
-            return " ".join(v.lower().split()).translate({ord(c): None for c in ".,;:!?\"'()[]{}"})
-
-        kept, out = [], []
-        for i, v in zip(rows.sort_values("seq").index, rows.sort_values("seq")["value"], strict=True):
-            a = words(v)
-            own = set(a.split())
-            for b, its in kept:
-                shared = 0.4 * (len(own & its) / len(its) if its else 0)
-                if shared + 0.6 >= least and shared + 0.6 * SequenceMatcher(None, a, b).ratio() >= least:
-                    break
-            else:
-                kept.append((a, own))
-                out.append(i)
-        return rows.loc[out]
-
-    return df.groupBy(key).applyInPandas(fold, schema)
+    """Keep a value if it is less alike than ``least`` (over 0.6) to every value kept before it in its group.
+
+    Alike: 0.4 of the earlier value's words that the later one has, and 0.6 of
+    difflib's ratio, on normal forms.  So ``least`` takes a share of common
+    words, by which pairs are found in blocks (``matching.word_pairs``), and a
+    ratio, which length, letters and common subsequence bound before difflib is
+    asked.  Equal forms are one value.  What goes is settled in rounds over the
+    pairs (``matching.dropped_in_order``), so a group of any size is many tasks.
+    Values without words are like nothing.
+    """
+    if least <= 0.6:
+        raise ValueError("least must be over 0.6: below, values without a common word would be alike")
+    path = fresh_folder(df.sparkSession, "alike")
+    text = simple(F.col("value"))
+    own = matching.in_order(df.withColumn("_text", text).withColumn("_words", word_set(text)), [key], ["seq"], f"{path}/rows")
+    firsts = own.where(F.size("_words") > 0).groupBy(key, "_text").agg(F.min("n").alias("n"), F.first("_words").alias("words"))
+    firsts = save(firsts, f"{path}/firsts")
+    pairs = matching.word_pairs(firsts, firsts, [key], (least - 0.6) / 0.4 - 1e-9).where("n > g")
+    texts = firsts.select("n", "_text")
+    pairs = pairs.join(texts, "n").join(texts.toDF("g", "_other"), "g")
+    edges = pairs.where(_alike(least)("_text", "_other", "score")).select(F.col("g").alias("a"), F.col("n").alias("b"))
+    gone = matching.dropped_in_order(edges, path)
+    stays = firsts.select("n").join(gone, "n", "left_anti")
+    kept = own.join(stays.withColumn("_first", F.lit(True)), "n", "left").where(F.col("_first") | (F.size("_words") == 0))
+    return kept.select(*df.columns)
+
+
+def _alike(least: float):
+    @F.arrow_udf("boolean")
+    def of(later, earlier, share):
+        import pyarrow as pa
+
+        out = []
+        for a, b, s in zip(later.to_pylist(), earlier.to_pylist(), share.to_pylist(), strict=True):
+            ratio = sequence_at_least(a, b, (least - 0.4 * s) / 0.6 - EPSILON)
+            out.append(ratio is not None and 0.4 * s + 0.6 * ratio >= least)
+        return pa.array(out, pa.bool_())
+
+    return of
 
 
 def extractor_statistics(results: DataFrame) -> DataFrame:

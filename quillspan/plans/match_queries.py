@@ -155,6 +155,12 @@ def shared_gold_best(spark, sf_dir):
     return scores(evaluate.shared_gold_protocol(*pred_gold(spark, sf_dir), by=["type"], matcher=best), "type")
 
 
+@query("combined_protocol")
+def combined_protocol(spark, sf_dir):
+    """Best gold by the combined score of words and sequence: no SQL, tested against plain difflib."""
+    return scores(evaluate.shared_gold_protocol(*pred_gold(spark, sf_dir), by=["type"], matcher=evaluate.best_match), "type")
+
+
 @query("greedy_protocol", _greedy_sql("g.seq"))
 def greedy(spark, sf_dir):
     return scores(evaluate.greedy_protocol(*pred_gold(spark, sf_dir), by=["type"]), "type")
