@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import tokens
+from quillspan.operators.dense import search
 
 # What is searched for each type.
 TYPE_QUERIES = {
@@ -56,9 +57,11 @@ def vector_score(a: Column, b: Column, measure: str = "cosine") -> Column:
 
 
 def dense(chunks: DataFrame, queries: DataFrame, on: str, k: int = 5, measure: str = "cosine", least: float | None = 0.3) -> DataFrame:
-    """Top-k chunks (on, chunk_id, vector) of each query (on, query_id, query_vector) in its group, then those of ``least`` or more."""
-    scored = chunks.join(queries, on).select(on, "query_id", "chunk_id", vector_score(F.col("vector"), F.col("query_vector"), measure).alias("score"))
-    best = top_k(scored, [on, "query_id"], k)
+    """Top-k chunks (on, chunk_id, vector) of each query (on, query_id, query_vector) in its group, then those of ``least`` or more.
+
+    By ``dense.search``: each block of vectors gives k rows a query at most.
+    """
+    best = top_k(search(chunks, queries, on, k, measure), [on, "query_id"], k)
     return best if least is None else best.where(F.col("score") >= least)
 
 
