@@ -238,12 +238,11 @@ class _Nodes:
         At most ``HOT`` nodes meet at a shingle here.
         """
         hot = shared.where(F.col("n") > HOT).groupBy("id").agg(F.count("*").alias("hot"))
-        cool = shared.where(F.col("n") <= HOT).select("key", "id", "size")
-        pairs = cool.join(cool.toDF("key", "b", "nb"), "key").where("id > b").groupBy("id", "size", "b", "nb").agg(F.count("*").alias("c"))
+        # each row carries how many hot shingles its node has, so that pairs need no join of their own
+        cool = shared.where(F.col("n") <= HOT).select("key", "id", "size").join(hot, "id", "left").select("key", "id", "size", F.coalesce("hot", F.lit(0)).alias("hot"))
+        pairs = cool.join(cool.toDF("key", "b", "nb", "hot_b"), "key").where("id > b").groupBy("id", "size", "hot", "b", "nb", "hot_b").agg(F.count("*").alias("c"))
         # what they may share besides are hot shingles, of which each has a few
-        pairs = pairs.join(hot, "id", "left").join(hot.toDF("b", "hot_b"), "b", "left")
-        more = F.least(F.coalesce("hot", F.lit(0)), F.coalesce("hot_b", F.lit(0)))
-        near = pairs.where(F.col("c") + more >= _shared_at_least(F.col("size"), F.col("nb"), self.similarity))
+        near = pairs.where(F.col("c") + F.least("hot", "hot_b") >= _shared_at_least(F.col("size"), F.col("nb"), self.similarity))
         return near.select(F.explode(F.array("id", "b")).alias("id")).union(hot.select("id"))
 
     def placed(self, rows: DataFrame, node: str = "id", root: str = "root") -> DataFrame:
