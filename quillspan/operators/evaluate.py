@@ -6,6 +6,8 @@ are tp, fp, fn; ``prf`` turns them into guarded precision, recall and F1.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -340,8 +342,17 @@ def student_tail(t: float, df: float) -> float:
     return beta(df / 2, 0.5, df / (df + t * t))
 
 
+#: Differences up to which the signed-rank test is exact.
+EXACT = 50
+
+
 def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(n, w_plus, w_minus, w, p): signed-rank sums with mean ranks on ties, zero differences left out; normal approximation with tie correction."""
+    """(n, w_plus, w_minus, w, p): signed-rank sums with mean ranks on ties, zero differences left out.
+
+    Two-sided; up to ``EXACT`` differences by the distribution of the rank sum
+    over all signs of these ranks, beyond by the normal approximation with tie
+    correction.
+    """
     d = df.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0").withColumn("x", F.abs("d"))
     # ranks from counts per size, added up within intervals of size, of which a double has a bounded number, and over them
     size = d.groupBy("x").agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("plus")).withColumn("_b", F.floor(F.log2("x") * 64))
@@ -350,10 +361,102 @@ def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
     upto = F.col("_base") + F.sum("c").over(Window.partitionBy("_b").orderBy("x"))
     size = size.join(F.broadcast(totals), "_b").withColumn("rank", upto - (F.col("c") - 1) / 2)
     s = size.agg(F.sum("c").alias("n"), F.sum(F.col("rank") * F.col("plus")).alias("w_plus"), F.sum(F.col("rank") * (F.col("c") - F.col("plus"))).alias("w_minus"), F.sum(F.col("c") ** 3 - F.col("c")).alias("ties"))
+    few = size.orderBy("rank").limit(EXACT).agg(F.collect_list(F.struct((2 * F.col("rank")).cast("long").alias("r"), "c")).alias("ranks"))  # all of them if they are few
+    s = s.join(F.broadcast(few))
     n, w = F.col("n"), F.least("w_plus", "w_minus")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
     z = (w - n * (n + 1) / 4) / F.sqrt(var)
-    return s.select("n", "w_plus", "w_minus", w.alias("w"), F.when(var > 0, F.arrow_udf("double")(_normal_tail)(z)).alias("p"))
+    exact = F.arrow_udf("double")(_signed_rank_tail)(F.when(n <= EXACT, F.col("ranks")), (2 * w).cast("long"))
+    return s.select("n", "w_plus", "w_minus", w.alias("w"), F.when(n <= EXACT, exact).when(var > 0, F.arrow_udf("double")(_normal_tail)(z)).alias("p"))
+
+
+def signed_rank_tail(ranks: list[int], w: int) -> float:
+    """min(1, 2 P(W <= w)), W the sum of ``ranks`` (whole numbers) with fair coins for signs."""
+    ways = [1]
+    for r in ranks:
+        old, ways = ways, ways + [0] * r
+        for k, n in enumerate(old):
+            ways[k + r] += n
+    return min(1.0, 2 * sum(ways[: w + 1]) / 2 ** len(ranks))
+
+
+def _signed_rank_tail(ranks, w):
+    import pyarrow as pa
+
+    return pa.array([None if x is None else signed_rank_tail([i["r"] for i in x for _ in range(i["c"])], k) for x, k in zip(ranks.to_pylist(), w.to_pylist(), strict=True)], pa.float64())
+
+
+#: Distribution function of the Poisson distribution of mean 1 at 0, 1, 2, ...; beyond its end no more weight is given.
+POISSON = tuple(itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(13)))
+
+
+def poisson_weights(keys, replicas: int, seed: int = 0):
+    """A weight for each key (longs) and replica, of a Poisson distribution of mean 1: a function of the two and ``seed``, so it is the same wherever a row is."""
+    import numpy as np
+
+    mix = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        z = (np.asarray(keys).astype(np.uint64)[:, None] * np.uint64(1_000_003) + np.arange(replicas, dtype=np.uint64)[None, :] + np.uint64(seed)) * mix
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z = z ^ (z >> np.uint64(31))
+    return np.searchsorted(POISSON, (z >> np.uint64(11)).astype(float) / 2.0**53, "right")
+
+
+def bootstrap_f1(first: DataFrame, second: DataFrame, by: list[str], key: str = "doc_id", replicas: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """(by..., documents, f1_first, f1_second, difference, low, high, p): is the difference of two systems' F1 more than chance?
+
+    ``first`` and ``second``: counts (key, by..., tp, fp, fn) of documents; a
+    document that one of them lacks has no counts there; ``key`` is a whole
+    number.  Poisson bootstrap: a replica gives each document a weight, so all
+    replicas are sums over one pass, added up in the tasks before anything is
+    shuffled.  ``low`` and ``high`` are the nearest ranks of the differences
+    at (1 - level) / 2 from either end; p is twice the smaller share of
+    replicas on one side of zero, each counted with one more, 1 at most.
+    """
+    counts = ("tp", "fp", "fn")
+    sides = [df.groupBy(key, *by).agg(*[F.sum(c).alias(f"{c}{k}") for c in counts]) for k, df in enumerate((first, second))]
+    names = [f"{c}{k}" for k in (0, 1) for c in counts]
+    both = sides[0].join(sides[1], [key, *by], "full_outer").na.fill(0, names)
+    groups = both.select(*by, F.col(key).cast("long").alias("_k"), F.array(*[F.col(n).cast("double") for n in names]).alias("_c"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        sums: dict[tuple, object] = {}
+        for batch in batches:
+            values = np.array(batch.column(len(by) + 1).flatten()).reshape(-1, len(names))
+            keys = batch.column(len(by)).to_numpy(zero_copy_only=False)
+            labels = list(zip(*(batch.column(i).to_pylist() for i in range(len(by))), strict=True)) if by else [()] * len(keys)
+            where: dict[tuple, list[int]] = {}
+            for i, g in enumerate(labels):
+                where.setdefault(g, []).append(i)
+            for g, rows in where.items():
+                total = sums.setdefault(g, np.zeros((replicas + 1, len(names))))
+                for at in range(0, len(rows), 512):
+                    part = rows[at : at + 512]
+                    total[0] += values[part].sum(0)
+                    total[1:] += poisson_weights(keys[part], replicas, seed).T @ values[part]
+        for g, total in sums.items():
+            yield pa.RecordBatch.from_pylist([{**dict(zip(by, g, strict=True)), "_r": r, **dict(zip(names, map(float, row), strict=True))} for r, row in enumerate(total)], schema)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+
+    kind = StructType([*(StructField(f.name, f.dataType) for f in groups.schema if f.name in by), StructField("_r", IntegerType()), *(StructField(n, DoubleType()) for n in names)])
+    schema = to_arrow_schema(kind)
+    sums = groups.mapInArrow(run, kind).groupBy(*by, "_r").agg(*[F.sum(n).alias(n) for n in names])
+    f1 = [ratio(2 * F.col(f"tp{k}"), 2 * F.col(f"tp{k}") + F.col(f"fp{k}") + F.col(f"fn{k}")) for k in (0, 1)]
+    each = sums.select(*by, "_r", f1[0].alias("a"), f1[1].alias("b"))
+    own = F.max(F.when(F.col("_r") == 0, F.struct("a", "b")))
+    got = each.groupBy(*by).agg(own.alias("o"), F.sort_array(F.collect_list(F.when(F.col("_r") > 0, F.col("a") - F.col("b")))).alias("d"))
+    rank = max(1, round((1 - level) / 2 * replicas))
+    side = lambda keep: F.size(F.filter("d", keep)) + 1
+    p = F.least(F.lit(1.0), 2 * F.least(side(lambda x: x <= 0), side(lambda x: x >= 0)) / (replicas + 1))
+    sizes = both.groupBy(*by).agg(F.count("*").alias("documents"))
+    got = got.select(*by, F.col("o.a").alias("f1_first"), F.col("o.b").alias("f1_second"), (F.col("o.a") - F.col("o.b")).alias("difference"), F.get("d", F.lit(rank - 1)).alias("low"), F.get("d", F.lit(replicas - rank)).alias("high"), p.alias("p"))
+    return got.join(sizes, by) if by else got.join(F.broadcast(sizes))
 
 
 def _normal_tail(z):

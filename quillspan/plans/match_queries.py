@@ -314,6 +314,59 @@ def paired_tests(spark, sf_dir):
     return t.select("n", F.round("t", 6).alias("t")).join(F.broadcast(w.select(F.round("w_plus", 1).alias("w_plus"), F.round("w_minus", 1).alias("w_minus"))))
 
 
+def _counted_sql(name, key):
+    """``name`` (doc_id, type, tp, fp, fn) of distinct keys."""
+    return f"""{name}0 AS (SELECT coalesce(p.doc_id, g.doc_id) AS doc_id, coalesce(p.type, g.type) AS type, p.key AS pk, g.key AS gk FROM (SELECT DISTINCT doc_id, type, {key} AS key FROM pred) p FULL JOIN (SELECT DISTINCT doc_id, type, {key} AS key FROM gold) g ON p.doc_id = g.doc_id AND p.type = g.type AND p.key = g.key),
+{name} AS (SELECT doc_id, type, count(*) FILTER (pk IS NOT NULL AND gk IS NOT NULL) AS tp, count(*) FILTER (gk IS NULL) AS fp, count(*) FILTER (pk IS NULL) AS fn FROM {name}0 GROUP BY 1, 2)"""
+
+
+_REPLICAS = 200
+_Z = "CAST(({} * 1000003 + r) AS UHUGEINT) * 11400714819323198485 % 18446744073709551616"
+
+
+def _mixed(z, shift, factor):
+    """One step of the mixing in 64 bits."""
+    return f"CAST(CAST(xor({z}, {z} >> {shift}) AS UHUGEINT) * {factor} % 18446744073709551616 AS UBIGINT)"
+
+
+@query(
+    "bootstrap_f1",
+    f"""{BASE}, {_counted_sql("x", KEY)}, {_counted_sql("y", "length(value)")},
+b AS (SELECT coalesce(x.doc_id, y.doc_id) AS doc_id, coalesce(x.type, y.type) AS type, coalesce(x.tp, 0) AS t0, coalesce(x.fp, 0) AS p0, coalesce(x.fn, 0) AS n0, coalesce(y.tp, 0) AS t1, coalesce(y.fp, 0) AS p1, coalesce(y.fn, 0) AS n1 FROM x FULL JOIN y ON x.doc_id = y.doc_id AND x.type = y.type),
+z0 AS (SELECT *, CAST({_Z.format("doc_id")} AS UBIGINT) AS z FROM b, range({_REPLICAS}) t(r)), z1 AS (SELECT * EXCLUDE (z), {_mixed("z", 30, 13787848793156543929)} AS z FROM z0), z2 AS (SELECT * EXCLUDE (z), {_mixed("z", 27, 10723151780598845931)} AS z FROM z1),
+z3 AS (SELECT * EXCLUDE (z), CAST(xor(z, z >> 31) >> 11 AS DOUBLE) / 9007199254740992 AS u FROM z2), wt AS (SELECT *, {" + ".join(f"CASE WHEN u >= {c!r} THEN 1 ELSE 0 END" for c in evaluate.POISSON)} AS w FROM z3),
+f AS (SELECT type, r, CASE WHEN sum(w * t0) > 0 THEN 2 * sum(w * t0) / sum(w * (2 * t0 + p0 + n0)) ELSE 0 END - CASE WHEN sum(w * t1) > 0 THEN 2 * sum(w * t1) / sum(w * (2 * t1 + p1 + n1)) ELSE 0 END AS d FROM wt GROUP BY 1, 2),
+l AS (SELECT type, list_sort(list(d)) AS d FROM f GROUP BY 1), o AS (SELECT type, count(*) AS documents, CASE WHEN sum(t0) > 0 THEN 2 * sum(t0) / sum(2 * t0 + p0 + n0) ELSE 0 END AS a, CASE WHEN sum(t1) > 0 THEN 2 * sum(t1) / sum(2 * t1 + p1 + n1) ELSE 0 END AS b FROM b GROUP BY 1)
+SELECT type, documents, round(a, 6) AS f1_first, round(b, 6) AS f1_second, round(a - b, 6) AS difference, round(d[5], 6) AS low, round(d[{_REPLICAS} - 4], 6) AS high,
+  round(least(1, 2 * least(len(list_filter(d, lambda v: v <= 0)) + 1, len(list_filter(d, lambda v: v >= 0)) + 1) / {_REPLICAS + 1}), 6) AS p FROM o JOIN l USING (type)""",
+)
+def bootstrap_f1(spark, sf_dir):
+    """Intervals for the difference in F1 of exact values and of values that only agree in length."""
+    pred, gold = pred_gold(spark, sf_dir)
+    lengths = [df.withColumn("key", F.char_length("value")) for df in (pred, gold)]
+    exact = [df.withColumn("key", T.spaced(F.col("value"))) for df in (pred, gold)]
+    counts = [evaluate.set_counts(*side, ["doc_id", "type", "key"], ["doc_id", "type"]) for side in (exact, lengths)]
+    got = evaluate.bootstrap_f1(*counts, by=["type"], replicas=_REPLICAS)
+    return got.select("type", "documents", *[F.round(c, 6).alias(c) for c in ("f1_first", "f1_second", "difference", "low", "high", "p")])
+
+
+@query(
+    "signed_rank_exact",
+    """WITH d AS (SELECT n_nationkey AS k, round(avg(c_acctbal), 2) - round(avg(s_acctbal), 2) AS d FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1),
+x AS (SELECT round(abs(d), 6) AS x, d > 0 AS plus FROM d WHERE d <> 0), r AS (SELECT plus, CAST(2 * avg(i) OVER (PARTITION BY x) AS INT) AS r FROM (SELECT *, row_number() OVER (ORDER BY x) AS i FROM x)),
+w AS (SELECT count(*) AS n, sum(CASE WHEN plus THEN r ELSE 0 END) / 2 AS w_plus, sum(CASE WHEN plus THEN 0 ELSE r END) / 2 AS w_minus, list(r) AS rs FROM r),
+p AS (SELECT *, list_reduce(list_prepend([CAST(1 AS DOUBLE)], list_transform(rs, lambda v: [CAST(v AS DOUBLE)])), lambda a, v: list_transform(range(1, len(a) + CAST(v[1] AS INT) + 1), lambda k: coalesce(a[k], 0) + CASE WHEN k > v[1] THEN coalesce(a[CAST(k - v[1] AS INT)], 0) ELSE 0 END)) AS ways FROM w)
+SELECT n, round(w_plus, 1) AS w_plus, round(w_minus, 1) AS w_minus, round(least(1, 2 * list_sum(ways[1 : CAST(2 * least(w_plus, w_minus) AS INT) + 1]) / pow(2, n)), 9) AS p FROM p""",
+)
+def signed_rank_exact(spark, sf_dir):
+    """Customers' against suppliers' mean balances, paired by nation: few pairs, so the exact distribution."""
+    nation, customer, supplier = (table(spark, sf_dir, t) for t in ("nation", "customer", "supplier"))
+    a = customer.groupBy(F.col("c_nationkey").alias("k")).agg(F.round(F.avg("c_acctbal"), 2).alias("a"))
+    b = supplier.groupBy(F.col("s_nationkey").alias("k")).agg(F.round(F.avg("s_acctbal"), 2).alias("b"))
+    both = nation.select(F.col("n_nationkey").alias("k")).join(a, "k").join(b, "k").select(F.round(F.col("a") - F.col("b"), 6).alias("d"), F.lit(0.0).alias("zero"))
+    return evaluate.wilcoxon(both, "d", "zero").select("n", F.round("w_plus", 1).alias("w_plus"), F.round("w_minus", 1).alias("w_minus"), F.round("p", 9).alias("p"))
+
+
 @query(
     "rank_models",
     """WITH m AS (SELECT s_name AS model, s_suppkey AS seq, round(s_acctbal / 10000, 4) AS f1, s_nationkey % 2 AS d FROM supplier), r AS (SELECT *, row_number() OVER (ORDER BY f1 DESC, seq) AS rank FROM m) SELECT model, f1, rank FROM r""",
