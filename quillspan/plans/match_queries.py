@@ -291,6 +291,24 @@ def cost_windows(spark, sf_dir):
     return run(e).withColumn("cost", F.round("cost", 4))
 
 
+_BUDGET = 3000
+
+
+@query(
+    "running_budget",
+    f"""WITH c AS (SELECT event_type AS provider, event_id AS call_id, ts, coalesce(value, 0) AS cost FROM events), t AS (SELECT *, sum(cost) OVER (PARTITION BY provider ORDER BY ts, call_id) AS total FROM c)
+SELECT provider, call_id, ts, cost, round(total, 4) AS total, round(total, 4) < {_BUDGET} AS within_budget, round(total, 4) >= {_BUDGET} AND round(total - cost, 4) < {_BUDGET} AS passes FROM t""",
+)
+def running_budget(spark, sf_dir):
+    """The events as a stream in three steps with a restart: each call with its provider's cost so far."""
+    from quillspan.streaming.budget import replay
+
+    e = table(spark, sf_dir, "events")
+    calls = e.select(F.col("event_type").alias("provider"), F.col("event_id").alias("call_id"), "ts", F.col("value").alias("cost"))
+    got = replay(calls, _BUDGET, interval=6 * 3600)
+    return got.select("provider", "call_id", F.col("ts").cast(e.schema["ts"].dataType).alias("ts"), "cost", F.round("total", 4).alias("total"), "within_budget", "passes")
+
+
 @query(
     "extractor_stats",
     "SELECT event_type AS extractor, count(*) AS n, round(sum(value), 4) AS total_s, round(avg(value), 6) AS mean_s, min(value) AS min_s, max(value) AS max_s, CAST(sum(event_id) AS BIGINT) AS input_tokens, CAST(sum(user_id) AS BIGINT) AS output_tokens, round(sum(value), 4) AS cost FROM events GROUP BY 1",
