@@ -9,7 +9,8 @@ from quillspan.functions import validate as V
 from quillspan.operators import bio, chunking, entities, parse, pipelines, prompts, providers, retrieval
 from quillspan.plans.registry import query
 from quillspan.plans.text_queries import detected_sql, sliding_sql, table
-from quillspan.sources import annotations, vocab
+from quillspan.sources import annotations, items, vocab
+from quillspan.sources.shared import fresh_folder
 
 _EMB = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 20 = 0)"
 
@@ -681,6 +682,26 @@ def _annotated(docs):
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode("annotations").alias("x")).select("doc_id", "x.*")
 
 
+@query("source_items", f"""WITH {_ITEMS.format(strict='false')} SELECT k AS doc_id, type, value, start, "end" FROM a""")
+def source_items(spark, sf_dir):
+    """Items written as JSON lines and read again by the data source, in ranges of bytes."""
+    folder = fresh_folder(spark, "items")
+    _items(spark, sf_dir).write.json(folder)
+    items.register(spark)
+    got = spark.read.format("annotated_items").option("range", 1 << 20).load(folder)
+    return got.select(F.col("doc_id").cast("long").alias("doc_id"), "type", "value", "start", "end")
+
+
+@query("source_items_typed", f"""WITH {_ITEMS.format(strict='true')} SELECT k AS doc_id, type, value, start, "end" FROM a WHERE type IN ('T1', 'FAR')""")
+def source_items_typed(spark, sf_dir):
+    """The condition on the type is the reader's."""
+    folder = fresh_folder(spark, "items")
+    _items(spark, sf_dir).write.json(folder)
+    items.register(spark)
+    got = spark.read.format("annotated_items").option("strict", True).load(folder).where("type in ('T1', 'FAR')")
+    return got.select(F.col("doc_id").cast("long").alias("doc_id"), "type", "value", "start", "end")
+
+
 @query("item_documents", f"""WITH {_ITEMS.format(strict='false')} SELECT k AS doc_id, type, value, start, "end" FROM a WHERE type IN ('T1', 'T2', 'FAR')""")
 def item_documents(spark, sf_dir):
     return _annotated(annotations.documents(_items(spark, sf_dir), types=["T1", "T2", "FAR"]))
