@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import once, sentences, strip
@@ -97,33 +97,45 @@ def _walker(walk: Callable[[str], list[tuple[str, int, int]]]):
     return run
 
 
-def walk_sliding(text: str, size: int = 512, overlap: int = 128) -> list[tuple[str, int, int]]:
-    """Windows that end after a sentence where one ends beyond their middle; the kinds of ends are tried in order."""
-    out, at, n = [], 0, len(text)
-    while at < n:
-        end = min(at + size, n)
-        if end < n:
-            for mark in ENDS:
-                hit = text.rfind(mark, at, end)
-                if hit - at > size * 0.5:
-                    end = hit + len(mark)
-                    break
-        if body := text[at:end].strip():
-            out.append((body, at, end))
+def sliding_end(text: str, at: int, n: int, size: int) -> int:
+    """Where a window ends that begins at ``at``: after a sentence if one ends beyond its middle; the kinds of ends are tried in order."""
+    end = min(at + size, n)
+    if end < n:
+        for mark in ENDS:
+            hit = text.rfind(mark, at, end)
+            if hit - at > size * 0.5:
+                return hit + len(mark)
+    return end
+
+
+def full_stop_end(text: str, at: int, n: int, size: int) -> int:
+    """Likewise: after the window's last full stop if it lies beyond the middle."""
+    end = min(at + size, n)
+    if end < n and (hit := text.rfind(".", at, end)) - at > size // 2:
+        return hit + 1
+    return end
+
+
+def walk_cuts(end_of: Callable[[str, int, int, int], int], text: str, at: int, stop: int, n: int, size: int, overlap: int) -> tuple[list[tuple[int, int]], int]:
+    """The windows (start, end) that begin in [at, stop) of a text of ``n`` characters, and where the next one begins."""
+    out = []
+    while at < stop:
+        end = end_of(text, at, n, size)
+        out.append((at, end))
         at = n if end >= n else end - overlap
-    return out
+    return out, at
+
+
+def walk_sliding(text: str, size: int = 512, overlap: int = 128) -> list[tuple[str, int, int]]:
+    """Windows that end after a sentence where one ends beyond their middle."""
+    cuts, _ = walk_cuts(sliding_end, text, 0, len(text), len(text), size, overlap)
+    return [(body, s, e) for s, e in cuts if (body := text[s:e].strip())]
 
 
 def walk_full_stops(text: str, size: int = 1000, overlap: int = 200) -> list[tuple[str, int, int]]:
     """Windows that end at their last full stop if it lies beyond the middle."""
-    out, at, n = [], 0, len(text)
-    while at < n:
-        end = min(at + size, n)
-        if end < n and (hit := text.rfind(".", at, end)) - at > size // 2:
-            end = hit + 1
-        out.append((text[at:end], at, end))
-        at = n if end >= n else end - overlap
-    return out
+    cuts, _ = walk_cuts(full_stop_end, text, 0, len(text), len(text), size, overlap)
+    return [(text[s:e], s, e) for s, e in cuts]
 
 
 def walk_recursive(text: str, size: int = 1000, overlap: int = 200, separators: tuple[str, ...] = SEPARATORS) -> list[tuple[str, int, int]]:
@@ -294,3 +306,83 @@ def chunker(name: str) -> Callable[..., Column]:
     if name not in CHUNKERS:
         raise ValueError(f"unknown chunker {name}; known: {', '.join(sorted(CHUNKERS))}")
     return CHUNKERS[name]
+
+
+#: Ways to cut that depend on a window's start only: (where it ends, size, overlap, whether outer blanks and empty windows go).
+WALKS = {"sliding": (sliding_end, 512, 128, True), "full_stops": (full_stop_end, 1000, 200, False)}
+
+
+def chunk_in_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", walk: str = "sliding", piece: int = 1 << 20) -> DataFrame:
+    """(key, chunk_id, text, start, end) as ``sliding`` or ``full_stops`` cut, a very long text in many tasks.
+
+    A text becomes pieces of ``piece`` characters with one window's context,
+    and each piece is walked from its own beginning, as if a window began
+    there.  Where the walk before it comes out at another place, the piece is
+    walked again from that place, until every piece begins where the one
+    before it ended; walks that meet at a cut go on alike, so two rounds are
+    enough as a rule, and as many as pieces in the worst case.  Rows that
+    repeat a key are cut each by itself; null and empty texts have no chunks.
+    """
+    from quillspan.sources.shared import fresh_folder, save
+
+    end_of, size, overlap, bare = WALKS[walk]
+    spark = docs.sparkSession
+    path = fresh_folder(spark, "pieces")
+    own = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).where(F.col("_text") != "")
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keys = batch.column(0)
+            for i, whole in enumerate(batch.column(1).to_pylist()):
+                n = len(whole)
+                for k, lo in enumerate(range(0, n, piece)):
+                    # a window that begins before the piece's end may end one window behind it
+                    rest = [pa.array([v], t) for v, t in ((k, pa.int32()), (lo, pa.int64()), (min(lo + piece, n), pa.int64()), (n, pa.int64()), (whole[lo : lo + piece + size + 2], pa.string()))]
+                    yield pa.RecordBatch.from_arrays([keys.slice(i, 1), pa.array([i], pa.int64()), *rest], ["_key", "_i", "k", "lo", "hi", "n", "part"])
+
+    kind = f"_key {own.schema['_key'].dataType.simpleString()}, _i long, k int, lo long, hi long, n long, part string"
+    # a number for each row: its first piece's, handed on to the others
+    parts = own.mapInArrow(cut, kind).withColumn("_at", F.monotonically_increasing_id()).withColumn("row", F.col("_at") - F.col("k")).drop("_i", "_at")
+    parts = save(parts, f"{path}/parts")
+
+    @F.arrow_udf("out long, chunks int")
+    def walked(part, lo, hi, n, at):
+        import pyarrow as pa
+
+        rows = []
+        for t, a, b, m, s in zip(*(c.to_pylist() for c in (part, lo, hi, n, at)), strict=True):
+            cuts, out = walk_cuts(end_of, t, s - a, b - a, m - a, size, overlap)
+            rows.append({"out": out + a, "chunks": sum(1 for x, y in cuts if not bare or t[x:y].strip())})
+        return pa.array(rows, pa.struct([("out", pa.int64()), ("chunks", pa.int32())]))
+
+    def go(pieces: DataFrame) -> DataFrame:
+        return pieces.select("row", "k", "at", walked("part", "lo", "hi", "n", "at").alias("w")).select("row", "k", "at", "w.*")
+
+    deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    state, turn = save(go(parts.withColumn("at", F.col("lo")).repartition(deal, "row", "k")), f"{path}/round-0"), 0
+    by_row = Window.partitionBy("row").orderBy("k")
+    while True:
+        due = state.withColumn("due", F.coalesce(F.lag("out").over(by_row), F.col("at"))).where("due <> at").select("row", "k", F.col("due").alias("at"))
+        due = save(due, f"{path}/due-{turn}")
+        if due.isEmpty():
+            break
+        again = go(parts.join(due, ["row", "k"]))
+        turn += 1
+        state = save(state.join(due.select("row", "k"), ["row", "k"], "left_anti").union(again), f"{path}/round-{turn}")
+    first = state.withColumn("first", (F.sum("chunks").over(by_row) - F.col("chunks")).cast("int")).select("row", "k", "at", "first")
+
+    @F.arrow_udf(CHUNK)
+    def chunks(part, lo, hi, n, at):
+        import pyarrow as pa
+
+        rows = []
+        for t, a, b, m, s in zip(*(c.to_pylist() for c in (part, lo, hi, n, at)), strict=True):
+            cuts, _ = walk_cuts(end_of, t, s - a, b - a, m - a, size, overlap)
+            made = [(t[x:y].strip() if bare else t[x:y], x + a, y + a) for x, y in cuts]
+            rows.append([{"text": v, "start": x, "end": y} for v, x, y in made if v or not bare])
+        return pa.array(rows, pa.list_(pa.struct([("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
+
+    made = parts.join(first, ["row", "k"]).select(F.col("_key").alias(key), "first", F.posexplode(chunks("part", "lo", "hi", "n", "at")).alias("i", "c"))
+    return made.select(key, (F.col("first") + F.col("i")).alias("chunk_id"), "c.*")

@@ -252,6 +252,14 @@ def _walked(name, chunks, sql=None):
 
 _walked("chunk_sliding", C.sliding, f"""{sliding_sql(512, 128)} SELECT doc_id, CAST(chunk_id AS INT) AS chunk_id, md5(body) AS text, CAST(q AS INT) AS start, CAST(e AS INT) AS "end" FROM ch""")
 _walked("chunk_recursive", C.recursive)
+
+
+@query("chunk_in_pieces", f"""{sliding_sql(512, 128)} SELECT doc_id, CAST(chunk_id AS INT) AS chunk_id, md5(body) AS text, CAST(q AS INT) AS start, CAST(e AS INT) AS "end" FROM ch""")
+def chunk_in_pieces(spark, sf_dir):
+    """Sliding windows, every text over 4,096 characters in several tasks."""
+    return C.chunk_in_pieces(table(spark, sf_dir, "documents"), piece=4096).withColumn("text", F.md5("text"))
+
+
 _walked(
     "chunk_sentences",
     C.pack_sentences,
