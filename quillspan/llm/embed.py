@@ -195,13 +195,13 @@ def split_leaves(rows: DataFrame, leaf: int, scratch: Scratch, depth: int = DEPT
     """Rows (label, dim, leaf, node, vec) with leaves of more than ``leaf`` nodes split further where they can be, and whether some still have more."""
     keys, done, over = ["label", "dim", "leaf"], [], True
     for level in range(depth):
-        large = scratch.save(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > leaf), 0)
+        large = scratch.save(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > leaf))
         if large.isEmpty():
             over = False
             break
         share = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 30)) < F.col("n").cast("double") ** -1 * LEAF_SAMPLE * (1 << 30)
         some = rows.join(large, keys).where(share).select(*keys, "n", "vec").repartition(*keys).sortWithinPartitions(*keys)
-        trees = scratch.save(some.mapInArrow(_grow_leaves(leaf, level), "label long, dim long, leaf long, n long, tree binary"), 0)
+        trees = scratch.save(some.mapInArrow(_grow_leaves(leaf, level), "label long, dim long, leaf long, n long, tree binary"))
         if trees.isEmpty():
             break
         parts = F.ceil(F.col("n") / ROUTE).cast("long")
@@ -281,7 +281,7 @@ def _dealt(rows: DataFrame, sizes: DataFrame | None, keys: list[str], columns: l
     ``sizes``: (keys, n), or None if no group is larger.  The rows of a group of more than ``BLOCK`` are in one
     cell each and come once for every cell that theirs meets, their own too.
     """
-    large = None if sizes is None else scratch.save(sizes.where(F.col("n") > BLOCK), 0)
+    large = None if sizes is None else scratch.save(sizes.where(F.col("n") > BLOCK))
     if large is None or large.isEmpty():
         rows = rows.withColumns({"lo": F.lit(0), "hi": F.lit(0), "own": F.lit(0)})
     else:
