@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,10 +109,28 @@ def consistent(docs: DataFrame, provider: providers.Provider, types: list[str],
 
 def by_strategy(docs: DataFrame, provider: providers.Provider, types: list[str], strategy: str = "validation", calls: CallTable | None = None) -> DataFrame:
     """(doc_id, type, value, confidence) by ``basic``, ``validation``, ``two_phase`` or ``self_consistency``; others raise."""
-    known = {"basic": basic, "validation": lambda *a, **b: checked(basic(*a, **b)), "two_phase": two_phase, "self_consistency": consistent}
-    if strategy not in known:
-        raise ValueError(f"unknown strategy {strategy}; known: {', '.join(known)}")
-    return known[strategy](docs, provider, types, calls=calls).select("doc_id", "type", "value", "confidence")
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy}; known: {', '.join(STRATEGIES)}")
+    return STRATEGIES[strategy](docs, provider, types, calls=calls).select("doc_id", "type", "value", "confidence")
+
+
+STRATEGIES = {"basic": basic, "validation": lambda *a, **b: checked(basic(*a, **b)), "two_phase": two_phase, "self_consistency": consistent}
+
+
+def run_table(models: list[str], strategies: list[str]) -> list[tuple[str, str]]:
+    """Every (model, strategy) of a comparison; unknown strategies raise before anything is called."""
+    for name in strategies:
+        if name not in STRATEGIES:
+            raise ValueError(f"unknown strategy {name}; known: {', '.join(STRATEGIES)}")
+    return [(m, s) for m in models for s in strategies]
+
+
+def run_all(docs: DataFrame, runs: list[tuple[str, str]], models: dict[str, providers.Provider], types: list[str], calls: CallTable | None = None) -> DataFrame:
+    """(model, strategy, doc_id, type, value, confidence) of every run; runs that ask a model the same share the reply."""
+    calls, found = _table(docs, calls), []
+    for model, strategy in runs:
+        found.append(by_strategy(docs, models[model], types, strategy, calls).select(F.lit(model).alias("model"), F.lit(strategy).alias("strategy"), "*"))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def hybrid(docs: DataFrame, provider: providers.Provider, types: list[str], config: dict | None = None, model: providers.Embedder | None = None, calls: CallTable | None = None) -> DataFrame:

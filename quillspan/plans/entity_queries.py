@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
@@ -114,14 +115,22 @@ def demo_select(spark, sf_dir):
     return retrieval.select_demos(pool).select("type", F.char_length("text").cast("long").alias("chars"), "r")
 
 
-@query("type_queries", "SELECT * FROM (VALUES ('Party', 'contracting parties names companies buyer seller'), ('FORO', 'foro comarca eleito jurisdição'), ('Else', 'Else')) t(type, query)")
+@query(
+    "type_queries",
+    """SELECT DISTINCT type, CASE type WHEN 'Party' THEN 'contracting parties names companies buyer seller' WHEN 'FORO' THEN 'foro comarca eleito jurisdição' ELSE type END AS query
+FROM (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'Party' WHEN 1 THEN 'FORO' ELSE o_orderpriority END AS type FROM orders)""",
+)
 def type_queries(spark, sf_dir):
-    return retrieval.type_queries(spark.createDataFrame([("Party",), ("FORO",), ("Else",)], "type string"))
+    m = F.col("o_orderkey") % 3
+    types = table(spark, sf_dir, "orders").select(F.when(m == 0, "Party").when(m == 1, "FORO").otherwise(F.col("o_orderpriority")).alias("type")).distinct()
+    return retrieval.type_queries(types)
 
 
-@query("clause_batches", "SELECT CAST(i AS INT) AS batch, CASE WHEN i < 4 THEN 10 ELSE 1 END AS n FROM range(5) t(i)")
+@query("clause_batches", "SELECT CAST(i // 10 AS INT) AS batch, string_agg(n_name, '|' ORDER BY i) AS types FROM (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS i FROM nation) GROUP BY 1")
 def clause_batches(spark, sf_dir):
-    return retrieval.batches(vocab.clause_groups(spark)).select("batch", F.size("types").alias("n"))
+    """The nations' names as types, ten at a time; a list of types is a small table."""
+    pos = (F.row_number().over(Window.orderBy("n_name")) - 1).alias("pos")
+    return retrieval.batches(table(spark, sf_dir, "nation").select(pos, F.col("n_name").alias("type"))).select("batch", F.array_join("types", "|").alias("types"))
 
 
 #: Places of a turn's words in ``seq``.
@@ -718,10 +727,11 @@ def documents_having_types(spark, sf_dir):
     return annotations.having_types(docs, ["T3", "T4"]).select("doc_id", F.md5("text").alias("text"))
 
 
-@query("infer_types", f"""WITH {_ITEMS.format(strict='true')} SELECT DISTINCT type FROM a""")
+@query("infer_types", f"""WITH {_ITEMS.format(strict='true')} SELECT DISTINCT type FROM a WHERE k % 2 = 1""")
 def infer_types(spark, sf_dir):
     docs = annotations.documents(_items(spark, sf_dir), strict=True)
-    return annotations.entity_types(annotations.of_split(annotations.with_splits({"train": docs, "val": docs.limit(0)}), "train"))
+    odd = F.col("doc_id").cast("long") % 2 == 1
+    return annotations.entity_types(annotations.of_split(annotations.with_splits({"train": docs.where(odd), "val": docs.where(~odd)}), "train"))
 
 
 @query(
@@ -771,9 +781,11 @@ def rerank_chunks(spark, sf_dir):
     return retrieval.rerank(found, ["doc_id"], -F.abs(F.char_length("text") - 200).cast("double"), 2).select("doc_id", "chunk_id", "score", "rank")
 
 
-@query("bio_vocabulary", "SELECT CAST(i AS INT) AS pos, label FROM (VALUES (0, 'O'), (1, 'B-A'), (2, 'I-A'), (3, 'E-A'), (4, 'S-A'), (5, 'B-B'), (6, 'I-B'), (7, 'E-B'), (8, 'S-B')) v(i, label)")
+@query("bio_vocabulary", "WITH t AS (SELECT role, row_number() OVER (ORDER BY role) - 1 AS i FROM (SELECT DISTINCT role FROM conversations WHERE role IS NOT NULL)) SELECT 0 AS pos, 'O' AS label UNION ALL SELECT CAST(1 + 4 * i + j AS INT), m || '-' || role FROM t, (VALUES (0, 'B'), (1, 'I'), (2, 'E'), (3, 'S')) v(j, m)")
 def bio_vocabulary(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(bio.labels(["A", "B"], "BIOES"))), "pos int, label string")
+    """Labels of the roles that a table holds; a vocabulary is a small list."""
+    types = [r.role for r in table(spark, sf_dir, "conversations").where("role is not null").select("role").distinct().orderBy("role").limit(1000).collect()]
+    return spark.createDataFrame(list(enumerate(bio.labels(types, "BIOES"))), "pos int, label string")
 
 
 @query(

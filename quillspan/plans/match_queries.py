@@ -439,22 +439,22 @@ def bio_encode(spark, sf_dir):
     return bio.encode(t, e, "k").select("k", "pos", "label")
 
 
-_LAB = f"""WITH {_TOK}, l AS (SELECT k, pos, CASE length(w) % 5 WHEN 0 THEN 'B-A' WHEN 1 THEN 'I-A' WHEN 2 THEN 'I-B' WHEN 3 THEN 'B-B' ELSE 'O' END AS label FROM t1)"""
+_LAB = f"""WITH {_TOK}, l AS (SELECT k, pos, CASE length(w) % 5 WHEN 0 THEN 'B-A' WHEN 1 THEN 'I-A' WHEN 2 THEN 'I-B' WHEN 3 THEN 'B-B' ELSE 'O' END AS label, (1 + length(w) % 7) / 10 AS c FROM t1)"""
 
 
 def _labelled(spark, sf_dir):
     lab = F.element_at(F.array(*[F.lit(x) for x in ("B-A", "I-A", "I-B", "B-B", "O")]), (F.char_length("w") % 5 + 1).cast("int"))
-    return _tokens(spark, sf_dir).select("k", "pos", (F.col("pos") * 10).alias("start"), (F.col("pos") * 10 + 5).alias("end"), lab.alias("label"), F.lit(1.0).alias("confidence"))
+    return _tokens(spark, sf_dir).select("k", "pos", (F.col("pos") * 10).alias("start"), (F.col("pos") * 10 + 5).alias("end"), lab.alias("label"), ((1 + F.char_length("w") % 7) / 10).alias("confidence"))
 
 
 @query(
     "bio_decode",
     f"""{_LAB}, b AS (SELECT *, lag(label) OVER (PARTITION BY k ORDER BY pos) AS p FROM l),
 s AS (SELECT *, CASE WHEN label = 'O' OR label LIKE 'B%' OR p IS NULL OR p = 'O' OR right(p, 1) <> right(label, 1) THEN 1 ELSE 0 END AS n FROM b),
-g AS (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY pos) AS g FROM s) SELECT k, right(min(label), 1) AS type, CAST(min(pos) * 10 AS INT) AS start, CAST(max(pos) * 10 + 5 AS INT) AS "end" FROM g WHERE label <> 'O' GROUP BY k, g""",
+g AS (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY pos) AS g FROM s) SELECT k, right(min(label), 1) AS type, CAST(min(pos) * 10 AS INT) AS start, CAST(max(pos) * 10 + 5 AS INT) AS "end", min(c) AS confidence FROM g WHERE label <> 'O' GROUP BY k, g""",
 )
 def bio_decode(spark, sf_dir):
-    return bio.decode(_labelled(spark, sf_dir), "k").select("k", F.explode("spans").alias("s")).select("k", "s.type", "s.start", "s.end")
+    return bio.decode(_labelled(spark, sf_dir), "k").select("k", F.explode("spans").alias("s")).select("k", "s.type", "s.start", "s.end", "s.confidence")
 
 
 @query(

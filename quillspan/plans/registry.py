@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from quillspan.plans import entity_queries, match_queries, text_queries  # noqa: F401
+    from quillspan.plans import entity_queries, match_queries, source_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
