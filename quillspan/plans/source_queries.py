@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import validate as V
 from quillspan.operators import bio, parse, pipelines, prompts, providers, retrieval
 from quillspan.operators.calls import CallTable
+from quillspan.operators.text_index import TextIndex
 from quillspan.plans.entity_queries import _ASKED, _QA, _RE, _VARIED, _WHOLE, _hedged_sql, _qa, _talk
 from quillspan.plans.entity_queries import _BM as BM25
 from quillspan.plans.match_queries import _TOK, _tokens
@@ -120,6 +121,17 @@ def retriever_bm25(spark, sf_dir):
     return got.select("doc_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
+@query(
+    "index_search",
+    f"WITH {BM25}, r AS (SELECT doc_id, chunk_id, score, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm) SELECT doc_id, chunk_id, round(score, 6) AS score FROM r WHERE rank <= 3",
+)
+def index_search(spark, sf_dir):
+    """The same conversations' best turns from an index that is built once and read from its files."""
+    chunks, queries = _talk(spark, sf_dir)
+    got = TextIndex.build(chunks, "doc_id").search(queries, 3)
+    return got.select("doc_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
 _SMALL = 1000  # tokens of a model that few documents fit in
 
 
