@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quillspan.functions.similarity import COMBINED, COMBINED_PACKAGE, COVERAGE, JACCARD, RECALL, Measure, best_combined
 from quillspan.functions.text import context, spaced
 from quillspan.operators import matching
+from quillspan.sources.shared import fresh_folder, save
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -266,9 +267,13 @@ def errors(pred: DataFrame, gold: DataFrame, documents: DataFrame | None = None,
     another type), else ``false_positive``; unmatched golds are
     ``false_negative``, those of a partial match too.
     """
-    p, g = (df.withColumn("key", spaced(F.col("value"))) for df in (pred, gold))
     keys = ["doc_id", "type", "key"]
-    wrong, missed = p.join(g, keys, "left_anti"), g.join(p, keys, "left_anti")
+    p, g = (df.select("doc_id", "type", "seq", "value", spaced(F.col("value")).alias("key"), F.lit(k).alias("predicts")) for k, df in ((True, pred), (False, gold)))
+    w = Window.partitionBy(*keys)
+    matched = F.max("predicts").over(w) & F.max(~F.col("predicts")).over(w) & F.col("doc_id").isNotNull() & F.col("type").isNotNull() & F.col("key").isNotNull()
+    # written once: what didn't match is read by three joins, which would each split and compare all values anew
+    left = save(p.unionByName(g).withColumn("matched", matched).where("not matched").drop("matched"), f"{fresh_folder(pred.sparkSession, 'errors')}/left")
+    wrong, missed = left.where("predicts").drop("predicts"), left.where("not predicts").drop("predicts")
     near = _pairs(wrong.select("doc_id", "type", "seq", "value"), missed, JACCARD).where(F.col("score") > least)
     near = near.groupBy("doc_id", "type", "seq").agg(F.max_by("gold", F.struct("score", -F.col("g_seq"))).alias("near"))
     other = wrong.alias("w").join(missed.alias("m"), (F.col("w.doc_id") == F.col("m.doc_id")) & (F.col("w.key") == F.col("m.key")) & (F.col("w.type") != F.col("m.type"))).groupBy("w.doc_id", "w.type", "w.seq").agg(F.min_by("m.value", "m.seq").alias("other"))
@@ -281,7 +286,8 @@ def errors(pred: DataFrame, gold: DataFrame, documents: DataFrame | None = None,
 
 
 def error_summary(found: DataFrame, samples: int = 5) -> DataFrame:
-    """Per error: count and the first ``samples`` values."""
+    """Per error: count and the first ``samples`` values; ``found`` is written once and read twice."""
+    found = save(found, f"{fresh_folder(found.sparkSession, 'errors')}/found")
     w = Window.partitionBy("error").orderBy("doc_id", "type", F.coalesce("predicted", "expected"))
     few = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= samples).groupBy("error").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", F.coalesce("predicted", "expected").alias("v")))), lambda x: x["v"]).alias("samples"))
     return found.groupBy("error").agg(F.count("*").alias("n")).join(few, "error")
@@ -292,7 +298,8 @@ def errors_by_type(found: DataFrame) -> DataFrame:
 
 
 def error_patterns(found: DataFrame, least: int = 2, examples: int = 3) -> DataFrame:
-    """(error, type, n, examples) of groups of ``least`` or more."""
+    """(error, type, n, examples) of groups of ``least`` or more; ``found`` is written once and read twice."""
+    found = save(found, f"{fresh_folder(found.sparkSession, 'errors')}/found")
     w = Window.partitionBy("error", "type").orderBy("doc_id", F.coalesce("predicted", "expected"))
     ex = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= examples).groupBy("error", "type").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", F.coalesce("predicted", "expected").alias("v")))), lambda x: x["v"]).alias("examples"))
     return found.groupBy("error", "type").agg(F.count("*").alias("n")).where(F.col("n") >= least).join(ex, ["error", "type"])
