@@ -119,7 +119,9 @@ class ItemReader(DataSourceReader):
             out += [Piece(f.path, at, min(at + step, f.size), lines) for at in range(0, f.size, step)]
         return out
 
-    def read(self, piece: Piece) -> Iterator[pa.RecordBatch]:
+    def read(self, piece: Piece | None) -> Iterator[pa.RecordBatch]:
+        if piece is None:  # no file to read
+            return
         store, _ = open_store(self.path)
         split = split_of(piece.file)
         rows: list[dict] = []

@@ -92,3 +92,9 @@ def test_bad_lines(spark, tmp_path):
     bad = [(r.file.rsplit("/", 1)[1], r.line) for r in got if r.error]
     assert sorted(bad) == [("x.jsonl", 48), ("x.jsonl", 57), ("x.jsonl", 64), ("x.jsonl", 88), ("y.json", 0), ("z.jsonl", 0)]
     assert spark.read.format("annotated_items").load(tmp_path.as_uri()).where("error is not null").count() == 6
+
+
+def test_no_files(spark, tmp_path):
+    items.register(spark)
+    (tmp_path / "_SUCCESS").write_text("")
+    assert spark.read.format("annotated_items").load(tmp_path.as_uri()).count() == 0
