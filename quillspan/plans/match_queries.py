@@ -10,6 +10,7 @@ import functools
 
 from pyspark.sql import functions as F
 
+from quillspan.functions.numbers import rounded
 from quillspan.functions import similarity as S
 from quillspan.functions import text as T
 from quillspan.operators import bio, evaluate
@@ -63,7 +64,7 @@ def pred_gold(spark, sf_dir):
 
 
 def scores(df, *keep):
-    return df.select(*keep, "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+    return df.select(*keep, "tp", "fp", "fn", *[rounded(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
 def _exact_sql(keys, by):
@@ -100,7 +101,7 @@ def exact_spans(spark, sf_dir):
 SELECT round(sum(s), 6) AS score, (SELECT count(*) FROM pred) AS n_pred, (SELECT count(*) FROM gold) AS n_gold FROM b WHERE s >= 0.5""",
 )
 def partial_metrics(spark, sf_dir):
-    return evaluate.partial(*pred_gold(spark, sf_dir)).select(F.round("score", 6).alias("score"), "n_pred", "n_gold")
+    return evaluate.partial(*pred_gold(spark, sf_dir)).select(rounded("score", 6).alias("score"), "n_pred", "n_gold")
 
 
 @query(
@@ -111,7 +112,7 @@ SELECT k.doc_id, round(coalesce(h.c, 1), 6) AS coverage, round(k.k, 6) AS consis
 )
 def coverage_consistency(spark, sf_dir):
     pred, gold = pred_gold(spark, sf_dir)
-    return evaluate.consistency(pred).join(evaluate.coverage(pred, gold), "doc_id").select("doc_id", F.round("coverage", 6).alias("coverage"), F.round("consistency", 6).alias("consistency"))
+    return evaluate.consistency(pred).join(evaluate.coverage(pred, gold), "doc_id").select("doc_id", rounded("coverage", 6).alias("coverage"), rounded("consistency", 6).alias("consistency"))
 
 
 @query(
@@ -196,7 +197,7 @@ SELECT round(avg(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END), 6) AS pr
 def macro_by_document(spark, sf_dir):
     pred, gold = pred_gold(spark, sf_dir)
     got = evaluate.macro_by_document(pred, gold, pred.select("doc_id").distinct(), T.wordy)
-    return got.select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "documents")
+    return got.select(*[rounded(c, 6).alias(c) for c in ("precision", "recall", "f1")], "documents")
 
 
 _ERR = f"""{BASE}, pk AS (SELECT *, {KEY} AS key FROM pred), gk AS (SELECT *, {KEY} AS key FROM gold),
@@ -244,7 +245,7 @@ SELECT round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(f),
 def token_scores(spark, sf_dir):
     df = table(spark, sf_dir, "labels").select(F.col("quality").cast("string").alias("q"), F.col("toxic").cast("string").alias("t"))
     got = evaluate.token_scores(df, "q", "t", "0")
-    return got.select(*[F.round(c, 6).alias(c) for c in got.columns])
+    return got.select(*[rounded(c, 6).alias(c) for c in got.columns])
 
 
 @query(
@@ -255,20 +256,20 @@ def similarity_scores(spark, sf_dir):
     pred, gold = pred_gold(spark, sf_dir)
     both = pred.join(gold.select("doc_id", "seq", F.col("value").alias("gold")), ["doc_id", "seq"])
     v, g, m = F.col("value"), F.col("gold"), F.col("seq") % 10
-    return both.select("doc_id", "type", "seq", F.round(S.jaccard(v, g), 6).alias("jaccard"), F.round(S.RECALL_SPACED(v, g), 6).alias("recall"), F.round(S.span_coverage(v, g), 6).alias("coverage"), F.round(S.span_iou(F.lit(0), F.lit(10), m, m + 10), 6).alias("iou"))
+    return both.select("doc_id", "type", "seq", rounded(S.jaccard(v, g), 6).alias("jaccard"), rounded(S.RECALL_SPACED(v, g), 6).alias("recall"), rounded(S.span_coverage(v, g), 6).alias("coverage"), rounded(S.span_iou(F.lit(0), F.lit(10), m, m + 10), 6).alias("iou"))
 
 
 @query("similarity_combined")
 def similarity_combined(spark, sf_dir):
     pred, gold = pred_gold(spark, sf_dir)
     both = pred.join(gold.select("doc_id", "seq", F.col("value").alias("gold")), ["doc_id", "seq"])
-    return both.select("doc_id", "seq", F.round(S.combined(F.col("value"), F.col("gold"), package=True), 6).alias("combined"))
+    return both.select("doc_id", "seq", rounded(S.combined(F.col("value"), F.col("gold"), package=True), 6).alias("combined"))
 
 
 @query("latency_stats", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_s, round(stddev_pop(value), 6) AS std_s FROM events GROUP BY 1")
 def latency_stats(spark, sf_dir):
     df = evaluate.latency(table(spark, sf_dir, "events"), "event_type", "value")
-    return df.select("event_type", "n", F.round("mean_s", 6).alias("mean_s"), F.round("std_s", 6).alias("std_s"))
+    return df.select("event_type", "n", rounded("mean_s", 6).alias("mean_s"), rounded("std_s", 6).alias("std_s"))
 
 
 @query(
@@ -280,7 +281,7 @@ SELECT coalesce(provider, 'ALL') AS provider, count(*) AS calls, round(sum(cost)
 def cost_by_provider(spark, sf_dir):
     e, m = table(spark, sf_dir, "events"), F.col("event_id") % 3
     calls = e.select(F.when(m == 0, "openai").when(m == 1, "google").otherwise("none").alias("provider"), F.when(m == 0, "gpt-4o").when(m == 1, "gemini-1.5-flash").otherwise("none").alias("model"), (F.col("event_id") % 1000).alias("input_tokens"), (F.col("user_id") % 500).alias("output_tokens"))
-    return evaluate.cost_summary(evaluate.call_cost(calls)).withColumn("cost", F.round("cost", 6))
+    return evaluate.cost_summary(evaluate.call_cost(calls)).withColumn("cost", rounded("cost", 6))
 
 
 @query("cost_windows", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type AS provider, count(*) AS calls, round(sum(value), 4) AS cost FROM events GROUP BY 1, 2")
@@ -288,7 +289,7 @@ def cost_windows(spark, sf_dir):
     from quillspan.streaming.documents import cost_windows as run
 
     e = table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("provider"), F.col("value").alias("cost"))
-    return run(e).withColumn("cost", F.round("cost", 4))
+    return run(e).withColumn("cost", rounded("cost", 4))
 
 
 _BUDGET = 3000
@@ -306,7 +307,7 @@ def running_budget(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     calls = e.select(F.col("event_type").alias("provider"), F.col("event_id").alias("call_id"), "ts", F.col("value").alias("cost"))
     got = replay(calls, _BUDGET, interval=6 * 3600)
-    return got.select("provider", "call_id", F.col("ts").cast(e.schema["ts"].dataType).alias("ts"), "cost", F.round("total", 4).alias("total"), "within_budget", "passes")
+    return got.select("provider", "call_id", F.col("ts").cast(e.schema["ts"].dataType).alias("ts"), "cost", rounded("total", 4).alias("total"), "within_budget", "passes")
 
 
 @query(
@@ -317,7 +318,7 @@ def extractor_stats(spark, sf_dir):
     from quillspan.operators.entities import extractor_statistics
 
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("extractor"), F.col("value").alias("seconds"), F.col("event_id").alias("input_tokens"), F.col("user_id").alias("output_tokens"), F.col("value").alias("cost"))
-    return extractor_statistics(e).withColumns({"total_s": F.round("total_s", 4), "mean_s": F.round("mean_s", 6), "cost": F.round("cost", 4)})
+    return extractor_statistics(e).withColumns({"total_s": rounded("total_s", 4), "mean_s": rounded("mean_s", 6), "cost": rounded("cost", 4)})
 
 
 @query(
@@ -329,7 +330,7 @@ SELECT (SELECT n FROM t) AS n, round((SELECT t FROM t), 6) AS t, round(sum(rank
 def paired_tests(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select("l_extendedprice", (F.col("l_quantity") * 1500).alias("other"))
     t, w = evaluate.paired_t(df, "l_extendedprice", "other"), evaluate.wilcoxon(df, "l_extendedprice", "other")
-    return t.select("n", F.round("t", 6).alias("t")).join(F.broadcast(w.select(F.round("w_plus", 1).alias("w_plus"), F.round("w_minus", 1).alias("w_minus"))))
+    return t.select("n", rounded("t", 6).alias("t")).join(F.broadcast(w.select(rounded("w_plus", 1).alias("w_plus"), rounded("w_minus", 1).alias("w_minus"))))
 
 
 def _counted_sql(name, key):
@@ -365,7 +366,7 @@ def bootstrap_f1(spark, sf_dir):
     exact = [df.withColumn("key", T.spaced(F.col("value"))) for df in (pred, gold)]
     counts = [evaluate.set_counts(*side, ["doc_id", "type", "key"], ["doc_id", "type"]) for side in (exact, lengths)]
     got = evaluate.bootstrap_f1(*counts, by=["type"], replicas=_REPLICAS)
-    return got.select("type", "documents", *[F.round(c, 6).alias(c) for c in ("f1_first", "f1_second", "difference", "low", "high", "p")])
+    return got.select("type", "documents", *[rounded(c, 6).alias(c) for c in ("f1_first", "f1_second", "difference", "low", "high", "p")])
 
 
 @query(
@@ -379,10 +380,10 @@ SELECT n, round(w_plus, 1) AS w_plus, round(w_minus, 1) AS w_minus, round(least(
 def signed_rank_exact(spark, sf_dir):
     """Customers' against suppliers' mean balances, paired by nation: few pairs, so the exact distribution."""
     nation, customer, supplier = (table(spark, sf_dir, t) for t in ("nation", "customer", "supplier"))
-    a = customer.groupBy(F.col("c_nationkey").alias("k")).agg(F.round(F.avg("c_acctbal"), 2).alias("a"))
-    b = supplier.groupBy(F.col("s_nationkey").alias("k")).agg(F.round(F.avg("s_acctbal"), 2).alias("b"))
-    both = nation.select(F.col("n_nationkey").alias("k")).join(a, "k").join(b, "k").select(F.round(F.col("a") - F.col("b"), 6).alias("d"), F.lit(0.0).alias("zero"))
-    return evaluate.wilcoxon(both, "d", "zero").select("n", F.round("w_plus", 1).alias("w_plus"), F.round("w_minus", 1).alias("w_minus"), F.round("p", 9).alias("p"))
+    a = customer.groupBy(F.col("c_nationkey").alias("k")).agg(rounded(F.avg("c_acctbal"), 2).alias("a"))
+    b = supplier.groupBy(F.col("s_nationkey").alias("k")).agg(rounded(F.avg("s_acctbal"), 2).alias("b"))
+    both = nation.select(F.col("n_nationkey").alias("k")).join(a, "k").join(b, "k").select(rounded(F.col("a") - F.col("b"), 6).alias("d"), F.lit(0.0).alias("zero"))
+    return evaluate.wilcoxon(both, "d", "zero").select("n", rounded("w_plus", 1).alias("w_plus"), rounded("w_minus", 1).alias("w_minus"), rounded("p", 9).alias("p"))
 
 
 @query(
@@ -390,7 +391,7 @@ def signed_rank_exact(spark, sf_dir):
     """WITH m AS (SELECT s_name AS model, s_suppkey AS seq, round(s_acctbal / 10000, 4) AS f1, s_nationkey % 2 AS d FROM supplier), r AS (SELECT *, row_number() OVER (ORDER BY f1 DESC, seq) AS rank FROM m) SELECT model, f1, rank FROM r""",
 )
 def rank_models(spark, sf_dir):
-    df = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("model"), F.col("s_suppkey").alias("seq"), F.round(F.col("s_acctbal") / 10000, 4).alias("f1"))
+    df = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("model"), F.col("s_suppkey").alias("seq"), rounded(F.col("s_acctbal") / 10000, 4).alias("f1"))
     return evaluate.rank_models(df).select("model", "f1", F.col("rank").cast("long").alias("rank"))
 
 
@@ -398,7 +399,7 @@ def rank_models(spark, sf_dir):
 def compare_datasets(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     sides = [table(spark, sf_dir, t).join(n, F.col(f"{p}_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("model")).agg(F.avg(f"{p}_acctbal").alias("f1")) for t, p in (("supplier", "s"), ("customer", "c"))]
-    return evaluate.compare_datasets(*sides).select("model", F.round("difference", 4).alias("difference"))
+    return evaluate.compare_datasets(*sides).select("model", rounded("difference", 4).alias("difference"))
 
 
 @query("top_types", "SELECT p_type AS type, max(p_size) AS f1, count(*) AS support FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
@@ -414,7 +415,7 @@ def consolidated_results(spark, sf_dir):
     from quillspan.sources.sinks import consolidated
 
     a = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("model")).agg(F.count("*").alias("n"))
-    b = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("model")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    b = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("model")).agg(F.count("*").alias("n"), rounded(F.sum("o_totalprice"), 2).alias("total"))
     return consolidated({"customers": a, "orders": b})
 
 
@@ -485,7 +486,7 @@ w AS (SELECT label, (SELECT sum(n) FROM c) / (7 * n + 1) AS w FROM c) SELECT lab
 )
 def class_weights(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("type"), F.col("props").alias("value"))
-    return bio.class_weights(e, table(spark, sf_dir, "documents"), ["click", "view", "purchase"]).select("label", F.round("weight", 6).alias("weight"))
+    return bio.class_weights(e, table(spark, sf_dir, "documents"), ["click", "view", "purchase"]).select("label", rounded("weight", 6).alias("weight"))
 
 
 _ISLANDS = """SELECT *, lag({0}) OVER (PARTITION BY k ORDER BY pos) AS p FROM l"""
@@ -535,7 +536,7 @@ UNION ALL SELECT 'partial_precision', round(pp, 6) FROM q UNION ALL SELECT 'part
 UNION ALL SELECT 'coverage', round(c, 6) FROM cv UNION ALL SELECT 'consistency', round(avg(k), 6) FROM k""",
 )
 def metrics_facade(spark, sf_dir):
-    return evaluate.compute_metrics(*pred_gold(spark, sf_dir)).withColumn("value", F.round("value", 6))
+    return evaluate.compute_metrics(*pred_gold(spark, sf_dir)).withColumn("value", rounded("value", 6))
 
 
 @query("jaccard_empty", f"""{BASE} SELECT p.doc_id, p.type, p.seq, round(CASE WHEN len({PW}) = 0 AND len({GW}) = 0 THEN 1 ELSE {JACCARD} END, 6) AS score FROM (SELECT * REPLACE (CASE WHEN seq % 5 = 0 THEN ' ' ELSE value END AS value) FROM pred) p JOIN (SELECT * REPLACE (CASE WHEN seq % 2 = 0 THEN '' ELSE value END AS value) FROM gold) g ON p.doc_id = g.doc_id AND p.seq = g.seq""")
@@ -543,7 +544,7 @@ def jaccard_empty(spark, sf_dir):
     pred, gold = pred_gold(spark, sf_dir)
     both = pred.join(gold.select("doc_id", "seq", F.col("value").alias("gold")), ["doc_id", "seq"])
     v, g = F.when(F.col("seq") % 5 == 0, " ").otherwise(F.col("value")), F.when(F.col("seq") % 2 == 0, "").otherwise(F.col("gold"))
-    return both.select("doc_id", "type", "seq", F.round(S.jaccard(v, g, 1.0), 6).alias("score"))
+    return both.select("doc_id", "type", "seq", rounded(S.jaccard(v, g, 1.0), 6).alias("score"))
 
 
 @query(
