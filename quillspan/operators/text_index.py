@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.functions.numbers import rounded
 from quillspan.functions.text import tokens
 from quillspan.operators.retrieval import top_k
 from quillspan.sources.shared import fresh_folder, save
@@ -75,7 +76,10 @@ class TextIndex:
         return self.spark.read.parquet(f"{self.path}/postings")
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
-        """(on, query_id, chunk_id, score, rank): the ``k`` best chunks of each query (on, query_id, query) of its group, scores above 0, ties by the smaller id."""
+        """(on, query_id, chunk_id, score, rank): the ``k`` best chunks of each query (on, query_id, query) of its group, scores above 0.
+
+        Scores that agree in nine places are ties, whatever order their words were summed in; ties go by the smaller id.
+        """
         on, keys, out = self.on, [self.on, "query_id"], fresh_folder(self.spark, "search")
         asked = queries.select(on, "query_id", F.explode(tokens(F.col("query"))).alias("w")).groupBy(on, "query_id", "w").agg(F.count("*").alias("qf"))
         asked = save(asked.withColumn("bucket", _bucket(on, self.buckets)), f"{out}/asked")
@@ -91,8 +95,9 @@ class TextIndex:
             met = left.where(F.col("no") < depth).select(*keys, F.explode("ids").alias("chunk_id")).distinct()
             score = F.aggregate("terms", F.lit(0.0), lambda s, t: s + t["y"] * F.coalesce(F.try_element_at(F.col("words"), t["w"]), F.lit(0.0)))
             scored = met.join(terms, keys).join(forward, [on, "chunk_id"]).select(*keys, "chunk_id", score.alias("score")).where("score > 0")
-            best = save(top_k(scored, keys, k), f"{out}/best-{depth}")
-            last = best.groupBy(*keys).agg(F.min(F.when(F.col("rank") == k, F.col("score"))).alias("kth"))
+            best = save(top_k(scored.withColumn("near", rounded("score", 9)), keys, k, "near").drop("near"), f"{out}/best-{depth}")
+            # less a place, so that a chunk that could tie is met too
+            last = best.groupBy(*keys).agg(F.min(F.when(F.col("rank") == k, F.col("score") - 1.5e-9)).alias("kth"))
             # what a chunk in none of the blocks read can reach: words of negative weight can only lower it
             rest = left.where(F.col("no") == depth).groupBy(*keys).agg(F.sum(F.greatest(F.lit(0.0), F.col("qf") * F.col("idf") * F.col("top"))).alias("rest"))
             more = save(rest.join(last, keys, "left").where("kth is null or rest >= kth").select(*keys), f"{out}/more-{depth}")
