@@ -92,6 +92,12 @@ def _pairs(pred: DataFrame, gold: DataFrame, score: Measure) -> DataFrame:
     return pred.withColumn("_p", score.prepare(F.col("value"))).join(g, ["doc_id", "type"]).withColumn("score", score.compare(F.col("_p"), F.col("_g"))).drop("_p", "_g")
 
 
+def once(*tables: DataFrame) -> list[DataFrame]:
+    """The tables, saved: where a protocol refers to them many times, what they come from is computed once."""
+    path = fresh_folder(tables[0].sparkSession, "matching")
+    return [save(df, f"{path}/{k}") for k, df in enumerate(tables)]
+
+
 def _pairs_by_words(pred: DataFrame, gold: DataFrame, least: float, prepare: Callable[[Column], Column]) -> DataFrame:
     """The pairs of predictions and golds of a document and type of which the prediction has a share of ``least`` or more of the gold's words.
 
@@ -184,6 +190,8 @@ def greedy_protocol(pred: DataFrame, gold: DataFrame, by: list[str], least: floa
     if pooled:
         w = Window.partitionBy("type").orderBy("doc_id", "seq")
         pred, gold = (df.withColumn("seq", F.row_number().over(w)).withColumn("doc_id", F.lit(0).cast("long")) for df in (pred, gold))
+    if not pooled and score is RECALL and least > 0:
+        pred, gold = once(pred, gold)
     pairs = _pairs_by_words(pred, gold, least, score.prepare) if score is RECALL and least > 0 else _pairs(pred, gold, score).where(F.col("score") >= least)
     options = pairs.groupBy("doc_id", "type", "seq").agg(F.sort_array(F.collect_list(F.struct((-F.col("score") if best else F.lit(0.0)).alias("s"), "g_seq"))).alias("o"))
     group = options.groupBy("doc_id", "type").agg(F.sort_array(F.collect_list(F.struct("seq", "o"))).alias("p"))
