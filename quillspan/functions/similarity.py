@@ -134,44 +134,6 @@ def sequence_at_least(x: str, y: str, least: float) -> float | None:
 EPSILON = 1e-9
 
 
-def best_combined(least: float, package: bool = False):
-    """(text, candidates) -> (place, score): the best candidate by the combined score, the first of ties; null below ``least``.
-
-    Candidates (bound, order, text, recall) come by falling bound, ties by
-    order; one is compared only while its bound and its letters can still beat the best.
-    """
-
-    @F.arrow_udf("place int, score double")
-    def of(texts, candidates):
-        import pyarrow as pa
-
-        places, scores = [], []
-        for text, list_ in zip(texts.to_pylist(), candidates.to_pylist(), strict=True):
-            best, place, order = -1.0, None, None
-            for k, c in enumerate(list_):
-                floor = max(best, least) - EPSILON
-                if -c["bound"] < floor:
-                    break
-                recall = 0.4 * c["recall"]
-                if recall + 0.6 * letters_in_common(text, c["text"]) < floor:
-                    continue
-                if package:
-                    edit = indel(text, c["text"])
-                    ratio = sequence_at_least(text, c["text"], (floor - recall - 0.3 * edit) / 0.3 - EPSILON)
-                else:
-                    edit = ratio = sequence_at_least(text, c["text"], (floor - recall) / 0.6 - EPSILON)
-                if ratio is None:
-                    continue
-                score = recall + 0.3 * edit + 0.3 * ratio
-                if score >= least and (score > best or (score == best and c["order"] < order)):
-                    best, place, order = score, k, c["order"]
-            places.append(place)
-            scores.append(None if place is None else best)
-        return pa.StructArray.from_arrays([pa.array(places, pa.int32()), pa.array(scores, pa.float64())], ["place", "score"])
-
-    return of
-
-
 def _on(f, x: Column, y: Column) -> Column:
     return F.arrow_udf("double")(f)(x, y)
 

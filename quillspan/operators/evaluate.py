@@ -13,9 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.similarity import COMBINED, COMBINED_PACKAGE, COVERAGE, JACCARD, RECALL, Measure, best_combined
-from quillspan.functions.text import context, spaced
-from quillspan.operators import matching
+from quillspan.functions.similarity import COMBINED, COMBINED_PACKAGE, COVERAGE, JACCARD, RECALL, Measure
+from quillspan.functions.text import context, simple, spaced
+from quillspan.operators import combined, matching
 from quillspan.sources.shared import fresh_folder, save
 
 
@@ -127,23 +127,13 @@ def _best(pred: DataFrame, gold: DataFrame, least: float, score: Measure) -> Dat
     return hit.select("doc_id", "type", "seq", "m.*")
 
 
-def _best_combined(pred: DataFrame, gold: DataFrame, least: float, package: bool) -> DataFrame:
-    """As ``_best`` for the combined score: pairs whose shared words and lengths can't reach ``least`` are left out in the join, the others go to Python as one list for each prediction, best bound first."""
-    prepare = COMBINED.prepare
-    g = gold.select("doc_id", "type", F.col("seq").alias("order"), F.col("value").alias("gold"), prepare(F.col("value")).alias("_g"))
-    both = pred.select("doc_id", "type", "seq", prepare(F.col("value")).alias("_p")).join(g, ["doc_id", "type"])
-    recall, n, m = RECALL.compare(F.col("_p.words"), F.col("_g.words")), F.char_length("_p.text"), F.char_length("_g.text")
-    both = both.withColumn("recall", recall).withColumn("bound", 0.4 * F.col("recall") + 0.6 * F.when(n + m > 0, 2 * F.least(n, m) / (n + m)).otherwise(F.lit(1.0)))
-    each = F.struct((-F.col("bound")).alias("bound"), "order", F.col("_g.text").alias("text"), "recall", "gold")
-    lists = both.where(F.col("bound") >= least - 1e-9).groupBy("doc_id", "type", "seq").agg(F.first("_p.text").alias("text"), F.sort_array(F.collect_list(each)).alias("c"))
-    got = lists.withColumn("m", best_combined(least, package)("text", F.transform("c", lambda x: F.struct(x["bound"].alias("bound"), x["order"].alias("order"), x["text"].alias("text"), x["recall"].alias("recall"))))).where("m.place is not null")
-    return got.select("doc_id", "type", "seq", F.get("c", F.col("m.place"))["gold"].alias("gold"), F.col("m.score").alias("score"))
-
-
 def best_match(pred: DataFrame, gold: DataFrame, least: float = 0.5, score: Measure = COMBINED) -> DataFrame:
     """(doc_id, type, seq, value, gold, score): the best gold, the first of ties; null below ``least``."""
-    best = _best_combined(pred, gold, least, score is COMBINED_PACKAGE) if score in (COMBINED, COMBINED_PACKAGE) and least > 0 else _best(pred, gold, least, score)
-    return pred.select("doc_id", "type", "seq", "value").join(best, ["doc_id", "type", "seq"], "left")
+    own = pred.select("doc_id", "type", "seq", "value")
+    if score in (COMBINED, COMBINED_PACKAGE) and least > 0:
+        best = combined.best_combined(pred, gold, least, score is COMBINED_PACKAGE)
+        return own.withColumn("text", simple(F.col("value"))).join(best, ["doc_id", "type", "text"], "left").drop("text")
+    return own.join(_best(pred, gold, least, score), ["doc_id", "type", "seq"], "left")
 
 
 def span_protocol(pred: DataFrame, gold: DataFrame, by: list[str], least: float = 0.7) -> DataFrame:
