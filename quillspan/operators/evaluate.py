@@ -132,7 +132,7 @@ def best_match(pred: DataFrame, gold: DataFrame, least: float = 0.5, score: Meas
     own = pred.select("doc_id", "type", "seq", "value")
     if score in (COMBINED, COMBINED_PACKAGE) and least > 0:
         best = combined.best_combined(pred, gold, least, score is COMBINED_PACKAGE)
-        return own.withColumn("text", simple(F.col("value"))).join(best, ["doc_id", "type", "text"], "left").drop("text")
+        return own.withColumn("text", F.when(F.col("seq").isNotNull(), simple(F.col("value")))).join(best, ["doc_id", "type", "text"], "left").drop("text")
     return own.join(_best(pred, gold, least, score), ["doc_id", "type", "seq"], "left")
 
 
